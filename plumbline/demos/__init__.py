@@ -1,6 +1,6 @@
 """Each operator on the driver's tables, with the SQL that must give the same rows."""
 
-from plumbline.demos import relational  # noqa: F401
+from plumbline.demos import metrics, quality, relational, variants  # noqa: F401
 from plumbline.demos.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
