@@ -330,7 +330,7 @@ def agg_percentile(spark, d):
 @demo(
     "agg_dist_pct",
     """
-    SELECT event_type, count(*) AS rows, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM events), 1) AS share_pct
+    SELECT event_type, count(*) AS rows, round(count(*)::DOUBLE / (SELECT count(*) FROM events) * 100, 1) AS share_pct
     FROM events GROUP BY 1
     """,
 )
@@ -543,8 +543,8 @@ def pf_grain(spark, d):
     "pf_score",
     f"""
     SELECT count(*) AS checks, count(*) FILTER (WHERE status = 'PASS') AS passed_checks,
-           round(count(*) FILTER (WHERE status = 'PASS') * 100.0::DOUBLE / count(*), 1) AS score_pct,
-           round(count(*) FILTER (WHERE status = 'PASS') * 100.0::DOUBLE / count(*), 1) >= 70 AS adequate
+           round(count(*) FILTER (WHERE status = 'PASS')::DOUBLE / count(*) * 100, 1) AS score_pct,
+           round(count(*) FILTER (WHERE status = 'PASS')::DOUBLE / count(*) * 100, 1) >= 70 AS adequate
     FROM ({_contrast_sql("volume", "status", "category", "channel", "numeric", "grain")})
     """,
 )

@@ -19,31 +19,46 @@ _WHOLE_PARENS = r"^\(([^()]*)\)$"
 _OPERATOR = r"\s*(<=|>=|<>|!=|=|<|>)\s*"
 
 
-def normalise_predicate(column: Column) -> Column:
-    """Canonical text of one conjunct.
+def _lower_outside_quotes(column: Column) -> Column:
+    """Identifiers and keywords in lower case; quoted values keep theirs."""
+    pieces = F.transform(F.split(column, "'"), lambda p, i: F.when(i % 2 == 0, F.lower(p)).otherwise(p))
+    return F.array_join(pieces, "'")
 
-    Case, blanks, enclosing parentheses and the order of OR operands do not
-    matter.  Operands are reordered only where no nested parentheses are left.
-    """
-    out = F.trim(F.regexp_replace(F.lower(column), r"\s+", " "))
+
+def _stripped(column: Column) -> Column:
+    out = F.trim(F.regexp_replace(_lower_outside_quotes(column), r"\s+", " "))
     for _ in range(3):
         out = F.regexp_replace(out, _ATOM_PARENS, "$1")
         out = F.trim(F.regexp_replace(out, _WHOLE_PARENS, "$1"))
-    out = F.regexp_replace(out, _OPERATOR, " $1 ")
-    operands = F.array_sort(F.transform(F.split(out, " or "), F.trim))
+    return F.regexp_replace(out, _OPERATOR, " $1 ")
+
+
+def _with_sorted_operands(out: Column) -> Column:
+    """Operands of a flat OR in sorted order; texts with nested parentheses stay as they are."""
     flat = F.contains(out, F.lit(" or ")) & ~F.contains(out, F.lit("(")) & ~F.contains(out, F.lit(" and "))
+    operands = F.array_sort(F.split(out, r"\s+or\s+"))
     return F.when(flat, F.array_join(operands, " or ")).otherwise(out)
 
 
+def normalise_predicates(conjuncts: Column) -> Column:
+    """Canonical texts of an array of conjuncts.
+
+    Blanks, enclosing parentheses, the order of OR operands and the case of
+    anything but quoted values do not matter.  The two steps are separate so that each text is stripped once.
+    """
+    return F.transform(F.transform(conjuncts, _stripped), _with_sorted_operands)
+
+
 def normalise_predicate_text(text: str) -> str:
-    """Driver-side twin of :func:`normalise_predicate` for declared predicates."""
-    out = re.sub(r"\s+", " ", text.lower()).strip()
+    """Driver-side twin of :func:`normalise_predicates` for one declared predicate."""
+    pieces = [p.lower() if i % 2 == 0 else p for i, p in enumerate(text.split("'"))]
+    out = re.sub(r"\s+", " ", "'".join(pieces)).strip()
     for _ in range(3):
         out = re.sub(_ATOM_PARENS, r"\1", out)
         out = re.sub(_WHOLE_PARENS, r"\1", out).strip()
     out = re.sub(_OPERATOR, r" \1 ", out)
     if " or " in out and "(" not in out and " and " not in out:
-        out = " or ".join(sorted(part.strip() for part in out.split(" or ")))
+        out = " or ".join(sorted(re.split(r"\s+or\s+", out)))
     return out
 
 
@@ -54,7 +69,7 @@ def normalise_dimension(column: Column) -> Column:
 
 def canonical_conjuncts(conjuncts: Column) -> Column:
     """Order-free form of an AND list: normalised, de-duplicated and sorted."""
-    return F.array_sort(F.array_distinct(F.transform(conjuncts, normalise_predicate)))
+    return F.array_sort(F.array_distinct(normalise_predicates(conjuncts)))
 
 
 def text_hash(column: Column) -> Column:

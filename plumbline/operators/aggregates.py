@@ -51,5 +51,5 @@ def category_shares(df: DataFrame, column: str, digits: int = 1) -> DataFrame:
     """Count and percentage of each category."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return key_counts(df, [column], "rows").withColumn(
-        "share_pct", F.round(F.col("rows") * 100.0 / total.cast("double"), digits)
+        "share_pct", F.round(F.col("rows") / total.cast("double") * 100.0, digits)
     )

@@ -45,61 +45,94 @@ def _none() -> Column:
     return F.array().cast(f"array<{VIOLATION}>")
 
 
+def _strings(column: Column) -> Column:
+    return F.coalesce(column, F.array().cast("array<string>"))
+
+
 def _each(expected: Column, broken, rule: str, category: str, severity: str) -> Column:
     """One violation per entry of ``expected`` on which ``broken`` holds."""
-    hits = F.filter(F.coalesce(expected, F.array().cast("array<string>")), broken)
-    return F.transform(hits, lambda e: _violation(rule, category, severity, e))
+    return F.transform(F.filter(_strings(expected), broken), lambda e: _violation(rule, category, severity, e))
 
 
-def _conjuncts() -> Column:
-    return F.coalesce(F.col("where_conjuncts"), F.array().cast("array<string>"))
+def with_canonical_clauses(query_log: DataFrame) -> DataFrame:
+    """Adds the canonical clauses the rules look at: ``__held``, ``__grouped``, ``__sql``.
 
+    They are columns of their own, so each is computed once per row and not once
+    per rule or per entry of a rule.
+    """
+    have = set(query_log.columns)
+    added = {}
+    if "where_conjuncts" in have:
+        added["__held"] = text.normalise_predicates(_strings(F.col("where_conjuncts")))
+    if "group_by" in have:
+        added["__grouped"] = F.transform(_strings(F.col("group_by")), text.normalise_dimension)
+    if "sql" in have:
+        added["__sql"] = F.lower(F.coalesce("sql", F.lit("")))
+    return query_log.withColumns(added)
+
+
+def with_canonical_rules(contracts: DataFrame) -> DataFrame:
+    """Contract rules with the canonical form of each entry next to its text."""
+    def paired(column, canonical):
+        return F.arrays_zip(_strings(F.col(column)).alias("raw"), canonical(_strings(F.col(column))).alias("norm"))
+
+    dims = lambda a: F.transform(a, text.normalise_dimension)
+    return contracts.select(
+        "metric_id",
+        F.struct(
+            F.col("required_filters"),
+            paired("required_filters", text.normalise_predicates).alias("required"),
+            paired("forbidden_filters", text.normalise_predicates).alias("forbidden"),
+            paired("required_dimensions", dims).alias("dimensions"),
+            "required_function",
+            "positive_components",
+            "negative_components",
+            "timezone",
+        ).alias("rules"),
+    )
 
-def required_filter_violations(required: Column, mode: str = "equality") -> Column:
-    """Required predicates that are no conjunct of the query.
 
-    ``contains`` looks for the predicate inside the joined filter text instead.
-    """
-    if mode == "contains":
-        joined = F.concat_ws(" AND ", _conjuncts())
-        broken = lambda e: ~F.contains(joined, e)
-    else:
-        held = F.transform(_conjuncts(), text.normalise_predicate)
-        broken = lambda e: ~F.array_contains(held, text.normalise_predicate(e))
-    return _each(required, broken, "required_filters", "population", "CRITICAL")
-
-
-def forbidden_filter_violations(forbidden: Column) -> Column:
-    held = F.transform(_conjuncts(), text.normalise_predicate)
-    return _each(
-        forbidden,
-        lambda e: F.array_contains(held, text.normalise_predicate(e)),
-        "forbidden_filters",
-        "population",
-        "CRITICAL",
+def _paired_violations(pairs: Column, broken, rule: str, category: str) -> Column:
+    hits = F.filter(pairs, lambda p: broken(p["norm"]))
+    return F.transform(hits, lambda p: _violation(rule, category, "CRITICAL", p["raw"]))
+
+
+def required_filter_violations(pairs: Column) -> Column:
+    """Required predicates that are no conjunct of the query."""
+    return _paired_violations(
+        pairs, lambda e: ~F.array_contains(F.col("__held"), e), "required_filters", "population"
     )
 
 
-def grain_violations(required: Column) -> Column:
-    """Required dimensions that no grouping expression covers; containment either way counts."""
-    grouped = F.transform(F.coalesce("group_by", F.array().cast("array<string>")), text.normalise_dimension)
+def required_text_violations(required: Column) -> Column:
+    """The laxer form: the predicate occurs somewhere in the joined filter text."""
+    joined = F.concat_ws(" AND ", F.col("where_conjuncts"))
+    return _each(required, lambda e: ~F.contains(joined, e), "required_filters", "population", "CRITICAL")
 
+
+def forbidden_filter_violations(pairs: Column) -> Column:
+    return _paired_violations(
+        pairs, lambda e: F.array_contains(F.col("__held"), e), "forbidden_filters", "population"
+    )
+
+
+def grain_violations(pairs: Column) -> Column:
+    """Required dimensions that no grouping expression covers; containment either way counts."""
     def absent(e):
-        wanted = text.normalise_dimension(e)
-        return ~F.exists(grouped, lambda d: F.contains(d, wanted) | F.contains(wanted, d))
+        return ~F.exists("__grouped", lambda d: F.contains(d, e) | F.contains(e, d))
 
-    return _each(required, absent, "required_dimensions", "grain", "CRITICAL")
+    return _paired_violations(pairs, absent, "required_dimensions", "grain")
 
 
 def component_violations(components: Column, rule: str) -> Column:
-    sql = F.lower(F.coalesce("sql", F.lit("")))
-    return _each(components, lambda e: ~F.contains(sql, F.lower(e)), rule, "aggregation", "HIGH")
+    return _each(components, lambda e: ~F.contains(F.col("__sql"), F.lower(e)), rule, "aggregation", "HIGH")
 
 
 def function_violations(function: Column) -> Column:
     """The required aggregate function is called somewhere."""
-    calls = F.coalesce("agg_calls", F.array().cast("array<string>"))
-    called = F.exists(calls, lambda c: F.startswith(F.upper(F.trim(c)), F.concat(F.upper(function), F.lit("("))))
+    called = F.exists(
+        _strings(F.col("agg_calls")), lambda c: F.startswith(F.upper(F.trim(c)), F.concat(F.upper(function), F.lit("(")))
+    )
     return F.when(
         function.isNotNull() & ~called, F.array(_violation("required_function", "aggregation", "HIGH", function))
     ).otherwise(_none())
@@ -107,7 +140,7 @@ def function_violations(function: Column) -> Column:
 
 def timezone_violations(timezone: Column) -> Column:
     """A UTC contract: text that converts time zones has to name UTC."""
-    sql = F.lower(F.coalesce("sql", F.lit("")))
+    sql = F.col("__sql")
     broken = (F.upper(timezone) == "UTC") & F.contains(sql, F.lit("time zone")) & ~F.contains(sql, F.lit("utc"))
     return F.when(broken, F.array(_violation("timezone", "time", "HIGH", timezone))).otherwise(_none())
 
@@ -117,26 +150,20 @@ def check_compliance(query_log: DataFrame, contracts: DataFrame, mode: str = "eq
 
     Contract columns: metric_id, required_filters, forbidden_filters,
     required_dimensions, required_function, positive_components,
-    negative_components, timezone; one row per metric.
+    negative_components, timezone; one row per metric.  ``mode="contains"``
+    looks for required predicates in the filter text instead of its conjuncts.
     """
-    rules = contracts.select(
-        "metric_id",
-        F.struct(
-            "required_filters",
-            "forbidden_filters",
-            "required_dimensions",
-            "required_function",
-            "positive_components",
-            "negative_components",
-            "timezone",
-        ).alias("rules"),
-    )
-    joined = query_log.join(rules, "metric_id", "left")
+    joined = with_canonical_clauses(query_log).join(with_canonical_rules(contracts), "metric_id", "left")
     known = F.col("rules").isNotNull()
+    required = (
+        required_text_violations(F.col("rules.required_filters"))
+        if mode == "contains"
+        else required_filter_violations(F.col("rules.required"))
+    )
     found = F.concat(
-        required_filter_violations(F.col("rules.required_filters"), mode),
-        forbidden_filter_violations(F.col("rules.forbidden_filters")),
-        grain_violations(F.col("rules.required_dimensions")),
+        required,
+        forbidden_filter_violations(F.col("rules.forbidden")),
+        grain_violations(F.col("rules.dimensions")),
         function_violations(F.col("rules.required_function")),
         component_violations(F.col("rules.positive_components"), "positive_components"),
         component_violations(F.col("rules.negative_components"), "negative_components"),
@@ -144,16 +171,14 @@ def check_compliance(query_log: DataFrame, contracts: DataFrame, mode: str = "eq
     )
     # population and aggregation always count, grain and time zone where declared
     checked = (
-        F.lit(2)
-        + (F.coalesce(F.size("rules.required_dimensions"), F.lit(0)) > 0).cast("int")
-        + F.col("rules.timezone").isNotNull().cast("int")
+        F.lit(2) + (F.size("rules.dimensions") > 0).cast("int") + F.col("rules.timezone").isNotNull().cast("int")
     )
     return (
         joined.withColumn("known_metric", known)
         .withColumn("violations", F.when(known, found).otherwise(_none()))
         .withColumn("passed", known & (F.size("violations") == 0))
         .withColumn("rules_checked", F.when(known, checked).otherwise(F.lit(0)))
-        .drop("rules")
+        .drop("rules", "__held", "__grouped", "__sql")
     )
 
 

@@ -301,11 +301,11 @@ CLEAN_IF_ZERO = (
 )
 
 
-def audit_pairs(pairs: DataFrame) -> DataFrame:
+def audit_pairs(pairs: DataFrame, order: str = "example_id") -> DataFrame:
     """One-row report of integrity and leakage with the overall ``is_clean`` flag."""
     leaks = ("mutation_family_leakage", "domain_leakage", "metric_family_leakage")
     one = audit_leakage(pairs).select(F.struct(*leaks).alias("leaks")).scalar()
-    report = audit_integrity(pairs).select("*", *[one.getField(c).alias(c) for c in leaks])
+    report = audit_integrity(pairs, order).select("*", *[one.getField(c).alias(c) for c in leaks])
     clean = F.lit(True)
     for column in CLEAN_IF_ZERO:
         clean = clean & (F.col(column) == 0)
@@ -319,5 +319,5 @@ def distribution(pairs: DataFrame, columns: Sequence[str] = ("mutation_type", "d
     )
     total = pairs.agg(F.count(F.lit(1)).alias("n")).scalar()
     return long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "share_pct", F.round(F.col("rows") * 100.0 / total.cast("double"), 1)
+        "share_pct", F.round(F.col("rows") / total.cast("double") * 100.0, 1)
     )

@@ -104,7 +104,7 @@ def verify_claims(claims: DataFrame, files: DataFrame) -> DataFrame:
         "source_file",
         "repository",
         "claimed_symbols",
-        F.explode(F.array_distinct(F.transform(F.split("reference_path", ","), F.trim))).alias("path"),
+        F.explode(F.array_distinct(F.transform(F.split("reference_path", ","), lambda p: F.trim(p)))).alias("path"),
     )
     texts = files.select("repository", "path", F.col("content").alias("__text"))
     hits = F.filter("claimed_symbols", lambda s: F.contains(F.col("__text"), s))
