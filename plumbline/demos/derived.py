@@ -19,15 +19,23 @@ def _some(*entries: tuple[Column | bool, str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.lit(c) if isinstance(c, bool) else c, F.lit(x)) for c, x in entries]))
 
 
+def _keyed(events: DataFrame) -> DataFrame:
+    return events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
+
+
 def keyed_events(spark, d) -> DataFrame:
     """Events with the number from their properties."""
-    return t(spark, d, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
+    return _keyed(t(spark, d, "events"))
 
 
 def query_log(spark, d) -> DataFrame:
+    return log_from(t(spark, d, "events"))
+
+
+def log_from(events: DataFrame) -> DataFrame:
     """One logged request per event; the number ``k`` decides which clauses it has."""
     k = F.col("k")
-    log = keyed_events(spark, d).select(
+    log = _keyed(events).select(
         F.col("event_id").alias("request_id"),
         F.col("event_type").alias("metric_id"),
         F.concat(F.lit("agent_"), F.col("user_id") % AGENTS).alias("agent_id"),
