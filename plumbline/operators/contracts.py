@@ -95,28 +95,28 @@ def resolve(references: DataFrame, column: str, contracts: DataFrame) -> DataFra
     A reference without a version takes the latest one; ``resolved`` is false where
     no contract answers.  Contracts are unique per (domain, metric, version).
     """
-    parsed = references.withColumn("ref", parse_reference(F.col(column)))
+    parsed = references.withColumn("__ref", parse_reference(F.col(column)))
     offered = contracts.select(
         F.col("domain").alias("__d"), F.col("metric").alias("__m"), F.col("version").alias("__v"), F.lit(True).alias("__hit")
     )
     numbers = F.transform(F.split("__v", r"\."), lambda n: n.cast("int"))
     latest = offered.groupBy("__d", "__m").agg(F.max_by("__v", numbers).alias("__latest"))
     named = parsed.join(
-        latest, (F.col("ref.domain") == F.col("__d")) & (F.col("ref.metric") == F.col("__m")), "left"
+        latest, (F.col("__ref.domain") == F.col("__d")) & (F.col("__ref.metric") == F.col("__m")), "left"
     ).drop("__d", "__m")
     exact = named.join(
         offered,
-        (F.col("ref.domain") == F.col("__d"))
-        & (F.col("ref.metric") == F.col("__m"))
-        & (F.coalesce(F.col("ref.version"), F.col("__latest")) == F.col("__v")),
+        (F.col("__ref.domain") == F.col("__d"))
+        & (F.col("__ref.metric") == F.col("__m"))
+        & (F.coalesce(F.col("__ref.version"), F.col("__latest")) == F.col("__v")),
         "left",
     )
     return exact.select(
         *references.columns,
-        F.col("ref.domain").alias("domain"),
-        F.col("ref.metric").alias("metric"),
-        F.coalesce(F.col("ref.version"), F.col("__latest")).alias("version"),
-        F.col("ref.part").alias("part"),
+        F.col("__ref.domain").alias("domain"),
+        F.col("__ref.metric").alias("metric"),
+        F.coalesce(F.col("__ref.version"), F.col("__latest")).alias("version"),
+        F.col("__ref.part").alias("part"),
         F.coalesce("__hit", F.lit(False)).alias("resolved"),
     )
 
