@@ -11,6 +11,7 @@ from plumbline.operators import provenance as PV
 from plumbline.operators import replay as RP
 from plumbline.operators import scoring
 from plumbline.operators.governance import check_compliance, decide
+from plumbline.session import stored
 from plumbline.sources.tables import read_table as t
 
 CHAIN = derived.AUDIT_CHAIN
@@ -60,7 +61,7 @@ def au_segment_roots(spark, d):
 def _tampered(spark, d):
     """Changed decisions, re-hashed events, lost events and a repeated number."""
     number = F.col("sequence_num")
-    chain = _chain(spark, d)
+    chain = stored(_chain(spark, d), "audit-chain")
     edited = chain.withColumn("decision", F.when(number % 101 == 0, "ALLOWED").otherwise(F.col("decision")))
     rehashed = edited.withColumn("latency_ms", F.when(number % 103 == 0, F.lit(0.0)).otherwise(F.col("latency_ms"))).withColumn(
         "event_hash", F.when(number % 103 == 0, AU.event_hash()).otherwise(F.col("event_hash"))
@@ -112,7 +113,7 @@ def au_checkpoint(spark, d):
 
 @demo("au_checkpoint_signed")
 def au_checkpoint_signed(spark, d):
-    chain = _chain(spark, d)
+    chain = stored(_chain(spark, d), "audit-chain")
     signed = AU.sign_checkpoints(AU.checkpoint(chain, 1767225600.0, "key-1"), "demo key")
     return AU.verify_checkpoints(chain, signed, "demo key", SEGMENT).select("checkpoint_id", "signature_ok", "valid")
 
@@ -288,7 +289,7 @@ def pv_claims(spark, d):
     """,
 )
 def pv_verify(spark, d):
-    verified = PV.verify_claims(PV.extract_claims(_documents(spark, d)), _files(spark, d))
+    verified = PV.verify_claims(stored(PV.extract_claims(_documents(spark, d)), "claims"), _files(spark, d))
     return verified.select(
         "source_file",
         "file_exists",

@@ -219,7 +219,7 @@ def net_revenue_report(spark, d):
     """Net revenue per customer and month, and whether it passes its contract tests."""
     target = NET_REVENUE.run(order_lines(spark, d))
     customers = t(spark, d, "customer").withColumn("customer_id", F.col("c_custkey"))
-    results = run_suite(target, _net_revenue_suite(), {"customers": customers})
+    results = run_suite(target, _net_revenue_suite(), {"customers": customers}, store=True)
     return results.withColumn("observed", F.round("observed", 2))
 
 

@@ -25,12 +25,17 @@ def _lower_outside_quotes(column: Column) -> Column:
     return F.array_join(pieces, "'")
 
 
-def _stripped(column: Column) -> Column:
-    out = F.trim(F.regexp_replace(_lower_outside_quotes(column), r"\s+", " "))
+def _squeezed(column: Column) -> Column:
+    lowered = F.when(F.contains(column, F.lit("'")), _lower_outside_quotes(column)).otherwise(F.lower(column))
+    return F.trim(F.regexp_replace(F.regexp_replace(lowered, r"\s+", " "), _OPERATOR, " $1 "))
+
+
+def _unwrapped(column: Column) -> Column:
+    out = column
     for _ in range(3):
         out = F.regexp_replace(out, _ATOM_PARENS, "$1")
         out = F.trim(F.regexp_replace(out, _WHOLE_PARENS, "$1"))
-    return F.regexp_replace(out, _OPERATOR, " $1 ")
+    return F.when(F.contains(column, F.lit("(")), out).otherwise(column)
 
 
 def _with_sorted_operands(out: Column) -> Column:
@@ -44,19 +49,20 @@ def normalise_predicates(conjuncts: Column) -> Column:
     """Canonical texts of an array of conjuncts.
 
     Blanks, enclosing parentheses, the order of OR operands and the case of
-    anything but quoted values do not matter.  The two steps are separate so that each text is stripped once.
+    anything but quoted values do not matter.  Each step is a pass of its own, so
+    that no step is evaluated twice and texts without parentheses skip the costly
+    patterns.
     """
-    return F.transform(F.transform(conjuncts, _stripped), _with_sorted_operands)
+    return F.transform(F.transform(F.transform(conjuncts, _squeezed), _unwrapped), _with_sorted_operands)
 
 
 def normalise_predicate_text(text: str) -> str:
     """Driver-side twin of :func:`normalise_predicates` for one declared predicate."""
     pieces = [p.lower() if i % 2 == 0 else p for i, p in enumerate(text.split("'"))]
-    out = re.sub(r"\s+", " ", "'".join(pieces)).strip()
+    out = re.sub(_OPERATOR, r" \1 ", re.sub(r"\s+", " ", "'".join(pieces))).strip()
     for _ in range(3):
         out = re.sub(_ATOM_PARENS, r"\1", out)
         out = re.sub(_WHOLE_PARENS, r"\1", out).strip()
-    out = re.sub(_OPERATOR, r" \1 ", out)
     if " or " in out and "(" not in out and " and " not in out:
         out = " or ".join(sorted(re.split(r"\s+or\s+", out)))
     return out

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import text
 from plumbline.operators.governance import SEVERITIES
 
-CLAUSES = ("where_conjuncts", "agg_calls", "group_by", "tables", "n_joins", "n_open_joins", "n_coalesce", "having")
-
 # The severity of each kind of drift, and its level in finding reports.
 DRIFT_SEVERITY = {
     "FILTER_REMOVAL": "FATAL",
@@ -65,51 +63,53 @@ def _finding(kind: str, changed: Column, old: Column, new: Column) -> Column:
     )
 
 
+def _clauses() -> Column:
+    """The clauses of one query in comparable form, computed before the sides meet."""
+    where, aggs = _strings(F.col("where_conjuncts")), _strings(F.col("agg_calls"))
+    return F.struct(
+        where.alias("where"),
+        text.canonical_conjuncts(where).alias("canonical_where"),
+        _function_names(aggs).alias("functions"),
+        F.array_sort(aggs).alias("aggs"),
+        F.array_sort(_strings(F.col("group_by"))).alias("grain"),
+        F.array_sort(F.array_distinct(_strings(F.col("tables")))).alias("tables"),
+        "n_joins",
+        "n_open_joins",
+        "n_coalesce",
+        "having",
+    )
+
+
 def clause_drift(baseline: DataFrame, candidate: DataFrame, on: str = "metric_id", keep: Sequence[str] = ()) -> DataFrame:
     """One row per finding: the key, ``keep`` columns of the candidate, type, severity, snippets.
 
-    ``baseline`` holds one row per key.  Everything is decided on the joined row.
+    ``baseline`` holds one row per key.  Columns on both sides: where_conjuncts,
+    agg_calls, group_by, tables (arrays), n_joins, n_open_joins, n_coalesce, having.
     """
-    base = baseline.select(on, F.struct(*CLAUSES).alias("b"))
-    rows = candidate.select(on, *keep, F.struct(*CLAUSES).alias("c")).join(base, on)
-
-    def pair(name):
-        return _strings(F.col(f"b.{name}")), _strings(F.col(f"c.{name}"))
-
-    old_where, new_where = pair("where_conjuncts")
-    old_aggs, new_aggs = pair("agg_calls")
-    old_group, new_group = pair("group_by")
-    old_tables, new_tables = pair("tables")
-    had, has = F.size(old_where) > 0, F.size(new_where) > 0
-    same_functions = _function_names(old_aggs) == _function_names(new_aggs)
+    rows = candidate.select(on, *keep, _clauses().alias("c")).join(baseline.select(on, _clauses().alias("b")), on)
+
+    def differ(name):
+        return F.col(f"b.{name}") != F.col(f"c.{name}")
+
+    def lists(kind, changed, name):
+        return _finding(kind, changed, _joined(F.col(f"b.{name}")), _joined(F.col(f"c.{name}")))
+
+    def values(kind, changed, name):
+        return _finding(kind, changed, F.col(f"b.{name}"), F.col(f"c.{name}"))
+
+    had, has = F.size("b.where") > 0, F.size("c.where") > 0
     findings = [
-        _finding("FILTER_REMOVAL", had & ~has, _joined(old_where), _joined(new_where)),
-        _finding("FILTER_ADDITION", ~had & has, _joined(old_where), _joined(new_where)),
-        _finding(
-            "SEMANTIC_LOGIC_SHIFT", had & has & ~same_population(old_where, new_where), _joined(old_where), _joined(new_where)
-        ),
-        _finding("AGGREGATION_FUNCTION_SHIFT", ~same_functions, _joined(old_aggs), _joined(new_aggs)),
-        _finding(
-            "AGGREGATION_EXPRESSION_SHIFT",
-            same_functions & (F.array_sort(old_aggs) != F.array_sort(new_aggs)),
-            _joined(old_aggs),
-            _joined(new_aggs),
-        ),
-        _finding("JOIN_TYPE_SHIFT", F.col("b.n_joins") != F.col("c.n_joins"), F.col("b.n_joins"), F.col("c.n_joins")),
-        _finding("JOIN_PREDICATE_MUTATION", F.col("c.n_open_joins") > 0, F.col("b.n_open_joins"), F.col("c.n_open_joins")),
-        _finding(
-            "GRAIN_DRIFT", F.array_sort(old_group) != F.array_sort(new_group), _joined(old_group), _joined(new_group)
-        ),
-        _finding(
-            "NULL_HANDLING_DRIFT", F.col("b.n_coalesce") > F.col("c.n_coalesce"), F.col("b.n_coalesce"), F.col("c.n_coalesce")
-        ),
-        _finding("HAVING_FILTER_SHIFT", ~F.col("b.having").eqNullSafe(F.col("c.having")), F.col("b.having"), F.col("c.having")),
-        _finding(
-            "TABLE_TARGET_SHIFT",
-            F.array_sort(F.array_distinct(old_tables)) != F.array_sort(F.array_distinct(new_tables)),
-            _joined(old_tables),
-            _joined(new_tables),
-        ),
+        lists("FILTER_REMOVAL", had & ~has, "where"),
+        lists("FILTER_ADDITION", ~had & has, "where"),
+        lists("SEMANTIC_LOGIC_SHIFT", had & has & differ("canonical_where"), "where"),
+        lists("AGGREGATION_FUNCTION_SHIFT", differ("functions"), "aggs"),
+        lists("AGGREGATION_EXPRESSION_SHIFT", ~differ("functions") & differ("aggs"), "aggs"),
+        values("JOIN_TYPE_SHIFT", differ("n_joins"), "n_joins"),
+        values("JOIN_PREDICATE_MUTATION", F.col("c.n_open_joins") > 0, "n_open_joins"),
+        lists("GRAIN_DRIFT", differ("grain"), "grain"),
+        values("NULL_HANDLING_DRIFT", F.col("b.n_coalesce") > F.col("c.n_coalesce"), "n_coalesce"),
+        values("HAVING_FILTER_SHIFT", ~F.col("b.having").eqNullSafe(F.col("c.having")), "having"),
+        lists("TABLE_TARGET_SHIFT", differ("tables"), "tables"),
     ]
     return rows.select(on, *keep, F.inline(F.array_compact(F.array(*findings))))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators.percentiles import exact_percentiles
+from plumbline.operators.percentiles import aggregate_with_percentiles
 
 # Severities in rising order, and those that count as errors.
 SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL", "FATAL")
@@ -236,7 +236,7 @@ def request_stats(decided: DataFrame, by: Sequence[str] = ("agent_id",)) -> Data
     def decisions(label):
         return F.count_if(F.col("decision") == label)
 
-    counts = decided.groupBy(*by).agg(
+    aggregates = [
         F.count(F.lit(1)).alias("requests"),
         decisions("ALLOW").alias("allowed"),
         decisions("AUDIT").alias("audited"),
@@ -244,9 +244,9 @@ def request_stats(decided: DataFrame, by: Sequence[str] = ("agent_id",)) -> Data
         decisions("DENY").alias("denied"),
         F.count_if(~F.col("execution_allowed")).alias("blocked"),
         F.coalesce(F.sum(F.size("violations")), F.lit(0)).cast("bigint").alias("violations"),
-    )
-    latencies = exact_percentiles(decided, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, by)
-    return counts.join(latencies, list(by), "left")
+    ]
+    probabilities = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    return aggregate_with_percentiles(decided, aggregates, "latency_ms", probabilities, by)
 
 
 def violation_counts(checked: DataFrame) -> DataFrame:

@@ -75,6 +75,47 @@ def _narrow(counts: DataFrame, brackets: DataFrame) -> DataFrame:
     )
 
 
+def fits_in_a_task(df: DataFrame, value: str, by: Sequence[str] = (), max_distinct: int = MAX_DISTINCT) -> bool:
+    """Does one task hold the distinct values of the widest group?  Runs one aggregate."""
+    widest = (
+        df.groupBy(*by)
+        .agg(F.approx_count_distinct(value).alias("n"))
+        .agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+        .first()["n"]
+    )
+    return widest <= max_distinct
+
+
+def aggregate_with_percentiles(
+    df: DataFrame,
+    aggregates: Sequence[Column],
+    value: str,
+    probabilities: dict[str, float],
+    by: Sequence[str] = (),
+    max_distinct: int = MAX_DISTINCT,
+) -> DataFrame:
+    """Aggregates and exact percentiles per group.
+
+    One pass where the distinct values fit into a task, else the percentiles are
+    found by brackets and joined with NULL group keys equal.  A group without
+    values has NULL percentiles.
+    """
+    if fits_in_a_task(df, value, by, max_distinct):
+        wanted = F.array(*map(F.lit, probabilities.values()))
+        found = df.groupBy(*by).agg(*aggregates, F.percentile(F.col(value).cast("double"), wanted).alias("__p"))
+        return found.withColumns({a: F.col("__p")[i] for i, a in enumerate(probabilities)}).drop("__p")
+    counts = df.groupBy(*by).agg(*aggregates)
+    found = _by_brackets(df.where(F.col(value).isNotNull()), value, probabilities, by)
+    if not by:
+        one = found.select(F.struct(*probabilities).alias("p")).scalar()
+        return counts.select("*", *[one.getField(a).alias(a) for a in probabilities])
+    keyed = found.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], *probabilities)
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return counts.join(keyed, same, "left").drop(*[f"__k{i}" for i in range(len(by))])
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
@@ -85,23 +126,10 @@ def exact_percentiles(
     """One row per group with one column per entry of ``probabilities``.
 
     NULL values are ignored; a group without values is absent from the result.
-    Groups are matched with NULL equal to NULL.
     """
-    present = df.where(F.col(value).isNotNull())
-    widest = (
-        present.groupBy(*by)
-        .agg(F.approx_count_distinct(value).alias("n"))
-        .agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-        .first()["n"]
-    )
-    if widest <= max_distinct:
-        found = present.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, probabilities.values()))).alias("__p"),
-        )
-        picks = [F.col("__p")[i].alias(alias) for i, alias in enumerate(probabilities)]
-        return found.where(F.col("__n") > 0).select(*by, *picks)
-    return _by_brackets(present, value, probabilities, by)
+    n = F.count(value).alias("__n")
+    found = aggregate_with_percentiles(df, [n], value, probabilities, by, max_distinct)
+    return found.where(F.col("__n") > 0).drop("__n")
 
 
 def _by_brackets(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str]) -> DataFrame:

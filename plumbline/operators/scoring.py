@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from plumbline.functions.stats import pct, ratio, wilson_interval
 from plumbline.operators.assertions import Singular
 from plumbline.operators.compare import DIGITS, EQUAL_PCT
-from plumbline.operators.percentiles import exact_percentiles
+from plumbline.operators.percentiles import aggregate_with_percentiles
 from plumbline.operators.suites import Suite, run_suite
 from plumbline.plans.spec import MetricSpec
 from plumbline.plans.variants import BASE, derive, run_variants
+from plumbline.session import stored
 
 # Outcome of one variant under one suite.
 EQUIVALENT = "EQUIVALENT_ON_FIXTURE"
@@ -166,11 +167,9 @@ def tier_verdicts(candidates: DataFrame) -> DataFrame:
 
 def ladder(verdicts: DataFrame, latency: str = "latency_ms") -> DataFrame:
     """Per tier: caught, valid, rate in percent and latency percentiles."""
-    counts = verdicts.groupBy("tier").agg(
-        F.count_if("caught").alias("caught"), F.count(F.lit(1)).alias("valid")
-    )
-    latencies = exact_percentiles(verdicts, latency, {"p50_ms": 0.5, "p95_ms": 0.95}, ["tier"])
-    return counts.join(latencies, "tier", "left").select(
+    aggregates = [F.count_if("caught").alias("caught"), F.count(F.lit(1)).alias("valid")]
+    tiers = aggregate_with_percentiles(verdicts, aggregates, latency, {"p50_ms": 0.5, "p95_ms": 0.95}, ["tier"])
+    return tiers.select(
         "tier",
         "caught",
         "valid",
@@ -300,15 +299,16 @@ def kill_matrix(
 ) -> DataFrame:
     """Every variant under every suite: how it differs and which assertions noticed.
 
-    Base, variants and suites are evaluated together: one scan computes all
-    variants, and each suite runs once over the long result, sliced by variant.
+    One scan computes base and all variants.  That result, which has one row per
+    group and variant, is stored in the shared folder of the cluster; each suite
+    then runs once over it, sliced by variant.
     ``strict`` takes any differing row as a change; otherwise only the totals are
     compared, which overlooks permuted values.
     """
     spark = df.sparkSession
     variants = derive(spec, df)
     runnable = [v.fault for v in variants if v.error is None]
-    long = run_variants(spec, df)
+    long = stored(run_variants(spec, df), f"variants-{spec.name}")
     diffs = _variant_diffs(long, spec, runnable)
     equivalent = (F.col("differing_rows") == 0) if strict else F.col("equal_total")
     diffs = diffs.withColumn("equivalent", equivalent).withColumn("runtime_error", F.lit(False))

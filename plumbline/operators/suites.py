@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import assertions as A
 from plumbline.operators.fused import run_fused
+from plumbline.session import stored
 
 # Names under which each test type may be declared.
 TYPE_ALIASES = {
@@ -155,16 +156,24 @@ def semantic_suite() -> Suite:
 
 
 def run_suite(
-    df: DataFrame, suite: Suite, tables: Mapping[str, DataFrame] | None = None, by: Sequence[str] = ()
+    df: DataFrame,
+    suite: Suite,
+    tables: Mapping[str, DataFrame] | None = None,
+    by: Sequence[str] = (),
+    store: bool = False,
 ) -> DataFrame:
     """One result row per assertion, or per assertion and slice of ``by``.
 
     All row-local assertions share one aggregate; each of the others adds its own
     shuffle.  Assertions that cannot run on this frame pass and are marked skipped.
+    ``store`` writes the frame to the shared folder first: worth it for a computed
+    result under several shuffling assertions, a waste for a plain table.
     Slices are those found in ``df``; an assertion with a shuffle of its own may
     have no row for a slice it has no finding for.
     """
     tables = dict(tables or {})
+    if store:
+        df = stored(df, f"suite-{suite.name}")
     fused, frames = [], []
     for assertion in suite.assertions:
         if assertion.is_skipped(df, tables):

@@ -9,27 +9,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.stats import pct
 from plumbline.functions.text import text_hash
-from plumbline.operators.percentiles import exact_percentiles
+from plumbline.operators.percentiles import aggregate_with_percentiles
 
 # Behaviours under which any SQL is a breach, and the benefit weights.
 NO_SQL_BEHAVIOURS = ("ABSTAIN", "ASK_CLARIFICATION", "REQUIRE_REVIEW")
 NET_BENEFIT_WEIGHTS = {"latency": 0.1, "cost": 0.5, "abstention": 0.2}
 
-SCORES = (
-    "total_evaluations",
-    "execution_success_rate",
-    "contract_compliance_rate",
-    "result_correctness_rate",
-    "unsafe_query_rate",
-    "abstention_rate",
-    "appropriate_abstention_rate",
-    "ceiling_reached_rate",
-    "mean_tool_calls",
-    "mean_cost_usd",
-    "p50_latency_ms",
-    "p95_latency_ms",
-)
-
 
 def appropriate_abstention(abstained: Column, expected_behavior: Column) -> Column:
     return abstained & F.coalesce(expected_behavior.isin(*NO_SQL_BEHAVIOURS), F.lit(False))
@@ -96,7 +81,7 @@ def scorecard(trajectories: DataFrame, by: Sequence[str] = ("agent_type",)) -> D
     def share(flag):
         return F.round(F.avg(F.when(flag, F.lit(1.0)).otherwise(F.lit(0.0))), 4)
 
-    counts = trajectories.groupBy(*by).agg(
+    aggregates = [
         F.count(F.lit(1)).alias("total_evaluations"),
         share(F.col("execution_success")).alias("execution_success_rate"),
         share(F.col("contract_compliant")).alias("contract_compliance_rate"),
@@ -107,15 +92,10 @@ def scorecard(trajectories: DataFrame, by: Sequence[str] = ("agent_type",)) -> D
         share(F.col("ceiling_reached")).alias("ceiling_reached_rate"),
         F.round(F.avg(F.size("tool_calls")), 2).alias("mean_tool_calls"),
         F.round(F.avg(F.coalesce("estimated_cost_usd", F.lit(0.0))), 4).alias("mean_cost_usd"),
-    )
-    latencies = exact_percentiles(
-        trajectories, "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}, by
-    )
-    return counts.join(latencies, list(by), "left").select(
-        *by,
-        *[c for c in SCORES if not c.endswith("_latency_ms")],
-        *[F.round(c, 2).alias(c) for c in SCORES if c.endswith("_latency_ms")],
-    )
+    ]
+    probabilities = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}
+    cards = aggregate_with_percentiles(trajectories, aggregates, "latency_ms", probabilities, by)
+    return cards.withColumns({p: F.round(p, 2) for p in probabilities})
 
 
 def lift(cards: DataFrame, weights: Mapping[str, float] = NET_BENEFIT_WEIGHTS, blind: str = "blind", governed: str = "governed") -> DataFrame:
@@ -198,20 +178,16 @@ def agent_report(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     def rate_of(flag):
         return pct(F.count_if(F.col(flag)), F.count(F.lit(1)))
 
-    rates = records.groupBy(*by).agg(
+    aggregates = [
         F.count(F.lit(1)).alias("total_evaluations"),
         rate_of("execution_success").alias("execution_success_pct"),
         rate_of("contract_compliant").alias("contract_compliance_pct"),
         rate_of("result_correct").alias("result_correctness_pct"),
         F.round(F.avg("latency_ms"), 2).alias("mean_ms"),
-    )
+    ]
     probabilities = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
-    latencies = exact_percentiles(records, "latency_ms", probabilities, by)
-    rounded = latencies.select(*by, *[F.round(p, 2).alias(p) for p in probabilities])
-    if by:
-        return rates.join(rounded, list(by), "left")
-    one = rounded.select(F.struct(*probabilities).alias("p")).scalar()
-    return rates.select("*", *[one.getField(p).alias(p) for p in probabilities])
+    report = aggregate_with_percentiles(records, aggregates, "latency_ms", probabilities, by)
+    return report.withColumns({p: F.round(p, 2) for p in probabilities})
 
 
 def redact(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

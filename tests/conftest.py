@@ -16,7 +16,9 @@ def spark():
         "tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            "spark.default.parallelism": "2",
+            "spark.sql.codegen.wholeStage": "false",
             "spark.driver.memory": "6g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
