@@ -10,6 +10,7 @@ from plumbline.operators import assertions as A
 from plumbline.operators import probes as P
 from plumbline.operators.suites import Suite, classify_schema_tests, run_suite
 from plumbline.sources.tables import read_table as t
+from plumbline.sources.tables import register
 
 SHOWN = ("name", "type", "passed", "skipped", "violations", "observed")
 
@@ -425,3 +426,43 @@ def pb_by_slice(spark, d):
         P.ImplicationProbe("events", "event_type", "purchase", "value", ">", 10, 0.9, 0.05),
     ]
     return P.run_probes(events, probes, by=["slice"]).select("slice", *ALERT_SHOWN)
+
+
+# --- absent columns and registered frames -----------------------------------------------------------
+
+
+@demo(
+    "prj_present",
+    """
+    SELECT name, type, TRUE AS passed, skipped, 0::BIGINT AS violations,
+           CASE WHEN skipped THEN NULL ELSE (SELECT count(l_tax) FROM lineitem) END::DOUBLE AS observed
+    FROM (VALUES ('accepted_range_l_tax', 'accepted_range', FALSE), ('accepted_range_tax_rate', 'accepted_range', TRUE),
+                 ('unique_order_id', 'unique', TRUE), ('not_null_order_id', 'not_null', TRUE)) v(name, type, skipped)
+    """,
+)
+def prj_present(spark, d):
+    return _run(
+        t(spark, d, "lineitem"),
+        A.AcceptedRange(column="l_tax", min_value=0),
+        A.AcceptedRange(column="tax_rate", min_value=0),
+        A.Unique(columns=("order_id",)),
+        A.NotNull(columns=("order_id",)),
+    )
+
+
+@demo(
+    "src_frame",
+    """
+    SELECT c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS spend
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+    """,
+)
+def src_frame(spark, d):
+    spent = t(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    register({"spent_per_customer": spent, "customers": t(spark, d, "customer")})
+    return spark.sql(
+        """
+        SELECT c_mktsegment, sum(n) AS orders, round(sum(total), 2) AS spend
+        FROM spent_per_customer JOIN customers ON o_custkey = c_custkey GROUP BY 1
+        """
+    )

@@ -113,12 +113,13 @@ def contract_rules(contracts: DataFrame) -> DataFrame:
 
 
 def _read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows and malformed lines; blank lines are skipped by the reader."""
+    """Good rows and malformed lines; blank lines are skipped."""
     with_bad = T.StructType.fromDDL(schema).add("_corrupt_record", "string")
-    lines = spark.read.schema(with_bad).option("mode", "PERMISSIVE").json(path)
-    good = lines.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = lines.where(F.col("_corrupt_record").isNotNull()).select(F.col("_corrupt_record").alias("line"))
-    return good, bad
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", with_bad, {"mode": "PERMISSIVE"}).alias("row"))
+    broken = F.col("row").isNull() | F.col("row._corrupt_record").isNotNull()
+    good = parsed.where(~broken).select("row.*").drop("_corrupt_record")
+    return good, parsed.where(broken).select(F.col("value").alias("line"))
 
 
 def read_trajectories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -139,4 +140,4 @@ def manifest_nodes(documents: DataFrame, content: str = "content") -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Nodes of a manifest file; the file is one document, so it is read whole."""
-    return manifest_nodes(spark.read.option("wholetext", True).text(path), "value")
+    return manifest_nodes(spark.read.text(path, wholetext=True), "value")
