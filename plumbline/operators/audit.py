@@ -35,6 +35,7 @@ EVENT_FIELDS = {
     "tool_name": "string",
 }
 SEGMENT = 256
+PLAIN_TEXT = r"^[ !#-\[\]-~]*$"  # printable ASCII without quote and backslash
 
 
 def _json_number(value: Column) -> Column:
@@ -43,12 +44,13 @@ def _json_number(value: Column) -> Column:
     return F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
 
 
-def _json_value(name: str, kind: str) -> Column:
-    value = F.col(name)
+def _json_value(value: Column, kind: str) -> Column:
     if kind == "string":
-        # the one-element array gives the escaping, its brackets are cut off
-        quoted = F.to_json(F.array(value))
-        text = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+        # Plain texts are quoted as they are.  For others the JSON writer does the
+        # escaping: a one-element array is written and its brackets are cut off.
+        written = F.to_json(F.array(value))
+        escaped = F.substring(written, F.lit(2), F.length(written) - 2)
+        text = F.when(value.rlike(PLAIN_TEXT), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(escaped)
     elif kind == "double":
         text = _json_number(value)
     else:
@@ -56,24 +58,24 @@ def _json_value(name: str, kind: str) -> Column:
     return F.coalesce(F.when(value.isNotNull(), text), F.lit("null"))
 
 
-def _canonical_parts() -> tuple[Column, Column]:
+def _canonical_parts(field=F.col) -> tuple[Column, Column]:
     """Canonical JSON before and after the value of ``previous_event_hash``."""
     before, after, passed = [], [], False
     for name, kind in EVENT_FIELDS.items():
         if name == "previous_event_hash":
             passed = True
             continue
-        piece = F.concat(F.lit(f'"{name}":'), _json_value(name, kind))
+        piece = F.concat(F.lit(f'"{name}":'), _json_value(field(name), kind))
         (after if passed else before).append(piece)
     head = F.concat(F.lit("{"), F.concat_ws(",", *before), F.lit(',"previous_event_hash":"'))
     tail = F.concat(F.lit('",'), F.concat_ws(",", *after), F.lit("}"))
     return head, tail
 
 
-def event_hash(previous: Column | None = None) -> Column:
+def event_hash() -> Column:
     """sha256 of the event's canonical JSON (sorted keys, no blanks), previous hash included."""
     head, tail = _canonical_parts()
-    return F.sha2(F.concat(head, F.col("previous_event_hash") if previous is None else previous, tail), 256)
+    return F.sha2(F.concat(head, F.col("previous_event_hash"), tail), 256)
 
 
 def anchor(tenant: Column, segment: Column) -> Column:
@@ -87,52 +89,46 @@ def _segment(size: int) -> Column:
     return F.expr(f"(sequence_num - 1) div {size}")
 
 
-def _fold(start: Column, items: Column, step) -> Column:
-    """Array of (sequence_num, previous, hash) along the sorted items of one segment."""
-    init = F.struct(
-        start.alias("last"),
-        F.array().cast("array<struct<sequence_num:bigint,previous:string,hash:string>>").alias("done"),
-    )
-
-    def merge(acc, item):
-        hashed = step(acc["last"], item)
-        link = F.struct(
-            item["sequence_num"].alias("sequence_num"), acc["last"].alias("previous"), hashed.alias("hash")
-        )
-        return F.struct(hashed.alias("last"), F.array_append(acc["done"], link).alias("done"))
-
-    return F.aggregate(items, init, merge, lambda acc: acc["done"])
-
-
 def build_chain(events: DataFrame, segment_size: int = SEGMENT) -> DataFrame:
     """Fill previous_event_hash and event_hash; sequence_num runs 1, 2, ... per tenant.
 
-    Each segment is folded on its own; it holds at most ``segment_size`` events
+    Whole events are gathered per segment and folded there, so they are shuffled
+    once and joined with nothing.  A segment holds at most ``segment_size`` events
     because sequence numbers are unique within a tenant.
     """
-    head, tail = _canonical_parts()
-    slim = events.select(
-        "tenant_id",
-        F.col("sequence_num").cast("bigint").alias("sequence_num"),
-        _segment(segment_size).alias("segment"),
-        head.alias("head"),
-        tail.alias("tail"),
+    bare = events.drop("previous_event_hash", "event_hash").withColumn(
+        "sequence_num", F.col("sequence_num").cast("bigint")
     )
-    grouped = slim.groupBy("tenant_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("sequence_num", "head", "tail"))).alias("items")
+    others = [c for c in bare.columns if c != "sequence_num"]
+    segments = (
+        bare.withColumn("__segment", _segment(segment_size))
+        .groupBy("tenant_id", "__segment")
+        .agg(F.array_sort(F.collect_list(F.struct("sequence_num", *others))).alias("events"))
+        .withColumn("start", anchor(F.col("tenant_id"), F.col("__segment")))
     )
-    step = lambda last, item: F.sha2(F.concat(item["head"], last, item["tail"]), 256)
-    folded = grouped.select(
-        "tenant_id", F.inline(_fold(anchor(F.col("tenant_id"), F.col("segment")), F.col("items"), step))
+
+    def parts(event):
+        head, tail = _canonical_parts(lambda name: event[name])
+        return F.struct(head.alias("head"), tail.alias("tail"))
+
+    def merge(hashes, item):
+        last = F.element_at(hashes, -1)
+        return F.array_append(hashes, F.sha2(F.concat(item["head"], last, item["tail"]), 256))
+
+    # start, hash of the first event, hash of the second event, ...
+    chained = segments.withColumn("parts", F.transform("events", parts)).withColumn(
+        "hashes", F.aggregate("parts", F.array("start"), merge)
     )
-    links = folded.select(
-        "tenant_id",
-        "sequence_num",
-        F.col("previous").alias("previous_event_hash"),
-        F.col("hash").alias("event_hash"),
+    linked = F.transform(
+        "events",
+        lambda event, i: F.struct(
+            event.alias("event"),
+            F.get("hashes", i).alias("previous_event_hash"),
+            F.get("hashes", i + 1).alias("event_hash"),
+        ),
     )
-    bare = events.drop("previous_event_hash", "event_hash")
-    return bare.join(links, ["tenant_id", "sequence_num"])
+    rows = chained.select(F.inline(linked))
+    return rows.select(*[F.col(f"event.{c}").alias(c) for c in bare.columns], "previous_event_hash", "event_hash")
 
 
 def segment_tails(chain: DataFrame, segment_size: int = SEGMENT) -> DataFrame:
@@ -163,54 +159,73 @@ def link_segments(tails: DataFrame, segment_size: int = SEGMENT, levels: int = 4
     )
 
 
+HEX = r"^[0-9a-f]{64}$"
+WORDS = 8
+
+
+def _words(digest: Column) -> list[Column]:
+    """A hex digest as numbers: fixed-width values keep the aggregate hash-based."""
+    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(WORDS)]
+
+
 def check_chain(log: DataFrame, segment_size: int | None = None) -> DataFrame:
     """Every position of the log with its ``problem``, NULL where it is sound.
 
     Each event is reported once as itself and once as the predecessor of the next
-    position; one aggregate with map-side combine brings the two together.
+    position; one hash aggregate with map-side combine brings the two together.
     ``segment_size=None`` verifies an unsegmented chain.
     """
+    number = F.col("sequence_num").cast("bigint")
+    start = number == 1
+    expected = F.when(start, F.lit(GENESIS))
+    if segment_size is not None:
+        opens = F.expr(f"(sequence_num - 1) % {segment_size}") == 0
+        expected = expected.when(opens, anchor(F.col("tenant_id"), _segment(segment_size)))
+        start = start | opens
+    zero = F.lit(0).cast("bigint")
+    previous = F.coalesce("previous_event_hash", F.lit(""))
     own = log.select(
         "tenant_id",
-        F.col("sequence_num").cast("bigint").alias("sequence_num"),
+        number.alias("sequence_num"),
         F.lit(1).alias("rows"),
+        F.lit(0).alias("before"),
+        start.alias("start"),
         (~event_hash().eqNullSafe(F.col("event_hash"))).alias("bad_hash"),
-        F.coalesce("previous_event_hash", F.lit("")).alias("previous"),
-        F.lit(None).cast("string").alias("before"),
+        (~previous.rlike(HEX) | (start & (previous != F.coalesce(expected, previous)))).alias("bad_link"),
+        *[F.coalesce(w, zero).alias(f"o{i}") for i, w in enumerate(_words(previous))],
+        *[zero.alias(f"p{i}") for i in range(WORDS)],
     )
     ahead = log.select(
         "tenant_id",
-        (F.col("sequence_num") + 1).cast("bigint").alias("sequence_num"),
+        (number + 1).alias("sequence_num"),
         F.lit(0).alias("rows"),
+        F.lit(1).alias("before"),
+        F.lit(False).alias("start"),
         F.lit(False).alias("bad_hash"),
-        F.lit(None).cast("string").alias("previous"),
-        F.coalesce("event_hash", F.lit("")).alias("before"),
+        F.lit(False).alias("bad_link"),
+        *[zero.alias(f"o{i}") for i in range(WORDS)],
+        *[F.coalesce(w, zero).alias(f"p{i}") for i, w in enumerate(_words(F.col("event_hash")))],
     )
     met = (
         own.unionByName(ahead)
         .groupBy("tenant_id", "sequence_num")
         .agg(
             F.sum("rows").alias("rows"),
-            F.bool_or("bad_hash").alias("bad_hash"),
-            F.min("previous").alias("previous"),
-            F.min("before").alias("before"),
-            F.max("before").alias("before_max"),
+            F.sum("before").alias("before"),
+            *[F.bool_or(flag).alias(flag) for flag in ("start", "bad_hash", "bad_link")],
+            *[F.sum(f"{side}{i}").alias(f"{side}{i}") for side in "op" for i in range(WORDS)],
         )
         .where(F.col("rows") > 0)
     )
-    first = F.col("sequence_num") == 1
-    expected = F.when(first, F.lit(GENESIS))
-    if segment_size is not None:
-        starts = F.expr(f"(sequence_num - 1) % {segment_size}") == 0
-        expected = expected.when(starts, anchor(F.col("tenant_id"), _segment(segment_size)))
-        first = first | starts
-    expected = expected.otherwise(F.col("before"))
+    # a repeated predecessor still has to carry one and the same hash
+    linked = F.lit(True)
+    for i in range(WORDS):
+        linked = linked & (F.col(f"o{i}") * F.col("before") == F.col(f"p{i}"))
     problem = (
         F.when(F.col("rows") > 1, "duplicate_sequence")
         .when(F.col("bad_hash"), "hash_mismatch")
-        .when(~first & F.col("before").isNull(), "missing_predecessor")
-        .when(F.col("previous") != expected, "broken_link")
-        .when(~first & (F.col("before") != F.col("before_max")), "broken_link")
+        .when(~F.col("start") & (F.col("before") == 0), "missing_predecessor")
+        .when(F.col("bad_link") | (~F.col("start") & ~linked), "broken_link")
     )
     return met.select("tenant_id", "sequence_num", "rows", problem.alias("problem"))
 

@@ -22,10 +22,20 @@ def key_counts(df: DataFrame, keys: Sequence[str], alias: str = "n") -> DataFram
 def orphan_keys(
     child: DataFrame, from_column: str, parent: DataFrame, to_column: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Child keys without a parent, with their row counts; NULL child keys are no orphans."""
+    """Child keys without a parent, with their row counts; NULL child keys are no orphans.
+
+    Child and parent keys are stacked and counted by key.  An anti join would be
+    moved below the count by the optimizer and drag the rows of a hot key along.
+    """
     rows = child.where(F.col(from_column).isNotNull()).select(*by, F.col(from_column).alias("key"))
-    keys = key_counts(rows, [*by, "key"], "child_rows")
-    return keys.join(parent.select(F.col(to_column).alias("key")), "key", "left_anti")
+    counted = key_counts(rows, [*by, "key"], "child_rows")
+    if by:
+        # the slices of a key are few; they meet the parent keys once they are counted
+        return counted.join(parent.select(F.col(to_column).alias("key")).distinct(), "key", "left_anti")
+    parents = parent.where(F.col(to_column).isNotNull()).select(F.col(to_column).alias("key"))
+    stacked = rows.withColumn("n", F.lit(1)).unionByName(parents.withColumn("n", F.lit(0)))
+    met = stacked.groupBy("key").agg(F.sum("n").alias("child_rows"), F.min("n").alias("lowest"))
+    return met.where(F.col("lowest") == 1).select("key", "child_rows")
 
 
 def joined_pairs(

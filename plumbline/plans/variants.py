@@ -166,8 +166,8 @@ def _keep(spec: MetricSpec) -> Column:
 def _same_grain(df: DataFrame, spec: MetricSpec, named: list[tuple[str, MetricSpec]]) -> DataFrame:
     """One scan, one aggregate for every spec in ``named``; long output."""
     if all(s.filters for _, s in named):
-        # rows no variant wants never reach the shuffle, and the filter reaches the scan
-        df = df.where(reduce(lambda a, b: a | b, [_keep(s) for _, s in named]))
+        # rows no variant wants never reach the shuffle, and what all variants share reaches the scan
+        df = df.where(reduce(lambda a, b: a | b, [s.population() for _, s in named]))
     # variants that share the population and a measure share the aggregate as well
     columns, slots, rows = [], {}, []
 
