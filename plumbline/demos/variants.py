@@ -138,4 +138,4 @@ def var_math_invert(spark, d):
     " UNION ALL ".join([NET_BASE, NET_FILTER_DROP, NET_BOUNDARY, NET_SWAP, NET_GRAIN, NET_INVERT]),
 )
 def var_all(spark, d):
-    return rounded(run_variants(NET_REVENUE, order_lines(spark, d)))
+    return rounded(run_variants(NET_REVENUE, order_lines(spark, d), store=True))

@@ -204,7 +204,7 @@ def format_sft(pairs: DataFrame, with_rationale: bool = False) -> DataFrame:
     return pairs.select(*columns)
 
 
-def format_rlhf(pairs: DataFrame, both: bool = False) -> DataFrame:
+def format_rlhf(pairs: DataFrame, both: bool = False, policy: str = REWARD_POLICY) -> DataFrame:
     """One rewarded response per pair, or with ``both`` the rejected one as well."""
     meta = _metadata("example_id", "contract_id", "difficulty", "evidence_hash").alias("metadata")
 
@@ -233,7 +233,7 @@ def format_rlhf(pairs: DataFrame, both: bool = False) -> DataFrame:
                 evidence["result_changed_vs_chosen"],
             )
         )
-    return pairs.select("prompt", F.inline(F.array(*responses)), F.lit(REWARD_POLICY).alias("reward_policy_version"), meta)
+    return pairs.select("prompt", F.inline(F.array(*responses)), F.lit(policy).alias("reward_policy_version"), meta)
 
 
 FORMATS = {"dpo": format_dpo, "sft": format_sft, "rlhf": format_rlhf}

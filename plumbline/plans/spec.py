@@ -6,7 +6,7 @@ hash aggregate, so parquet pushdown and map-side combine come from Catalyst.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -83,9 +83,13 @@ class Measure:
     terms: tuple[Term, ...]
 
     def aggregate(self, keep: Column | None = None) -> Column:
+        return self.combine(lambda term: term.aggregate(keep))
+
+    def combine(self, part_of: Callable[[Term], Column]) -> Column:
+        """The measure from the value of each of its terms."""
         total = None
         for term in self.terms:
-            part = term.aggregate(keep)
+            part = part_of(term)
             if total is None:
                 total = part if term.sign > 0 else -part
             else:
@@ -108,10 +112,10 @@ class Ratio:
     denominator: Term
 
     def aggregate(self, keep: Column | None = None) -> Column:
-        return F.try_divide(
-            self.numerator.aggregate(keep).cast("double"),
-            self.denominator.aggregate(keep).cast("double"),
-        )
+        return self.combine(lambda term: term.aggregate(keep))
+
+    def combine(self, part_of: Callable[[Term], Column]) -> Column:
+        return F.try_divide(part_of(self.numerator).cast("double"), part_of(self.denominator).cast("double"))
 
     def all_terms(self) -> tuple[Term, ...]:
         return (self.numerator, self.denominator)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.spec import Measure, MetricSpec, Predicate, Ratio, Term
+from plumbline.session import stored
 
 BASE = "BASE"
 
@@ -163,8 +164,15 @@ def _keep(spec: MetricSpec) -> Column:
     return F.coalesce(population, F.lit(False)) if population is not None else F.lit(True)
 
 
-def _same_grain(df: DataFrame, spec: MetricSpec, named: list[tuple[str, MetricSpec]]) -> DataFrame:
-    """One scan, one aggregate for every spec in ``named``; long output."""
+def _fused(
+    df: DataFrame, spec: MetricSpec, named: list[tuple[str, MetricSpec]], store: bool = False, coarse: bool = False
+) -> DataFrame:
+    """One scan, one aggregate for every spec in ``named``; long output.
+
+    With ``store`` the wide result, one row per group, is written to the shared
+    folder.  ``coarse`` then adds the variant without the last key, rolled up
+    from the stored terms of the base instead of a second scan.
+    """
     if all(s.filters for _, s in named):
         # rows no variant wants never reach the shuffle, and what all variants share reaches the scan
         df = df.where(reduce(lambda a, b: a | b, [s.population() for _, s in named]))
@@ -189,24 +197,54 @@ def _same_grain(df: DataFrame, spec: MetricSpec, named: list[tuple[str, MetricSp
                 *[F.col(v).cast("double").alias(a) for v, a in zip(values, s.measure_names, strict=True)],
             )
         )
+    partials = {}
+    if coarse:
+        keep = _keep(spec)
+        for term in _all_terms(spec):
+            kinds = ("sum", "count") if term.agg == "avg" else (term.agg,)
+            partials[term] = [slot(replace(term, agg=k).aggregate(keep), f"part|{k}|{term}") for k in kinds]
     wide = df.groupBy(*spec.dim_columns()).agg(*columns)
+    if store:
+        wide = stored(wide, f"variants-{spec.name}")
     long = wide.select(*spec.dim_names, F.inline(F.array(*rows)))
     if spec.dims:
         long = long.where(F.col("__hits") > 0)
-    return long.drop("__hits")
+    long = long.drop("__hits")
+    if coarse:
+        hits = slots["hits|" + " AND ".join(p.sql for p in spec.filters)]
+        rolled = _rolled_up(wide.where(F.col(hits) > 0), spec, partials)
+        long = long.unionByName(_without_last_key(rolled, spec, dict(wide.dtypes)[spec.dim_names[-1]]))
+    return long
+
+
+def _rolled_up(groups: DataFrame, spec: MetricSpec, partials: dict[Term, list[str]]) -> DataFrame:
+    """The metric without its last key, from the terms of the finer groups."""
+    def part_of(term: Term) -> Column:
+        columns = [F.col(c) for c in partials[term]]
+        if term.agg == "avg":
+            return F.try_divide(F.sum(columns[0]).cast("double"), F.sum(columns[1]).cast("double"))
+        if term.agg == "count":
+            return F.coalesce(F.sum(columns[0]), F.lit(0))
+        return {"sum": F.sum, "min": F.min, "max": F.max}[term.agg](columns[0])
+
+    measures = [m.combine(part_of).alias(m.alias) for m in spec.measures]
+    return groups.groupBy(*spec.dim_names[:-1]).agg(*measures)
+
+
+def _without_last_key(rows: DataFrame, spec: MetricSpec, kind: str) -> DataFrame:
+    """Rows of the coarser grain in the layout of the finer one; the lost key is NULL."""
+    return rows.select(
+        *spec.dim_names[:-1],
+        F.lit(None).cast(kind).alias(spec.dim_names[-1]),
+        F.lit("GRAIN_DROP").alias("variant"),
+        *[F.col(a).cast("double").alias(a) for a in spec.measure_names],
+    )
 
 
 def _coarser(df: DataFrame, spec: MetricSpec, dropped: MetricSpec) -> DataFrame:
-    """The metric at the grain that lost its last key; that key comes back as NULL."""
-    lost = spec.dim_names[-1]
-    kind = dict(df.select(*spec.dim_columns()).dtypes)[lost]
-    values = [F.col(a).cast("double").alias(a) for a in spec.measure_names]
-    return dropped.run(df).select(
-        *dropped.dim_names,
-        F.lit(None).cast(kind).alias(lost),
-        F.lit("GRAIN_DROP").alias("variant"),
-        *values,
-    )
+    """The metric at the grain that lost its last key, from a scan of its own."""
+    kind = dict(df.select(*spec.dim_columns()).dtypes)[spec.dim_names[-1]]
+    return _without_last_key(dropped.run(df), spec, kind)
 
 
 def scale_fanout(base: DataFrame, spec: MetricSpec, other_side: DataFrame) -> DataFrame:
@@ -236,19 +274,26 @@ def _grows(term: Term) -> bool:
     return term.agg in ("sum", "count") and not term.distinct
 
 
-def run_variants(spec: MetricSpec, df: DataFrame, other_side: DataFrame | None = None) -> DataFrame:
+def run_variants(
+    spec: MetricSpec, df: DataFrame, other_side: DataFrame | None = None, store: bool = False
+) -> DataFrame:
     """Base and every applicable variant, long: grain keys, ``variant``, measures.
 
     ``df`` is the joined source.  ``other_side`` is the table whose join condition
     may be lost; with it the fan-out variant is added in closed form.  For that
     variant ``df`` must hold one row per row of the side that feeds the metric.
+    ``store`` keeps the fused result in the shared folder, so that the coarser
+    variant and later readers cost no second scan of the source.
     """
     variants = derive(spec, df, with_fanout=other_side is not None)
     runnable = [v for v in variants if v.error is None]
     same = [(BASE, spec)] + [(v.fault, v.spec) for v in runnable if v.fault != "GRAIN_DROP" and not v.fanout]
-    result = _same_grain(df, spec, same)
+    drops_grain = any(v.fault == "GRAIN_DROP" for v in runnable)
+    # distinct counts of finer groups do not add up
+    rolls_up = store and drops_grain and not any(t.distinct for t in _all_terms(spec))
+    result = _fused(df, spec, same, store, rolls_up)
     for variant in runnable:
-        if variant.fault == "GRAIN_DROP":
+        if variant.fault == "GRAIN_DROP" and not rolls_up:
             result = result.unionByName(_coarser(df, spec, variant.spec))
         elif variant.fanout:
             base = result.where(F.col("variant") == BASE)
@@ -265,8 +310,8 @@ def run_one(spec: MetricSpec, df: DataFrame, fault: str) -> DataFrame:
     if found[0].error:
         raise ValueError(f"{fault} on {spec.name}: {found[0].error}")
     if fault == "GRAIN_DROP":
-        return _same_grain(df, spec, [(BASE, spec)]).unionByName(_coarser(df, spec, found[0].spec))
-    return _same_grain(df, spec, [(BASE, spec), (fault, found[0].spec)])
+        return _fused(df, spec, [(BASE, spec)]).unionByName(_coarser(df, spec, found[0].spec))
+    return _fused(df, spec, [(BASE, spec), (fault, found[0].spec)])
 
 
 __all__ = ["BASE", "FAULTS", "Predicate", "Variant", "derive", "run_one", "run_variants", "scale_fanout"]

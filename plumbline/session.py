@@ -33,15 +33,19 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
     Only a session without the setting (a local test) gets a temporary folder.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    global _local_dir
+    folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
+        _local_dir = _local_dir or tempfile.mkdtemp(prefix="plumbline-")
+        folder = _local_dir
     return folder.rstrip("/")
 
 

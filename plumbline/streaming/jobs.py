@@ -93,10 +93,14 @@ def suite_per_batch(
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        results = run_suite(batch, suite, tables() if tables else None)
-        results.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{target}/data/batch={batch_id:012d}"
-        )
+        batch.persist()  # read once for all assertions of the suite
+        try:
+            results = run_suite(batch, suite, tables() if tables else None)
+            results.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+                f"{target}/data/batch={batch_id:012d}"
+            )
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(check)
