@@ -119,7 +119,7 @@ def naive_pairs(spark):
             lambda: run_suite(target(), suite, tables()),
         ),
         "probes": (lambda: [P.run_probes(lines(), [p]) for p in probes], lambda: P.run_probes(lines(), probes)),
-        "variants": (each_variant, lambda: run_variants(metrics.NET_REVENUE, source())),
+        "variants": (each_variant, lambda: run_variants(metrics.NET_REVENUE, source(), store=True)),
     }
 
 

@@ -15,6 +15,7 @@ from plumbline.operators.percentiles import aggregate_with_percentiles
 from plumbline.operators.suites import Suite, run_suite
 from plumbline.plans.spec import MetricSpec
 from plumbline.plans.variants import BASE, derive, run_variants
+from plumbline.session import stored
 
 # Outcome of one variant under one suite.
 EQUIVALENT = "EQUIVALENT_ON_FIXTURE"
@@ -298,16 +299,16 @@ def kill_matrix(
 ) -> DataFrame:
     """Every variant under every suite: how it differs and which assertions noticed.
 
-    One scan computes base and all variants.  That result, which has one row per
-    group, is stored in the shared folder of the cluster; each suite then runs
-    once over it, sliced by variant.
+    One scan of the source computes base and all variants.  The result, one row
+    per group and variant, is stored in the shared folder of the cluster; each
+    suite then runs once over it, sliced by variant.
     ``strict`` takes any differing row as a change; otherwise only the totals are
     compared, which overlooks permuted values.
     """
     spark = df.sparkSession
     variants = derive(spec, df)
     runnable = [v.fault for v in variants if v.error is None]
-    long = run_variants(spec, df, store=True)
+    long = stored(run_variants(spec, df, store=True), f"long-variants-{spec.name}")
     diffs = _variant_diffs(long, spec, runnable)
     equivalent = (F.col("differing_rows") == 0) if strict else F.col("equal_total")
     diffs = diffs.withColumn("equivalent", equivalent).withColumn("runtime_error", F.lit(False))
