@@ -97,7 +97,7 @@ TAMPER = f"""
     "au_chain_verify",
     f"""
     WITH RECURSIVE {TAMPER}
-    SELECT 'tenant_' || tn AS tenant_id, seq AS sequence_num, CASE WHEN seq % 109 = 0 THEN 2 ELSE 1 END AS rows, problem FROM problems WHERE problem IS NOT NULL
+    SELECT 'tenant_' || tn AS tenant_id, seq AS sequence_num, CASE WHEN seq % 109 = 0 THEN 2 ELSE 1 END::BIGINT AS rows, problem FROM problems WHERE problem IS NOT NULL
     """,
 )
 def au_chain_verify(spark, d):

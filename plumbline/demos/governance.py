@@ -564,7 +564,7 @@ def src_csv(spark, d):
 @demo(
     "src_contracts",
     """
-    SELECT 'metric_' || p_partkey AS metric_id, 'status = ''' || lower(p_type) || '''' AS required_filters, p_size % 3 AS n_dimensions,
+    SELECT 'metric_' || p_partkey AS metric_id, 'status = ''' || lower(p_type) || '''' AS required_filters, (p_size % 3)::BIGINT AS n_dimensions,
            CASE WHEN p_size % 2 = 0 THEN 'SUM' END AS required_function
     FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 10 <> 0
     """,
