@@ -2,8 +2,51 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, url_rules
-from plumbline.llm.common import read
+from pyspark.sql import functions as F
+
+from plumbline.llm import byte_bpe, exact_dedup, quality, token_counts, url_rules
+from plumbline.llm.common import fold, read
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    model = quality.fit_quality(docs, labels)
+    scored = quality.score_text(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op6_token_counts(spark, sf_dir):
+    counts = token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
+def bpe_digests(docs):
+    """n_tokens, ids_sha256 and decoded_sha256 of each row's ids and bytes."""
+    import public_tokenizers
+
+    done = byte_bpe.encode_and_decode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_byte_bpe(spark, sf_dir):
+    return bpe_digests(read(spark, sf_dir, "documents"))
 
 
 def op9_url_rules(spark, sf_dir):
@@ -14,6 +57,6 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_url_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
 
 ORACLES = {"op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
