@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import slices, utf8
 
 SAMPLE, BLOCKS, BLOCK = 3000, 24, 512
-DICTIONARY_BYTES, LEVEL = 256 << 10, 3
+DICTIONARY_BYTES, LEVEL = 512 << 10, 3
 THRESHOLD = 0.7
 
 

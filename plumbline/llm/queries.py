@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, exact_dedup, quality, token_counts, url_rules
+from plumbline.llm import byte_bpe, decontaminate, exact_dedup, quality, token_counts, url_rules
 from plumbline.llm.common import fold, read
 
 
@@ -14,6 +14,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.hit_words("spans").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op5_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
@@ -57,6 +69,6 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
 
-ORACLES = {"op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op3_decontaminate": decontaminate.SQL, "op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
