@@ -146,9 +146,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
     return QualityModel(dictionaries, fit_curve(x, np.array([r["quality"] for r in seen], float)))
 
 
-def score_text(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with a column ``score``; a column of that name is replaced."""
-    docs = docs.drop("score")
+def score_text(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """``docs`` with the score as a column ``name``; a column of that name is replaced."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES at most
 
     def run(batches):
@@ -159,7 +159,7 @@ def score_text(docs: DataFrame, model: QualityModel) -> DataFrame:
             for text in utf8(batch):
                 bad, good = compressed_sizes(text, tools) if tools else (0, 0)
                 scores.append(own.score(bad, good, len(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
     return docs.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontaminate, exact_dedup, quality, token_counts, url_rules
+from plumbline.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, quality, token_counts, url_rules
 from plumbline.llm.common import fold, read
 
 
@@ -26,6 +26,10 @@ def op3_decontaminate(spark, sf_dir):
     )
 
 
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
@@ -69,6 +73,6 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
 
-ORACLES = {"op3_decontaminate": decontaminate.SQL, "op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op3_decontaminate": decontaminate.SQL, "op4_near_dedup": near_dedup.SQL, "op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
