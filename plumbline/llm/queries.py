@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, quality, token_counts, url_rules
+from plumbline.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, quality, substring_dedup, token_counts, url_rules
 from plumbline.llm.common import fold, read
 
 
@@ -14,6 +14,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark, sf_dir):
+    done = substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return done.select(
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -73,6 +81,6 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
 
 ORACLES = {"op3_decontaminate": decontaminate.SQL, "op4_near_dedup": near_dedup.SQL, "op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
