@@ -8,7 +8,7 @@ piece of text, keyed by that hash, so equal strings always meet under one key:
    bit filter of bounded size, which lets some unique pieces pass but loses none.
 2. Marked pieces are stored. Of pieces with the same bytes only the first can hold
    anything new: the others are covered from end to end.
-3. Keys with different pieces (or a piece so long that it may repeat itself)
+3. Keys with different pieces (or a piece in which the key's string occurs again)
    go to tasks in collections of bounded size. A collection is split into shards,
    each shard gets its Burrows-Wheeler transform, and the transforms are merged by
    interleave refinement (``bwt``). Blocks of suffixes with LENGTH equal symbols
@@ -48,10 +48,10 @@ _LAST = (1 << 63) - 1
 _STEP = 1 << 16
 
 
-def least_hashes(data: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """For each start the least hash of the ``gram``-byte strings inside the ``length`` bytes from there."""
+def least_hashes(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start the least hash of the ``gram``-byte strings inside the ``length`` bytes from there; whether the first has it."""
     n, width = len(data) - length + 1, length - gram + 1
-    out = np.empty(max(0, n), np.uint64)
+    out, leads = np.empty(max(0, n), np.uint64), np.empty(max(0, n), bool)
     for lo in range(0, n, _STEP):
         part = data[lo : lo + _STEP + length - 1].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         h, base, size, done = part, 0x9E3779B97F4A7C15, 1, None
@@ -75,18 +75,22 @@ def least_hashes(data: np.ndarray, length: int, gram: int) -> np.ndarray:
         forward = np.minimum.accumulate(rows, axis=1).ravel()
         backward = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         out[lo : lo + m] = np.minimum(backward[:m], forward[width - 1 : width - 1 + m])
-    return out
+        leads[lo : lo + m] = h[:m] == out[lo : lo + m]
+    return out, leads
 
 
 def pieces(texts: list[bytes], length: int, gram: int):
-    """(keys, starts, sizes, text of each piece, offset of each text, all bytes); sizes: strings that start in a piece."""
+    """(keys, starts, sizes, loops, text of each piece, offset of each text, all bytes); sizes: strings that start in a piece.
+
+    loops: the key's string occurs again in the piece, without which no two strings of it can be equal.
+    """
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none, offsets, data
-    least = least_hashes(data, length, gram)
+        return none.astype(np.uint64), none, none, none.astype(bool), none, offsets, data
+    least, leads = least_hashes(data, length, gram)
     edges = np.zeros(len(least) + 2, np.int32)
     long = sizes >= length
     np.add.at(edges, offsets[long], 1)
@@ -102,17 +106,16 @@ def pieces(texts: list[bytes], length: int, gram: int):
         owner = np.repeat(np.arange(len(run)), parts)
         inner = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN
         starts, run, keys = starts[owner] + inner, np.minimum(RUN, run[owner] - inner), keys[owner]
-    return keys, starts, run, np.searchsorted(offsets, starts, "right") - 1, offsets, data
+    again = np.concatenate([[0], np.cumsum(leads[:-1] & same[1:] & valid[1:]), [0]])
+    loops = again[starts + run - 1] > again[starts]
+    return keys, starts, run, loops, np.searchsorted(offsets, starts, "right") - 1, offsets, data
 
 
 def _counted(length: int, gram: int):
-    width = length - gram + 1
-
     def run(batches):
         for batch in slices(batches):
-            keys, _, sizes, *_ = pieces(utf8(batch), length, gram)
-            # A run of more strings than one gram can reach has its key twice and may repeat itself.
-            keys, n = np.unique(np.concatenate([keys, keys[sizes > width]]), return_counts=True)
+            keys, _, _, loops, *_ = pieces(utf8(batch), length, gram)
+            keys, n = np.unique(np.concatenate([keys, keys[loops]]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
     return run
@@ -123,10 +126,10 @@ def _marked(shared, length: int, gram: int):
         bits = shared.value
         mask = np.uint64(len(bits) * 64 - 1)
         for batch in slices(batches):
-            keys, starts, sizes, owner, offsets, data = pieces(utf8(batch), length, gram)
+            keys, starts, sizes, loops, owner, offsets, data = pieces(utf8(batch), length, gram)
             at = keys & mask
             hit = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
-            keys, starts, sizes, owner = keys[hit], starts[hit], sizes[hit], owner[hit]
+            keys, starts, sizes, loops, owner = keys[hit], starts[hit], sizes[hit], loops[hit], owner[hit]
             raw = data.tobytes()
             found = [raw[s : s + n + length - 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
             doc, text_id = (batch.column(c).to_numpy()[owner] for c in ("doc", "text_id"))
@@ -137,9 +140,10 @@ def _marked(shared, length: int, gram: int):
                     pa.array(doc, pa.int64()),
                     pa.array(text_id, pa.int64()),
                     pa.array(starts - offsets[owner], pa.int64()),
+                    pa.array(loops),
                     pa.array(found, pa.binary()),
                 ],
-                names=["key", "form", "doc", "text_id", "start", "piece"],
+                names=["key", "form", "doc", "text_id", "start", "loops", "piece"],
             )
 
     return run
@@ -218,15 +222,14 @@ def _repeats(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc, text_id, spans (bytes, end exclusive; may overlap) to be removed from ``docs`` (doc, text_id, text)."""
-    width = length - gram + 1
     counts = docs.select("text").mapInArrow(_counted(length, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     twice = keep(counts.filter("n > 1").select("key"), "keys")
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(twice))  # MOST_BITS at most
-    marked = docs.mapInArrow(_marked(shared, length, gram), "key long, form long, doc long, text_id long, start long, piece binary")
+    marked = docs.mapInArrow(_marked(shared, length, gram), "key long, form long, doc long, text_id long, start long, loops boolean, piece binary")
     marked = keep(marked.withColumn("size", F.length("piece").cast("long")), "pieces")
 
     place = F.struct("doc", "text_id", "start")
-    first = keep(marked.groupBy("key", "form").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.count("*").alias("n")), "forms")
+    first = keep(marked.groupBy("key", "form").agg(F.min(place).alias("first"), F.max("loops").alias("loops"), F.count("*").alias("n")), "forms")
     copies = (
         marked.select("key", "form", "doc", "text_id", "start", "size")
         .join(first.filter("n > 1").select("key", "form", "first"), ["key", "form"])
@@ -234,8 +237,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
         .select("doc", "text_id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
     )
 
-    mixed = first.groupBy("key").agg(F.count("*").alias("forms"), F.max("size").alias("longest"))
-    mixed = mixed.filter((F.col("forms") > 1) | (F.col("longest") > width + length - 1)).select("key", (F.col("forms") > crowd).alias("crowded"))
+    mixed = first.groupBy("key").agg(F.count("*").alias("forms"), F.max("loops").alias("loops"))
+    mixed = mixed.filter((F.col("forms") > 1) | F.col("loops")).select("key", (F.col("forms") > crowd).alias("crowded"))
     chosen = first.join(mixed, "key").select("key", "form", "crowded", F.col("first.*"))
     held = marked.join(chosen, ["key", "form", "doc", "text_id", "start"]).dropDuplicates(["key", "form"])
     held = keep(held.select("key", "crowded", "doc", "text_id", "start", "piece", "size"), "held")
