@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, quality, substring_dedup, token_counts, url_rules
+from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_score, near_dedup, quality, substring_dedup, token_counts, url_rules
 from plumbline.llm.common import fold, read
 
 
@@ -22,6 +22,10 @@ def op1_substring_dedup(spark, sf_dir):
     )
 
 
+def op2_lm_score(spark, sf_dir):
+    return lm_score.lm_scores(read(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op3_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -81,6 +85,6 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
 
 ORACLES = {"op3_decontaminate": decontaminate.SQL, "op4_near_dedup": near_dedup.SQL, "op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
