@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_score, near_dedup, quality, substring_dedup, token_counts, url_rules
+from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_score, near_dedup, pii, quality, substring_dedup, token_counts, url_rules
 from plumbline.llm.common import fold, read
 
 
@@ -77,6 +77,14 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark, sf_dir):
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    text = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",") for c in ("base", "spans")}
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *count, F.sha2(text["base"], 256).alias("base_sha256"), text["spans"].alias("spans"))
+
+
 def op9_url_rules(spark, sf_dir):
     return url_rules.url_verdicts(read(spark, sf_dir, "pages"))
 
@@ -85,6 +93,6 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op9_url_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op8_pii, op9_url_rules, op10_exact_dedup)}
 
 ORACLES = {"op3_decontaminate": decontaminate.SQL, "op4_near_dedup": near_dedup.SQL, "op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}

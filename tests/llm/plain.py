@@ -56,3 +56,20 @@ def word_scores(train, texts):
 
 def fold(doc_id, modulus):
     return zlib.crc32(str(doc_id).encode()) % modulus
+
+
+def base_spans(text):
+    """The base patterns as they are written, one after the other."""
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else (2 * int(c)) // 10 + (2 * int(c)) % 10 for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def digits(s):
+        return re.sub("[^0-9]", "", s)
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, valid in kinds for m in re.finditer(p, text) if valid(m.group())]
