@@ -92,12 +92,15 @@ _PUNCTUATION = ".,;:!?\"'"
 
 
 def token_type(token: str) -> str:
-    """The cue word itself, or the shape: letters as x, digits as their number, other signs as they are."""
+    """The cue word itself, or the shape: letters as x, digits as their number, signs inside as they are; empty beside a text's outer blanks."""
+    if not token:
+        return EDGE
     low = token.lower().rstrip(",;!?") if len(token) < 12 else ""
     if low in CUES:
         return low
     if token.isalpha():
         return "x"
+    token = token.strip(_PUNCTUATION) or token
     if len(token) > 80:
         return "long" + ("d" if _DIGIT.search(token) else "") + ("@" if "@" in token else "")
     out, i, n = [], 0, len(token)
