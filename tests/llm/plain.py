@@ -73,3 +73,41 @@ def base_spans(text):
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
     ]
     return [(k, m.start(), m.end()) for k, p, valid in kinds for m in re.finditer(p, text) if valid(m.group())]
+
+
+def shingles(text, size=5):
+    """Distinct shingles of a UTF-8 text."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.lower())
+    if not words:
+        return set()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def near_groups(rows, percent, size=5):
+    """(doc_id, shingles, smallest doc_id of the component, kept); rows: (doc_id, UTF-8 text), ids may be null."""
+    sets = [shingles(t, size) for _, t in rows]
+    comp = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                old, new = comp[i], comp[j]
+                comp = [new if c == old else c for c in comp]
+    out = []
+    for i, (doc_id, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if comp[j] == comp[i] and rows[j][0] is not None]
+        smallest = (min(ids) if ids else None) if sets[i] else doc_id
+        out.append((doc_id, len(sets[i]), smallest, doc_id is not None and doc_id == smallest))
+    return sorted(out, key=repr)
+
+
+def exact_groups(rows):
+    """(doc_id, keep_id, group size, kept); rows: (doc_id, UTF-8 text); of repeated rows one is kept."""
+    groups = defaultdict(list)
+    for i, (doc_id, text) in enumerate(rows):
+        groups[re.sub(rb"[\x20\x09-\x0D]+", b" ", text)].append((doc_id is None, doc_id, i))
+    out = []
+    for members in groups.values():
+        first = min(members, key=lambda m: (m[0], m[1] or 0, m[2]))
+        out += [(m[1], first[1], len(members), m is first) for m in members]
+    return sorted(out, key=repr)
