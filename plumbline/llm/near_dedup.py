@@ -12,9 +12,12 @@ a chance of at most MISS; more similar pairs are missed far less often.
 
 Candidates in a bucket are verified on the full sets against one pivot of the
 bucket, and components are formed from the links. Buckets that then still hold
-several components get another pivot, until a round finds no new link. Only
-pairs across the components left in a bucket are then verified one by one, so
-no link that a bucket holds is lost and no group is paired with itself.
+several components get another pivot, until a round finds no new link.
+Pairs across the components that are left come from prefix filtering: with the
+shingles of every set in one order, rare ones first, two sets that are similar
+enough share a shingle among the first few of both, at places that leave room
+for the overlap they need. That filter is exact, so no link that a bucket holds
+is lost, and sets that differ in rare shingles never meet.
 
 Texts with fewer words than WORDS have their whole word sequence as one
 shingle. Null, empty and blank texts have an empty set and are linked with
@@ -38,6 +41,8 @@ from plumbline.llm.common import keep, slices, utf8, with_row
 from plumbline.llm.components import components
 
 WORDS, HALF, MISS = 5, 2, 1e-5
+#: Cells of the counts by which shingles are ordered; only the order's quality depends on them.
+SKETCH = 1 << 17
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CACHE = 400_000
@@ -179,13 +184,53 @@ def linked_components(classes: DataFrame, sets: DataFrame, buckets: DataFrame, p
         turn += 1
     # What is left: pairs across the components that still share a bucket.
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    rest = keep(placed.join(mixed, "key", "left_semi"), "rest")
-    one = rest.withColumnsRenamed({"node": "a", "n": "na", "comp": "ca"})
-    two = rest.withColumnsRenamed({"node": "b", "n": "nb", "comp": "cb"})
-    _, _, links, new = _verified(one.join(two, "key").filter("ca < cb").filter(fits), sets, percent, done, links)
+    rest = placed.join(mixed, "key", "left_semi").select("node", "comp").distinct()
+    rest = keep(sets.join(rest, "node"), "rest")
+    _, _, links, new = _verified(prefix_pairs(rest, percent), sets, percent, done, links)
     return keep(components(links), "comp") if new else comp if comp is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def _rarity(batches):
+    seen = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        seen += np.bincount(batch.column("shingles").flatten().to_numpy().view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["cell", "n"])
+
+
+def _prefixes(shared, percent: int):
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            columns = [[] for _ in range(5)]
+            for node, comp, shingles in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "shingles")), strict=True):
+                own = np.array(shingles, np.int64)
+                n = len(own)
+                order = np.lexsort((own, counts[own.view(np.uint64) % np.uint64(SKETCH)]))
+                # The larger set of a pair shares percent of its own size, the smaller one 2 p / (100 + p) of its own, at least.
+                own = own[order[: n + (-percent * n) // 100 + 1]]
+                for column, values in zip(columns, (own, [node] * len(own), [comp] * len(own), [n] * len(own), np.arange(len(own))), strict=True):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shingle", "node", "comp", "n", "place"])
+
+    return run
+
+
+def prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``rest`` (node, comp, shingles) in different components that can be similar enough, and few others."""
+    cells = rest.mapInArrow(_rarity, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SKETCH, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    shared = rest.sparkSession.sparkContext.broadcast(counts)  # SKETCH numbers
+    heads = keep(rest.mapInArrow(_prefixes(shared, percent), "shingle long, node long, comp long, n long, place long"), "prefixes")
+    larger = heads.withColumnsRenamed({"node": "a", "comp": "ca", "n": "na", "place": "pa"})
+    smaller = heads.withColumnsRenamed({"node": "b", "comp": "cb", "n": "nb", "place": "pb"})
+    smaller = smaller.filter((F.col("nb") - F.col("pb")) * (100 + percent) >= 2 * percent * F.col("nb"))
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    fits = (F.col("nb") <= F.col("na")) & (F.col("nb") * 100 >= F.col("na") * percent)
+    return larger.join(smaller, "shingle").filter((F.col("ca") != F.col("cb")) & fits & room)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, done: DataFrame | None, links: DataFrame | None):
     """(new pairs, all pairs tried, all links, new links) after verifying the pairs that were not tried before."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
