@@ -53,17 +53,23 @@ def au_segment_tails(spark, d):
     return AU.segment_tails(_chain(spark, d), SEGMENT)
 
 
-def _roots_sql():
-    """Each level folds up to a segment's worth of hashes of the level below."""
-    levels, below = [], "(SELECT tn, seg AS place, arg_max(hash, seq) AS h FROM chain GROUP BY tn, seg)"
+def _roots_ctes(tails, key="tn", tenant="'tenant_' || tn"):
+    """Each level folds up to a segment's worth of hashes of the level below, until one is left."""
+    levels, below = [], f"(SELECT t.*, max(place) OVER (PARTITION BY {key}) AS last FROM ({tails}) t)"
     for level in range(4):
-        start = f"sha256('level:{level}:tenant_' || tn || ':' || (place // {SEGMENT}))"
+        start = f"sha256('level:{level}:' || {tenant} || ':' || (place // {SEGMENT}))"
+        fold = f"list_reduce(list_prepend(any_value({start}), list(h ORDER BY place)), lambda a, b: sha256(a || b))"
         levels.append(
-            f"l{level} AS (SELECT tn, place // {SEGMENT} AS place, list_reduce(list_prepend(any_value({start}), list(h ORDER BY place)), "
-            f"lambda a, b: sha256(a || b)) AS h FROM {below} GROUP BY tn, place // {SEGMENT})"
+            f"l{level} AS (SELECT {key}, last // {SEGMENT} AS last, place // {SEGMENT} AS place, CASE WHEN last > 0 OR {level} = 0 THEN {fold} ELSE any_value(h) END AS h "
+            f"FROM {below} GROUP BY {key}, last, place // {SEGMENT})"
         )
         below = f"l{level}"
-    return f"WITH RECURSIVE {CHAIN}, {', '.join(levels)} SELECT 'tenant_' || tn AS tenant_id, h AS root_hash, 1::BIGINT AS roots FROM l3"
+    return ", ".join(levels)
+
+
+def _roots_sql():
+    tails = "SELECT tn, seg AS place, arg_max(hash, seq) AS h FROM chain GROUP BY tn, seg"
+    return f"WITH RECURSIVE {CHAIN}, {_roots_ctes(tails)} SELECT 'tenant_' || tn AS tenant_id, h AS root_hash, 1::BIGINT AS roots FROM l3"
 
 
 @demo("au_segment_roots", _roots_sql())
@@ -89,7 +95,7 @@ TAMPER = f"""
     kept AS (SELECT * FROM chain WHERE seq % 107 <> 0),
     problems AS (
       SELECT k.tn, k.seq, CASE WHEN k.seq % 109 = 0 THEN 'duplicate_sequence' WHEN k.seq % 101 = 0 AND k.seq % 103 <> 0 THEN 'hash_mismatch'
-             WHEN k.pos = 0 THEN NULL WHEN p.seq IS NULL THEN 'missing_predecessor' WHEN p.seq % 103 = 0 THEN 'broken_link' END AS problem
+             WHEN k.seq <> 1 AND p.seq IS NULL THEN 'missing_predecessor' WHEN k.pos <> 0 AND p.seq % 103 = 0 THEN 'broken_link' END AS problem
       FROM kept k LEFT JOIN kept p ON p.tn = k.tn AND p.seq = k.seq - 1)"""
 
 
@@ -104,37 +110,91 @@ def au_chain_verify(spark, d):
     return AU.verify_chain(_tampered(spark, d), SEGMENT)
 
 
+# Two checkpoints for each tenant: one early, one at the end of the log.
+EARLY = 50
+CHECKPOINTS = f"""
+    ends AS (SELECT tn, min(e) AS e FROM (SELECT tn, max(seq) AS e FROM chain GROUP BY tn UNION ALL SELECT tn, {EARLY} FROM chain) GROUP BY tn
+             UNION SELECT tn, max(seq) FROM chain GROUP BY tn),
+    cps AS (SELECT c.tn, e, arg_max(hash, seq) AS h, count(*) AS n FROM ends JOIN chain c ON c.tn = ends.tn AND c.seq <= e GROUP BY c.tn, e)"""
+
+
+def _checkpoints(chain):
+    early = AU.checkpoint(chain.where(F.col("sequence_num") <= EARLY), 1767225600.0, "key-1", SEGMENT)
+    return AU.sign_checkpoints(early.unionByName(AU.checkpoint(chain, 1767225600.0, "key-1", SEGMENT)).distinct(), "demo key")
+
+
 @demo(
     "au_checkpoint",
     f"""
-    WITH RECURSIVE {TAMPER},
-    cps AS (SELECT tn, max(seq) AS e, arg_max(hash, seq) AS h, count(*) AS n FROM chain WHERE seq % 2 = 1 GROUP BY 1),
-    bad AS (SELECT tn, count(*) AS b FROM problems WHERE problem IS NOT NULL GROUP BY 1)
+    WITH RECURSIVE {TAMPER}, {CHECKPOINTS},
+    held AS (SELECT c.tn, e, sum(CASE WHEN k.seq % 109 = 0 THEN 2 ELSE 1 END) AS rows,
+                    count(*) FILTER (k.seq % 103 = 0) AS changed, count(*) FILTER (k.seq = e AND k.seq % 109 <> 0 AND k.seq % 103 <> 0) AS there
+             FROM cps c JOIN kept k ON k.tn = c.tn AND k.seq <= e GROUP BY c.tn, e),
+    bad AS (SELECT c.tn, e, count(*) AS b FROM cps c JOIN problems p ON p.tn = c.tn AND seq <= e WHERE problem IS NOT NULL GROUP BY c.tn, e)
     SELECT 'cp-tenant_' || c.tn || '-' || e AS checkpoint_id, e AS sequence_end, n AS total_events, h AS last_event_hash,
-           (SELECT count(*) FROM kept k WHERE k.tn = c.tn AND k.seq = c.e AND k.seq % 109 <> 0 AND (k.seq % 103 <> 0)) = 1 AS anchored,
-           b IS NULL AS chain_ok, FALSE AS valid
-    FROM cps c LEFT JOIN bad USING (tn)
+           there = 1 AS anchored, rows = n AS complete, b IS NULL AS chain_ok, there = 1 AND rows = n AND b IS NULL AS valid
+    FROM cps c LEFT JOIN bad USING (tn, e) LEFT JOIN held USING (tn, e)
     """,
 )
 def au_checkpoint(spark, d):
-    taken = AU.checkpoint(_chain(spark, d).where("sequence_num % 2 = 1"), 1767225600.0, "key-1")
-    checked = AU.verify_checkpoints(_tampered(spark, d), taken, segment_size=SEGMENT)
+    taken = _checkpoints(stored(_chain(spark, d), "audit-chain"))
+    checked = AU.verify_checkpoints(_tampered(spark, d), taken, "demo key", SEGMENT)
     return checked.select(
-        "checkpoint_id", "sequence_end", "total_events", "last_event_hash", "anchored", "chain_ok", "valid"
+        "checkpoint_id", "sequence_end", "total_events", "last_event_hash", "anchored", "complete", "chain_ok", "valid"
     )
 
 
 @demo(
     "au_checkpoint_signed",
-    """
-    SELECT 'cp-tenant_' || (event_id % 4) || '-' || (max(event_id // 4) + 1) AS checkpoint_id, TRUE AS signature_ok, TRUE AS valid
-    FROM events GROUP BY event_id % 4
+    f"""
+    WITH RECURSIVE {CHAIN}, {CHECKPOINTS}, {_roots_ctes("SELECT c.tn * 1000000000 + e AS tn, seg AS place, arg_max(hash, seq) AS h FROM cps c JOIN chain USING (tn) WHERE seq <= e GROUP BY 1, 2", "tn", "'tenant_' || (tn // 1000000000)")}
+    SELECT 'cp-tenant_' || c.tn || '-' || e AS checkpoint_id, l.h AS root_hash, s AS signature_ok, TRUE AS root_ok, s AS valid
+    FROM cps c JOIN l3 l ON l.tn = c.tn * 1000000000 + e, (VALUES (TRUE), (FALSE)) AS v(s)
     """,
 )
 def au_checkpoint_signed(spark, d):
+    """With the signing key, and with another."""
+    chain = stored(_chain(spark, d), "audit-chain")
+    signed = stored(_checkpoints(chain), "signed")
+    checked = [AU.verify_checkpoints(chain, signed, key, SEGMENT) for key in ("demo key", "other key")]
+    return checked[0].unionByName(checked[1]).select("checkpoint_id", "root_hash", "signature_ok", "root_ok", "valid")
+
+
+@demo(
+    "au_truncated",
+    f"""
+    WITH RECURSIVE {CHAIN}, {CHECKPOINTS}, gone AS (SELECT tn, max(seq) AS top FROM chain GROUP BY tn)
+    SELECT 'cp-tenant_' || c.tn || '-' || e AS checkpoint_id, NOT (e BETWEEN 33 AND 64 OR e > top - 5) AS anchored, e < 33 AS complete, e < 33 AS root_ok,
+           e <= 64 AS chain_ok, e < 33 AS valid
+    FROM cps c JOIN gone USING (tn)
+    """,
+)
+def au_truncated(spark, d):
+    """The second half of the first segment and the end of the log are gone."""
     chain = stored(_chain(spark, d), "audit-chain")
-    signed = AU.sign_checkpoints(AU.checkpoint(chain, 1767225600.0, "key-1"), "demo key")
-    return AU.verify_checkpoints(chain, signed, "demo key", SEGMENT).select("checkpoint_id", "signature_ok", "valid")
+    top = chain.groupBy("tenant_id").agg(F.max("sequence_num").alias("top"))
+    cut = chain.join(top, "tenant_id").where("NOT (sequence_num BETWEEN 33 AND 64 OR sequence_num > top - 5)").drop("top")
+    return AU.verify_checkpoints(cut, _checkpoints(chain), "demo key", SEGMENT).select(
+        "checkpoint_id", "anchored", "complete", "root_ok", "chain_ok", "valid"
+    )
+
+
+@demo(
+    "au_rewritten",
+    f"""
+    WITH RECURSIVE {CHAIN}, {CHECKPOINTS}
+    SELECT 'cp-tenant_' || tn || '-' || e AS checkpoint_id, e > {SEGMENT} AS anchored, TRUE AS complete, FALSE AS root_ok, TRUE AS chain_ok, FALSE AS valid FROM cps
+    """,
+)
+def au_rewritten(spark, d):
+    """One latency in the first segment is changed and the segment hashed again from there: only the signed root tells."""
+    chain = stored(_chain(spark, d), "audit-chain")
+    first = chain.where(F.col("sequence_num") <= SEGMENT)
+    changed = first.withColumn("latency_ms", F.when(F.col("sequence_num") == 7, F.col("latency_ms") + 1e-10).otherwise(F.col("latency_ms")))
+    forged = AU.build_chain(changed, SEGMENT).unionByName(chain.where(F.col("sequence_num") > SEGMENT))
+    return AU.verify_checkpoints(forged, _checkpoints(chain), "demo key", SEGMENT).select(
+        "checkpoint_id", "anchored", "complete", "root_ok", "chain_ok", "valid"
+    )
 
 
 # --- replay ----------------------------------------------------------------------------------------

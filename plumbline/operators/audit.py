@@ -3,7 +3,14 @@
 Verification needs only neighbours, so it is one aggregate by (tenant, sequence)
 however large a tenant is.  Building a chain is sequential by nature; it is cut
 into segments of bounded length that start from an anchor of their own, and the
-tails of the segments are chained again, level by level.
+tails of the segments are chained again, level by level, into a root.
+
+What each part proves: ``check_chain`` finds edited events, broken links,
+repeated numbers and every gap that is followed by another event.  An anchor can be
+computed by anybody, so a segment that was rewritten as a whole and a log that was
+cut at its end look sound on their own; a checkpoint made before signs the number
+of events and the root up to its place, and ``verify_checkpoints`` computes both
+again.
 """
 
 from __future__ import annotations
@@ -15,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import stored
+
 # The hash before the first event, and the hashed fields by name.
 GENESIS = "0" * 64
 EVENT_FIELDS = {
@@ -39,9 +48,30 @@ PLAIN_TEXT = r"^[ !#-\[\]-~]*$"  # printable ASCII without quote and backslash
 
 
 def _json_number(value: Column) -> Column:
-    """Plain decimal text with at least one decimal, e.g. 0.0 or 1767225600.25."""
-    digits = F.regexp_replace(value.cast("decimal(28,9)").cast("string"), "0+$", "")
-    return F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    """The double's own text, as JSON writers give it: 0.0, 1767225600.25, 1e-05, 1.5e+16.
+
+    The text distinguishes any two doubles.  It is written plainly for magnitudes from
+    1e-4 to below 1e16.  For the few doubles to which the JVM gives more digits than needed, it
+    has these digits too.
+    """
+    text = value.cast("string")
+    sign = F.regexp_extract(text, "^-", 0)
+    whole = F.regexp_extract(text, r"^-?(\d)\.(\d+)E", 1)
+    part = F.regexp_replace(F.regexp_extract(text, r"^-?(\d)\.(\d+)E", 2), "0+$", "")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+    digits = F.concat(whole, part)
+    padded = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
+    rest = F.substring(padded, power + 2, F.length(padded))
+    large = F.concat(F.substring(padded, F.lit(1), power + 1), F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    exponent = F.concat(
+        whole,
+        F.when(part == "", "").otherwise(F.concat(F.lit("."), part)),
+        F.when(power < 0, "e-").otherwise("e+"),
+        F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"),
+    )
+    plain = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(exponent)
+    return F.when(F.contains(text, F.lit("E")), F.concat(sign, plain)).otherwise(text)
 
 
 def _json_value(value: Column, kind: str) -> Column:
@@ -94,16 +124,24 @@ def build_chain(events: DataFrame, segment_size: int = SEGMENT) -> DataFrame:
 
     Whole events are gathered per segment and folded there, so they are shuffled
     once and joined with nothing.  A segment holds at most ``segment_size`` events
-    because sequence numbers are unique within a tenant.
+    because sequence numbers are unique within a tenant; a repeated number ends the job
+    before its segment is gathered.
     """
     bare = events.drop("previous_event_hash", "event_hash").withColumn(
         "sequence_num", F.col("sequence_num").cast("bigint")
     )
     others = [c for c in bare.columns if c != "sequence_num"]
+    event = F.when(F.count(F.lit(1)) == 1, F.first(F.struct("sequence_num", *others))).otherwise(
+        F.raise_error(F.concat_ws(" ", F.lit("repeated sequence number"), F.col("sequence_num").cast("string"), F.lit("of"), "tenant_id"))
+    )
+    # one exchange serves both aggregates
     segments = (
         bare.withColumn("__segment", _segment(segment_size))
+        .repartition("tenant_id", "__segment")
+        .groupBy("tenant_id", "__segment", "sequence_num")
+        .agg(event.alias("event"))
         .groupBy("tenant_id", "__segment")
-        .agg(F.array_sort(F.collect_list(F.struct("sequence_num", *others))).alias("events"))
+        .agg(F.array_sort(F.collect_list("event")).alias("events"))
         .withColumn("start", anchor(F.col("tenant_id"), F.col("__segment")))
     )
 
@@ -140,23 +178,34 @@ def segment_tails(chain: DataFrame, segment_size: int = SEGMENT) -> DataFrame:
     )
 
 
-def link_segments(tails: DataFrame, segment_size: int = SEGMENT, levels: int = 4) -> DataFrame:
-    """Root hash per tenant over all its segments.
+def _levels(tails: DataFrame, segment_size: int) -> int:
+    """How often ``segment_size`` tails have to be folded into one until each tenant has one left."""
+    last = tails.agg(F.max("segment")).first()[0] or 0
+    levels = 1
+    while last >= segment_size:
+        last, levels = last // segment_size, levels + 1
+    return levels
 
-    Each level chains up to ``segment_size`` tails into one, so ``levels`` levels
-    cover ``segment_size ** levels`` segments and no fold grows with the tenant.
+
+def link_segments(tails: DataFrame, segment_size: int = SEGMENT, by: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
+    """Root hash per tenant (or per ``by``, of which tenant_id is one) over all its segments.
+
+    Each level chains up to ``segment_size`` tails into one, until one is left; no fold
+    grows with the tenant.  A tenant that is down to its one hash keeps it.
     """
-    current = tails.select("tenant_id", F.col("segment").alias("place"), F.col("tail_hash").alias("hash"))
-    for level in range(levels):
-        grouped = current.groupBy("tenant_id", F.expr(f"place div {segment_size}").alias("up")).agg(
+    tails = stored(tails, "tails")
+    ends = tails.groupBy(*by).agg(F.max("segment").alias("last"))
+    current = tails.select(*by, F.col("segment").alias("place"), F.col("tail_hash").alias("hash")).join(ends, list(by))
+    for level in range(_levels(tails, segment_size)):
+        grouped = current.groupBy(*by, "last", F.expr(f"place div {segment_size}").alias("up")).agg(
             F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("items")
         )
         start = F.sha2(F.concat_ws(":", F.lit("level"), F.lit(str(level)), "tenant_id", F.col("up").cast("string")), 256)
         chained = F.aggregate("items", start, lambda acc, item: F.sha2(F.concat(acc, item["hash"]), 256))
-        current = grouped.select("tenant_id", F.col("up").alias("place"), chained.alias("hash"))
-    return current.groupBy("tenant_id").agg(
-        F.max_by("hash", "place").alias("root_hash"), F.count(F.lit(1)).alias("roots")
-    )
+        if level:
+            chained = F.when(F.col("last") > 0, chained).otherwise(F.get("items", F.lit(0))["hash"])
+        current = grouped.select(*by, F.expr(f"last div {segment_size}").alias("last"), F.col("up").alias("place"), chained.alias("hash"))
+    return current.groupBy(*by).agg(F.max_by("hash", "place").alias("root_hash"), F.count(F.lit(1)).alias("roots"))
 
 
 HEX = r"^[0-9a-f]{64}$"
@@ -173,6 +222,8 @@ def check_chain(log: DataFrame, segment_size: int | None = None) -> DataFrame:
 
     Each event is reported once as itself and once as the predecessor of the next
     position; one hash aggregate with map-side combine brings the two together.
+    Only number 1 may stand without a predecessor; where a segment starts, the
+    predecessor has to be there but the link is the anchor.
     ``segment_size=None`` verifies an unsegmented chain.
     """
     number = F.col("sequence_num").cast("bigint")
@@ -224,7 +275,7 @@ def check_chain(log: DataFrame, segment_size: int | None = None) -> DataFrame:
     problem = (
         F.when(F.col("rows") > 1, "duplicate_sequence")
         .when(F.col("bad_hash"), "hash_mismatch")
-        .when(~F.col("start") & (F.col("before") == 0), "missing_predecessor")
+        .when((F.col("sequence_num") != 1) & (F.col("before") == 0), "missing_predecessor")
         .when(F.col("bad_link") | (~F.col("start") & ~linked), "broken_link")
     )
     return met.select("tenant_id", "sequence_num", "rows", problem.alias("problem"))
@@ -235,18 +286,21 @@ def verify_chain(log: DataFrame, segment_size: int | None = None) -> DataFrame:
     return check_chain(log, segment_size).where(F.col("problem").isNotNull())
 
 
-def checkpoint(log: DataFrame, timestamp: float, key_id: str) -> DataFrame:
-    """End of each tenant's log: sequence number, hash and event count."""
-    return log.groupBy("tenant_id").agg(
-        F.max("sequence_num").alias("sequence_end"),
-        F.max_by("event_hash", "sequence_num").alias("last_event_hash"),
-        F.count(F.lit(1)).alias("total_events"),
-    ).select(
+def checkpoint(log: DataFrame, timestamp: float, key_id: str, segment_size: int = SEGMENT) -> DataFrame:
+    """End of each tenant's log: sequence number, hash, event count and root over all segments."""
+    tails = stored(segment_tails(log, segment_size), "tails")
+    ends = tails.groupBy("tenant_id").agg(
+        F.max("sequence_end").alias("sequence_end"),
+        F.max_by("tail_hash", "sequence_end").alias("last_event_hash"),
+        F.sum("events").alias("total_events"),
+    )
+    return ends.join(link_segments(tails, segment_size).drop("roots"), "tenant_id").select(
         F.concat_ws("-", F.lit("cp"), "tenant_id", "sequence_end").alias("checkpoint_id"),
         "tenant_id",
         "sequence_end",
         "last_event_hash",
         "total_events",
+        "root_hash",
         F.lit(float(timestamp)).alias("checkpoint_timestamp"),
         F.lit(key_id).alias("key_id"),
     )
@@ -258,6 +312,8 @@ def _payload() -> Column:
         "checkpoint_id",
         F.col("sequence_end").cast("string"),
         "last_event_hash",
+        F.col("total_events").cast("string"),
+        "root_hash",
         _json_number(F.col("checkpoint_timestamp")),
         "key_id",
     )
@@ -277,22 +333,56 @@ def sign_checkpoints(checkpoints: DataFrame, key: str) -> DataFrame:
     return checkpoints.withColumn("signature", _hmac_udf(key)(_payload()))
 
 
-def verify_checkpoints(log: DataFrame, checkpoints: DataFrame, key: str | None = None, segment_size: int | None = None) -> DataFrame:
-    """Adds signature_ok (NULL without a key), anchored, chain_ok and valid to each checkpoint."""
-    # one row per position, even where a tampered log repeats one
-    held = log.groupBy("tenant_id", F.col("sequence_num").alias("sequence_end")).agg(
-        F.min("event_hash").alias("__held"), F.count(F.lit(1)).alias("__rows")
+def verify_checkpoints(log: DataFrame, checkpoints: DataFrame, key: str | None = None, segment_size: int = SEGMENT) -> DataFrame:
+    """Adds signature_ok (NULL without a key), anchored, complete, root_ok, chain_ok and valid to each checkpoint.
+
+    All is judged up to the checkpoint's place: its event is there once with its hash
+    (anchored), the log holds as many events as it signs (complete), the segments
+    give its root (root_ok), and no position is broken (chain_ok).  The log is
+    grouped into segments once; only segments that a checkpoint ends in are read again.
+    """
+    checkpoints = stored(checkpoints, "checkpoints")
+    places = checkpoints.select("checkpoint_id", "tenant_id", "sequence_end", _at(segment_size).alias("segment"))
+    tails = stored(segment_tails(log, segment_size), "tails")
+    whole = tails.select("tenant_id", F.col("segment").alias("s"), "tail_hash", "events").join(places, "tenant_id").where("s < segment")
+    last = (
+        log.withColumn("segment", _segment(segment_size))
+        .join(places, ["tenant_id", "segment"])
+        .where("sequence_num <= sequence_end")
+        .groupBy("tenant_id", "checkpoint_id", F.col("segment").alias("s"))
+        .agg(
+            F.max_by("event_hash", "sequence_num").alias("tail_hash"),
+            F.count(F.lit(1)).alias("events"),
+            F.min(F.when(F.col("sequence_num") == F.col("sequence_end"), F.col("event_hash"))).alias("held"),
+            F.count_if(F.col("sequence_num") == F.col("sequence_end")).alias("held_rows"),
+        )
     )
-    broken = verify_chain(log, segment_size).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("__broken"))
-    rows = checkpoints.join(held, ["tenant_id", "sequence_end"], "left").join(broken, "tenant_id", "left")
+    parts = stored(whole.select("tenant_id", "checkpoint_id", "s", "tail_hash", "events").unionByName(last, allowMissingColumns=True), "parts")
+    roots = link_segments(parts.withColumnRenamed("s", "segment"), segment_size, ("tenant_id", "checkpoint_id"))
+    totals = parts.groupBy("checkpoint_id").agg(
+        F.sum("events").alias("__events"), F.max("held").alias("__held"), F.coalesce(F.max("held_rows"), F.lit(0)).alias("__rows")
+    )
+    bad = verify_chain(log, segment_size).select("tenant_id", "sequence_num")
+    broken = bad.join(places, "tenant_id").where("sequence_num <= sequence_end").groupBy("checkpoint_id").agg(F.count(F.lit(1)).alias("__broken"))
+    roots = roots.select("checkpoint_id", F.col("root_hash").alias("__root"))
+    rows = checkpoints.join(totals, "checkpoint_id", "left").join(roots, "checkpoint_id", "left").join(broken, "checkpoint_id", "left")
     signature_ok = F.lit(None).cast("boolean")
     if key is not None:
         signature_ok = F.col("signature") == _hmac_udf(key)(_payload())
-    anchored = F.coalesce((F.col("__held") == F.col("last_event_hash")) & (F.col("__rows") == 1), F.lit(False))
+    checks = {
+        "anchored": (F.col("__held") == F.col("last_event_hash")) & (F.col("__rows") == 1),
+        "complete": F.col("__events") == F.col("total_events"),
+        "root_ok": F.col("__root") == F.col("root_hash"),
+    }
+    rows = rows.withColumn("signature_ok", signature_ok).withColumns({c: F.coalesce(v, F.lit(False)) for c, v in checks.items()})
+    valid = F.coalesce("signature_ok", F.lit(True)) & F.col("anchored") & F.col("complete") & F.col("root_ok") & F.col("chain_ok")
     return (
-        rows.withColumns(
-            {"signature_ok": signature_ok, "anchored": anchored, "chain_ok": F.col("__broken").isNull()}
-        )
-        .withColumn("valid", F.coalesce("signature_ok", F.lit(True)) & F.col("anchored") & F.col("chain_ok"))
-        .drop("__held", "__rows", "__broken")
+        rows.withColumn("chain_ok", F.col("__broken").isNull())
+        .withColumn("valid", valid)
+        .drop("__held", "__rows", "__broken", "__events", "__root")
     )
+
+
+def _at(size: int) -> Column:
+    """The segment of a checkpoint's end."""
+    return F.expr(f"(sequence_end - 1) div {size}")
