@@ -1,12 +1,12 @@
 """Exact percentiles with linear interpolation, without a huge group in one task.
 
-``percentile`` keeps every distinct value of a group in one task's memory.  It is
-used where a first pass shows that they are few.  Beyond that, values are counted
-per (group, value), which also flattens repeated ones.  Each round then splits the
-values that can hold a wanted rank at about ``CUTS`` sampled cut points and keeps
-the one bucket the rank falls into, so after the rounds only a sliver of the
-distinct values is left to be ordered.  The sample is taken by hash, hence a
-retried task sees the same cut points.
+Values are counted per (group, value), which flattens repeated ones.  A value falls
+into one of 2 ** 48 cells that keep the order of values (equal steps of the
+magnitude's logarithm).  The first half of the cell number is grouped first: a
+running count over these at most 2 ** 24 cells tells the one that holds a wanted rank.
+The second half does the same inside that cell, and only values that share
+all 48 bits, a few thousand doubles, are ordered among themselves.  The path is the
+same for every size, and every task holds a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -17,73 +17,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CUTS = 64
-ROUNDS = 2
-SALTS = 32
-MAX_DISTINCT = 1_000_000  # values per group that one task may hold
+HALF_BITS = 24
+REACH = 1100.0  # above log2 of the largest double
 
 
-def _in_bracket() -> Column:
-    return (F.col("__lo").isNull() | (F.col("__v") > F.col("__lo"))) & (
-        F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi"))
-    )
-
+def _cell(value: Column) -> Column:
+    """Cell number of a double; infinities and NaN are in the outermost cells."""
+    size = F.least(F.log2(1 + F.abs(value)), F.lit(REACH))
+    place = F.when(F.isnan(value), REACH).when(value < 0, -size).otherwise(size)
+    return F.floor((place + REACH) / (2 * REACH) * float(2 ** (2 * HALF_BITS) - 1)).cast("bigint")
 
-def _meet(counts: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Values inside each bracket of their group.
-
-    The few bracket rows are repeated per salt, so a group that holds most of
-    the values is spread over ``SALTS`` reducers if Spark does not broadcast.
-    """
-    salted = brackets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return counts.join(salted, ["__key", "__salt"]).where(_in_bracket())
 
-
-def _narrow(counts: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Replace each bracket by its bucket that holds the wanted rank."""
-    every = F.greatest(F.lit(1).cast("bigint"), F.expr(f"__distinct div {CUTS}"))
-    sampled = _meet(counts, brackets).where(F.pmod(F.xxhash64("__v"), every) == 0)
-    cuts = sampled.groupBy("__key", "__k").agg(F.array_sort(F.collect_set("__v")).alias("__cuts"))
-    with_cuts = brackets.join(cuts, ["__key", "__k"], "left").withColumn(
-        "__cuts", F.coalesce("__cuts", F.array().cast("array<double>"))
-    )
-    sizes = (
-        _meet(counts, with_cuts)
-        .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
-        .groupBy("__key", "__k", "__b")
-        .agg(
-            F.sum("__n").alias("__size"),
-            F.count(F.lit(1)).alias("__distinct"),
-            F.max("__below").alias("__below"),
-            F.max(F.get("__cuts", F.col("__b") - 1)).alias("__cut_lo"),
-            F.max(F.get("__cuts", F.col("__b"))).alias("__cut_hi"),
-            F.max("__lo").alias("__old_lo"),
-            F.max("__hi").alias("__old_hi"),
-        )
-    )
-    # about CUTS rows per group and rank
-    upto = W.partitionBy("__key", "__k").orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = sizes.withColumn("__upto", F.col("__below") + F.sum("__size").over(upto))
-    hit = ranked.where((F.col("__upto") > F.col("__k")) & (F.col("__upto") - F.col("__size") <= F.col("__k")))
-    return hit.select(
-        "__key",
-        "__k",
-        "__distinct",
-        (F.col("__upto") - F.col("__size")).alias("__below"),
-        F.coalesce("__cut_lo", "__old_lo").alias("__lo"),
-        F.coalesce("__cut_hi", "__old_hi").alias("__hi"),
-    )
-
-
-def fits_in_a_task(df: DataFrame, value: str, by: Sequence[str] = (), max_distinct: int = MAX_DISTINCT) -> bool:
-    """Does one task hold the distinct values of the widest group?  Runs one aggregate."""
-    widest = (
-        df.groupBy(*by)
-        .agg(F.approx_count_distinct(value).alias("n"))
-        .agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-        .first()["n"]
-    )
-    return widest <= max_distinct
+def _held(rows: DataFrame, keys: Sequence[str], order: str, size: str) -> DataFrame:
+    """The rows in which rank ``__k`` falls, counting up from ``__below``; ``__below`` becomes the count before the row."""
+    upto = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = rows.withColumn("__upto", F.col("__below") + F.sum(size).over(upto))
+    hit = ranked.where((F.col("__upto") > F.col("__k")) & (F.col("__upto") - F.col(size) <= F.col("__k")))
+    return hit.withColumn("__below", F.col("__upto") - F.col(size)).drop("__upto", size)
 
 
 def aggregate_with_percentiles(
@@ -92,20 +42,10 @@ def aggregate_with_percentiles(
     value: str,
     probabilities: dict[str, float],
     by: Sequence[str] = (),
-    max_distinct: int = MAX_DISTINCT,
 ) -> DataFrame:
-    """Aggregates and exact percentiles per group.
-
-    One pass where the distinct values fit into a task, else the percentiles are
-    found by brackets and joined with NULL group keys equal.  A group without
-    values has NULL percentiles.
-    """
-    if fits_in_a_task(df, value, by, max_distinct):
-        wanted = F.array(*map(F.lit, probabilities.values()))
-        found = df.groupBy(*by).agg(*aggregates, F.percentile(F.col(value).cast("double"), wanted).alias("__p"))
-        return found.withColumns({a: F.col("__p")[i] for i, a in enumerate(probabilities)}).drop("__p")
+    """Aggregates and exact percentiles per group; a group without values has NULL percentiles."""
     counts = df.groupBy(*by).agg(*aggregates)
-    found = _by_brackets(df.where(F.col(value).isNotNull()), value, probabilities, by)
+    found = _percentiles(df.where(F.col(value).isNotNull()), value, probabilities, by)
     if not by:
         one = found.select(F.struct(*probabilities).alias("p")).scalar()
         return counts.select("*", *[one.getField(a).alias(a) for a in probabilities])
@@ -116,71 +56,48 @@ def aggregate_with_percentiles(
     return counts.join(keyed, same, "left").drop(*[f"__k{i}" for i in range(len(by))])
 
 
-def exact_percentiles(
-    df: DataFrame,
-    value: str,
-    probabilities: dict[str, float],
-    by: Sequence[str] = (),
-    max_distinct: int = MAX_DISTINCT,
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with one column per entry of ``probabilities``.
 
     NULL values are ignored; a group without values is absent from the result.
     """
-    n = F.count(value).alias("__n")
-    found = aggregate_with_percentiles(df, [n], value, probabilities, by, max_distinct)
-    return found.where(F.col("__n") > 0).drop("__n")
+    return _percentiles(df.where(F.col(value).isNotNull()), value, probabilities, by)
 
 
-def _by_brackets(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str]) -> DataFrame:
+def _percentiles(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str]) -> DataFrame:
     names = [f"__g{i}" for i in range(len(by))]
     groups = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
     # one text key that is never NULL stands in for the group in all joins
     key = F.to_json(F.struct(*[F.col(n) for n in names]), {"ignoreNullFields": "false"}) if names else F.lit("all")
-    counts = (
-        df.select(*groups, F.col(value).cast("double").alias("__v"))
-        .groupBy(*names, "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumns({"__key": key, "__salt": F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int")})
-    )
-    totals = counts.groupBy("__key").agg(
-        F.sum("__n").alias("__total"),
-        F.count(F.lit(1)).alias("__distinct"),
-        *[F.max(n).alias(n) for n in names],
+    counts = df.select(*groups, F.col(value).cast("double").alias("__v")).groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumns({"__key": key, "__cell": _cell(F.col("__v"))}).withColumn("__top", F.shiftright("__cell", HALF_BITS))
+
+    tops = counts.groupBy("__key", "__top").agg(F.sum("__n").alias("__size"), *[F.max(n).alias(n) for n in names])
+    total = F.sum("__size").over(W.partitionBy("__key"))
+    at = F.array(*[F.lit(float(p)) for p in probabilities.values()])
+    ranks = F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(F.floor(p * (F.col("__total") - 1)), F.ceil(p * (F.col("__total") - 1))))))
+    upto = W.partitionBy("__key").orderBy("__top").rowsBetween(W.unboundedPreceding, W.currentRow)
+    tops = (
+        tops.withColumns({"__total": total, "__upto": F.sum("__size").over(upto)})
+        .withColumn("__below", F.col("__upto") - F.col("__size"))
+        .withColumn("__ks", F.filter(ranks, lambda k: (k < F.col("__upto")) & (k >= F.col("__below"))))
+        .where(F.size("__ks") > 0)
+        .select("__key", "__top", "__total", "__below", *names, F.explode("__ks").alias("__k"))
     )
-    ranks = F.array(
-        *[
-            F.struct(F.lit(a).alias("__alias"), (F.lit(float(p)) * (F.col("__total") - 1)).alias("__pos"))
-            for a, p in probabilities.items()
-        ]
-    )
-    wanted = totals.select("__key", "__distinct", *names, F.inline(ranks)).withColumn(
-        "__k", F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos"))))
-    )
-    brackets = wanted.groupBy("__key", "__k").agg(
-        F.max("__distinct").alias("__distinct"),
-        F.lit(0).cast("bigint").alias("__below"),
-        F.lit(None).cast("double").alias("__lo"),
-        F.lit(None).cast("double").alias("__hi"),
-    )
-    slim = counts.select("__key", "__salt", "__v", "__n")
-    for _ in range(ROUNDS):
-        brackets = _narrow(slim, brackets)
-    upto = W.partitionBy("__key", "__k").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = (
-        _meet(slim, brackets)
-        .withColumn("__upto", F.col("__below") + F.sum("__n").over(upto))
-        .where((F.col("__upto") > F.col("__k")) & (F.col("__upto") - F.col("__n") <= F.col("__k")))
-        .select("__key", "__k", F.col("__v").alias("__at"))
+    slim = counts.select("__key", "__top", "__cell", "__v", "__n")
+    cells = (
+        slim.join(tops.select("__key", "__top", "__k", "__below"), ["__key", "__top"])
+        .groupBy("__key", "__k", "__cell")
+        .agg(F.sum("__n").alias("__size"), F.max("__below").alias("__below"))
     )
+    cells = _held(cells, ["__key", "__k"], "__cell", "__size")
+    found = _held(slim.join(cells, ["__key", "__cell"]), ["__key", "__k"], "__v", "__n").select("__key", "__k", F.col("__v").alias("__at"))
     # floor and ceiling rank carry the weights of the interpolation
-    weight = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("__pos") - F.col("__k")))
-    solved = (
-        wanted.join(found, ["__key", "__k"])
-        .groupBy("__key")
-        .agg(
-            *[F.max(n).alias(n) for n in names],
-            *[F.sum(F.when(F.col("__alias") == a, weight * F.col("__at"))).alias(a) for a in probabilities],
-        )
-    )
+    solved = tops.join(found, ["__key", "__k"]).groupBy("__key").agg(*[F.max(n).alias(n) for n in names], *[_weighted(p).alias(a) for a, p in probabilities.items()])
     return solved.select(*[F.col(n).alias(c) for c, n in zip(by, names, strict=True)], *list(probabilities))
+
+
+def _weighted(p: float) -> Column:
+    place = F.lit(float(p)) * (F.col("__total") - 1)
+    weight = 1.0 - F.abs(place - F.col("__k"))
+    return F.sum(F.when(weight > 0, weight * F.col("__at")))

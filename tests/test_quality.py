@@ -1,3 +1,5 @@
+import pytest
+from pyspark.sql import functions as F
 from tables import first, rows_by
 
 from plumbline.operators import assertions as A
@@ -291,18 +293,22 @@ def test_fingerprint_ignores_order_but_not_multiplicity(spark):
 # --- percentiles ------------------------------------------------------------------------------
 
 
-def test_percentiles_beyond_memory_bound(spark):
-    """The bracketed path, forced, against the built-in aggregate; one group holds most rows."""
+def test_percentiles_match_the_built_in_aggregate(spark):
+    """One group holds most rows; values of all magnitudes, repeated and distinct."""
     df = spark.range(20000).selectExpr(
         "case when id % 10 < 7 then 'hot' when id % 10 = 9 then null else 'cold' end g",
-        "cast(case when id % 3 = 0 then 7 else pmod(id * 7919, 10007) / 4 end as double) v",
+        "cast(case when id % 3 = 0 then 7 when id % 11 = 0 then -exp(id / 1000) when id % 13 = 0 then pow(10, id % 600 - 300) "
+        "else pmod(id * 7919, 10007) / 4 end as double) v",
     )
     wanted = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
-    few = {r["g"]: r.asDict() for r in exact_percentiles(df, "v", wanted, ["g"]).collect()}
-    many = {r["g"]: r.asDict() for r in exact_percentiles(df, "v", wanted, ["g"], max_distinct=0).collect()}
-    assert few.keys() == many.keys() == {"hot", "cold", None}
-    for group in few:
-        assert all(abs(few[group][p] - many[group][p]) < 1e-9 for p in wanted)
-    one = first(exact_percentiles(spark.createDataFrame([(4.0,)], "v double"), "v", {"p": 0.95}, max_distinct=0))
+    built_in = df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, wanted.values()))).alias("p"))
+    want = {r["g"]: r["p"] for r in built_in.collect()}
+    got = {r["g"]: r.asDict() for r in exact_percentiles(df, "v", wanted, ["g"]).collect()}
+    assert want.keys() == got.keys() == {"hot", "cold", None}
+    for group, values in want.items():
+        assert [got[group][p] for p in wanted] == pytest.approx(values, rel=1e-12)
+    one = first(exact_percentiles(spark.createDataFrame([(4.0,)], "v double"), "v", {"p": 0.95}))
     assert one["p"] == 4.0
+    close = spark.range(3000).selectExpr("1 + id * pow(2D, -52) as v")
+    assert first(exact_percentiles(close, "v", {"p": 0.5}))["p"] == pytest.approx(1 + 1499.5 * 2**-52, rel=1e-16)
     assert exact_percentiles(df.limit(0), "v", {"p": 0.5}).count() == 0
