@@ -3,8 +3,8 @@
 A shard's transform comes from its suffix array. Transforms of several shards
 are merged without looking at suffixes again: the interleave says for each place
 of the merged order which shard its suffix is from. One refinement moves every
-place by its transform symbol (a stable counting sort), which turns an order by
-the first h symbols into one by h + 1. Places that were told apart stay apart,
+place by its two transform symbols (a stable counting sort), which turns an order
+by the first h symbols into one by h + 2. Places that were told apart stay apart,
 so the blocks of places with equal prefixes, and with them the common prefix
 of neighbours, come out of the same pass.
 """
@@ -18,15 +18,18 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Transform:
-    """Symbols (0 ends a string, else byte + 1) and the text positions of the suffixes, in suffix order."""
+    """For each suffix in order the two symbols before it (0 ends a string, else byte + 1) and its text position.
 
-    symbols: np.ndarray
+    ``last``: the last symbol of each string.
+    """
+
+    pairs: np.ndarray
     suffixes: np.ndarray
-    strings: int
+    last: np.ndarray
 
 
 def transform(strings: list[bytes]) -> Transform:
-    """The transform of UTF-8 strings, each followed by an end of its own that sorts before all bytes, in list order."""
+    """The transform of UTF-8 strings that are not empty, each followed by an end of its own; ends sort before all bytes, in list order."""
     text = np.frombuffer(b"".join(x + b"\xff" for x in strings), np.uint8) + np.uint8(1)
     n, ends = len(text), np.flatnonzero(text == 0)
     rank = text.astype(np.int64) + len(ends)
@@ -43,13 +46,17 @@ def transform(strings: list[bytes]) -> Transform:
         if fresh[-1] == n - 1:
             break
         step *= 2
-    before = np.concatenate([[0], text[:-1]]).astype(np.uint8)
-    return Transform(before[order], order, len(ends))
+    text = text.astype(np.uint16)
+    before, second = np.zeros(n, np.uint16), np.zeros(n, np.uint16)
+    before[1:], second[2:] = text[:-1], text[:-2]
+    # A string is read in a circle: before its first symbol comes its end, and before that its last symbol.
+    second[np.concatenate([[0], ends[:-1] + 1])] = text[ends - 1]
+    return Transform((second << 8 | before)[order], order, text[ends - 1])
 
 
 @dataclass(frozen=True)
 class Merged:
-    """The merged order: shard and text position of each suffix, block of equal prefixes, common prefix with the one before."""
+    """The merged order: shard and text position of each suffix, block of equal prefixes, common prefix (an even number) with the one before."""
 
     shard: np.ndarray
     suffixes: np.ndarray
@@ -58,24 +65,32 @@ class Merged:
 
 
 def merge(parts: list[Transform], depth: int) -> Merged:
-    """Refines the interleave of the shards until suffixes are ordered by their first ``depth`` symbols."""
-    n, ends = sum(len(p.symbols) for p in parts), sum(p.strings for p in parts)
-    shard = np.repeat(np.arange(len(parts), dtype=np.uint8), [len(p.symbols) for p in parts])
-    first = np.repeat(np.arange(len(parts), dtype=np.uint8), [p.strings for p in parts])
-    block = np.zeros(n, np.int32)
+    """Refines the interleave of the shards until suffixes are ordered by their first ``depth`` symbols, an even number."""
+    if depth % 2:
+        raise ValueError("suffixes are compared two symbols at a time")
+    n = sum(len(p.pairs) for p in parts)
+    names = np.arange(len(parts), dtype=np.uint8)
+    shard = np.repeat(names, [len(p.pairs) for p in parts])
+    # Sorted pairs are the same in every round. Those that hold an end stand for suffixes of no or one symbol:
+    # each is a block of its own, and they keep the order of the shards and their strings.
+    ordered = np.sort(np.concatenate([p.pairs for p in parts]), kind="stable")
+    short = np.flatnonzero((ordered & 255 == 0) | (ordered < 256))
+    owner = np.repeat(names, [len(p.last) for p in parts])
+    fixed = np.concatenate([owner, owner[np.argsort(np.concatenate([p.last for p in parts]), kind="stable")]])
+    apart = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    apart[short] = True
+    block, edge, pairs = np.zeros(n, np.int32), apart.copy(), np.empty(n, np.uint16)
     common = np.full(n, depth, np.int16)
-    symbols, edge = np.empty(n, np.uint8), np.ones(n, bool)
     count = 0
-    for h in range(depth):
+    for h in range(0, depth, 2):
         for s, part in enumerate(parts):
-            symbols[shard == s] = part.symbols
-        moved = np.argsort(symbols, kind="stable")
-        # Ends come first; they keep the order of the shards and their strings, and each is a block of its own.
-        shard, last = shard[moved], symbols[moved]
-        shard[:ends] = first
+            pairs[shard == s] = part.pairs
+        moved = np.argsort(pairs, kind="stable")
+        shard = shard[moved]
+        shard[short] = fixed
         block = block[moved]
-        edge[1:] = (last[1:] != last[:-1]) | (block[1:] != block[:-1])
-        edge[:ends] = True
+        np.not_equal(block[1:], block[:-1], out=edge[1:])
+        edge |= apart
         common[edge & (common == depth)] = h
         block = np.cumsum(edge, dtype=np.int32)
         if block[-1] == count:

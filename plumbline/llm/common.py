@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import stored
+from plumbline.session import scratch_path
 from plumbline.sources.tables import read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,7 +49,9 @@ def with_row(df: DataFrame) -> DataFrame:
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Stored in the shared folder and read back: computed once, and safe from lost executors."""
-    return stored(df, f"llm-{label}")
+    path = scratch_path(df.sparkSession, f"llm-{label}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def fold(doc_id: str, modulus: int):

@@ -40,7 +40,7 @@ LENGTH, GRAM = 100, 40
 #: Strings that one piece may start; longer runs are cut.
 RUN = 2048
 #: Symbols of a collection, shards it is split into, pieces of one key that may share a task.
-COLLECTION, SHARDS, CROWD = 1 << 20, 4, 20_000
+COLLECTION, SHARDS, CROWD = 1 << 17, 2, 20_000
 #: Bits of the filter: sixteen for each key, and this many at most (32 MB).
 MOST_BITS = 1 << 28
 
@@ -123,12 +123,9 @@ def _counted(length: int, gram: int):
 
 def _marked(shared, length: int, gram: int):
     def run(batches):
-        bits = shared.value
-        mask = np.uint64(len(bits) * 64 - 1)
         for batch in slices(batches):
             keys, starts, sizes, loops, owner, offsets, data = pieces(utf8(batch), length, gram)
-            at = keys & mask
-            hit = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+            hit = np.flatnonzero(_in_filter(keys, shared.value))
             keys, starts, sizes, loops, owner = keys[hit], starts[hit], sizes[hit], loops[hit], owner[hit]
             raw = data.tobytes()
             found = [raw[s : s + n + length - 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
@@ -149,6 +146,19 @@ def _marked(shared, length: int, gram: int):
     return run
 
 
+def _in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(len(bits) * 64 - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _of_keys(shared):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_in_filter(batch.column("key").to_numpy().view(np.uint64), shared.value)))
+
+    return run
+
+
 def bit_filter(keys: DataFrame) -> np.ndarray:
     """64-bit words of a filter with a bit for each key; at most MOST_BITS bits, whatever the number of keys."""
     n = keys.count()
@@ -173,7 +183,7 @@ def covered(doc: np.ndarray, text_id: np.ndarray, start: np.ndarray, found: list
         owners.append(lo + np.repeat(np.arange(len(some)), sizes))
         inner.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
     merged = merge(parts, length)
-    base = np.concatenate([[0], np.cumsum([len(p.symbols) for p in parts])[:-1]])
+    base = np.concatenate([[0], np.cumsum([len(p.pairs) for p in parts])[:-1]])
     at = base[merged.shard] + merged.suffixes
     owner, offset = np.concatenate(owners)[at], np.concatenate(inner)[at]
     many = np.bincount(merged.block)[merged.block] > 1
@@ -239,8 +249,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
 
     mixed = first.groupBy("key").agg(F.count("*").alias("forms"), F.max("loops").alias("loops"))
     mixed = mixed.filter((F.col("forms") > 1) | F.col("loops")).select("key", (F.col("forms") > crowd).alias("crowded"))
+    mixed = keep(mixed, "mixed")
     chosen = first.join(mixed, "key").select("key", "form", "crowded", F.col("first.*"))
-    held = marked.join(chosen, ["key", "form", "doc", "text_id", "start"]).dropDuplicates(["key", "form"])
+    # Only pieces of these keys are moved.
+    own = docs.sparkSession.sparkContext.broadcast(bit_filter(mixed))  # MOST_BITS at most
+    columns = marked.select("key", "form", "doc", "text_id", "start", "size", "piece")
+    held = columns.mapInArrow(_of_keys(own), columns.schema).join(chosen, ["key", "form", "doc", "text_id", "start"]).dropDuplicates(["key", "form"])
     held = keep(held.select("key", "crowded", "doc", "text_id", "start", "piece", "size"), "held")
     whole = held.filter("NOT crowded").select("key", "doc", "text_id", "start", "piece")
     single = held.filter("crowded").select("doc", "text_id", "start", "piece", F.explode(F.sequence(F.lit(0), (F.col("size") - length).cast("int"))).alias("i"))
