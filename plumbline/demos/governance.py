@@ -244,21 +244,29 @@ def gv_compliance(spark, d):
 @demo(
     "gv_norm_predicates",
     """
-    SELECT o_orderkey, o_orderpriority <> '5-LOW' AS same_population, o_orderstatus <> 'P' AS same_choice FROM orders
+    SELECT o_orderkey, o_orderpriority <> '5-LOW' AS same_population, o_orderstatus <> 'P' AS same_choice,
+           o_orderpriority = '5-LOW' AS same_quoted, o_orderstatus <> 'F' AS same_nested
+    FROM orders
     """,
 )
 def gv_norm_predicates(spark, d):
     low, status = F.col("o_orderpriority") == "5-LOW", F.col("o_orderstatus")
     left = F.array(F.lit("status = 'active'"), F.lit("region = 'NA'"))
     right = F.array(
-        F.lit("(Region='NA')"), F.when(low, F.lit("status <> 'active'")).otherwise(F.lit("((STATUS   =  'active'))"))
+        F.lit("(Region='NA')"), F.when(low, F.lit("status <> 'active'")).otherwise(F.lit("(((((STATUS   =  'active')))))"))
     )
     choice = F.array(F.lit("(a = 1) OR (b = 2)"))
     other = F.array(F.when(status == "P", F.lit("b = 2 or a = 3")).otherwise(F.lit("b = 2 or a = 1")))
+    quoted = F.array(F.lit("city = 'New  York'"), F.lit("label = '(x)'"), F.lit("expr = 'a<b'"))
+    changed = F.array(F.lit("label='(x)'"), F.lit("EXPR = 'a<b'"), F.when(low, F.lit("city='New  York'")).otherwise(F.lit("city = 'New York'")))
+    nested = F.array(F.lit("(a = 1 or (b = 2 and x between 1 and 5)) and c = 3"))
+    turned = F.array(F.concat(F.lit("C = 3 AND ((X BETWEEN 1 AND 5 AND b=2) OR A="), F.when(status == "F", "2").otherwise("1"), F.lit(")")))
     return t(spark, d, "orders").select(
         "o_orderkey",
         D.same_population(left, right).alias("same_population"),
         D.same_population(choice, other).alias("same_choice"),
+        D.same_population(quoted, changed).alias("same_quoted"),
+        D.same_population(nested, turned).alias("same_nested"),
     )
 
 

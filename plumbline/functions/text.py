@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,59 +14,96 @@ SLUG_PATTERN = r"^[a-zA-Z0-9_]+$"
 SEMVER_PATTERN = r"^[0-9]+\.[0-9]+\.[0-9]+$"
 
 
-# parentheses around a single comparison; calls and IN lists keep theirs
-_ATOM_PARENS = r"(?<![a-z0-9_])(?<!in )\(((?:(?! and | or )[^()])*)\)"
-_WHOLE_PARENS = r"^\(([^()]*)\)$"
-_OPERATOR = r"\s*(<=|>=|<>|!=|=|<|>)\s*"
+_OPERATOR = re.compile(r"\s*(<=|>=|<>|!=|=|<|>)\s*")
+_BLANKS = re.compile(r"\s+")
+_RANGE = re.compile(r"\b(between \S+) and\b")
+_MARKS = re.compile(r"[()]| or | and ")
+_QUOTED = re.compile("\x01(\\d+)\x01")
+
+
+def _operands(text: str, word: str) -> list[str]:
+    """The text cut at ``word`` outside parentheses."""
+    out, depth, start = [], 0, 0
+    for mark in _MARKS.finditer(text):
+        if mark.group() in "()":
+            depth += 1 if mark.group() == "(" else -1
+        elif mark.group() == word and depth == 0:
+            out.append(text[start : mark.start()])
+            start = mark.end()
+    return [*out, text[start:]]
+
+
+def _encloses(text: str) -> bool:
+    """Whether the first and the last sign are one pair of parentheses."""
+    if not (text.startswith("(") and text.endswith(")")):
+        return False
+    depth = 0
+    for i, sign in enumerate(text):
+        depth += (sign == "(") - (sign == ")")
+        if depth == 0:
+            return i == len(text) - 1
+    return False
+
+
+def _tree(text: str) -> str | tuple[str, list]:
+    """A comparison, or AND or OR with its operands; an operand of the same kind joins its parent's list."""
+    text = text.strip()
+    while _encloses(text):
+        text = text[1:-1].strip()
+    for word in (" or ", " and "):
+        operands = _operands(text, word)
+        if len(operands) > 1:
+            below = [_tree(o) for o in operands]
+            return word, [x for t in below for x in (t[1] if isinstance(t, tuple) and t[0] == word else [t])]
+    return text
+
+
+def _written(tree: str | tuple[str, list], quoted: list[str], inside: bool = False) -> str:
+    if isinstance(tree, str):
+        return _QUOTED.sub(lambda m: f"'{quoted[int(m.group(1))]}'", tree.replace("\x02", "and"))
+    text = tree[0].join(sorted({_written(t, quoted, tree[0] == " and ") for t in tree[1]}))
+    return f"({text})" if inside else text
 
 
-def _lower_outside_quotes(column: Column) -> Column:
-    """Identifiers and keywords in lower case; quoted values keep theirs."""
-    pieces = F.transform(F.split(column, "'"), lambda p, i: F.when(i % 2 == 0, F.lower(p)).otherwise(p))
-    return F.array_join(pieces, "'")
-
+def normalise_predicate_text(text: str) -> str:
+    """Canonical text of one predicate.
 
-def _squeezed(column: Column) -> Column:
-    lowered = F.when(F.contains(column, F.lit("'")), _lower_outside_quotes(column)).otherwise(F.lower(column))
-    return F.trim(F.regexp_replace(F.regexp_replace(lowered, r"\s+", " "), _OPERATOR, " $1 "))
+    Blanks, enclosing parentheses of any depth, the order of AND and OR operands at any
+    depth and the case of identifiers and keywords do not matter.  Quoted values are
+    set aside first and come back as they were.
+    """
+    pieces = text.split("'")
+    bare = "".join(p.lower() if i % 2 == 0 else f"\x01{i}\x01" for i, p in enumerate(pieces))
+    bare = _BLANKS.sub(" ", _OPERATOR.sub(r" \1 ", bare))
+    bare = re.sub(r"\( ", "(", re.sub(r" \)", ")", bare))
+    bare = re.sub(r"(?<=\))(and|or)\b", r" \1", re.sub(r"\b(and|or)(?=\()", r"\1 ", bare))
+    return _written(_tree(_RANGE.sub("\\1 \x02", bare)), pieces)
 
 
-def _unwrapped(column: Column) -> Column:
-    out = column
-    for _ in range(3):
-        out = F.regexp_replace(out, _ATOM_PARENS, "$1")
-        out = F.trim(F.regexp_replace(out, _WHOLE_PARENS, "$1"))
-    return F.when(F.contains(column, F.lit("(")), out).otherwise(column)
+def _each_once(texts: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
 
+    def canonical(text):
+        if text is not None and text not in known:
+            known[text] = normalise_predicate_text(text)
+        return None if text is None else known[text]
 
-def _with_sorted_operands(out: Column) -> Column:
-    """Operands of a flat OR in sorted order; texts with nested parentheses stay as they are."""
-    flat = F.contains(out, F.lit(" or ")) & ~F.contains(out, F.lit("(")) & ~F.contains(out, F.lit(" and "))
-    operands = F.array_sort(F.split(out, r"\s+or\s+"))
-    return F.when(flat, F.array_join(operands, " or ")).otherwise(out)
+    return texts.map(lambda row: None if row is None else [canonical(x) for x in row])
 
 
 def normalise_predicates(conjuncts: Column) -> Column:
-    """Canonical texts of an array of conjuncts.
+    """Canonical texts of an array of conjuncts; each distinct text of a batch is worked out once."""
 
-    Blanks, enclosing parentheses, the order of OR operands and the case of
-    anything but quoted values do not matter.  Each step is a pass of its own, so
-    that no step is evaluated twice and texts without parentheses skip the costly
-    patterns.
-    """
-    return F.transform(F.transform(F.transform(conjuncts, _squeezed), _unwrapped), _with_sorted_operands)
+    @F.pandas_udf("array<string>")
+    def canonical(texts: pd.Series) -> pd.Series:
+        return _each_once(texts)
 
+    return canonical(conjuncts)
 
-def normalise_predicate_text(text: str) -> str:
-    """Driver-side twin of :func:`normalise_predicates` for one declared predicate."""
-    pieces = [p.lower() if i % 2 == 0 else p for i, p in enumerate(text.split("'"))]
-    out = re.sub(_OPERATOR, r" \1 ", re.sub(r"\s+", " ", "'".join(pieces))).strip()
-    for _ in range(3):
-        out = re.sub(_ATOM_PARENS, r"\1", out)
-        out = re.sub(_WHOLE_PARENS, r"\1", out).strip()
-    if " or " in out and "(" not in out and " and " not in out:
-        out = " or ".join(sorted(re.split(r"\s+or\s+", out)))
-    return out
+
+def canonical_choices(conjuncts: Column) -> Column:
+    """Canonical conjuncts of a log that brings each conjunct as an array of its OR operands."""
+    return canonical_conjuncts(F.transform(conjuncts, lambda choices: F.array_join(F.transform(choices, lambda c: F.concat(F.lit("("), c, F.lit(")"))), " or ")))
 
 
 def normalise_dimension(column: Column) -> Column:

@@ -24,15 +24,32 @@ EQUAL = [
     (["a = 1 or b = 2"], ["(b = 2) OR (a = 1)"]),
     (["x in ('a','b')"], ["X IN ('a','b')"]),
     (["lower(x) = 'a'"], ["LOWER(x)='a'"]),
+    (["(((((a = 1)))))"], ["a=1"]),
+    (["(a = 1 or b = 2) and c = 3"], ["c=3 and (b = 2 OR a=1)"]),
+    (["a = 1 or (b = 2 or c = 3)"], ["(c=3)or((b=2)or(a=1))"]),
+    (["x between 1 and 5 and y = 2"], ["Y=2 AND X BETWEEN 1 AND 5"]),
+    (["n = 'it''s (or) so'"], ["N='it''s (or) so'"]),
 ]
 DIFFERENT = [
     (["status = 'active'"], ["status = 'ACTIVE'"]),
     (["a = 1"], ["aa = 1"]),
     (["a = 1 or b = 2"], ["a = 1 or b = 3"]),
     (["a > 1"], ["a >= 1"]),
+    (["city = 'New  York'"], ["city = 'New York'"]),
+    (["label = '(x)'"], ["label = 'x'"]),
+    (["expr = 'a<b'"], ["expr = 'a < b'"]),
+    (["(a = 1 or b = 2) and c = 3"], ["a = 1 or (b = 2 and c = 3)"]),
+    (["(a + b) * c = 1"], ["a + b * c = 1"]),
 ]
 
 
+def test_choices_are_the_texts_they_stand_for(spark):
+    df = spark.sql("SELECT array(array('b = 2', 'A=1'), array('c = 3')) AS n, array('c=3', '(a = 1 OR b = 2)') AS t")
+    row = first(df.select(text.canonical_choices(F.col("n")).alias("n"), text.canonical_conjuncts(F.col("t")).alias("t")))
+    assert row["n"] == row["t"] == ["a = 1 or b = 2", "c = 3"]
+
+
+
 @pytest.mark.parametrize(("left", "right", "same"), [(*p, True) for p in EQUAL] + [(*p, False) for p in DIFFERENT])
 def test_predicate_equivalence(spark, left, right, same):
     df = spark.createDataFrame([(left, right)], "l array<string>, r array<string>")
