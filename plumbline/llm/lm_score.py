@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import keep, slices, utf8, with_row
 
-ORDER, NODES = 4, 1_000_000
-TABLE, PENDING = 100_000, 500_000
+ORDER, NODES = 4, 500_000
+TABLE, PENDING = 100_000, 200_000
+#: Bytes of text that a worker codes together; each takes some forty bytes in arrays.
+SLICE = 1 << 20
 #: Symbols: bytes, the end of a text, and the sign that fills contexts before it.
 END, START, SYMBOLS = 256, 257, 257
 _BITS = 9
@@ -73,7 +75,7 @@ def grams(symbols: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
 def _gram_counts(order: int):
     def run(batches):
         held_keys, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             symbols, at = coded(utf8(batch), order)
             fresh, n = np.unique(grams(symbols, at, order), return_counts=True)
             keys, place = np.unique(np.concatenate([held_keys, fresh]), return_inverse=True)
@@ -256,7 +258,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 def _word_counts(batches):
     seen: Counter = Counter()
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         for text in utf8(batch):
             seen.update(tokens(text))
         if len(seen) > PENDING:
@@ -272,7 +274,7 @@ def _words(seen: Counter) -> pa.RecordBatch:
 def _scored(shared):
     def run(batches):
         trie, frequent = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts = utf8(batch)
             symbols, at = coded(texts, trie.order)
             bits = np.concatenate([trie.code_lengths(symbols, at[lo : lo + (1 << 18)]) for lo in range(0, len(at), 1 << 18)])
@@ -319,7 +321,8 @@ def lm_scores(docs: DataFrame, held_out, order: int = ORDER, nodes: int = NODES,
     n_texts = training.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + n_texts, total["v"] + (1 if n_texts else 0)
-    frequent = {bytes(r["word"]): math.log10(r["c"] + 1) for r in counts.orderBy(F.desc("c"), "word").limit(table).collect()}
+    best = counts.orderBy(F.desc("c"), "word").limit(table).toArrow()
+    frequent = dict(zip(best.column("word").to_pylist(), np.log10(best.column("c").to_numpy() + 1.0).tolist(), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast((trie, frequent))  # ``nodes`` and ``table`` entries at most
     rows = keep(with_row(texts.mapInArrow(_scored(shared), _SCORED)), "scored")
     other = rows.select("row", F.explode("other").alias("o")).select("row", F.col("o.word").alias("word"), F.col("o.n").alias("n"))
