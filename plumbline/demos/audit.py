@@ -235,7 +235,7 @@ def rp_select(spark, d):
     f"""
     WITH {TRACES}
     SELECT trace_id, agent_id, metric_id FROM traces
-    WHERE ('0x' || md5(trace_id)[1:8])::BIGINT % 10000 < 10000 * CASE WHEN agent_id = 'agent_1' AND metric_id = 'purchase' THEN 0.9 ELSE 0.2 END
+    WHERE ('0x' || md5(trace_id)[1:15])::BIGINT < 1152921504606846976 * CASE WHEN agent_id = 'agent_1' AND metric_id = 'purchase' THEN 0.9::DOUBLE ELSE 0.2::DOUBLE END
     """,
 )
 def rp_sample(spark, d):

@@ -341,8 +341,11 @@ def gv_max_severity(spark, d):
     """,
 )
 def snk_findings(spark, d):
-    _, catalogue = sinks.findings_report(_findings(spark, d))
-    return catalogue
+    path = scratch_path(spark, "findings")
+    sinks.write_findings(_findings(spark, d), path)
+    rules = spark.read.json(f"{path}/rules")
+    written = spark.read.json(f"{path}/findings").groupBy("drift_type").agg(F.count(F.lit(1)).alias("findings"), F.max("level").alias("level"))
+    return written.select(F.concat(F.lit("DRIFT-"), "drift_type").alias("rule_id"), "level", "findings").join(rules.select("rule_id"), "rule_id", "left_semi")
 
 
 # --- decisions -------------------------------------------------------------------------------------
@@ -523,7 +526,9 @@ def _manifests(spark, d):
     """,
 )
 def src_manifest(spark, d):
-    return documents.manifest_nodes(_manifests(spark, d)).select("node_id", "name", "resource_type")
+    path = scratch_path(spark, "manifest")
+    _manifests(spark, d).write.option("lineSep", "\n").text(path)
+    return documents.read_manifest(spark, path, whole=False).select("node_id", "name", "resource_type")
 
 
 @demo(
@@ -595,7 +600,10 @@ def src_contracts(spark, d):
         F.concat(F.lit("contracts/"), key, F.lit(".yaml")).alias("path"),
         F.when(key % 9 == 0, F.lit("metric: [unclosed")).otherwise(good).alias("content"),
     )
-    accepted = documents.parse_contracts(written).where("reject IS NULL").select("contract.*")
+    path = scratch_path(spark, "contracts")
+    # one file for each document: the metric's number is the folder, the text its only file
+    written.select("content", F.col("path").alias("document")).repartition("document").write.partitionBy("document").option("lineSep", "\n").text(path)
+    accepted, _ = documents.read_contracts(spark, path, suffixes=r"\.txt$")
     rules = documents.contract_rules(accepted)
     return rules.select(
         "metric_id",

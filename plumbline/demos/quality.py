@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.demos.metrics import NET_REVENUE, NET_REVENUE_SQL, NET_REVENUE_WHERE, order_lines
@@ -459,10 +461,16 @@ def prj_present(spark, d):
 )
 def src_frame(spark, d):
     spent = t(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
-    register({"spent_per_customer": spent, "customers": t(spark, d, "customer")})
-    return spark.sql(
-        """
-        SELECT c_mktsegment, sum(n) AS orders, round(sum(total), 2) AS spend
-        FROM spent_per_customer JOIN customers ON o_custkey = c_custkey GROUP BY 1
-        """
-    )
+    run = uuid.uuid4().hex
+    names = [f"spent_{run}", f"customers_{run}"]
+    register(dict(zip(names, [spent, t(spark, d, "customer")], strict=True)))
+    try:
+        return spark.sql(
+            f"""
+            SELECT c_mktsegment, sum(n) AS orders, round(sum(total), 2) AS spend
+            FROM {names[0]} JOIN {names[1]} ON o_custkey = c_custkey GROUP BY 1
+            """
+        )
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)

@@ -8,6 +8,7 @@ from plumbline.demos.registry import demo
 from plumbline.functions.stats import share_of
 from plumbline.operators import aggregates, compare, contrast, filters, joins
 from plumbline.operators.percentiles import exact_percentiles
+from plumbline.session import scratch_path
 from plumbline.sources import sinks
 from plumbline.sources.tables import read_table as t
 
@@ -163,7 +164,7 @@ def jn_artifact(spark, d):
 
 @demo("jn_cross", "SELECT count(*) AS joined_rows FROM orders CROSS JOIN nation")
 def jn_cross(spark, d):
-    return joins.fanout_counts(t(spark, d, "orders"), t(spark, d, "nation"))
+    return joins.fanout_counts(t(spark, d, "orders"), t(spark, d, "nation")).select(F.col("joined_rows").cast("bigint").alias("joined_rows"))
 
 
 # --- aggregates ------------------------------------------------------------------------------
@@ -260,10 +261,16 @@ def agg_count_distinct(spark, d):
     )
 
 
-@demo("agg_count_distinct_approx")
+@demo(
+    "agg_count_distinct_approx",
+    "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT o_custkey) AS customers, TRUE AS within_three_errors FROM orders GROUP BY 1",
+)
 def agg_count_distinct_approx(spark, d):
+    """The sketch's estimate held against the exact count, at its relative standard error of 2 %."""
+    error = 0.02
+    exact, estimate = F.count_distinct("o_custkey"), F.approx_count_distinct("o_custkey", error)
     return t(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
-        F.approx_count_distinct("o_custkey").alias("customers")
+        exact.alias("customers"), (F.abs(estimate - exact) <= F.greatest(3 * error * exact, F.lit(1))).alias("within_three_errors")
     )
 
 
@@ -416,6 +423,20 @@ def cmp_strict(spark, d):
     return compare.strict_difference(*_sides(spark, d))
 
 
+@demo(
+    "cmp_strict_wide",
+    """
+    SELECT count(*) FILTER (o_orderkey % 2 = 1) AS only_base, count(*) FILTER (o_orderkey % 2 = 1) AS only_other, FALSE AS equal FROM orders
+    """,
+)
+def cmp_strict_wide(spark, d):
+    """Keys above 2 ** 53, which doubles do not tell apart, against decimals that differ in the last digit of every other row."""
+    orders = t(spark, d, "orders")
+    key = (F.col("o_orderkey") * 4 + F.lit(2**53)).cast("bigint")
+    odd = F.col("o_orderkey") % 2
+    return compare.strict_difference(orders.select(key.alias("k")), orders.select((key + odd).cast("decimal(30,0)").alias("k")))
+
+
 @demo(
     "cmp_variance",
     """
@@ -446,8 +467,8 @@ def cmp_variance(spark, d):
                WHERE l_discount < 0.1 AND l_suppkey % 3 <> 0 GROUP BY 1, 2)
     SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey,
            CASE WHEN a.l_suppkey IS NOT NULL THEN a.f ELSE b.f END AS f,
-           a.q AS q_base, b.q AS q_other,
-           CASE WHEN a.l_suppkey IS NULL THEN 'added' WHEN b.l_suppkey IS NULL THEN 'removed'
+           a.q AS q_base, b.q AS q_other, (a.l_suppkey IS NOT NULL)::BIGINT AS rows_base, CASE WHEN b.l_suppkey IS NULL THEN 0 WHEN b.l_suppkey % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS rows_other,
+           CASE WHEN b.l_suppkey % 5 = 0 THEN 'repeated' WHEN a.l_suppkey IS NULL THEN 'added' WHEN b.l_suppkey IS NULL THEN 'removed'
                 WHEN a.q IS NOT DISTINCT FROM b.q THEN 'same' ELSE 'changed' END AS change
     FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey AND a.f IS NOT DISTINCT FROM b.f
     """,
@@ -458,7 +479,7 @@ def cmp_cellwise(spark, d):
     other = lines.where("l_discount < 0.1 AND l_suppkey % 3 <> 0").groupBy("l_suppkey", "f").agg(
         F.sum("l_quantity").alias("q")
     )
-    return compare.cellwise(base, other, ["l_suppkey", "f"], ["q"])
+    return compare.cellwise(base, other.unionByName(other.where("l_suppkey % 5 = 0")), ["l_suppkey", "f"], ["q"])
 
 
 @demo(
@@ -466,8 +487,7 @@ def cmp_cellwise(spark, d):
     """
     WITH h AS (SELECT sha256(concat_ws(chr(31), coalesce(o_custkey::VARCHAR, chr(0)), coalesce(o_orderkey::VARCHAR, chr(0)),
                                        coalesce(trim(o_orderstatus), chr(0)))) AS h
-               FROM (SELECT o_custkey::VARCHAR || '.0' AS o_custkey, o_orderkey::VARCHAR || '.0' AS o_orderkey, o_orderstatus
-                     FROM orders)),
+               FROM orders),
          w AS (SELECT count(*) AS rows, sum(('0x' || h[1:8])::BIGINT) AS w0, sum(('0x' || h[9:16])::BIGINT) AS w1,
                       sum(('0x' || h[17:24])::BIGINT) AS w2, sum(('0x' || h[25:32])::BIGINT) AS w3 FROM h)
     SELECT rows, sha256(concat_ws('|', rows::VARCHAR, w0::VARCHAR, w1::VARCHAR, w2::VARCHAR, w3::VARCHAR)) AS fingerprint
@@ -552,12 +572,16 @@ def pf_score(spark, d):
     return contrast.contrast_score(contrast.profile_contrast(_profiled(spark, d)))
 
 
-# --- sinks (the rows they write) -------------------------------------------------------------
+# --- sinks, written and read back ------------------------------------------------------------
 
 
-@demo("snk_jsonl", "SELECT event_id, user_id, event_type FROM events")
+@demo("snk_jsonl", "SELECT event_id, user_id, event_type, TRUE AS redacted FROM events")
 def snk_jsonl(spark, d):
-    return sinks.redacted(t(spark, d, "events").drop("ts", "value"), raw=("props",))
+    path = scratch_path(spark, "jsonl")
+    sinks.write_jsonl(t(spark, d, "events").drop("ts", "value"), path, raw=("props",))
+    lines = spark.read.text(path)
+    held = lines.select(F.from_json("value", "event_id bigint, user_id bigint, event_type string, props string").alias("r"), "value")
+    return held.select("r.event_id", "r.user_id", "r.event_type", (~F.contains("value", F.lit('"props"'))).alias("redacted"))
 
 
 @demo(
@@ -565,4 +589,9 @@ def snk_jsonl(spark, d):
     "SELECT DISTINCT sha256(trim(text, ' ')) AS sql_hash, trim(text, ' ') AS sql FROM conversations WHERE text IS NOT NULL",
 )
 def snk_artifacts(spark, d):
-    return sinks.artifacts(t(spark, d, "conversations"), "text")
+    """Written in two parts of which the second holds all texts again: each is stored once."""
+    path = scratch_path(spark, "artifacts")
+    talk = t(spark, d, "conversations")
+    sinks.write_artifacts(talk.where("conv_id % 2 = 0"), "text", path)
+    sinks.write_artifacts(talk, "text", path)
+    return spark.read.parquet(path)

@@ -10,6 +10,7 @@ from plumbline.operators import assertions as A
 from plumbline.operators import probes as P
 from plumbline.operators.suites import Suite
 from plumbline.session import scratch_path
+from plumbline.sources.tables import read_table as t
 from plumbline.streaming import jobs
 
 PROBES = [
@@ -102,6 +103,16 @@ def st_trace_select(spark, d):
     return spark.read.parquet(path).select("trace_id", "metric_id")
 
 
+@demo("st_trace_rejects", "SELECT '{\"trace_id\": ' || event_id AS line FROM events WHERE event_id % 13 = 0")
+def st_trace_rejects(spark, d):
+    folder = scratch_path(spark, "trace-stream")
+    event = F.col("event_id")
+    good = F.to_json(F.struct(event.cast("string").alias("trace_id")))
+    line = F.when(event % 13 == 0, F.concat(F.lit('{"trace_id": '), event)).otherwise(good)
+    t(spark, d, "events").select(line.alias("value")).write.text(folder)
+    return spark.read.parquet(jobs.run_to_table(jobs.trace_rejects(spark, folder), "trace-rejects"))
+
+
 @demo(
     "st_suite_batch",
     """

@@ -360,7 +360,7 @@ class Population(Assertion):
     def frame(self, df, tables, by=()):
         breaking = filters.breaking(tables[self.source_table], self.required_filter)
         return joined_pairs(df, breaking, self.join_key, by=by).select(
-            *by, F.col("pairs").alias("violations"), F.col("entities").alias("observed")
+            *by, F.least("pairs", F.lit(2**63 - 1).cast("decimal(38,0)")).cast("bigint").alias("violations"), F.col("entities").alias("observed")
         )
 
 

@@ -22,16 +22,31 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _canonical(field: T.StructField, digits: int | None) -> Column:
+    """Comparable form: integers and decimals as they are, floating numbers rounded to ``digits``."""
     value = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.NumericType):
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         number = value.cast("double")
         # adding 0.0 turns -0.0 into 0.0
         return (F.round(number, digits) if digits is not None else number) + F.lit(0.0)
+    if isinstance(field.dataType, T.NumericType):
+        return value
     if isinstance(field.dataType, T.StringType):
         return F.trim(value) if digits is not None else value
     return value.cast("string")
 
 
+def _common_type(left: T.DataType, right: T.DataType) -> T.DataType:
+    """The type in which two columns are compared: the wider one, text where there is none."""
+    if left == right:
+        return left
+    if not (isinstance(left, T.NumericType) and isinstance(right, T.NumericType)):
+        return T.StringType()
+    if any(isinstance(x, (T.FloatType, T.DoubleType)) for x in (left, right)):
+        return T.DoubleType()
+    scale = max(x.scale if isinstance(x, T.DecimalType) else 0 for x in (left, right))
+    return T.DecimalType(38, scale) if any(isinstance(x, T.DecimalType) for x in (left, right)) else T.LongType()
+
+
 def _aligned(base: DataFrame, other: DataFrame, digits: int | None) -> tuple[DataFrame, DataFrame] | None:
     """Both sides with the same column names, or None if their widths differ."""
     if len(base.columns) != len(other.columns):
@@ -44,11 +59,8 @@ def _aligned(base: DataFrame, other: DataFrame, digits: int | None) -> tuple[Dat
         return df.select(*[_canonical(f, digits).alias(f"c{i}") for i, f in enumerate(fields)])
 
     left, right = project(base), project(other)
-    for (name, a), (_, b) in zip(left.dtypes, right.dtypes, strict=True):
-        if a != b:
-            left = left.withColumn(name, F.col(name).cast("string"))
-            right = right.withColumn(name, F.col(name).cast("string"))
-    return left, right
+    wide = [_common_type(a.dataType, b.dataType) for a, b in zip(left.schema.fields, right.schema.fields, strict=True)]
+    return tuple(df.select(*[F.col(n).cast(w).alias(n) for n, w in zip(df.columns, wide, strict=True)]) for df in (left, right))
 
 
 def multiset_difference(base: DataFrame, other: DataFrame, digits: int | None = DIGITS) -> DataFrame:
@@ -128,41 +140,44 @@ def variance(base: DataFrame, other: DataFrame) -> DataFrame:
 def cellwise(base: DataFrame, other: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Per grain key: added, removed, changed or same, with both values of each measure.
 
-    Keys are matched with NULL equal to NULL and must be unique per side (test
-    that with a Grain assertion first).
+    Keys are matched with NULL equal to NULL.  A key that a side holds more than once
+    is reported as repeated, with the rows of each side; its values are the largest.
     """
-    def side(df, flag):
-        return df.select(
-            *keys,
-            F.lit(flag).alias("__base"),
-            *[F.round(F.col(v).cast("double"), DIGITS).alias(v) for v in values],
-        )
+    left, right = base.select(*keys, *values), other.select(*keys, *values)
 
-    stacked = side(base, True).unionByName(side(other, False))
+    def side(df, flag):
+        shown = []
+        for v in values:
+            wide = _common_type(left.schema[v].dataType, right.schema[v].dataType)
+            number = F.col(v).cast(wide)
+            shown.append((F.round(number, DIGITS) + F.lit(0.0) if isinstance(wide, T.DoubleType) else number).alias(v))
+        return df.select(*keys, F.lit(flag).alias("__base"), *shown)
+
+    stacked = side(left, True).unionByName(side(right, False))
     picked = []
     for v in values:
         picked.append(F.max(F.when(F.col("__base"), F.col(v))).alias(f"{v}_base"))
         picked.append(F.max(F.when(~F.col("__base"), F.col(v))).alias(f"{v}_other"))
-    merged = stacked.groupBy(*keys).agg(
-        F.bool_or("__base").alias("__in_base"), F.bool_or(~F.col("__base")).alias("__in_other"), *picked
-    )
+    merged = stacked.groupBy(*keys).agg(F.count_if("__base").alias("rows_base"), F.count_if(~F.col("__base")).alias("rows_other"), *picked)
     same = F.lit(True)
     for v in values:
         same = same & F.col(f"{v}_base").eqNullSafe(F.col(f"{v}_other"))
     change = (
-        F.when(~F.col("__in_base"), "added")
-        .when(~F.col("__in_other"), "removed")
+        F.when((F.col("rows_base") > 1) | (F.col("rows_other") > 1), "repeated")
+        .when(F.col("rows_base") == 0, "added")
+        .when(F.col("rows_other") == 0, "removed")
         .when(same, "same")
         .otherwise("changed")
     )
-    return merged.withColumn("change", change).drop("__in_base", "__in_other")
+    return merged.withColumn("change", change)
 
 
 def fingerprint(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """One row: content hash that depends neither on row order nor on partitioning.
 
     The sha256 of each canonical row is cut into four 32-bit words, which are
-    summed over the rows; the sums and the row count are hashed again.
+    summed over the rows (as decimals, which no row count overflows); the sums and
+    the row count are hashed again.
     """
     fields = sorted(df.schema.fields, key=lambda f: f.name)
     cells = [F.coalesce(_canonical(f, digits).cast("string"), F.lit("\u0000")) for f in fields]
@@ -170,7 +185,7 @@ def fingerprint(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)]
     summed = hashed.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.coalesce(F.sum(w), F.lit(0)).cast("string").alias(f"w{i}") for i, w in enumerate(words)],
+        *[F.coalesce(F.sum(w.cast("decimal(18,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"w{i}") for i, w in enumerate(words)],
     )
     return summed.select(
         "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), "w0", "w1", "w2", "w3"), 256).alias("fingerprint")

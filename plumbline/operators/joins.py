@@ -38,6 +38,10 @@ def orphan_keys(
     return met.where(F.col("lowest") == 1).select("key", "child_rows")
 
 
+#: Row counts as decimals: the product of two sides of a hot key leaves the range of a bigint.
+_COUNT = "decimal(19,0)"
+
+
 def joined_pairs(
     left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -50,7 +54,7 @@ def joined_pairs(
         lefts.join(rights, "key")
         .groupBy(*by)
         .agg(
-            F.coalesce(F.sum(F.col("n_left") * F.col("n_right")), F.lit(0)).cast("bigint").alias("pairs"),
+            F.coalesce(F.sum(F.col("n_left").cast(_COUNT) * F.col("n_right").cast(_COUNT)), F.lit(0)).cast("decimal(38,0)").alias("pairs"),
             F.count(F.lit(1)).alias("entities"),
         )
     )
@@ -64,4 +68,4 @@ def lookup(rows: DataFrame, dimension: DataFrame, on: Sequence[str] | str, requi
 def fanout_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Row count of a join that lost its condition, from the two counts alone."""
     n_right = right.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return left.agg((F.count(F.lit(1)) * n_right).alias("joined_rows"))
+    return left.agg((F.count(F.lit(1)).cast(_COUNT) * n_right.cast(_COUNT)).cast("decimal(38,0)").alias("joined_rows"))

@@ -20,8 +20,12 @@ def select_traces(traces: DataFrame) -> DataFrame:
     return traces.where(F.col("decision").isin(*REPLAYED_DECISIONS) & named)
 
 
-def _bucket(identity: Column, buckets: int) -> Column:
-    return F.conv(F.substring(F.md5(identity), 1, 8), 16, 10).cast("bigint") % buckets
+#: Bits of the id's hash that decide on a trace.
+HASH_BITS = 60
+
+
+def _place(identity: Column) -> Column:
+    return F.conv(F.substring(F.md5(identity), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def sample_traces(
@@ -41,7 +45,7 @@ def sample_traces(
         for column, value in zip(strata, values, strict=True):
             match = match & (F.col(column) == value)
         share = F.when(match, F.lit(float(other))).otherwise(share)
-    return traces.where(_bucket(F.col("trace_id").cast("string"), 10_000) < share * 10_000)
+    return traces.where(_place(F.col("trace_id").cast("string")) < share * float(2**HASH_BITS))
 
 
 def suite_specs(contracts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,18 +38,37 @@ _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
+    """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a session without the setting (a local test) gets a temporary folder.
+    A session of one process that does not set it (a local test) gets a temporary
+    folder; on a cluster parts written to one machine's disk would be lost, so there it is an error.
     """
     global _local_dir
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors of {master} share")
         _local_dir = _local_dir or tempfile.mkdtemp(prefix="plumbline-")
         folder = _local_dir
     return folder.rstrip("/")
 
 
+def _file_status(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getFileStatus(target) if files.exists(target) else None
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return _file_status(spark, path) is not None
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    status = _file_status(spark, path)
+    return status is not None and status.isDirectory()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never reused path below the shared folder."""
     return f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"

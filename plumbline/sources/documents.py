@@ -50,17 +50,24 @@ def _contract_json(content: bytes | str) -> tuple[str | None, str | None]:
 
     try:
         data = yaml.safe_load(content)
-    except yaml.YAMLError as error:
-        return None, f"unreadable: {str(error).splitlines()[0]}"
+    except (yaml.YAMLError, ValueError, RecursionError) as error:
+        return None, f"unreadable: {(str(error).splitlines() or [''])[0]}"
     if not isinstance(data, dict) or not data.get("metric"):
         return None, "no metric"
+    shapes = {"metadata": dict, "tags": list, "dimensions": list, "invariants": dict, "provenance": dict}
+    odd = sorted(name for name, shape in shapes.items() if data.get(name) is not None and not isinstance(data[name], shape))
+    if odd:
+        return None, f"wrong type: {', '.join(odd)}"
     data["urn"] = data.get("urn") or data.get("id")
     data["version"] = None if data.get("version") is None else str(data["version"])
-    data["metadata"] = {k: str(v) for k, v in (data.get("metadata") or {}).items()}
+    data["metadata"] = {str(k): str(v) for k, v in (data.get("metadata") or {}).items()}
     if data.get("domain"):
         data["metadata"].setdefault("domain", str(data["domain"]))
-    data["probes"] = json.dumps(data.get("probes") or {}, sort_keys=True, default=str)
-    return json.dumps(data, default=str), None
+    try:
+        data["probes"] = json.dumps(data.get("probes") or {}, sort_keys=True, default=str)
+        return json.dumps(data, default=str), None
+    except (TypeError, ValueError) as error:
+        return None, f"no JSON form: {error}"
 
 
 def parse_contracts(documents: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -76,25 +83,25 @@ def parse_contracts(documents: DataFrame, path: str = "path", content: str = "co
     return parsed.select("path", F.from_json("doc", CONTRACT_SCHEMA).alias("contract"), "reject")
 
 
-def read_contracts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Contracts below a folder, one per metric, and the refused documents.
+def read_contracts(spark: SparkSession, folder: str, suffixes: str = DOCUMENT_SUFFIXES) -> tuple[DataFrame, DataFrame]:
+    """Contracts below a folder, one per metric, and the refused documents with the reason.
 
-    Of several documents for one metric the one with the smallest path is taken.
+    Of several documents for one metric the one with the smallest path is taken; the
+    others are refused.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(folder)
-        .where(F.col("path").rlike(DOCUMENT_SUFFIXES))
+        .where(F.col("path").rlike(suffixes))
     )
     parsed = parse_contracts(files)
-    accepted = (
-        parsed.where(F.col("reject").isNull())
-        .groupBy("contract.metric")
-        .agg(F.min_by("contract", "path").alias("c"), F.min("path").alias("path"))
-        .select("c.*", "path")
-    )
-    return accepted, parsed.where(F.col("reject").isNotNull()).select("path", "reject")
+    good = parsed.where(F.col("reject").isNull()).withColumn("metric", F.col("contract.metric"))
+    taken = good.groupBy("metric").agg(F.min_by("contract", "path").alias("c"), F.min("path").alias("path"))
+    accepted = taken.select("c.*", "path")
+    further = good.select("metric", "path").join(taken.select("metric", F.col("path").alias("first")), "metric").where("path <> first")
+    rejects = parsed.where(F.col("reject").isNotNull()).select("path", "reject")
+    return accepted, rejects.unionByName(further.select("path", F.lit("further document of its metric").alias("reject")))
 
 
 def contract_rules(contracts: DataFrame) -> DataFrame:
@@ -138,6 +145,6 @@ def manifest_nodes(documents: DataFrame, content: str = "content") -> DataFrame:
     return exploded.select("node_id", "node.*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of a manifest file; the file is one document, so it is read whole."""
-    return manifest_nodes(spark.read.text(path, wholetext=True), "value")
+def read_manifest(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Nodes of manifest files: a file is one document and so one row of one task, or (``whole=False``) has a document on each line."""
+    return manifest_nodes(spark.read.text(path, wholetext=whole), "value")

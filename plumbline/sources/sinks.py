@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import text_hash
 from plumbline.operators.drift import finding_level, rule_catalogue
+from plumbline.session import path_exists
 
 
 def redacted(rows: DataFrame, raw: Sequence[str] = ("final_sql_raw",)) -> DataFrame:
@@ -33,12 +33,9 @@ def artifacts(rows: DataFrame, column: str) -> DataFrame:
 def write_artifacts(rows: DataFrame, column: str, path: str) -> None:
     """Append the texts that the store does not hold yet."""
     fresh = artifacts(rows, column)
-    try:
-        held = rows.sparkSession.read.parquet(path).select("sql_hash")
-    except AnalysisException:  # no store yet
-        held = None
-    if held is not None:
-        fresh = fresh.join(held, "sql_hash", "left_anti")
+    spark = rows.sparkSession
+    if path_exists(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select("sql_hash"), "sql_hash", "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
@@ -53,6 +50,13 @@ def findings_report(findings: DataFrame, message: Column | None = None) -> tuple
     return rows, rule_catalogue(findings)
 
 
+def write_findings(findings: DataFrame, path: str, message: Column | None = None) -> None:
+    """Findings and rule catalogue as JSON lines, in a folder each."""
+    rows, rules = findings_report(findings, message)
+    rows.write.json(f"{path}/findings")
+    rules.write.json(f"{path}/rules")
+
+
 def write_pairs(formatted: DataFrame, split: Column, path: str, only: str | None = None, mode: str = "overwrite") -> None:
     """JSON lines, one folder per split."""
     rows = formatted.withColumn("split", split)

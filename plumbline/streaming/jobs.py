@@ -17,17 +17,21 @@ from plumbline.operators.governance import check_compliance, decide
 from plumbline.operators.probes import Probe
 from plumbline.operators.replay import select_traces
 from plumbline.operators.suites import Suite, run_suite
-from plumbline.session import scratch_path
+from plumbline.session import is_folder, scratch_path
 from plumbline.sources.documents import TRACE_SCHEMA
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, time_column: str = "ts", per_trigger: int | None = None) -> DataFrame:
-    """The files of one table as a stream, with a proper event time."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """The files of one table, a single file or a folder of part files, as a stream with a proper event time.
+
+    ``per_trigger`` bounds the files of a micro-batch; without it a backlog is one batch.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    stream = reader.parquet(folder)
+    # a stream reads folders, so a single file is picked out of its own
+    stream = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return stream.withColumn(time_column, F.col(time_column).cast("timestamp"))
 
 
@@ -58,12 +62,31 @@ def decision_stream(requests: DataFrame, contracts: DataFrame, strict: bool = Tr
     return decide(check_compliance(requests, contracts), strict, breach_is_error)
 
 
+_BROKEN = "__broken"
+
+
+def _trace_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a growing folder with the trace each holds; the text stays for those that hold none."""
+    schema = f"{TRACE_SCHEMA}, {_BROKEN} string"
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
+    return spark.readStream.text(folder).where(F.trim("value") != "").select("value", parsed.alias("row"))
+
+
+def _is_broken() -> Column:
+    return F.col("row").isNull() | F.col(f"row.{_BROKEN}").isNotNull()
+
+
 def trace_stream(spark: SparkSession, folder: str, delay: str = "1 hour") -> DataFrame:
-    """Replayable traces of a growing folder, each trace id once within the delay."""
-    traces = spark.readStream.schema(TRACE_SCHEMA).json(folder)
+    """Replayable traces of a growing folder, each trace id once within the delay; ``trace_rejects`` has the other lines."""
+    traces = _trace_lines(spark, folder).where(~_is_broken()).select("row.*").drop(_BROKEN)
     return unique_traces(traces.withColumn("event_time", F.timestamp_seconds("timestamp")), delay)
 
 
+def trace_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The malformed lines of the same folder, to be run into a table of their own."""
+    return _trace_lines(spark, folder).where(_is_broken()).select(F.col("value").alias("line"))
+
+
 def unique_traces(traces: DataFrame, delay: str = "1 hour", time_column: str = "event_time") -> DataFrame:
     timed = select_traces(traces).withWatermark(time_column, delay)
     return timed.dropDuplicatesWithinWatermark(["trace_id"])
@@ -89,6 +112,8 @@ def suite_per_batch(
 ) -> StreamingQuery:
     """Run a suite on each micro-batch; results land under their batch id.
 
+    Each batch is judged on its own: ``Unique`` and ``Grain`` see repeats within a batch, not
+    across batches (``dropDuplicatesWithinWatermark`` before it is the way to those).
     A batch that is retried overwrites its own folder, so results stay exact.
     """
 

@@ -205,3 +205,40 @@ def test_suite_per_batch(spark, tmp_path):
     assert {(r["batch_id"], r["name"], r["violations"]) for r in results} == {
         (0, "not_null_a", 1), (0, "unique_a", 0), (1, "not_null_a", 0), (1, "unique_a", 1),
     }
+
+
+def test_streams_read_a_file_and_a_folder_of_parts_alike(spark, sf, tmp_path):
+    from plumbline.demos.streams import st_probe_window
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    one = sorted(tuple(r) for r in st_probe_window(spark, sf).collect())
+    assert one and sorted(tuple(r) for r in st_probe_window(spark, str(tmp_path)).collect()) == one
+
+
+def test_malformed_trace_lines_are_kept(spark, tmp_path):
+    good = json.dumps({"trace_id": "t", "timestamp": 1.0, "metric_id": "m", "sql": "s", "decision": "ALLOW"})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(f"{good}\n\n{{broken\n[1]\n")
+    rejects = jobs.run_to_table(jobs.trace_rejects(spark, str(tmp_path / "in")), "r", str(tmp_path / "out"))
+    assert "{broken" in {r["line"] for r in spark.read.parquet(rejects).collect()}
+    traces = jobs.run_to_table(jobs.trace_stream(spark, str(tmp_path / "in")), "t", str(tmp_path / "out2"))
+    assert [r["trace_id"] for r in spark.read.parquet(traces).collect()] == ["t"]
+
+
+@pytest.mark.parametrize("odd", ["metadata: [1]", "metadata: text", "tags: {a: 1}", "invariants: [1]", "dimensions: abc", "provenance: x"])
+def test_documents_of_odd_shape_are_refused(spark, odd):
+    df = spark.createDataFrame([("a", f"metric: m\n{odd}\n"), ("b", "metric: n\n")], "path string, content string")
+    rows = rows_by(documents.parse_contracts(df), "path")
+    assert rows["a"]["reject"].startswith("wrong type") and rows["b"]["reject"] is None
+
+
+def test_a_cluster_without_shared_folder_is_an_error():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

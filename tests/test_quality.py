@@ -312,3 +312,15 @@ def test_percentiles_match_the_built_in_aggregate(spark):
     close = spark.range(3000).selectExpr("1 + id * pow(2D, -52) as v")
     assert first(exact_percentiles(close, "v", {"p": 0.5}))["p"] == pytest.approx(1 + 1499.5 * 2**-52, rel=1e-16)
     assert exact_percentiles(df.limit(0), "v", {"p": 0.5}).count() == 0
+
+
+def test_integers_and_decimals_are_compared_exactly(spark):
+    big = spark.sql("SELECT 9007199254740993L AS v, 'k' AS k")
+    less = spark.sql("SELECT 9007199254740992L AS v, 'k' AS k")
+    wide = spark.sql("SELECT CAST(9007199254740993 AS DECIMAL(30,0)) AS v, 'k' AS k")
+    assert not first(compare.strict_difference(big, less))["equal"] and not first(compare.multiset_difference(big, less))["equal"]
+    assert first(compare.strict_difference(big, wide))["equal"]
+    assert first(compare.cellwise(big, less, ["k"], ["v"]))["change"] == "changed"
+    repeated = first(compare.cellwise(big, less.union(less), ["k"], ["v"]))
+    assert (repeated["change"], repeated["rows_base"], repeated["rows_other"]) == ("repeated", 1, 2)
+    assert first(compare.fingerprint(big))["fingerprint"] != first(compare.fingerprint(less))["fingerprint"]
