@@ -2,81 +2,128 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CLAIM_SCHEMA = (
-    "source_file string, repository string, organization string, reference_path string, "
-    "commit_sha string, claimed_symbols array<string>"
-)
-SYMBOL_BUCKETS = 16
+PARSED = "n string, block struct<repository:string,organization:string,reference_path:string,commit_sha:string>, symbols array<string>, reject string"
+#: Symbols of a claim that are looked for together, and parts that a repository's files are dealt into.
+SYMBOLS_TOGETHER = 64
+FILE_PARTS = 32
 
 
-def _claim(source: str, text: str) -> dict | None:
-    """The provenance block of a YAML document, else its comment header."""
-    import yaml
+def extract_claims(documents: DataFrame, name: str = "source_file", text: str = "text") -> DataFrame:
+    """One row per document that makes a provenance claim: in a block, else in comment headers.
 
-    try:
-        data = yaml.safe_load(text)
-    except yaml.YAMLError:
-        data = None
-    data = data if isinstance(data, dict) else {}
-    block = data.get("provenance")
-    if isinstance(block, dict) and block.get("repository"):
-        return {
-            "source_file": source,
-            "repository": str(block["repository"]),
-            "organization": block.get("organization"),
-            "reference_path": block.get("reference_path"),
-            "commit_sha": None if block.get("commit_sha") is None else str(block["commit_sha"]),
-            "claimed_symbols": [str(s) for s in block.get("verified_symbols") or []],
-        }
-    if "# Provenance:" not in text:
-        return None
-
-    def header(field, pattern):
-        found = re.search(rf"#\s*{field}:\s*({pattern})", text)
-        return found.group(1).strip() if found else None
-
-    repository = header("Repository", r"\S+")
-    if repository is None:
-        return None
-    symbols = []
-    for model in data.get("models") or []:
-        for column in model.get("columns") or []:
-            symbols += [str(column["name"])] if "name" in column else []
-            for test in column.get("tests") or []:
-                if isinstance(test, dict) and isinstance(test.get("accepted_values"), dict):
-                    symbols += [str(v) for v in test["accepted_values"].get("values") or []]
-    return {
-        "source_file": source,
-        "repository": repository,
-        "organization": header("Organization", ".+"),
-        "reference_path": header("Reference", ".+"),
-        "commit_sha": None,
-        "claimed_symbols": symbols,
-    }
+    Documents without either marker are dropped before they reach Python; headers
+    are read without it.  ``refused_claims`` has the documents whose parts have another
+    type than a claim's.
+    """
+    found = _parsed(documents, name, text).where("reject IS NULL")
+    in_block = F.col("block.repository").isNotNull()
+    headers = {f: F.nullif(F.trim(F.regexp_extract("t", rf"#[ \t]*{f}:[ \t]*({value})", 1)), F.lit("")) for f, value in (("Repository", r"\S+"), ("Organization", ".+"), ("Reference", ".+"))}
+    marked = F.contains("t", F.lit("# Provenance:"))
+
+    def either(field, header):
+        return F.when(in_block, F.col(f"block.{field}")).otherwise(headers[header])
+
+    claims = found.select(
+        F.col("n").alias("source_file"),
+        either("repository", "Repository").alias("repository"),
+        either("organization", "Organization").alias("organization"),
+        either("reference_path", "Reference").alias("reference_path"),
+        F.col("block.commit_sha").alias("commit_sha"),
+        F.col("symbols").alias("claimed_symbols"),
+        (in_block | marked).alias("claims"),
+    )
+    return claims.where("claims AND repository IS NOT NULL").drop("claims")
 
 
-def extract_claims(documents: DataFrame, name: str = "source_file", text: str = "text") -> DataFrame:
-    """One row per document that makes a provenance claim.
+def refused_claims(documents: DataFrame, name: str = "source_file", text: str = "text") -> DataFrame:
+    """Documents with a provenance marker that cannot be read as a claim, and why."""
+    return _parsed(documents, name, text).where("reject IS NOT NULL").select(F.col("n").alias("source_file"), "reject")
 
-    Documents without either marker are dropped before they reach Python.
-    """
+
+def _parsed(documents: DataFrame, name: str, text: str) -> DataFrame:
     marked = F.contains(F.col(text), F.lit("provenance:")) | F.contains(F.col(text), F.lit("# Provenance:"))
+    slim = documents.where(marked).select(F.col(name).cast("string").alias("n"), F.col(text).alias("t"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in CLAIM_SCHEMA.split(", ")]
         for batch in batches:
-            claims = [_claim(n, t) for n, t in zip(batch["n"], batch["t"], strict=True)]
-            yield pd.DataFrame([c for c in claims if c is not None], columns=columns)
+            rows = [_declared(t) for t in batch["t"]]
+            out = pd.DataFrame(rows, columns=["block", "symbols", "reject"])
+            yield out.assign(n=batch["n"].values, t=batch["t"].values)[["n", "block", "symbols", "reject", "t"]]
 
-    slim = documents.where(marked).select(F.col(name).cast("string").alias("n"), F.col(text).alias("t"))
-    return slim.mapInPandas(parse, CLAIM_SCHEMA)
+    return slim.mapInPandas(parse, f"{PARSED}, t string")
+
+
+def _leaves(node, path: tuple[str, ...]):
+    """The texts at a path of names and ``*`` (every entry of a list); a part of another type raises TypeError.
+
+    A plain text where a mapping is asked for inside a list is an entry without it.
+    """
+    if node is None:
+        return
+    if not path:
+        if isinstance(node, (dict, list)):
+            raise TypeError("a text")
+        yield str(node)
+    elif path[0] == "*":
+        if not isinstance(node, list):
+            raise TypeError("a list")
+        for entry in node:
+            if path[1:] and isinstance(entry, str):
+                continue
+            yield from _leaves(entry, path[1:])
+    elif isinstance(node, dict):
+        yield from _leaves(node.get(path[0]), path[1:])
+    else:
+        raise TypeError("a mapping")
+
+
+def _one(node, name: str) -> str | None:
+    return next(_leaves(node, (name,)), None)
+
+
+def _declared(text: str) -> tuple[dict | None, list[str], str | None]:
+    """Provenance block, claimed symbols and, for a document of another shape, what was expected.
+
+    Text that is no YAML may still hold headers, so it is no reject.
+    """
+    import yaml
+
+    try:
+        data = yaml.safe_load(text)
+    except (yaml.YAMLError, ValueError, RecursionError):
+        return None, [], None
+    if not isinstance(data, dict):
+        return None, [], None
+    part = "provenance"
+    try:
+        block = data.get("provenance")
+        if block is not None and _one(block, "repository"):
+            names = ("repository", "organization", "reference_path", "commit_sha")
+            return {n: _one(block, n) for n in names}, list(_leaves(block, ("verified_symbols", "*"))), None
+        part = "models"
+        symbols: list[str] = []
+        for model in _entries(data, "models"):
+            for column in _entries(model, "columns"):
+                symbols += _leaves(column, ("name",))
+                symbols += _leaves(column, ("tests", "*", "accepted_values", "values", "*"))
+        return None, symbols, None
+    except TypeError as wanted:
+        return None, [], f"{part}: expected {wanted}"
+
+
+def _entries(node, name: str) -> list[dict]:
+    held = node.get(name) if isinstance(node, dict) else None
+    if held is None and isinstance(node, dict):
+        return []
+    if not isinstance(held, list):
+        raise TypeError("a list" if isinstance(node, dict) else "a mapping")
+    return held
 
 
 def find_symbols(claims: DataFrame, files: DataFrame, on: str = "file_id", symbols: str = "symbols", text: str = "text") -> DataFrame:
@@ -119,17 +166,20 @@ def verify_claims(claims: DataFrame, files: DataFrame) -> DataFrame:
         "file_exists", F.col("found").isNotNull()
     )
 
-    # claims on a whole repository: its distinct symbols, in small lists, meet each file once
+    # claims on a whole repository: its distinct symbols, in lists of about SYMBOLS_TOGETHER, meet each file once;
+    # the files are dealt into parts and the lists repeated for each, so one large repository is no single key
     open_claims = claims.where(F.col("reference_path").isNull())
+    names = open_claims.select("repository", F.explode("claimed_symbols").alias("symbol")).distinct()
+    lists = names.groupBy("repository").agg(F.ceil(F.count(F.lit(1)) / SYMBOLS_TOGETHER).alias("lists"))
     wanted = (
-        open_claims.select("repository", F.explode("claimed_symbols").alias("symbol"))
-        .distinct()
-        .withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(SYMBOL_BUCKETS)))
-        .groupBy("repository", "bucket")
+        names.join(lists, "repository")
+        .groupBy("repository", F.pmod(F.xxhash64("symbol"), F.col("lists")).alias("list"))
         .agg(F.collect_list("symbol").alias("symbols"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FILE_PARTS - 1))))
     )
     present = (
-        texts.join(wanted, "repository")
+        texts.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(FILE_PARTS)).cast("int"))
+        .join(wanted, ["repository", "part"])
         .select("repository", F.explode(F.filter("symbols", lambda s: F.contains(F.col("__text"), s))).alias("symbol"))
         .distinct()
     )

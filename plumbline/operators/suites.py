@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -31,60 +31,35 @@ TYPE_ALIASES = {
 CANONICAL_TYPE = {alias: kind for kind, aliases in TYPE_ALIASES.items() for alias in aliases}
 
 
-def _first(conf: Mapping, *keys, default=None):
-    """First key that is present and not None; 0 and empty text count as present."""
-    for key in keys:
-        if conf.get(key) is not None:
-            return conf[key]
-    return default
+DECLARABLE = {cls.kind: cls for cls in (A.NotNull, A.Unique, A.RowCount, A.AcceptedRange, A.AcceptedValues, A.Relationships, A.Singular, A.Population, A.MetricValue, A.Grain, A.NonNegative)}
+
+# Other names for an assertion's fields, first the preferred one, and values for fields that are not declared.
+FIELD_NAMES = {
+    ("grain", "columns"): ("columns", "grain_columns"),
+    ("relationships", "from_column"): ("from_column", "column"),
+    ("relationships", "to_column"): ("to_column", "field"),
+    ("population", "required_filter"): ("expression", "required_filter"),
+    ("metric_value", "expected"): ("expected", "expected_value"),
+}
+FIELD_DEFAULTS = {("singular_sql_test", "name"): "singular_sql_test", ("metric_value", "column"): "net_revenue"}
 
 
 def assertion_from_dict(conf: Mapping) -> A.Assertion | None:
-    """The declared assertion, or None for a type that is not supported."""
+    """The declared assertion, or None for a type that is not supported.
+
+    An assertion class takes its own fields, under their names or those of
+    ``FIELD_NAMES``; 0 and empty text count as declared, None does not.
+    """
     kind = CANONICAL_TYPE.get(str(conf.get("type", "")).lower())
-    name = conf.get("name")
-    if kind == "not_null":
-        return A.NotNull(name, tuple(conf.get("columns", ())))
-    if kind == "unique":
-        return A.Unique(name, tuple(conf.get("columns", ())))
-    if kind == "grain":
-        return A.Grain(name, tuple(_first(conf, "columns", "grain_columns", default=())))
-    if kind == "row_count":
-        return A.RowCount(name, _first(conf, "min_rows", default=1), conf.get("max_rows"))
-    if kind == "accepted_range":
-        return A.AcceptedRange(
-            name, conf.get("column", ""), conf.get("min_value"), conf.get("max_value"), conf.get("inclusive", True)
-        )
-    if kind == "accepted_values":
-        return A.AcceptedValues(name, conf.get("column", ""), tuple(conf.get("values", ())), conf.get("quote", True))
-    if kind == "relationships":
-        return A.Relationships(
-            name,
-            _first(conf, "from_column", "column", default=""),
-            conf.get("to_table", ""),
-            _first(conf, "to_column", "field", default=""),
-        )
-    if kind == "singular_sql_test":
-        return A.Singular(name or "singular_sql_test", conf.get("sql", ""))
-    if kind == "population":
-        return A.Population(
-            name,
-            _first(conf, "source_table", default="transactions"),
-            _first(conf, "expression", "required_filter", default="1=1"),
-            _first(conf, "join_key", default="customer_id"),
-        )
-    if kind == "metric_value":
-        return A.MetricValue(
-            name,
-            _first(conf, "column", default="net_revenue"),
-            _first(conf, "expected", "expected_value"),
-            conf.get("min_value"),
-            conf.get("max_value"),
-            _first(conf, "tolerance_pct", default=0.01),
-        )
-    if kind == "non_negative":
-        return A.NonNegative(name)
-    return None
+    if kind is None:
+        return None
+    given = {}
+    for own in fields(DECLARABLE[kind]):
+        place = (kind, own.name)
+        value = next((conf[n] for n in FIELD_NAMES.get(place, (own.name,)) if conf.get(n) is not None), FIELD_DEFAULTS.get(place))
+        if value is not None:
+            given[own.name] = tuple(value) if isinstance(own.default, tuple) else value
+    return DECLARABLE[kind](**given)
 
 
 @dataclass

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,27 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers once, unless they find it by themselves (installed, on PYTHONPATH, or in the working directory)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in found or os.path.abspath(os.getcwd()) == root or "site-packages" in root or context.applicationId in _shipped:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="plumbline-"), "plumbline.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "plumbline")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)  # Spark copies it to every executor
+    _shipped.add(context.applicationId)
+
+
 _local_dir: str | None = None
 
 

@@ -6,6 +6,8 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.session import ship
+
 # Schema and rows of the default table.
 TRANSACTIONS_SCHEMA = (
     "transaction_id string, customer_id string, transaction_date timestamp, amount double, "
@@ -14,6 +16,7 @@ TRANSACTIONS_SCHEMA = (
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 

@@ -543,3 +543,20 @@ def test_survivors(spark):
     rows = rows_by(scoring.explain_survivors(df, scoring.survivor_taxonomy(spark)), "model")
     assert rows["ad_campaign_roas"]["root_cause_category"] == "MISSING_CONTRACT" and rows["other"]["severity"] is None
     assert scoring.explain_survivors(df, scoring.survivor_taxonomy(spark), "other").count() == 1
+
+
+def test_claims_of_odd_shape_are_refused(spark):
+    odd = {
+        "symbols": "provenance: {repository: r, verified_symbols: abc}",
+        "models": "# Provenance: x\n# Repository: r\nmodels: {a: 1}",
+        "column": "# Provenance: x\n# Repository: r\nmodels: [{columns: [a]}]",
+        "block": "provenance: [1]",
+    }
+    fine = {
+        "header": "# Provenance: x\n# Repository: r\n# Reference: a, b\nmodels: [{columns: [{name: n, tests: [unique, {accepted_values: {values: [1, v]}}]}]}]",
+        "no_yaml": "# Provenance: x\n# Repository: r\n{",
+    }
+    docs = spark.createDataFrame(list((odd | fine).items()), "source_file string, text string")
+    assert {r["source_file"] for r in PV.refused_claims(docs).collect()} == set(odd)
+    claims = rows_by(PV.extract_claims(docs), "source_file")
+    assert set(claims) == set(fine) and claims["header"]["claimed_symbols"] == ["n", "1", "v"] and claims["header"]["reference_path"] == "a, b"
