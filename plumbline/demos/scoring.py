@@ -10,7 +10,11 @@ from plumbline.demos.registry import demo
 from plumbline.functions.stats import wilson_interval
 from plumbline.operators import assertions as A
 from plumbline.operators import scoring
+from plumbline.operators.governance import check_compliance
 from plumbline.operators.suites import Suite
+from plumbline.plans.variants import BASE, derive, run_variants
+from plumbline.session import scratch_path, stored
+from plumbline.sources import sinks
 from plumbline.sources.tables import read_table as t
 
 E = derived.EVALUATIONS
@@ -163,38 +167,6 @@ def hs_false_pos(spark, d):
     )
 
 
-@demo(
-    "hs_ladder",
-    f"""
-    WITH {derived.QUERY_LOG},
-    flags AS (SELECT *, k % 31 <> 0 AS syntax_ok, k % 6 <> 0 AS tier1_ok, k % 5 <> 0 AS project_ok, k % 8 <> 0 AS non_negative_ok,
-                     k % 3 <> 0 AS contract_ok, k % 4 <> 0 AS semantic_ok FROM query_log),
-    verdicts AS (
-      SELECT 0 AS tier, NOT syntax_ok AS caught, latency_ms FROM flags
-      UNION ALL SELECT 1, NOT tier1_ok, latency_ms FROM flags
-      UNION ALL SELECT 2, NOT tier1_ok OR NOT (project_ok AND non_negative_ok), latency_ms FROM flags
-      UNION ALL SELECT 3, NOT contract_ok, latency_ms FROM flags
-      UNION ALL SELECT 4, NOT semantic_ok, latency_ms FROM flags)
-    SELECT tier, count(*) FILTER (WHERE caught) AS caught, count(*) AS valid,
-           round(count(*) FILTER (WHERE caught)::DOUBLE / count(*) * 100, 2) AS catch_rate_pct,
-           round(quantile_cont(latency_ms, 0.5), 2) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 2) AS p95_ms
-    FROM verdicts GROUP BY 1
-    """,
-)
-def hs_ladder(spark, d):
-    k = F.col("k")
-    flags = derived.query_log(spark, d).select(
-        "latency_ms",
-        (k % 31 != 0).alias("syntax_ok"),
-        (k % 6 != 0).alias("tier1_ok"),
-        (k % 5 != 0).alias("project_ok"),
-        (k % 8 != 0).alias("non_negative_ok"),
-        (k % 3 != 0).alias("contract_ok"),
-        (k % 4 != 0).alias("semantic_ok"),
-    )
-    return scoring.ladder(scoring.tier_verdicts(flags).select("tier", "caught", "latency_ms"))
-
-
 @demo(
     "hs_tier1",
     """
@@ -230,32 +202,6 @@ def hs_survivors(spark, d):
     return found.groupBy("model", "operator", "root_cause_category").agg(F.count(F.lit(1)).alias("survivors"))
 
 
-@demo(
-    "hs_checks",
-    f"""
-    WITH {E}
-    SELECT model, operator, bool_and(NOT (tax > 0.06)) AS schema_ok, bool_and(flag <> 'R') AS value_ok, NULL::BOOLEAN AS volume_ok,
-           NULL::BOOLEAN AS nulls_ok, NULL::BOOLEAN AS freshness_ok,
-           bool_or(tax > 0.06 OR flag = 'R') AS caught, NOT bool_or(tax > 0.06 OR flag = 'R') AS blind_spot
-    FROM evaluations WHERE suite = 'semantic' GROUP BY ALL
-    """,
-)
-def hs_checks(spark, d):
-    results = derived.evaluations(spark, d).where("suite = 'semantic'").select(
-        "model",
-        "operator",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(kind).alias("type"), (~F.array_contains("assertions_failed", kind)).alias("passed"))
-                    for kind in ("grain", "population")
-                ]
-            )
-        ),
-    )
-    return scoring.check_matrix(results, ["model", "operator"])
-
-
 def _suites():
     standard = Suite(
         "standard",
@@ -281,7 +227,8 @@ def net_revenue_kill_matrix(spark, d):
     return scoring.kill_matrix(NET_REVENUE, order_lines(spark, d), _suites(), {"orders": orders})
 
 
-def _kill_sql():
+def _matrix_ctes():
+    """m: the variants' rows; checks: what each assertion that can object says."""
     base = "l_linestatus = 'O' AND o_orderstatus = 'F'"
 
     def one(label, where, sign="-", swap=False, grain=False):
@@ -301,14 +248,19 @@ def _kill_sql():
         one("MATH_OPERATOR_INVERT", base, sign="+"),
     ]
     return f"""
-    WITH m AS ({" UNION ALL ".join(parts)}),
+    m AS ({" UNION ALL ".join(parts)}),
     b AS (SELECT count(*) AS n FROM m WHERE variant = 'BASE'),
     bad AS (SELECT o_custkey AS customer_id, count(*) AS c FROM orders WHERE NOT (o_orderstatus = 'F') GROUP BY 1),
     diffs AS (SELECT variant, count(*) AS variant_rows FROM m WHERE variant <> 'BASE' GROUP BY 1),
     checks AS (
       SELECT variant, 'standard' AS suite, 'nulls' AS name, count(*) FILTER (WHERE reporting_month IS NULL) > 0 AS failed FROM m GROUP BY 1
       UNION ALL SELECT variant, 'semantic', 'plausible', count(*) FILTER (WHERE abs(v) > 250000) > 0 FROM m GROUP BY 1
-      UNION ALL SELECT variant, 'semantic', 'finished', count(*) > 0 FROM m JOIN bad USING (customer_id) GROUP BY 1),
+      UNION ALL SELECT variant, 'semantic', 'finished', count(*) > 0 FROM m JOIN bad USING (customer_id) GROUP BY 1)"""
+
+
+def _kill_sql():
+    return f"""
+    WITH {_matrix_ctes()},
     failed AS (SELECT variant, suite, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE failed), '') AS assertions_failed FROM checks GROUP BY 1, 2)
     SELECT 'net_revenue' AS model, suite, variant AS operator, b.n AS base_rows, variant_rows, assertions_failed,
            CASE WHEN assertions_failed <> '' THEN 'VALID_DEFECT_DETECTED' ELSE 'VALID_DEFECT_SURVIVED' END AS classification
@@ -329,17 +281,79 @@ def hs_kill_matrix(spark, d):
     )
 
 
+def _results(spark, d):
+    """The variants of one metric, and both suites run on each."""
+    source = order_lines(spark, d)
+    variants = [v for v in derive(NET_REVENUE, source) if v.error is None]
+    long = stored(run_variants(NET_REVENUE, source, store=True), "long-net-revenue")
+    orders = t(spark, d, "orders").withColumnRenamed("o_custkey", "customer_id")
+    return variants, long, scoring.assertion_results(long, _suites(), {"orders": orders}, [v.fault for v in variants])
+
+
+@demo(
+    "hs_checks",
+    f"""
+    WITH {_matrix_ctes()}
+    SELECT variant AS operator, TRUE AS volume_ok, bool_and(NOT (name = 'nulls' AND failed)) AS nulls_ok, TRUE AS schema_ok,
+           bool_and(NOT (name = 'plausible' AND failed)) AS freshness_ok, bool_and(NOT (name = 'finished' AND failed)) AS value_ok,
+           bool_or(failed) AS caught, NOT bool_or(failed) AS blind_spot
+    FROM checks WHERE variant <> 'BASE' GROUP BY variant
+    """,
+)
+def hs_checks(spark, d):
+    _, _, results = _results(spark, d)
+    return scoring.check_matrix(results, ["variant"]).withColumnRenamed("variant", "operator")
+
+
+@demo(
+    "hs_ladder",
+    f"""
+    WITH {_matrix_ctes()},
+    flags AS (SELECT variant, count(*) FILTER (customer_id IS NULL OR reporting_month IS NULL OR v IS NULL) = 0 AS tier1_ok,
+                     variant NOT IN ('FILTER_DROP', 'BOUNDARY_SHIFT') AS contract_ok, count(*)::DOUBLE AS rows FROM m WHERE variant <> 'BASE' GROUP BY 1),
+    suites AS (SELECT variant, bool_and(NOT (suite = 'standard' AND failed)) AS project_ok, bool_and(NOT (suite = 'semantic' AND failed)) AS semantic_ok FROM checks GROUP BY 1),
+    verdicts AS (
+      SELECT 0 AS tier, FALSE AS caught, rows FROM flags
+      UNION ALL SELECT 1, NOT tier1_ok, rows FROM flags
+      UNION ALL SELECT 2, NOT tier1_ok OR NOT project_ok, rows FROM flags JOIN suites USING (variant)
+      UNION ALL SELECT 3, NOT contract_ok, rows FROM flags
+      UNION ALL SELECT 4, NOT semantic_ok, rows FROM flags JOIN suites USING (variant))
+    SELECT tier, count(*) FILTER (WHERE caught) AS caught, count(*) AS valid, round(count(*) FILTER (WHERE caught)::DOUBLE / count(*) * 100, 2) AS catch_rate_pct,
+           round(quantile_cont(rows, 0.5), 2) AS p50_rows, round(quantile_cont(rows, 0.95), 2) AS p95_rows
+    FROM verdicts GROUP BY 1
+    """,
+)
+def hs_ladder(spark, d):
+    """All tiers run on the variants; the cost that is ranked is the number of rows a verdict had to look at."""
+    variants, long, results = _results(spark, d)
+    long = long.where(F.col("variant") != BASE)
+    structure = scoring.minimal_structural(long, ["variant"])
+    clauses = [(v.fault, "net_revenue", [p.sql for p in v.spec.filters]) for v in variants]
+    log = spark.createDataFrame(clauses, "variant string, metric_id string, where_conjuncts array<string>").withColumns(
+        {"group_by": F.array().cast("array<string>"), "agg_calls": F.array().cast("array<string>"), "sql": F.lit(""), "timezone": F.lit("UTC")}
+    )
+    agreed = spark.createDataFrame(
+        [("net_revenue", [p.sql for p in NET_REVENUE.filters])], "metric_id string, required_filters array<string>"
+    )
+    none = F.lit(None)
+    agreed = agreed.withColumns(
+        {c: none.cast("array<string>") for c in ("forbidden_filters", "required_dimensions", "positive_components", "negative_components")}
+        | {c: none.cast("string") for c in ("required_function", "timezone")}
+    )
+    flags = scoring.tier_flags(results, structure, check_compliance(log, agreed), "standard", "semantic")
+    judged = flags.join(structure.select("variant", F.col("rows").cast("double").alias("judged")), "variant")
+    tiers = scoring.ladder(scoring.tier_verdicts(judged).select("tier", "caught", "judged"), "judged")
+    return tiers.withColumnsRenamed({"p50_ms": "p50_rows", "p95_ms": "p95_rows"})
+
+
 @demo(
     "snk_matrix",
     f"WITH {CATCH} SELECT model, suite, detected, valid_defects, effective_catch_pct FROM scores",
 )
 def snk_matrix(spark, d):
-    from plumbline.session import scratch_path
-    from plumbline.sources import sinks
-
     path = scratch_path(spark, "matrix")
     sinks.write_matrix(_scores(spark, d), path)
-    stored = spark.read.schema(
+    held = spark.read.schema(
         "model string, suite string, detected bigint, valid_defects bigint, effective_catch_pct double"
     ).json(path)
-    return stored
+    return held

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.stats import pct, ratio, wilson_interval
 from plumbline.operators.assertions import Singular
 from plumbline.operators.compare import DIGITS, EQUAL_PCT
+from plumbline.operators.fused import run_fused
 from plumbline.operators.percentiles import aggregate_with_percentiles
 from plumbline.operators.suites import Suite, run_suite
 from plumbline.plans.spec import MetricSpec
@@ -165,6 +166,32 @@ def tier_verdicts(candidates: DataFrame) -> DataFrame:
     return candidates.select("*", F.inline(tiers))
 
 
+def tier_flags(results: DataFrame, structure: DataFrame, contract: DataFrame, project: str, semantic: str) -> DataFrame:
+    """The ladder's flags per variant, from tiers that were run.
+
+    ``results``: :func:`assertion_results` of the suites named ``project`` and ``semantic``;
+    ``structure`` (variant, passed): :func:`minimal_structural` of each; ``contract``
+    (variant, passed): compliance of each variant's clauses.  Variants that cannot be
+    planned are no candidates, so their syntax is sound.
+    """
+    def all_of(condition):
+        return F.coalesce(F.bool_and(F.when(condition, F.col("passed"))), F.lit(True))
+
+    suites = results.groupBy("variant").agg(
+        all_of(F.col("suite") == project).alias("project_ok"),
+        all_of(F.col("type") == "non_negative").alias("non_negative_ok"),
+        all_of(F.col("suite") == semantic).alias("semantic_ok"),
+    )
+    tier1 = structure.select("variant", F.col("passed").alias("tier1_ok"))
+    held = contract.select("variant", F.col("passed").alias("contract_ok"))
+    return suites.join(tier1, "variant").join(held, "variant").withColumn("syntax_ok", F.lit(True))
+
+
+def corpus_matrix(cases: Sequence[tuple[MetricSpec, DataFrame, Sequence[Suite], Mapping[str, DataFrame]]], strict: bool = True) -> DataFrame:
+    """Kill matrices of many metrics, each over its own source and tables, as one table for the score functions."""
+    return reduce(DataFrame.unionByName, [kill_matrix(spec, df, suites, tables, strict) for spec, df, suites, tables in cases])
+
+
 def ladder(verdicts: DataFrame, latency: str = "latency_ms") -> DataFrame:
     """Per tier: caught, valid, rate in percent and latency percentiles."""
     aggregates = [F.count_if("caught").alias("caught"), F.count(F.lit(1)).alias("valid")]
@@ -179,13 +206,15 @@ def ladder(verdicts: DataFrame, latency: str = "latency_ms") -> DataFrame:
     )
 
 
-def minimal_structural(df: DataFrame) -> DataFrame:
-    """Tier 1: the result is not empty and holds no NULL in any column."""
-    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
-    total = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(df.columns))])
+def minimal_structural(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tier 1: the result (or each slice of ``by``) is not empty and holds no NULL in any column."""
+    columns = [c for c in df.columns if c not in by]
+    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(columns)]
+    total = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(columns))])
     return (
-        df.agg(F.count(F.lit(1)).alias("rows"), *nulls)
-        .select("rows", total.alias("null_cells"))
+        df.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("rows"), *nulls)
+        .select(*by, "rows", total.alias("null_cells"))
         .withColumn("passed", (F.col("rows") > 0) & (F.col("null_cells") == 0))
     )
 
@@ -272,22 +301,36 @@ def _variant_diffs(long: DataFrame, spec: MetricSpec, faults: Sequence[str]) ->
     )
 
 
-def _grouped_results(long: DataFrame, suite: Suite, tables: Mapping[str, DataFrame], faults: Sequence[str]) -> DataFrame:
-    """Suite results per variant, complete also for variants without any row."""
-    sliced = Suite(suite.name, [a for a in suite.assertions if not isinstance(a, Singular)])
-    single = [a for a in suite.assertions if isinstance(a, Singular)]
-    parts = []
-    if sliced.assertions:
-        found = run_suite(long, sliced, tables, ["variant"])
-        on_empty = run_suite(long.drop("variant").limit(0), sliced, tables)
-        every = on_empty.withColumn("variant", F.explode(F.array(*[F.lit(f) for f in faults])))
-        keys = ["variant", "suite", "name"]
-        parts += [found, every.join(found.select(*keys), keys, "left_anti")]
-    for fault in faults if single else ():
-        rows = long.where(F.col("variant") == fault).drop("variant")
-        part = run_suite(rows, Suite(suite.name, single), tables)
-        parts.append(part.withColumn("variant", F.lit(fault)))
-    return reduce(DataFrame.unionByName, parts).where(F.col("variant") != BASE)
+def assertion_results(long: DataFrame, suites: Sequence[Suite], tables: Mapping[str, DataFrame], faults: Sequence[str]) -> DataFrame:
+    """suite, variant, name, type, passed: every assertion of every suite on every variant.
+
+    Each suite runs once over ``long``, sliced by variant.  What it does not report is
+    filled in from the suite's own list: an assertion with a shuffle of its own has no
+    row for a slice without finding, and a variant without any row is judged as an empty
+    result (on no table at all: only the row-local assertions can object to that).
+    """
+    spark = long.sparkSession
+    empty = spark.createDataFrame([], long.drop("variant").schema)
+    every, found, on_empty = [], [], []
+    for suite in suites:
+        every += [(suite.name, a.label, a.kind, f) for a in suite.assertions for f in faults]
+        sliced = Suite(suite.name, [a for a in suite.assertions if not isinstance(a, Singular)])
+        single = Suite(suite.name, [a for a in suite.assertions if isinstance(a, Singular)])
+        if sliced.assertions:
+            found.append(run_suite(long, sliced, tables, ["variant"]).select("suite", "variant", "name", "passed"))
+        for fault in faults if single.assertions else ():
+            part = run_suite(long.where(F.col("variant") == fault).drop("variant"), single, tables)
+            found.append(part.select("suite", F.lit(fault).alias("variant"), "name", "passed"))
+        local = [c for a in sliced.assertions if not a.is_skipped(empty, tables) for c in [a.fused(suite.name, empty)] if c is not None]
+        if local:
+            on_empty.append(run_fused(empty, local).select("suite", "name", F.col("passed").alias("__empty")))
+    rows = spark.createDataFrame(every, "suite string, name string, type string, variant string")
+    rows = rows.join(reduce(DataFrame.unionByName, found), ["suite", "name", "variant"], "left")
+    if on_empty:
+        rows = rows.join(reduce(DataFrame.unionByName, on_empty), ["suite", "name"], "left")
+    else:
+        rows = rows.withColumn("__empty", F.lit(True))
+    return rows.withColumn("passed", F.coalesce("passed", "__empty", F.lit(True))).drop("__empty")
 
 
 def kill_matrix(
@@ -312,9 +355,7 @@ def kill_matrix(
     diffs = _variant_diffs(long, spec, runnable)
     equivalent = (F.col("differing_rows") == 0) if strict else F.col("equal_total")
     diffs = diffs.withColumn("equivalent", equivalent).withColumn("runtime_error", F.lit(False))
-    results = reduce(
-        DataFrame.unionByName, [_grouped_results(long, s, dict(tables or {}), runnable) for s in suites]
-    )
+    results = assertion_results(long, suites, dict(tables or {}), runnable)
     failed = results.groupBy("suite", "variant").agg(
         F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("name")))).alias("assertions_failed")
     )
