@@ -601,9 +601,8 @@ def src_contracts(spark, d):
         F.when(key % 9 == 0, F.lit("metric: [unclosed")).otherwise(good).alias("content"),
     )
     path = scratch_path(spark, "contracts")
-    # one file for each document: the metric's number is the folder, the text its only file
-    written.select("content", F.col("path").alias("document")).repartition("document").write.partitionBy("document").option("lineSep", "\n").text(path)
-    accepted, _ = documents.read_contracts(spark, path, suffixes=r"\.txt$")
+    written.select("content").write.option("lineSep", "\n---\n").text(path)
+    accepted, _ = documents.read_contracts(spark, path, separator="\n---\n")
     rules = documents.contract_rules(accepted)
     return rules.select(
         "metric_id",

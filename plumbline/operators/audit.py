@@ -54,24 +54,20 @@ def _json_number(value: Column) -> Column:
     1e-4 to below 1e16.  For the few doubles to which the JVM gives more digits than needed, it
     has these digits too.
     """
-    text = value.cast("string")
-    sign = F.regexp_extract(text, "^-", 0)
-    whole = F.regexp_extract(text, r"^-?(\d)\.(\d+)E", 1)
-    part = F.regexp_replace(F.regexp_extract(text, r"^-?(\d)\.(\d+)E", 2), "0+$", "")
-    power = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
-    digits = F.concat(whole, part)
-    padded = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
-    rest = F.substring(padded, power + 2, F.length(padded))
-    large = F.concat(F.substring(padded, F.lit(1), power + 1), F.lit("."), F.when(rest == "", "0").otherwise(rest))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    exponent = F.concat(
-        whole,
-        F.when(part == "", "").otherwise(F.concat(F.lit("."), part)),
-        F.when(power < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"),
+    text, size = value.cast("string"), F.abs(value)
+
+    def plain(decimal):
+        return F.regexp_replace(value.cast(decimal).cast("string"), r"(\.\d+?)0+$", "$1")
+
+    exponent = text
+    for pattern, put in ((r"\.0E", "E"), (r"E-(\d)$", "e-0$1"), ("E-", "e-"), ("E", "e+")):
+        exponent = F.regexp_replace(exponent, pattern, put)
+    return (
+        F.when(~F.contains(text, F.lit("E")), text)
+        .when((size >= 1e7) & (size < 1e16), plain("decimal(38,10)"))
+        .when((size >= 1e-4) & (size < 1e-3), plain("decimal(38,22)"))
+        .otherwise(exponent)
     )
-    plain = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(exponent)
-    return F.when(F.contains(text, F.lit("E")), F.concat(sign, plain)).otherwise(text)
 
 
 def _json_value(value: Column, kind: str) -> Column:

@@ -83,18 +83,20 @@ def parse_contracts(documents: DataFrame, path: str = "path", content: str = "co
     return parsed.select("path", F.from_json("doc", CONTRACT_SCHEMA).alias("contract"), "reject")
 
 
-def read_contracts(spark: SparkSession, folder: str, suffixes: str = DOCUMENT_SUFFIXES) -> tuple[DataFrame, DataFrame]:
+def read_contracts(spark: SparkSession, folder: str, separator: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Contracts below a folder, one per metric, and the refused documents with the reason.
 
-    Of several documents for one metric the one with the smallest path is taken; the
-    others are refused.
+    A file is one document, or holds many with ``separator`` between them (such as a line of
+    ``---``), which suits large collections.  Of several documents for one metric the one with the smallest path is
+    taken; the others are refused.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .where(F.col("path").rlike(suffixes))
-    )
+    if separator is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        files = files.where(F.col("path").rlike(DOCUMENT_SUFFIXES))
+    else:
+        texts = spark.read.option("recursiveFileLookup", True).option("lineSep", separator).text(folder)
+        place = F.format_string("%s#%019d", F.col("_metadata.file_path"), F.monotonically_increasing_id())
+        files = texts.select(place.alias("path"), F.col("value").alias("content"))
     parsed = parse_contracts(files)
     good = parsed.where(F.col("reject").isNull()).withColumn("metric", F.col("contract.metric"))
     taken = good.groupBy("metric").agg(F.min_by("contract", "path").alias("c"), F.min("path").alias("path"))
