@@ -25,8 +25,6 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -298,19 +296,3 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     spans = repeated_spans(texts.select("doc", "text_id", "text"), length, gram, crowd)
     both = texts.join(spans, ["doc", "text_id"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<lo: long, hi: long>>, kept binary")
-
-
-def removed_by_hand(texts: list[tuple[int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int, int, str]]:
-    """The same rows from a plain scan over all strings, for small inputs."""
-    seen, out = set(), []
-    for doc_id, text in sorted(texts):
-        gone = np.zeros(len(text) + 1, bool)
-        for i in range(len(text) - length + 1):
-            window = text[i : i + length]
-            if window in seen:
-                gone[i : i + length] = True
-            seen.add(window)
-        runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
-        kept = bytes(b for b, g in zip(text, gone[:-1].tolist(), strict=True) if not g)
-        out.append((doc_id, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    return out
