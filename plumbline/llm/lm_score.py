@@ -1,19 +1,20 @@
 """LM scoring: prediction by partial matching over bytes, next to a smoothed word count.
 
-The trie holds contexts of up to ORDER symbols (bytes, and one sign for the end
+The model holds contexts of up to ORDER symbols (bytes, and one sign for the end
 of a text; a start sign fills the contexts of the first bytes). It is
-pretrained: all n-grams of the training texts are counted in the tasks and
+pretrained: all n-grams of the texts are counted in the tasks and
 summed by a shuffle; shorter contexts are sums of longer ones. A symbol that a
 context has seen gets count / (all + kinds); what is left over is the escape to the
 context without its first symbol (method C). Symbols that the longer context has seen are
 excluded there, their counts leave the shorter one's sum. Below the empty
 context all symbols that are left are equally likely.
 
-Scoring broadcasts the trie, so its size must be bounded: nodes with fewer than
-``least`` counts are left out, with ``least`` the smallest number that keeps
-at most NODES of them. As a node counts no more than the one for its shorter context, the
-children of a context stay among those of its suffix, which is what exclusion
-rests on.
+No node is left out. What a symbol costs depends on its n-gram alone, so each
+distinct n-gram of the texts gets its code length once, in stored tables that are
+built from the empty context up by joins (``code_lengths``): an n-gram meets the
+one without its first symbol, and at most SYMBOLS of them share a context. Of
+these code lengths those of the most frequent n-grams, NODES at most, are
+broadcast; all others of a document meet theirs in a join.
 
 Word counts stay exact and whole: the TABLE most frequent words are broadcast
 with their counts, all other words of a document meet theirs in a join.
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import keep, slices, utf8, with_row
@@ -76,8 +77,11 @@ def _gram_counts(order: int):
     def run(batches):
         held_keys, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in slices(batches, limit=SLICE):
-            symbols, at = coded(utf8(batch), order)
-            fresh, n = np.unique(grams(symbols, at, order), return_counts=True)
+            texts = utf8(batch)
+            symbols, at = coded(texts, order)
+            learnt = batch.column("learnt").to_numpy(zero_copy_only=False).astype(np.int64)
+            marked = grams(symbols, at, order) << 1 | np.repeat(learnt, [len(t) + 1 for t in texts])
+            fresh, n = np.unique(marked, return_counts=True)
             keys, place = np.unique(np.concatenate([held_keys, fresh]), return_inverse=True)
             held_n = np.bincount(place, np.concatenate([held_n, n]), len(keys)).astype(np.int64)
             held_keys = keys
@@ -90,7 +94,8 @@ def _gram_counts(order: int):
 
 
 def _counts(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
+    learnt = np.where(keys & 1, n, 0)
+    return pa.RecordBatch.from_arrays([pa.array(keys >> 1, pa.int64()), pa.array(learnt, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n", "uses"])
 
 
 @dataclass
@@ -104,7 +109,7 @@ class Table:
     @classmethod
     def build(cls, keys: np.ndarray, values: np.ndarray) -> Table:
         bits = max(4, int(2 * len(keys)).bit_length())
-        table = cls(np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32), np.uint64(64 - bits))
+        table = cls(np.full(1 << bits, -1, np.int64), np.zeros(1 << bits), np.uint64(64 - bits))
         slots, left, mask = table._slots(keys), np.arange(len(keys)), (1 << bits) - 1
         while len(left):
             at = slots[left]
@@ -139,117 +144,66 @@ class Table:
         return found, values
 
 
-def _level(key: np.ndarray, level: int) -> np.ndarray:
-    """Keys of one context length, marked with it: lengths share a table."""
-    return key | np.int64(level + 1) << np.int64(_BITS * (ORDER + 2))
+def code_lengths(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, uses, code: the log10 of the probability of each n-gram's last symbol, for all n-grams of ``texts`` (text, learnt).
 
+    Counts are those of the rows with ``learnt``; uses counts the n-gram in all rows.
+    """
+    counted = texts.select("text", "learnt").mapInArrow(_gram_counts(order), "gram long, n long, uses long")
+    sums = [F.sum("n").alias("n"), F.sum("uses").alias("uses")]
+    levels = [keep(counted.groupBy("gram").agg(*sums), "grams")]
+    for level in range(order - 1, -1, -1):
+        levels.append(keep(levels[-1].groupBy(_shorter(level).alias("gram")).agg(*sums), "grams"))
+    codes = None
+    for level, nodes in enumerate(levels[::-1]):
+        codes = keep(_coded_level(nodes, level, codes), "codes")
+    return codes.select("gram", "uses", F.col("plain").alias("code"))
 
-class Trie:
-    """Code lengths of a pruned trie: log10 of a seen symbol's share in its context, and of each context's escape.
 
-    ``symbols`` holds shares in a context that was entered without an escape, ``counts``
-    the bare counts for one entered by an escape, ``contexts`` escapes of either kind
-    and what the exclusions leave of a context.
-    """
+def _shorter(level: int):
+    """The last ``level`` + 1 symbols of an n-gram."""
+    return F.col("gram").bitwiseAND(F.lit((1 << (_BITS * (level + 1))) - 1))
 
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], order: int):
-        """nodes: for each context length from 0 the keys (context and symbol) in ascending order, and their counts."""
-        self.order = order
-        symbols, counts, contexts = [], [], []
-        plain_left = SYMBOLS - len(nodes[0][0])
-        longer = None
-        for level in range(order, -1, -1):
-            keys, n = nodes[level]
-            ctx = keys >> _BITS
-            own, first = np.unique(ctx, return_index=True)
-            total = np.add.reduceat(n, first).astype(float) if len(own) else np.zeros(0)
-            kinds = np.diff(np.append(first, len(keys)))
-            place = np.searchsorted(own, ctx)
-            with np.errstate(divide="ignore"):
-                symbols.append((_level(keys, level), np.log10(n / (total + kinds)[place])))
-                counts.append((_level(keys, level), np.log10(n)))
-                contexts.append((_level(own, level), np.log10(kinds / (total + kinds))))
-                if longer is not None:
-                    # What a context entered by an escape has left, filed under the longer context that was left.
-                    up, up_ctx = longer
-                    cut = up_ctx & ((1 << (_BITS * level)) - 1)
-                    child = (cut[np.searchsorted(up_ctx, up >> _BITS)] << _BITS) | (up & ((1 << _BITS) - 1))
-                    gone = np.add.reduceat(n[np.searchsorted(keys, child)].astype(float), np.searchsorted(up >> _BITS, up_ctx)) if len(up_ctx) else np.zeros(0)
-                    gone_kinds = np.bincount(np.searchsorted(up_ctx, up >> _BITS), minlength=len(up_ctx))
-                    at = np.searchsorted(own, cut)
-                    left_n, left_kinds = total[at] - gone, kinds[at] - gone_kinds
-                    contexts.append((_level(up_ctx, level + 1) | self._mark, np.log10(np.maximum(left_n + left_kinds, 1))))
-                    escape = np.where(left_kinds > 0, left_kinds / np.maximum(left_n + left_kinds, 1), 1)
-                    contexts.append((_level(up_ctx, level + 1) | self._mark << 1, np.log10(escape)))
-            longer = (keys, own)
-        self.rest = -math.log10(plain_left) if plain_left else 0.0
-        self.symbols, self.counts, self.contexts = (
-            Table.build(*(np.concatenate(x) for x in zip(*part, strict=True))) for part in (symbols, counts, contexts)
-        )
-
-    _mark = np.int64(1) << np.int64(60)
-
-    def code_lengths(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol at the places ``at``."""
-        out = np.zeros(len(at))
-        open_ = np.arange(len(at))
-        full = grams(symbols, at, self.order)
-        escaped = np.full(len(at), False)
-        for level in range(self.order, -1, -1):
-            if not len(open_):
-                break
-            key = full[open_] & ((1 << (_BITS * (level + 1))) - 1)
-            was = escaped[open_]
-            longer = (full[open_] >> _BITS) & ((1 << (_BITS * (level + 1))) - 1)
-            # Shares: in a context entered without an escape the finished logarithm, else count over what is left there.
-            seen, share = self.symbols.get(_level(key, level))
-            if was.any():
-                _, share[was] = self.counts.get(_level(key[was], level))
-                share[was] -= self.contexts.get(_level(longer[was], level + 1) | self._mark)[1]
-            out[open_[seen]] += share[seen]
-            miss = ~seen
-            rest, was, longer = open_[miss], was[miss], longer[miss]
-            known, escape = self.contexts.get(np.where(was, _level(longer, level + 1) | self._mark << 1, _level(key[miss] >> _BITS, level)))
-            out[rest[known]] += escape[known]
-            escaped[rest] = known | was
-            open_ = rest
-        out[open_] += self.rest
-        return out
-
-
-def fit_trie(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie of the training ``texts`` (text)."""
-    counted = texts.select("text").mapInArrow(_gram_counts(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    levels = [keep(counted, "grams")]
-    for level in range(order - 1, -1, -1):
-        short = F.col("gram").bitwiseAND(F.lit((1 << (_BITS * (level + 1))) - 1))
-        levels.append(keep(levels[-1].groupBy(short.alias("gram")).agg(F.sum("n").alias("n")), "grams"))
-    levels = levels[::-1]
-    every = levels[0]
-    for frame in levels[1:]:
-        every = every.union(frame)
-    least = _least(every, nodes)
-    kept = []
-    for frame in levels:
-        table = frame.filter(F.col("n") >= least).toArrow()  # ``nodes`` rows at most over all levels
-        keys, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        order_ = np.argsort(keys)
-        kept.append((keys[order_], n[order_]))
-    return Trie(kept, order)
-
-
-def _least(every: DataFrame, nodes: int) -> int:
-    """The smallest count with which at most ``nodes`` nodes are left."""
-    low, high = 1, 1
-    while every.filter(F.col("n") >= high).count() > nodes:
-        low, high = high + 1, high * 2
-    while low < high:
-        middle = (low + high) // 2
-        if every.filter(F.col("n") >= middle).count() > nodes:
-            low = middle + 1
-        else:
-            high = middle
-    return high
+
+def _coded_level(nodes: DataFrame, level: int, shorter: DataFrame | None) -> DataFrame:
+    """gram, n, uses, total, kinds, plain, escaped of the n-grams with contexts of ``level`` symbols.
+
+    total and kinds belong to the context. plain is the code length where the context is
+    entered without an escape, escaped the one of all that follows an escape from it.
+    """
+    context = Window.partitionBy(F.shiftright("gram", _BITS))
+    seen = F.col("n") > 0
+    if shorter is not None:
+        short = shorter.select(F.col("gram").alias("short"), *(F.col(c).alias(f"s_{c}") for c in ("n", "total", "kinds", "plain", "escaped")))
+        nodes = nodes.withColumn("short", _shorter(level - 1)).join(short, "short")
+    nodes = nodes.withColumn("total", F.sum("n").over(context)).withColumn("kinds", F.count(F.when(seen, 1)).over(context))
+    if shorter is None:
+        left = F.lit(SYMBOLS) - F.col("kinds")
+        nodes = nodes.withColumn("escaped", F.when(left > 0, -F.log10(left)).otherwise(F.lit(0.0))).withColumn("s_plain", F.col("escaped"))
+    else:
+        # What the shorter context has left once the symbols of this one are excluded.
+        nodes = nodes.withColumn("left_kinds", F.col("s_kinds") - F.col("kinds"))
+        nodes = nodes.withColumn("left", F.col("s_total") - F.coalesce(F.sum(F.when(seen, F.col("s_n"))).over(context), F.lit(0)) + F.col("left_kinds"))
+        further = F.when(F.col("left_kinds") > 0, F.log10(F.col("left_kinds") / F.col("left"))).otherwise(F.lit(0.0)) + F.col("s_escaped")
+        nodes = nodes.withColumn("escaped", F.when(F.col("s_n") > 0, F.log10("s_n") - F.log10(F.greatest("left", F.lit(1)))).otherwise(further))
+    whole = F.col("total") + F.col("kinds")
+    plain = F.when(seen, F.log10(F.col("n") / whole)).when(F.col("kinds") > 0, F.log10(F.col("kinds") / whole) + F.col("escaped")).otherwise(F.col("s_plain"))
+    return nodes.select("gram", "n", "uses", "total", "kinds", plain.alias("plain"), "escaped")
+
+
+def frequent_codes(codes: DataFrame, nodes: int = NODES) -> Table:
+    """The code lengths of the most used n-grams, at most ``nodes``: as many whole classes of about equal use as fit."""
+    size = F.floor(F.log2("uses") * 16).alias("size")
+    least, held = None, 0
+    for row in codes.groupBy(size).count().orderBy(F.desc("size")).collect():  # 16 rows at most for each power of two
+        held += row["count"]
+        if held > nodes:
+            break
+        least = row["size"]
+    if least is None:
+        return Table.build(np.zeros(0, np.int64), np.zeros(0))
+    table = codes.filter(size >= least).select("gram", "code").toArrow()  # ``nodes`` rows at most
+    return Table.build(table.column("gram").to_numpy(), table.column("code").to_numpy())
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -271,14 +225,27 @@ def _words(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
 
-def _scored(shared):
+def _lists(owner: np.ndarray, keys: np.ndarray, n_rows: int) -> pa.Array:
+    """For each row its distinct keys with how often they stand; owner: the row of each key, in ascending order."""
+    order = np.lexsort((keys, owner))
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))[: len(keys)])
+    n = np.diff(np.append(first, len(keys)))
+    offsets = np.searchsorted(owner[first], np.arange(n_rows + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(keys[first], pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"]))
+
+
+def _scored(shared, order: int):
     def run(batches):
-        trie, frequent = shared.value
+        codes, frequent = shared.value
         for batch in slices(batches, limit=SLICE):
             texts = utf8(batch)
-            symbols, at = coded(texts, trie.order)
-            bits = np.concatenate([trie.code_lengths(symbols, at[lo : lo + (1 << 18)]) for lo in range(0, len(at), 1 << 18)])
-            first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+            full = grams(*coded(texts, order), order)
+            sizes = np.array([len(t) + 1 for t in texts], np.int64)
+            held, bits = codes.get(full)
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            missing = np.flatnonzero(~held)
+            others = _lists(np.searchsorted(first, missing, "right") - 1, full[missing], len(texts))
             n_tokens, known, base, other = [], [], [], []
             for text in texts:
                 words = Counter(tokens(text))
@@ -296,15 +263,19 @@ def _scored(shared):
                     pa.array(known, pa.int64()),
                     pa.array(base, pa.float64()),
                     pa.array(other, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                    pa.array(np.add.reduceat(bits, first) if len(texts) else bits, pa.float64()),
+                    pa.array(np.add.reduceat(np.where(held, bits, 0.0), first), pa.float64()),
+                    others,
                 ],
-                names=["doc_id", "held_out", "n_tokens", "known", "base", "other", "score"],
+                names=["doc_id", "held_out", "n_tokens", "known", "base", "other", "held_score", "other_grams"],
             )
 
     return run
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, other array<struct<word: binary, n: long>>, score double"
+_SCORED = (
+    "doc_id long, held_out boolean, n_tokens long, known long, base double, other array<struct<word: binary, n: long>>, "
+    "held_score double, other_grams array<struct<gram: long, n: long>>"
+)
 
 
 def lm_scores(docs: DataFrame, held_out, order: int = ORDER, nodes: int = NODES, table: int = TABLE) -> DataFrame:
@@ -313,29 +284,32 @@ def lm_scores(docs: DataFrame, held_out, order: int = ORDER, nodes: int = NODES,
     held_out: a boolean column; rows where it holds are not learnt from.
     base_score sums log10((c + 1) / (N + V + 1)) over the tokens, one end for each
     text among them: c counts the token, N all and V the distinct training tokens.
+    nodes, table: n-grams and words that are broadcast at most; they change nothing but speed.
     """
     texts = docs.select("doc_id", "text", held_out.alias("held_out"))
     training = texts.filter(~F.col("held_out"))
-    trie = fit_trie(training, order, nodes)
+    codes = code_lengths(texts.select("text", F.coalesce(~F.col("held_out"), F.lit(False)).alias("learnt")), order)
     counts = keep(training.select("text").mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     n_texts = training.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + n_texts, total["v"] + (1 if n_texts else 0)
     best = counts.orderBy(F.desc("c"), "word").limit(table).toArrow()
     frequent = dict(zip(best.column("word").to_pylist(), np.log10(best.column("c").to_numpy() + 1.0).tolist(), strict=True))
-    shared = docs.sparkSession.sparkContext.broadcast((trie, frequent))  # ``nodes`` and ``table`` entries at most
-    rows = keep(with_row(texts.mapInArrow(_scored(shared), _SCORED)), "scored")
+    shared = docs.sparkSession.sparkContext.broadcast((frequent_codes(codes, nodes), frequent))  # ``nodes`` and ``table`` entries at most
+    rows = keep(with_row(texts.mapInArrow(_scored(shared, order), _SCORED)), "scored")
     other = rows.select("row", F.explode("other").alias("o")).select("row", F.col("o.word").alias("word"), F.col("o.n").alias("n"))
     # The rare side of the table: no word of it is more frequent than the table's last.
     found = other.join(counts, "word").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))
+    grams_ = rows.select("row", F.explode("other_grams").alias("o")).select("row", F.col("o.gram").alias("gram"), F.col("o.n").alias("n"))
+    rest = grams_.join(codes, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("code")).alias("rest"))
     each = math.log10(n + v + 1)
-    return rows.join(found, "row", "left").select(
+    return rows.join(found, "row", "left").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(1 if n_texts else 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("sum", F.lit(0.0)) + F.lit(math.log10(n_texts + 1)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
+        (F.col("held_score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
 

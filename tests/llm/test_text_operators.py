@@ -92,6 +92,16 @@ def test_lm_scores_prune_evenly_and_take_empty_tables(spark, docs, none):
     assert lm_score.lm_scores(none, F.lit(False), 3).count() == 0
 
 
+def test_lm_scores_use_every_node_whatever_is_broadcast(spark):
+    rows = [(i, cases.prose(i, 40)) for i in range(100, 120)] + [r for r in cases.awkward() if r[0] is not None and r[0] not in (11, 12)]
+    texts = [(i, text_of(t).encode()) for i, t in rows]
+    train = [t for i, t in texts if i % 5 != 2]
+    want = sorted((i, round(s, 2)) for (i, _), s in zip(texts, plain.ppm_scores(train, [t for _, t in texts], 3), strict=True))
+    for nodes in (0, 200):
+        got = lm_score.lm_scores(cases.documents(spark, rows), F.col("doc_id") % 5 == 2, 3, nodes=nodes).collect()
+        assert sorted((r["doc_id"], round(r["score"], 2)) for r in got) == want
+
+
 PII_TEXT = [
     "", "a@b.c", "x@y z@q.r.", "@@a@b.c.d@e.f", "1.2.3.4 256.1.1.1 1.2.3.4.5 01.002.3.4", "4111111111111111 4111 1111 1111 1111 12", "4111111111111112",
     "+1 (988) 555-2485 +12 +1234567890123456 + 1 ++4930901820", "é@b.c ü 10.0.0.1 ☎ +4930901820", "1" * 3000 + "." + "2" * 30, "a" * 3000 + "@", "é\n+1 212\n555",
