@@ -111,11 +111,12 @@ def _signatures(r: int, size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([signature(s, seeds) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "bands"],
+                names=["doc_id", "row", "n_shingles", "set_id", "bands"],
             )
 
     return run
@@ -125,13 +126,7 @@ def _sets(size: int):
     def run(batches):
         for batch in slices(batches):
             sets = [shingle_set(t, size) for t in utf8(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ],
-                names=["set_id", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
 
@@ -249,17 +244,16 @@ def near_dedup(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFra
     the smallest doc_id of a component.
     """
     r = half_bands(percent / 100)
-    texts = docs.select("doc_id", "text")
-    rows = keep(with_row(texts.mapInArrow(_signatures(r, size), "doc_id long, n_shingles long, set_id binary, bands array<long>")), "signatures")
+    # Stored with their rows: a set is fetched by the row that stands for its class, whatever its doc_id.
+    texts = keep(with_row(docs.select("doc_id", "text")), "texts")
+    rows = keep(texts.mapInArrow(_signatures(r, size), "doc_id long, row long, n_shingles long, set_id binary, bands array<long>"), "signatures")
     classes = keep(
         rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
         "classes",
     )
     buckets = bucket_members(classes, r)
-    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("set_id", "node")
-    ids = rows.join(wanted, rows["row"] == wanted["node"], "left_semi").select("doc_id")
-    sets = texts.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "set_id binary, shingles array<long>")
-    sets = keep(sets.dropDuplicates(["set_id"]).join(wanted, "set_id").select("node", "shingles"), "sets")
+    wanted = buckets.select(F.col("node").alias("row")).distinct()
+    sets = keep(texts.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(_sets(size), "node long, shingles array<long>"), "sets")
     comp = linked_components(classes, sets, buckets, percent)
     placed = classes.select("set_id", "node", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = placed.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -74,6 +74,15 @@ def test_near_dedup_of_chained_copies_and_empty_tables(spark, none):
     assert near_dedup.near_dedup(none, 80).count() == 0
 
 
+def test_near_dedup_links_classes_that_begin_with_a_null_id(spark):
+    text, other = cases.prose(88, 200), cases.prose(89, 200)
+    rows = [(None, text), (None, other), (3, text), (2, text + " tail"), (4, other + " one"), (5, "one two " + other + " one")]
+    docs = cases.documents(spark, rows).coalesce(1).orderBy(F.col("doc_id").asc_nulls_first())
+    got = cases.sorted_rows(near_dedup.near_dedup(docs, 85))
+    assert got == plain.near_groups(utf8(rows), 85)
+    assert {i: c for i, _, c, _ in got if i} == {2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_half_bands_reach_the_wanted_recall():
     for similarity in (0.8, 0.85, 0.9):
         r = near_dedup.half_bands(similarity)
