@@ -62,6 +62,19 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), path).count() == 0
 
 
+def test_texts_under_one_id_are_judged_apart(spark, folder):
+    path, _ = folder
+    a, b, c = (cases.prose(i, 60) for i in (3001, 3002, 3003))
+    leaked = cases.prose(3004, 30) + " " + cases.prose(1, 40)
+    rows = [(1, a), (2, a.replace(" ", "\n")), (2, b), (2, c), (3, c + " tail"), (4, c + " end"), (4, leaked), (4, cases.prose(3005, 60)), (None, b)]
+    docs = cases.documents(spark, rows, extra=("row", "number"))
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.decontamination_stage):
+        docs = stage(spark, docs, path)
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted([(1, a), (2, b), (2, c), (4, cases.prose(3005, 60))])
+    clean = corpus_pipeline.decontamination_stage(spark, cases.documents(spark, [(None, a), (None, leaked)]), path)
+    assert [r["text"] for r in clean.collect()] == [a]
+
+
 def test_every_operator_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
