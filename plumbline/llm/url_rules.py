@@ -78,10 +78,13 @@ LIST_RULES = (
 #: For urls that no list rule fits: login and shop pages, trackers, file downloads.
 PATTERN_RULES = (
     PatternRule("block", r"(?:^|[./_-])casino(?:[./_-]|$)", ("casino",)),
-    PatternRule("block", r"/(?:login|signin)(?:[/._-]|$)", ()),
-    PatternRule("block", r"(?:^|\.)(?:ads|track)\.", ()),
+    PatternRule("block", r"/login(?:[/._-]|$)", ("login",)),
+    PatternRule("block", r"/signin(?:[/._-]|$)", ("signin",)),
+    PatternRule("block", r"(?:^|\.)ads\.", ("ads",)),
+    PatternRule("block", r"(?:^|\.)track\.", ("track",)),
     PatternRule("block", r"/cart/checkout(?:/|$)", ("cart", "checkout")),
-    PatternRule("block", r"\.(?:exe|zip)$", ()),
+    PatternRule("block", r"\.exe$", ("exe",)),
+    PatternRule("block", r"\.zip$", ("zip",)),
 )
 
 

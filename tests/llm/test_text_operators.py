@@ -201,6 +201,16 @@ def test_url_rules(spark):
     assert cases.sorted_rows(url_rules.url_verdicts(pages.filter("page_id = 9"), [open_path]))[0][3:] == ("org/lo", "block")
 
 
+def test_every_url_rule_is_found_by_a_token(spark):
+    assert url_rules.rule_index(url_rules.LIST_RULES + url_rules.PATTERN_RULES, {})[1] == []
+    urls = {
+        "http://x.org/login": "block", "http://x.org/signin.html": "block", "http://x.org/login2": "allow", "http://ads.x.org/": "block", "http://a.track.org": "block",
+        "http://loads.org/": "allow", "http://x.org/a.exe": "block", "http://x.org/a.zip": "block", "http://x.org/exe": "allow", "http://x.org/a.zip/b": "allow", "http://x.org/a.EXE": "allow",
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r["verdict"] for r in url_rules.url_verdicts(pages).orderBy("page_id").collect()] == list(urls.values())
+
+
 def test_digests_of_the_empty_text(spark):
     row = queries.bpe_digests(cases.documents(spark, [(1, None)])).first()
     assert (row["n_tokens"], row["ids_sha256"]) == (0, hashlib.sha256(b"").hexdigest())
