@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_score, near_dedup, pii, quality, substring_dedup, token_counts, url_rules
+from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_score, near_dedup, pii, quality, substring_dedup, token_counts, url_rules, whitening
 from plumbline.llm.common import fold, read
 
 
@@ -93,6 +93,11 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op8_pii, op9_url_rules, op10_exact_dedup)}
+def op11_whitening(spark, sf_dir):
+    done = whitening.whitened_components(read(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op8_pii, op9_url_rules, op10_exact_dedup, op11_whitening)}
 
 ORACLES = {"op3_decontaminate": decontaminate.SQL, "op4_near_dedup": near_dedup.SQL, "op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
