@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_score, near_dedup, pii, quality, substring_dedup, token_counts, url_rules, whitening
+from plumbline.llm import alignment, byte_bpe, decontaminate, exact_dedup, license_scan, lm_score, near_dedup, pii, quality, substring_dedup, token_counts, url_rules, whitening
 from plumbline.llm.common import fold, read
 
 
@@ -98,6 +98,14 @@ def op11_whitening(spark, sf_dir):
     return done.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op8_pii, op9_url_rules, op10_exact_dedup, op11_whitening)}
+def op12_license_scan(spark, sf_dir):
+    return license_scan.license_labels(read(spark, sf_dir, "documents"))
 
-ORACLES = {"op3_decontaminate": decontaminate.SQL, "op4_near_dedup": near_dedup.SQL, "op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
+
+def op13_alignment(spark, sf_dir):
+    return alignment.link_counts(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_decontaminate, op4_near_dedup, op5_quality, op6_token_counts, op7_byte_bpe, op8_pii, op9_url_rules, op10_exact_dedup, op11_whitening, op12_license_scan, op13_alignment)}
+
+ORACLES = {"op3_decontaminate": decontaminate.SQL, "op4_near_dedup": near_dedup.SQL, "op9_url_rules": url_rules.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_license_scan": license_scan.SQL}
