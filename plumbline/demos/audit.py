@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.demos import derived
+from plumbline.demos import corpus, derived
 from plumbline.demos.registry import demo
 from plumbline.operators import audit as AU
 from plumbline.operators import provenance as PV
 from plumbline.operators import replay as RP
 from plumbline.operators import scoring
 from plumbline.operators.governance import check_compliance, decide
-from plumbline.session import stored
+from plumbline.operators.snapshots import SnapshotRegistry
+from plumbline.session import scratch_path, stored
 from plumbline.sources.tables import read_table as t
 
 CHAIN = derived.AUDIT_CHAIN
@@ -256,24 +257,35 @@ def rp_suite(spark, d):
     return RP.suite_specs(derived.rules(spark, d))
 
 
+def snapshot_registry(spark, d):
+    """Snapshots of the events as they stood on some days, registered for every metric but ``error``."""
+    registry = SnapshotRegistry(spark, scratch_path(spark, "snapshots"))
+    events = t(spark, d, "events")
+    for name, taken in corpus.SNAPSHOTS:
+        registry.write(name, {"events": events.where(F.col("ts") < F.lit(taken))})
+        registry.register({kind: ["events"] for kind in corpus.REPLAYED}, name, taken)
+    return registry
+
+
+def replayed(spark, d):
+    metrics = {
+        kind: RP.Replayable(corpus.event_metric(kind), "events", RP.suite_for(kind, [corpus.REQUIRED], "events", "user_id", "total"))
+        for kind in corpus.REPLAYED
+    }
+    return RP.replay(traces(spark, d), snapshot_registry(spark, d), metrics)
+
+
 @demo(
     "rp_blindspots",
     f"""
-    WITH {derived.EVALUATIONS},
-    s AS (SELECT split_part(variant_id, '-', 1) AS trace_id, model AS metric_id, classification FROM evaluations WHERE suite = 'semantic')
-    SELECT trace_id, metric_id,
-           round(count(*) FILTER (WHERE classification = 'VALID_DEFECT_DETECTED')::DOUBLE / nullif(count(*) FILTER (WHERE classification LIKE 'VALID%'), 0) * 100, 1) AS effective_catch_pct,
-           count(*) FILTER (WHERE classification LIKE 'VALID%') AS valid_defects, count(*) FILTER (WHERE classification = 'VALID_DEFECT_SURVIVED') AS undetected_defects,
-           count(*) FILTER (WHERE classification = 'VALID_DEFECT_SURVIVED') > 0 AS contract_underspecified
-    FROM s GROUP BY ALL
+    WITH {TRACES}, {corpus.REPLAY}
+    SELECT trace_id, metric_id, snapshot_id, CASE WHEN snapshot_id IS NULL THEN 'no_snapshot' ELSE 'replayed' END AS status,
+           effective_catch_pct, valid_defects, undetected_defects, undetected_defects > 0 AS contract_underspecified
+    FROM placed LEFT JOIN spots USING (metric_id, snapshot_id)
     """,
 )
 def rp_blindspots(spark, d):
-    evaluations = scoring.classify(derived.evaluations(spark, d)).where("suite = 'semantic'")
-    named = evaluations.withColumns(
-        {"trace_id": F.split_part("variant_id", F.lit("-"), F.lit(1)), "metric_id": F.col("model")}
-    )
-    return RP.blind_spots(named)
+    return replayed(spark, d)[0]
 
 
 SPOTS = f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.demos import derived
+from plumbline.demos import corpus, derived
 from plumbline.demos.registry import demo
 from plumbline.operators import pairs as PD
 from plumbline.sources.tables import read_table as t
@@ -121,9 +121,28 @@ def pd_difficulty4(spark, d):
     return candidates(spark, d).select("doc_id", level.alias("difficulty"))
 
 
-@demo("pd_gate", f"WITH {CANDIDATES} SELECT coalesce(rejection, 'kept') AS reason, count(*) AS pairs FROM gated GROUP BY 1")
+def corpus_pairs(spark, d, by_split=True):
+    """(pairs, rejects) of the corpus: its kill matrix, its catalogue and its contracts."""
+    return PD.build_pairs(corpus.corpus_matrix(spark, d), corpus.contracts(spark), corpus.corpus_catalogue(spark, d), by_split=by_split, fixture_id="corpus")
+
+
+@demo("pd_gate", f"WITH {corpus.GATED.format(split=corpus.OUTSIDE)} SELECT coalesce(rejection, 'kept') AS reason, count(*) AS pairs FROM gated GROUP BY 1")
 def pd_gate(spark, d):
-    return PD.rejection_counts(PD.gate(candidates(spark, d)))
+    pairs, rejects = corpus_pairs(spark, d)
+    kept = pairs.select(F.lit(None).cast("string").alias("rejection"))
+    return PD.rejection_counts(kept.union(rejects.select("rejection")))
+
+
+@demo(
+    "pd_rejects",
+    f"""
+    WITH {corpus.GATED.format(split="FALSE")}
+    SELECT metric, mutation_type, mutation_description, chosen_sql, rejected_sql, array_to_string(violations, ';') AS violations, rejection FROM gated WHERE rejection IS NOT NULL
+    """,
+)
+def pd_rejects(spark, d):
+    _, rejects = corpus_pairs(spark, d, by_split=False)
+    return rejects.drop("split").withColumn("violations", F.array_join("violations", ";"))
 
 
 EVIDENCE = """
@@ -146,20 +165,24 @@ def pd_evidence(spark, d):
 
 def built(spark, d):
     kept = PD.gate(candidates(spark, d)).where("rejection IS NULL")
-    return PD.build_pairs(kept, fixture_id="documents")
+    return PD.pair_rows(kept, fixture_id="documents")
 
 
 @demo(
     "pd_pairs",
     f"""
-    WITH {CANDIDATES}
-    SELECT metric || '_' || lower(mutation_type) AS example_id, prompt, metric AS contract_id, '2.1.0' AS contract_version, chosen_sql, rejected_sql,
-           mutation_type, {LEVEL} AS difficulty, 'documents' AS fixture_id, '1.0.0' AS policy_version, split, metric_family
+    WITH {corpus.GATED.format(split="FALSE")}
+    SELECT metric || '_' || lower(mutation_type) AS example_id,
+           coalesce(description, 'Write a production-grade SQL query to calculate ''' || metric || ''' for owner ''' || owner || ''' at ''' || grain || ''' granularity.') AS prompt,
+           metric AS contract_id, contract_version, chosen_sql, rejected_sql, mutation_type, {LEVEL} AS difficulty, 'corpus' AS fixture_id, '1.0.0' AS policy_version, split,
+           family AS metric_family, array_to_string(violations, ';') AS violations
     FROM gated WHERE rejection IS NULL
     """,
 )
 def pd_pairs(spark, d):
-    return built(spark, d).drop("chosen_evidence", "rejected_evidence", "difficulty_reasons", "evidence_hash")
+    pairs, _ = corpus_pairs(spark, d, by_split=False)
+    violations = F.array_join("rejected_evidence.violations", ";").alias("violations")
+    return pairs.select("*", violations).drop("chosen_evidence", "rejected_evidence", "difficulty_reasons", "evidence_hash")
 
 
 @demo(

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.governance import check_compliance
+from plumbline.plans.variants import BASE
+
 # Fault families of each split, and domains kept out of training.
 SPLIT_FAULTS = {
     "train": ("FILTER_DROP", "AGGREGATION_SWAP", "COALESCE_BYPASS"),
@@ -144,7 +147,7 @@ def prompt_text() -> Column:
     )
 
 
-def build_pairs(kept: DataFrame, policy_version: str = "1.0.0", fixture_id: str = "synthetic") -> DataFrame:
+def pair_rows(kept: DataFrame, policy_version: str = "1.0.0", fixture_id: str = "synthetic") -> DataFrame:
     """Pair rows from gated candidates joined with their contract's fields."""
     return with_evidence(kept).select(
         F.concat_ws("_", "metric", F.lower("mutation_type")).alias("example_id"),
@@ -166,6 +169,93 @@ def build_pairs(kept: DataFrame, policy_version: str = "1.0.0", fixture_id: str
     )
 
 
+def pair_candidates(evaluations: DataFrame, contracts: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Every catalogued variant next to its metric's base, with what the contract and the kill matrix say of it.
+
+    ``evaluations``: rows of a kill matrix (its suites agree on results); ``contracts``:
+    one row per metric with metric_id, description, owner, grain, contract_version,
+    metric_family and the rule columns of :func:`check_compliance`; ``catalogue``: the
+    metrics' text.  Variants the matrix does not have count as not executable.
+    """
+    checked = check_compliance(catalogue.withColumnRenamed("metric", "metric_id"), contracts).select(
+        F.col("metric_id").alias("metric"), "variant", "sql", "description", "known_metric", "passed", "violations"
+    )
+    base = checked.where(F.col("variant") == BASE).select("metric", F.col("sql").alias("chosen_sql"), F.col("passed").alias("chosen_passed"))
+    results = evaluations.groupBy(F.col("model").alias("metric"), F.col("operator").alias("variant")).agg(
+        F.max("base_rows").alias("base_rows"),
+        F.max("variance_pct").alias("variance_pct"),
+        F.bool_or("equivalent").alias("equivalent"),
+        F.bool_or("runtime_error").alias("runtime_error"),
+    )
+    terms = contracts.select(
+        F.col("metric_id").alias("metric"),
+        "description",
+        "owner",
+        "grain",
+        "contract_version",
+        F.coalesce("metric_family", "metric_id").alias("metric_family"),
+        F.coalesce(F.size("required_filters"), F.lit(0)).alias("n_required_filters"),
+    )
+    rows = checked.where(F.col("variant") != BASE).withColumnsRenamed({"sql": "rejected_sql", "description": "mutation_description"})
+    joined = rows.join(base, "metric", "left").join(terms, "metric", "left").join(results, ["metric", "variant"], "left")
+    return joined.select(
+        "metric",
+        F.col("variant").alias("mutation_type"),
+        "mutation_description",
+        "chosen_sql",
+        "rejected_sql",
+        "description",
+        "owner",
+        "grain",
+        "contract_version",
+        "metric_family",
+        "n_required_filters",
+        family_split(F.coalesce("metric_family", "metric")).alias("split"),
+        "known_metric",
+        "chosen_passed",
+        "base_rows",
+        F.coalesce("variance_pct", F.lit(0.0)).alias("variance_pct"),
+        F.coalesce(~F.col("runtime_error"), F.lit(False)).alias("executable"),
+        F.coalesce("equivalent", F.lit(False)).alias("equivalent"),
+        F.coalesce(~F.col("runtime_error") & ~F.col("equivalent"), F.lit(False)).alias("result_changed"),
+        F.transform("violations", lambda v: F.concat_ws(": ", v["category"], v["rule"])).alias("violations"),
+        F.size("violations").alias("n_violations"),
+    )
+
+
+def gate_metrics(candidates: DataFrame, require_divergence: bool = True, by_split: bool = True) -> DataFrame:
+    """:func:`gate` after what rules out a whole metric: an incomplete contract, a base without rows, a base that breaks its own contract."""
+    complete = F.col("known_metric")
+    for field in ("owner", "grain"):
+        complete = complete & (F.trim(F.coalesce(field, F.lit(""))) != "")
+    of_metric = (
+        F.when(~complete, "incomplete_contract")
+        .when(F.col("base_rows") == 0, "insufficient_fixture_contrast")
+        .when(~F.col("chosen_passed"), "chosen_contract_failure")
+    )
+    gated = gate(candidates, require_divergence, by_split)
+    return gated.withColumn("rejection", F.coalesce(of_metric, "rejection"))
+
+
+def build_pairs(
+    evaluations: DataFrame,
+    contracts: DataFrame,
+    catalogue: DataFrame,
+    require_divergence: bool = True,
+    by_split: bool = True,
+    policy_version: str = "1.0.0",
+    fixture_id: str = "synthetic",
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rejects) from kill matrices, contracts and the catalogue of variants; see :func:`pair_candidates`.
+
+    Every variant of every catalogued metric is in exactly one of the two; rejects carry
+    the first reason that applies.
+    """
+    gated = gate_metrics(pair_candidates(evaluations, contracts, catalogue), require_divergence, by_split)
+    rejects = gated.where(F.col("rejection").isNotNull()).select("metric", "mutation_type", "mutation_description", "chosen_sql", "rejected_sql", "split", "violations", "rejection")
+    return pair_rows(gated.where(F.col("rejection").isNull()), policy_version, fixture_id), rejects
+
+
 def _metadata(*names: str) -> Column:
     return F.struct(*names)
 

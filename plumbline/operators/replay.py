@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.assertions import MetricValue, Population
-from plumbline.operators.scoring import SURVIVED, catch_scores
+from plumbline.operators.scoring import SURVIVED, catch_scores, kill_matrix, side_by_side
+from plumbline.operators.snapshots import SnapshotRegistry
 from plumbline.operators.suites import Suite
+from plumbline.plans.spec import MetricSpec
+from plumbline.session import stored
 
 REPLAYED_DECISIONS = ("ALLOW", "AUDIT")
 
@@ -81,6 +86,49 @@ def blind_spots(evaluations: DataFrame, by: Sequence[str] = ("trace_id", "metric
     )
 
 
+@dataclass(frozen=True)
+class Replayable:
+    """A metric that traces can be replayed on: its spec, the table it reads, and the suite its contract implies."""
+
+    spec: MetricSpec
+    table: str
+    suite: Suite
+
+
+def replay_matrices(wanted: Sequence[tuple[str, str]], registry: SnapshotRegistry, metrics: Mapping[str, Replayable]) -> DataFrame | None:
+    """Kill matrices of (metric, snapshot) pairs, each run once: metric_id, snapshot_id and the columns of the matrix; None for none."""
+    def matrix(metric, snapshot):
+        one = metrics[metric]
+        tables = registry.tables_of(metric, snapshot)
+        found = kill_matrix(one.spec, tables[one.table], [one.suite], tables)
+        return found.select(F.lit(metric).alias("metric_id"), F.lit(snapshot).alias("snapshot_id"), *found.columns)
+
+    return side_by_side([partial(matrix, *pair) for pair in wanted]) if wanted else None
+
+
+def replay(traces: DataFrame, registry: SnapshotRegistry, metrics: Mapping[str, Replayable], at: str = "ts") -> tuple[DataFrame, DataFrame | None]:
+    """(results, evaluations) of the traces that passed the gateway.
+
+    A trace is judged on the snapshot that held when it ran.  What its metric's suite
+    overlooks there does not depend on the trace, so one kill matrix is run for each
+    distinct metric and snapshot and joined back, however many traces there are; only
+    those distinct pairs come to the driver.  ``results`` has trace_id, metric_id, snapshot_id, ``status`` (replayed,
+    no_metric, no_snapshot) and for replayed ones the columns of :func:`blind_spots`;
+    ``evaluations`` the variants of each pair, stored.
+    """
+    named = registry.resolve(select_traces(traces), at)
+    known = F.col("metric_id").isin(*metrics)
+    status = F.when(~known, "no_metric").when(F.col("snapshot_id").isNull(), "no_snapshot").otherwise("replayed")
+    named = stored(named.select("trace_id", "metric_id", "snapshot_id", status.alias("status")), "replayed-traces")
+    pairs = named.where("status = 'replayed'").select("metric_id", "snapshot_id").distinct().collect()
+    evaluations = replay_matrices(sorted(map(tuple, pairs)), registry, metrics)
+    if evaluations is None:
+        nothing = {"effective_catch_pct": "double", "valid_defects": "bigint", "undetected_defects": "bigint", "contract_underspecified": "boolean"}
+        return named.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in nothing.items())), None
+    evaluations = stored(evaluations, "replayed-variants")
+    return named.join(blind_spots(evaluations, ["metric_id", "snapshot_id"]), ["metric_id", "snapshot_id"], "left"), evaluations
+
+
 def surviving_spots(evaluations: DataFrame) -> DataFrame:
     return evaluations.where(F.col("classification") == SURVIVED)
 

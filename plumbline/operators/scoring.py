@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,7 +190,17 @@ def tier_flags(results: DataFrame, structure: DataFrame, contract: DataFrame, pr
 
 def corpus_matrix(cases: Sequence[tuple[MetricSpec, DataFrame, Sequence[Suite], Mapping[str, DataFrame]]], strict: bool = True) -> DataFrame:
     """Kill matrices of many metrics, each over its own source and tables, as one table for the score functions."""
-    return reduce(DataFrame.unionByName, [kill_matrix(spec, df, suites, tables, strict) for spec, df, suites, tables in cases])
+    return side_by_side([partial(kill_matrix, spec, df, suites, tables, strict) for spec, df, suites, tables in cases])
+
+
+def side_by_side(matrices: Sequence[Callable[[], DataFrame]], at_once: int = 8) -> DataFrame:
+    """The union of small results, each stored by its own job; ``at_once`` of them are planned and run together.
+
+    The jobs of one matrix wait for each other, so a cluster would idle if they ran one after the other.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = list(pool.map(lambda make: stored(make(), "matrix"), matrices))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ladder(verdicts: DataFrame, latency: str = "latency_ms") -> DataFrame:

@@ -131,31 +131,35 @@ def _summable(spec: MetricSpec, df: DataFrame) -> bool:
     return all(kind in numeric or kind.startswith("decimal") for _, kind in values.dtypes)
 
 
+MAKERS = {
+    "FILTER_DROP": filter_drop,
+    "BOUNDARY_SHIFT": boundary_shift,
+    "AGGREGATION_SWAP": aggregation_swap,
+    "DISTINCT_DROP": distinct_drop,
+    "GRAIN_DROP": grain_drop,
+    "COALESCE_BYPASS": coalesce_bypass,
+    "MATH_OPERATOR_INVERT": math_invert,
+}
+
+
+def edits(spec: MetricSpec) -> dict[str, MetricSpec]:
+    """The edited spec of every fault that applies to the clauses of ``spec``, in the fixed order."""
+    found = {fault: MAKERS[fault](spec) for fault in FAULTS if fault in MAKERS}
+    return {fault: edited for fault, edited in found.items() if edited is not None}
+
+
 def derive(spec: MetricSpec, df: DataFrame, with_fanout: bool = False) -> list[Variant]:
     """All faults that apply to ``spec``, in the fixed order.
 
     A fault that Spark could not run (a SUM over text) is kept with ``error`` set.
     """
-    makers = {
-        "FILTER_DROP": filter_drop,
-        "BOUNDARY_SHIFT": boundary_shift,
-        "AGGREGATION_SWAP": aggregation_swap,
-        "DISTINCT_DROP": distinct_drop,
-        "GRAIN_DROP": grain_drop,
-        "COALESCE_BYPASS": coalesce_bypass,
-        "MATH_OPERATOR_INVERT": math_invert,
-    }
-    variants = []
+    edited, variants = edits(spec), []
     for fault in FAULTS:
-        if fault == "JOIN_PREDICATE_DROP":
-            if with_fanout:
-                variants.append(Variant(fault, spec, fanout=True))
-            continue
-        edited = makers[fault](spec)
-        if edited is None:
-            continue
-        error = None if _summable(edited, df) else "aggregate does not accept the column type"
-        variants.append(Variant(fault, edited, error=error))
+        if fault == "JOIN_PREDICATE_DROP" and with_fanout:
+            variants.append(Variant(fault, spec, fanout=True))
+        elif fault in edited:
+            error = None if _summable(edited[fault], df) else "aggregate does not accept the column type"
+            variants.append(Variant(fault, edited[fault], error=error))
     return variants
 
 

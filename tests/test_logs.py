@@ -287,7 +287,7 @@ def test_pair_pipeline(spark):
     }
     assert rows_by(PD.gate(df, require_divergence=False), "metric")["latent"]["rejection"] is None
     assert rows_by(PD.gate(df.withColumn("split", F.lit("holdout"))), "metric")["keep"]["rejection"] == "outside_split"
-    pairs = PD.build_pairs(PD.gate(df).where("rejection IS NULL"))
+    pairs = PD.pair_rows(PD.gate(df).where("rejection IS NULL"))
     row = first(pairs)
     evidence = {
         "chosen": {"execution_success": True, "contract_compliant": True, "assertions_passed": True, "baseline_validated": True, "result_reference": "baseline"},
