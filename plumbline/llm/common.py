@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,9 +49,40 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn("row", F.monotonically_increasing_id())
 
 
+#: For each :func:`settled` result that is being made, the tables stored for it.
+_scopes: list[list[str]] = []
+#: Spark's switch for dropping a query's shuffle files when it ends, rather than when the driver's memory is next cleaned.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The frame that ``make`` returns, stored; the tables that were stored on the way, and the shuffle files of finished queries, are deleted."""
+    before = spark.conf.get(_CLEAN, "false")
+    _scopes.append([])
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df = make()
+        path = scratch_path(spark, f"llm-{label}")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+        for own in _scopes.pop():
+            discard(spark, own)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Stored in the shared folder and read back: computed once, and safe from lost executors."""
     path = scratch_path(df.sparkSession, f"llm-{label}")
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 

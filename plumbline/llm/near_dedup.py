@@ -11,8 +11,9 @@ are counted first and pairs are formed from those that two classes share.
 a chance of at most MISS; more similar pairs are missed far less often.
 
 Candidates in a bucket are verified on the full sets against one pivot of the
-bucket, and components are formed from the links. Buckets that then still hold
-several components get another pivot, until a round finds no new link.
+bucket, and components are formed from the links. Only buckets that then still hold
+several components go on to the next round, with another pivot and the components
+so far, and only components are linked there. When a round finds few links for what it tries, the rounds end.
 Pairs across the components that are left come from prefix filtering: with the
 shingles of every set in one order, rare ones first, two sets that are similar
 enough share a shingle among the first few of both, at places that leave room
@@ -37,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keep, slices, utf8, with_row
+from plumbline.llm.common import keep, settled, slices, utf8, with_row
 from plumbline.llm.components import components
 
 WORDS, HALF, MISS = 5, 2, 1e-5
 #: Cells of the counts by which shingles are ordered; only the order's quality depends on them.
 SKETCH = 1 << 17
+#: A round that finds one link for more tries than this is the last one.
+FEW = 8
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CACHE = 400_000
@@ -132,7 +135,7 @@ def _sets(size: int):
 
 
 def bucket_members(classes: DataFrame, r: int) -> DataFrame:
-    """key, node of all table keys that at least two classes (node, bands) share."""
+    """key, node, n of all table keys that at least two classes (node, n_shingles, bands) share."""
     halves = classes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("half"))
     halves = keep(halves, "halves")
     shared = halves.groupBy("half").count().filter("count > 1").select("half")
@@ -143,46 +146,76 @@ def bucket_members(classes: DataFrame, r: int) -> DataFrame:
     tables = live.select("node", F.explode("first").alias("x"), "second").select("node", "x", F.explode("second").alias("y"))
     tables = keep(tables.select(F.xxhash64("x", "y").alias("key"), "node"), "tables")
     full = tables.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    return keep(tables.join(full, "key", "left_semi"), "buckets")
+    return tables.join(full, "key", "left_semi").join(classes.select("node", F.col("n_shingles").alias("n")), "node")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; sizes are compared before any set is fetched."""
+    """The pairs (a, b, ...) whose sets are similar enough; sizes are compared before any set is fetched."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
+    near = both * 100 >= (F.size("sa") + F.size("sb") - both) * percent
+    return pairs.join(one, "a").join(two, "b").filter(near).select(pairs.columns)
 
 
-def linked_components(classes: DataFrame, sets: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """node, comp of the classes (node, n_shingles) that are linked with others, but for each component's smallest node."""
-    size = classes.select("node", F.col("n_shingles").alias("n"))
-    members = keep(buckets.join(size, "node"), "members")
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    done, links, comp, turn = None, None, None, 0
+def _live(members: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return members.join(mixed, "key", "left_semi")
+
+
+def _tried(live: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of a row and its bucket's pivot in different components (ca, cb), of sizes that can be similar enough."""
+    # Another pivot in each round: the smallest node first, then the smallest by another hash.
+    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    heads = live.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("p"))
+    heads = heads.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("cb"))
+    fits = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
+    return live.join(heads, "key").filter("comp <> cb").filter(fits).select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb").distinct()
+
+
+def _moved(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """The rows with their component after ``merged`` (node: a component, comp: the one it went to)."""
+    into = merged.select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    return rows.join(into, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
+
+
+def linked_components(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """node, comp of the classes that are linked with others, but for each component's smallest node.
+
+    ``members`` (key, node, n: its shingles) has the classes of each bucket. A round leaves nothing behind but its live rows.
+    """
+    spark = sets.sparkSession
+    comp = spark.createDataFrame([], "node long, comp long")
+    live = members.withColumn("comp", F.col("node"))
+
+    def merge(pairs):
+        """(pairs tried, links found, components that went into others) of the pairs, which have their components."""
+        counts = []
+
+        def run():
+            tried = keep(pairs, "pairs")
+            links = keep(_links(tried, sets, percent), "links")
+            counts.extend((tried.count(), links.count()))
+            return components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+        merged = settled(spark, run, "merged")
+        return (*counts, merged)
+
+    turn = 0
     while True:
-        placed = members.withColumn("comp", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # Another pivot in each round: the smallest node first, then the smallest by another hash.
-        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        heads = placed.groupBy("key").agg(
-            F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-        )
-        heads = heads.filter("lo < hi").select("key", F.col("p.node").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("cb"))
-        pairs = placed.join(heads, "key").filter("comp <> cb").withColumnsRenamed({"node": "a", "n": "na"}).filter(fits)
-        found, done, links, new = _verified(pairs, sets, percent, done, links)
-        if not found:
-            break
-        if new:
-            comp = keep(components(links), "comp")
-        elif turn:
-            break
+        tried, found, merged = merge(_tried(live, percent, turn))
+        if found:
+            comp = settled(spark, lambda comp=comp, merged=merged: _moved(comp, merged).select("node", "comp").union(merged), "comp")
+            live = settled(spark, lambda live=live, merged=merged: _live(_moved(live, merged)), "live")
         turn += 1
+        # A speed choice: what later pivots would find, the exact filter finds as well.
+        if turn > 1 and found * FEW < tried or not tried:
+            break
     # What is left: pairs across the components that still share a bucket.
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    rest = placed.join(mixed, "key", "left_semi").select("node", "comp").distinct()
-    rest = keep(sets.join(rest, "node"), "rest")
-    _, _, links, new = _verified(prefix_pairs(rest, percent), sets, percent, done, links)
-    return keep(components(links), "comp") if new else comp if comp is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    rest = keep(sets.join(live.select("node", "comp").distinct(), "node"), "rest")
+    _, found, merged = merge(prefix_pairs(rest, percent).select("a", "b", "ca", "cb").distinct())
+    return _moved(comp, merged).select("node", "comp").union(merged) if found else comp
 
 
 def _rarity(batches):
@@ -226,24 +259,17 @@ def prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
     return larger.join(smaller, "shingle").filter((F.col("ca") != F.col("cb")) & fits & room)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, done: DataFrame | None, links: DataFrame | None):
-    """(new pairs, all pairs tried, all links, new links) after verifying the pairs that were not tried before."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = keep(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    n = pairs.count()
-    if not n and links is not None:
-        return 0, done, links, 0
-    new = keep(_links(pairs, sets, percent), "links")
-    return n, pairs if done is None else done.union(pairs), new if links is None else links.union(new), new.count()
-
-
 def near_dedup(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     Sets with 100 * intersection >= percent * union are linked; component_id is
     the smallest doc_id of a component.
     """
-    r = half_bands(percent / 100)
+    return settled(docs.sparkSession, lambda: _near_dedup(docs, percent, size), "near")
+
+
+def _near_dedup(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    spark, r = docs.sparkSession, half_bands(percent / 100)
     # Stored with their rows: a set is fetched by the row that stands for its class, whatever its doc_id.
     texts = keep(with_row(docs.select("doc_id", "text")), "texts")
     rows = keep(texts.mapInArrow(_signatures(r, size), "doc_id long, row long, n_shingles long, set_id binary, bands array<long>"), "signatures")
@@ -251,10 +277,10 @@ def near_dedup(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFra
         rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
         "classes",
     )
-    buckets = bucket_members(classes, r)
-    wanted = buckets.select(F.col("node").alias("row")).distinct()
+    members = settled(spark, lambda: bucket_members(classes, r), "members")
+    wanted = members.select(F.col("node").alias("row")).distinct()
     sets = keep(texts.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(_sets(size), "node long, shingles array<long>"), "sets")
-    comp = linked_components(classes, sets, buckets, percent)
+    comp = settled(spark, lambda: linked_components(sets, members, percent), "comp")
     placed = classes.select("set_id", "node", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     final = placed.join(named, "comp").select("set_id", "component_id")
