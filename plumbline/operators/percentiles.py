@@ -1,12 +1,12 @@
 """Exact percentiles with linear interpolation, without a huge group in one task.
 
-Values are counted per (group, value), which flattens repeated ones.  A value falls
-into one of 2 ** 48 cells that keep the order of values (equal steps of the
-magnitude's logarithm).  The first half of the cell number is grouped first: a
-running count over these at most 2 ** 24 cells tells the one that holds a wanted rank.
-The second half does the same inside that cell, and only values that share
-all 48 bits, a few thousand doubles, are ordered among themselves.  The path is the
-same for every size, and every task holds a bounded number of rows.
+A value falls into one of 2 ** 48 cells that keep the order of values: sign, exponent
+and the first 35 bits of the mantissa, so a cell holds at most 2 ** 17 doubles wherever
+it lies.  The first half of the cell number is counted first, on the map side: a running
+count over these at most 2 ** 24 tops tells those that hold the wanted ranks.
+Only their values are shuffled; the second half of the number does the same
+among them, and the values of one cell are ordered among themselves.  The path is the
+same for every size, and every task holds a bounded number of rows.  The input is read twice.
 """
 
 from __future__ import annotations
@@ -18,14 +18,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HALF_BITS = 24
-REACH = 1100.0  # above log2 of the largest double
+MANTISSA_BITS = 35
+LOWEST = -1075  # exponent below the smallest double's
+MIDDLE = 2**47  # the cell of zero
 
 
 def _cell(value: Column) -> Column:
     """Cell number of a double; infinities and NaN are in the outermost cells."""
-    size = F.least(F.log2(1 + F.abs(value)), F.lit(REACH))
-    place = F.when(F.isnan(value), REACH).when(value < 0, -size).otherwise(size)
-    return F.floor((place + REACH) / (2 * REACH) * float(2 ** (2 * HALF_BITS) - 1)).cast("bigint")
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    place = (exponent - LOWEST) * 2**MANTISSA_BITS + F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * float(2**MANTISSA_BITS))
+    place = F.when(size == 0, 0).when(size == float("inf"), MIDDLE - 2).otherwise(place)
+    signed = F.when(value < 0, -place).otherwise(place)
+    return (MIDDLE + F.when(F.isnan(value), MIDDLE - 1).otherwise(signed)).cast("bigint")
 
 
 def _held(rows: DataFrame, keys: Sequence[str], order: str, size: str) -> DataFrame:
@@ -64,36 +69,47 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: dict[str, float]
     return _percentiles(df.where(F.col(value).isNotNull()), value, probabilities, by)
 
 
+def _matching(left: DataFrame, right: DataFrame, names: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """Inner join on ``on`` and the group columns ``names``, where NULL is a group like any other."""
+    other = right.withColumnsRenamed({n: f"{n}r" for n in [*names, *on]})
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}r"))
+    for n in on:
+        same = same & (F.col(n) == F.col(f"{n}r"))
+    return left.join(other, same).drop(*[f"{n}r" for n in [*names, *on]])
+
+
 def _percentiles(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str]) -> DataFrame:
     names = [f"__g{i}" for i in range(len(by))]
     groups = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
-    # one text key that is never NULL stands in for the group in all joins
-    key = F.to_json(F.struct(*[F.col(n) for n in names]), {"ignoreNullFields": "false"}) if names else F.lit("all")
-    counts = df.select(*groups, F.col(value).cast("double").alias("__v")).groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumns({"__key": key, "__cell": _cell(F.col("__v"))}).withColumn("__top", F.shiftright("__cell", HALF_BITS))
+    rows = df.select(*groups, F.col(value).cast("double").alias("__v")).withColumn("__cell", _cell(F.col("__v")))
+    rows = rows.withColumn("__top", F.shiftright("__cell", HALF_BITS))
 
-    tops = counts.groupBy("__key", "__top").agg(F.sum("__n").alias("__size"), *[F.max(n).alias(n) for n in names])
-    total = F.sum("__size").over(W.partitionBy("__key"))
+    total = F.sum("__size").over(W.partitionBy(*names))
     at = F.array(*[F.lit(float(p)) for p in probabilities.values()])
     ranks = F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(F.floor(p * (F.col("__total") - 1)), F.ceil(p * (F.col("__total") - 1))))))
-    upto = W.partitionBy("__key").orderBy("__top").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = W.partitionBy(*names).orderBy("__top").rowsBetween(W.unboundedPreceding, W.currentRow)
     tops = (
-        tops.withColumns({"__total": total, "__upto": F.sum("__size").over(upto)})
+        rows.groupBy(*names, "__top")
+        .agg(F.count(F.lit(1)).alias("__size"))
+        .withColumns({"__total": total, "__upto": F.sum("__size").over(upto)})
         .withColumn("__below", F.col("__upto") - F.col("__size"))
         .withColumn("__ks", F.filter(ranks, lambda k: (k < F.col("__upto")) & (k >= F.col("__below"))))
         .where(F.size("__ks") > 0)
-        .select("__key", "__top", "__total", "__below", *names, F.explode("__ks").alias("__k"))
+        .select(*names, "__top", "__total", "__below", "__ks")
     )
-    slim = counts.select("__key", "__top", "__cell", "__v", "__n")
-    cells = (
-        slim.join(tops.select("__key", "__top", "__k", "__below"), ["__key", "__top"])
-        .groupBy("__key", "__k", "__cell")
-        .agg(F.sum("__n").alias("__size"), F.max("__below").alias("__below"))
+    # values of the tops that hold a wanted rank, once for each of these ranks
+    inside = _matching(rows, tops, names, ["__top"]).groupBy(*names, "__cell", "__v").agg(
+        F.count(F.lit(1)).alias("__n"), F.first("__ks").alias("__ks"), F.first("__below").alias("__below"), F.first("__total").alias("__total")
     )
-    cells = _held(cells, ["__key", "__k"], "__cell", "__size")
-    found = _held(slim.join(cells, ["__key", "__cell"]), ["__key", "__k"], "__v", "__n").select("__key", "__k", F.col("__v").alias("__at"))
+    inside = inside.select(*names, "__cell", "__v", "__n", "__below", "__total", F.explode("__ks").alias("__k"))
+    cells = inside.groupBy(*names, "__k", "__cell").agg(F.sum("__n").alias("__size"), F.max("__below").alias("__below"))
+    cells = _held(cells, [*names, "__k"], "__cell", "__size")
+    found = _held(_matching(inside.drop("__below"), cells, names, ["__k", "__cell"]), [*names, "__k"], "__v", "__n")
     # floor and ceiling rank carry the weights of the interpolation
-    solved = tops.join(found, ["__key", "__k"]).groupBy("__key").agg(*[F.max(n).alias(n) for n in names], *[_weighted(p).alias(a) for a, p in probabilities.items()])
+    solved = found.withColumn("__at", F.col("__v")).groupBy(*names).agg(*[_weighted(p).alias(a) for a, p in probabilities.items()])
+    solved = solved if names else solved.where(F.coalesce(*probabilities).isNotNull())
     return solved.select(*[F.col(n).alias(c) for c, n in zip(by, names, strict=True)], *list(probabilities))
 
 

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 from tables import first, rows_by
@@ -324,3 +326,26 @@ def test_integers_and_decimals_are_compared_exactly(spark):
     repeated = first(compare.cellwise(big, less.union(less), ["k"], ["v"]))
     assert (repeated["change"], repeated["rows_base"], repeated["rows_other"]) == ("repeated", 1, 2)
     assert first(compare.fingerprint(big))["fingerprint"] != first(compare.fingerprint(less))["fingerprint"]
+
+
+def test_percentile_cells_keep_the_order_and_stay_small(spark):
+    from plumbline.operators.percentiles import _cell
+
+    edges = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1e-300, 2e-13, 0.1, 0.5, 1.0, 1.5, 2.0, 1e300, 1.7976931348623157e308, float("inf")]
+    near = [math.nextafter(2.0**k, way) for k in range(-1070, 1024, 9) for way in (0.0, math.inf)] + [2.0**k for k in range(-1074, 1024, 7)]
+    values = sorted({s * v for v in edges + near for s in (-1, 1)})
+    found = spark.createDataFrame([(v,) for v in [*values, float("nan")]], "v double").select("v", _cell(F.col("v")).alias("c")).orderBy("v").collect()
+    numbers = [r["c"] for r in found]
+    assert numbers == sorted(numbers) and numbers[0] >= 0 and numbers[-1] < 2**48 and numbers[-1] > numbers[-2]
+    small = spark.range(100_000).select(((F.col("id") + 1) * 1e-17).alias("v"))
+    cells = small.select(_cell(F.col("v")).alias("c")).groupBy("c").count()
+    assert cells.agg(F.max("count")).first()[0] <= 4 and cells.count() > 90_000
+    got = first(exact_percentiles(small, "v", {"p": 0.25, "q": 0.999}))
+    assert got["p"] == pytest.approx(25_000.75e-17, rel=1e-12) and got["q"] == pytest.approx(99_900.001e-17, rel=1e-12)
+
+
+def test_percentiles_of_null_groups_and_columns_without_values(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    assert {r["g"]: r["p"] for r in exact_percentiles(df, "v", {"p": 0.5}, ["g"]).collect()} == {None: 2.0, "a": 2.0}
+    assert exact_percentiles(df.where("g = 'b'"), "v", {"p": 0.5}).count() == 0
