@@ -127,3 +127,30 @@ def st_suite_batch(spark, d):
     target = scratch_path(spark, "suite-batch")
     jobs.suite_per_batch(jobs.file_stream(spark, d, "events"), suite, target).awaitTermination()
     return spark.read.parquet(f"{target}/data").select("name", "passed", "violations")
+
+
+@demo(
+    "st_suite_across",
+    """
+    WITH fed AS (SELECT event_id, user_id, value, ts FROM events UNION ALL SELECT event_id, user_id, value, ts FROM events WHERE event_id % 50 = 0
+                 UNION ALL SELECT event_id, user_id, value, ts FROM events WHERE event_id % 350 = 0),
+    ids AS (SELECT date_trunc('day', ts) AS day, event_id, count(*) AS n FROM fed GROUP BY ALL HAVING count(*) > 1),
+    grains AS (SELECT date_trunc('day', ts) AS day, user_id, value, count(*) AS n FROM fed GROUP BY ALL HAVING count(*) > 1)
+    SELECT 'accepted_range_value' AS name, count(*) FILTER (WHERE value < 0 OR value > 300) = 0 AS passed, count(*) FILTER (WHERE value < 0 OR value > 300) AS violations, count(value)::DOUBLE AS observed FROM fed
+    UNION ALL SELECT 'unique_event_id', count(*) = 0, count(*), coalesce(sum(n - 1), 0)::DOUBLE FROM ids
+    UNION ALL SELECT 'grain_user_id_value', count(*) = 0, count(*), coalesce(sum(n - 1), 0)::DOUBLE FROM grains
+    """,
+)
+def st_suite_across(spark, d):
+    """Events in three deliveries, each judged by a run of its own; some events come again in a later delivery."""
+    suite = Suite(
+        "stream", [A.AcceptedRange(column="value", min_value=0, max_value=300), A.Unique(columns=("event_id",)), A.Grain(columns=("user_id", "value"))]
+    )
+    folder, target = scratch_path(spark, "deliveries"), scratch_path(spark, "suite-across")
+    events = t(spark, d, "events")
+    for part, delivery in enumerate([events, events.where("event_id % 50 = 0"), events.where("event_id % 350 = 0")]):
+        delivery.write.parquet(f"{folder}/events.parquet/part={part}")
+        # a delay of forty days: every event may come that late
+        stream = jobs.file_stream(spark, folder, "events", per_trigger=1)
+        jobs.suite_across_batches(stream, suite, target, time="ts", within="1 day", delay="40 days")
+    return jobs.suite_so_far(spark, suite, target).select("name", "passed", "violations", "observed")

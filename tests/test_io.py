@@ -210,6 +210,41 @@ def test_suite_per_batch(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("within", [None, "1 day"])
+def test_repeats_are_found_across_batches_and_a_restart(spark, tmp_path, within):
+    source, target = str(tmp_path / "src"), str(tmp_path / "out")
+    suite = Suite("s", [A.Unique(columns=("a", "b")), A.NotNull(columns=("c",)), A.Grain(columns=("c",))])
+    deliveries = [
+        [(1, "x", 1, "2024-01-01 01:00"), (2, "x", 2, "2024-01-01 02:00"), (None, "x", 3, "2024-01-01 02:00"), (None, "x", None, "2024-01-01 02:00")],
+        [(1, "x", 4, "2024-01-01 23:00"), (1, "y", 5, "2024-01-01 03:00"), (3, "z", 6, "2024-01-01 04:00"), (3, "z", 6, "2024-01-01 05:00")],
+        [(1, "x", 7, "2024-01-01 06:00"), (2, "x", 8, "2024-01-02 02:00")],
+    ]
+    every = []
+    for rows in deliveries:
+        every += rows
+        df = spark.createDataFrame(rows, "a int, b string, c int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)  # a new query on the same target: the driver came back
+        jobs.suite_across_batches(stream, suite, target, time="ts", within=within, delay="3 days")
+        table = spark.createDataFrame(every, "a int, b string, c int, ts string").withColumn("day", F.substring("ts", 1, 10))
+        got = {r["name"]: (r["passed"], r["violations"], r["observed"]) for r in jobs.suite_so_far(spark, suite, target).collect()}
+        for name, keys in (("unique_a_b", ["a", "b"]), ("grain_c", ["c"])):
+            counts = table.dropna(subset=keys).groupBy(*keys, *(["day"] if within else [])).count().where("count > 1").collect()
+            assert got[name] == (not counts, len(counts), sum(r["count"] - 1 for r in counts))
+        assert got["not_null_c"][:2] == (False, 1)
+    assert got["unique_a_b"] == ((False, 2, 3.0) if within else (False, 3, 4.0))
+
+
+def test_state_of_passed_windows_is_dropped(spark, tmp_path):
+    source, target = str(tmp_path / "src"), str(tmp_path / "out")
+    suite = Suite("s", [A.Unique(columns=("a",))])
+    for rows in ([(1, "2024-01-01 01:00")], [(9, "2024-01-09 00:00")], [(9, "2024-01-09 01:00"), (1, "2024-01-01 02:00")]):
+        df = spark.createDataFrame(rows, "a int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        jobs.suite_across_batches(spark.readStream.schema(df.schema).parquet(source), suite, target, time="ts", within="1 day", delay="1 hour")
+    assert [(r["violations"], r["observed"]) for r in jobs.suite_so_far(spark, suite, target).collect()] == [(1, 1.0)]
+
+
 def test_streams_read_a_file_and_a_folder_of_parts_alike(spark, sf, tmp_path):
     from plumbline.demos.streams import st_probe_window
 
