@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plumbline.demos.metrics import AOV, ARR, MAU, NET_REVENUE, NET_REVENUE_SQL, NET_REVENUE_WHERE, order_lines, rounded
 from plumbline.demos.registry import demo
-from plumbline.plans.spec import Measure, MetricSpec, Predicate, Term
+from plumbline.plans.factorised import with_lost_join
+from plumbline.plans.spec import Measure, MetricSpec, Predicate, Ratio, Term
 from plumbline.plans.variants import run_one, run_variants
 from plumbline.sources.tables import read_table as t
 
@@ -103,6 +104,49 @@ def var_join_fanout(spark, d):
     return rounded(long.where(F.col("variant").isin("BASE", "JOIN_PREDICATE_DROP")))
 
 
+EXPOSURE = MetricSpec(
+    "exposure",
+    dims=(("priority", "o_orderpriority"), ("segment", "c_mktsegment")),
+    measures=(
+        Measure("exposure", (Term("price * balance"), Term("price * balance", when="balance < 0", sign=-1))),
+        Measure("pairs", (Term("o_orderkey", agg="count"),)),
+        Measure("nations", (Term("c_nationkey", agg="count", distinct=True),)),
+        Measure("mean_price", (Term("price", agg="avg"),)),
+        Measure("mean_exposure", (Term("price * balance", agg="avg"),)),
+        Ratio("price_share", Term("price"), Term("price * balance")),
+    ),
+    filters=(Predicate("o_orderstatus", "=", "'F'"), Predicate("c_nationkey", "<>", "3")),
+)
+_EXPOSURE_SQL = """
+    SELECT '{variant}' AS variant, o_orderpriority AS priority, c_mktsegment AS segment,
+           (sum(price * balance) - sum(CASE WHEN balance < 0 THEN price * balance ELSE 0 END))::DOUBLE AS exposure, count(o_orderkey)::DOUBLE AS pairs,
+           count(DISTINCT c_nationkey)::DOUBLE AS nations, round(avg(price), 6) AS mean_price, round(sum(price * balance)::DOUBLE / count(price * balance), 2) AS mean_exposure,
+           round(sum(price)::DOUBLE / nullif(sum(price * balance)::DOUBLE, 0), 9) AS price_share
+    FROM o {join} WHERE o_orderstatus = 'F' AND c_nationkey <> 3 GROUP BY ALL
+"""
+
+
+@demo(
+    "var_join_fanout_both",
+    f"""
+    WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CAST(round(o_totalprice) AS BIGINT) AS price FROM orders),
+         c AS (SELECT c_custkey, c_nationkey, c_mktsegment, CAST(round(c_acctbal) AS BIGINT) AS balance FROM customer)
+    {_EXPOSURE_SQL.format(variant="BASE", join="JOIN c ON o_custkey = c_custkey")}
+    UNION ALL {_EXPOSURE_SQL.format(variant="JOIN_PREDICATE_DROP", join="CROSS JOIN c")}
+    """,
+)
+def var_join_fanout_both(spark, d):
+    """Grain and measures come from both sides; the lost condition is factorised."""
+    orders = t(spark, d, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("custkey"), "o_orderstatus", "o_orderpriority", F.round("o_totalprice").cast("bigint").alias("price")
+    )
+    customers = t(spark, d, "customer").select(
+        F.col("c_custkey").alias("custkey"), "c_nationkey", "c_mktsegment", F.round("c_acctbal").cast("bigint").alias("balance")
+    )
+    long = with_lost_join(EXPOSURE, orders, customers, ["custkey"], {"price * balance": ("price", "balance")})
+    return long.withColumns({"mean_price": F.round("mean_price", 6), "mean_exposure": F.round("mean_exposure", 2), "price_share": F.round("price_share", 9)})
+
+
 @demo("var_grain_drop", f"{NET_BASE} UNION ALL {NET_GRAIN}")
 def var_grain_drop(spark, d):
     return rounded(run_one(NET_REVENUE, order_lines(spark, d), "GRAIN_DROP"))
