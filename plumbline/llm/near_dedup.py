@@ -259,19 +259,20 @@ def prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
     return larger.join(smaller, "shingle").filter((F.col("ca") != F.col("cb")) & fits & room)
 
 
-def near_dedup(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = 80, size: int = WORDS, numbered: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     Sets with 100 * intersection >= percent * union are linked; component_id is
-    the smallest doc_id of a component.
+    the smallest doc_id of a component. ``numbered`` says that ``docs`` is a stored
+    table whose doc_id is a number of its own for each row, so it need not be stored again.
     """
-    return settled(docs.sparkSession, lambda: _near_dedup(docs, percent, size), "near")
+    return settled(docs.sparkSession, lambda: _near_dedup(docs, percent, size, numbered), "near")
 
 
-def _near_dedup(docs: DataFrame, percent: int, size: int) -> DataFrame:
+def _near_dedup(docs: DataFrame, percent: int, size: int, numbered: bool) -> DataFrame:
     spark, r = docs.sparkSession, half_bands(percent / 100)
     # Stored with their rows: a set is fetched by the row that stands for its class, whatever its doc_id.
-    texts = keep(with_row(docs.select("doc_id", "text")), "texts")
+    texts = docs.select("doc_id", "text", F.col("doc_id").alias("row")) if numbered else keep(with_row(docs.select("doc_id", "text")), "texts")
     rows = keep(texts.mapInArrow(_signatures(r, size), "doc_id long, row long, n_shingles long, set_id binary, bands array<long>"), "signatures")
     classes = keep(
         rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 
 import cases
 import corpus_pipeline
@@ -11,6 +12,15 @@ from test_text_operators import plain_contamination
 
 from plumbline.llm import quality
 from plumbline.llm.queries import ORACLES, QUERIES
+from plumbline.session import shared_dir
+
+
+NO_ID = 10**9
+
+
+def stored_tables(spark):
+    folder = f"{shared_dir(spark)}/plumbline"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
 
 
 @pytest.fixture
@@ -34,10 +44,11 @@ def test_run_is_its_stages_by_hand(spark, folder):
     path, rows = folder
     model = quality.fit_quality(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
     tools = quality.compressors(model.dictionaries)
-    texts = [(i, (t or "").encode()) for i, t in rows]
+    # rows without an id come after all others
+    texts = [(NO_ID if i is None else i, (t or "").encode()) for i, t in rows]
     left = [(i, t) for i, t in texts if model.score(*quality.compressed_sizes(t, tools), len(t)) >= corpus_pipeline.LEAST_QUALITY]
     assert not {i for i, _ in left} & set(range(500, 560)) and set(range(600, 700)) <= {i for i, _ in left}
-    keep = {g[0] for g in plain.exact_groups(left) if g[3] and g[0] is not None}
+    keep = {g[0] for g in plain.exact_groups(left) if g[3]}
     left = sorted({(i, t) for i, t in left if i in keep})
     keep = {g[0] for g in plain.near_groups(left, corpus_pipeline.NEAR_PERCENT) if g[3]}
     left = [(i, t) for i, t in left if i in keep]
@@ -49,8 +60,11 @@ def test_run_is_its_stages_by_hand(spark, folder):
     want = []
     for i, t in left:
         ids = library.encode_ordinary(t.decode())
-        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t).hexdigest()))
+        want.append((None if i == NO_ID else i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t).hexdigest()))
+    before = stored_tables(spark)
     assert cases.sorted_rows(corpus_pipeline.run(spark, path)) == sorted(want, key=repr)
+    assert NO_ID in {i for i, _ in left} and None in {w[0] for w in want}
+    assert [name.rsplit("-", 1)[0] for name in sorted(stored_tables(spark) - before)] == ["llm-pipeline"]
 
 
 def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
@@ -70,13 +84,13 @@ def test_texts_under_one_id_are_judged_apart(spark, folder):
     docs = cases.documents(spark, rows, extra=("row", "number"))
     for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.decontamination_stage):
         docs = stage(spark, docs, path)
-    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted([(1, a), (2, b), (2, c), (4, cases.prose(3005, 60))])
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted([(1, a), (2, b), (2, c), (4, cases.prose(3005, 60))])  # the row without id is a copy of one with an id
     clean = corpus_pipeline.decontamination_stage(spark, cases.documents(spark, [(None, a), (None, leaked)]), path)
     assert [r["text"] for r in clean.collect()] == [a]
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
