@@ -6,7 +6,8 @@ columns of its input, but for the last, which returns the digests of the ids.
 
 Every row is judged by itself: rows are numbered, and the operators decide on the
 numbers, so different texts under one doc_id stay apart. Of equal or near texts the
-row with the smallest doc_id stays; exact dedup leaves out rows without one. Null texts are empty
+row with the smallest doc_id stays, or the first one if none has a doc_id. A stage stores its numbered rows and
+the numbers it keeps; what its operator stored on the way is deleted. Null texts are empty
 ones; of all empty texts one passes exact dedup. Without labels of both kinds
 the quality stage keeps everything. Empty tables give no rows, columns beyond
 those of documents are carried along.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, exact_dedup, near_dedup, quality
-from plumbline.llm.common import keep, read
+from plumbline.llm.common import keep, read, settled
 from plumbline.llm.queries import bpe_digests
 
 #: Texts below this probability of being good are rejected.
@@ -62,21 +63,32 @@ def _first_of_each(rows: DataFrame, groups: DataFrame, number: str) -> DataFrame
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, texts, number = _numbered(docs)
-    groups = exact_dedup.exact_dedup(texts).select("doc_id", F.col("keep_id").alias("group"))
-    return _only(rows, _first_of_each(rows, groups, number), number).filter("doc_id IS NOT NULL").select(docs.columns)
+
+    def decide():
+        groups = exact_dedup.exact_dedup(texts).select("doc_id", F.col("keep_id").alias("group"))
+        return _first_of_each(rows, groups, number)
+
+    return _only(rows, settled(spark, decide, "exact-numbers"), number).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of the smallest doc_id of each group of near copies, and texts without words."""
     rows, texts, number = _numbered(docs)
-    groups = near_dedup.near_dedup(texts, NEAR_PERCENT).select("doc_id", F.col("component_id").alias("group"))
-    return _only(rows, _first_of_each(rows, groups, number), number).select(docs.columns)
+
+    def decide():
+        groups = near_dedup.near_dedup(texts, NEAR_PERCENT, numbered=True).select("doc_id", F.col("component_id").alias("group"))
+        return _first_of_each(rows, groups, number)
+
+    return _only(rows, settled(spark, decide, "near-numbers"), number).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, texts, number = _numbered(docs)
-    clean = decontaminate.contamination(texts, read(spark, sf_dir, "benchmark")).filter(F.size("spans") == 0)
-    return _only(rows, clean, number).select(docs.columns)
+
+    def decide():
+        return decontaminate.contamination(texts, read(spark, sf_dir, "benchmark")).filter(F.size("spans") == 0).select("doc_id")
+
+    return _only(rows, settled(spark, decide, "clean-numbers"), number).select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -96,7 +108,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    def stages():
+        docs = read(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        return docs
+
+    return settled(spark, stages, "pipeline")
