@@ -89,6 +89,22 @@ def test_texts_under_one_id_are_judged_apart(spark, folder):
     assert [r["text"] for r in clean.collect()] == [a]
 
 
+def test_rows_of_files_are_known_by_file_and_place(spark, folder, tmp_path):
+    path, _ = folder
+    a, b = cases.prose(3001, 60), cases.prose(3002, 60)
+    rows = [(5, a), (5, a), (4, b), (None, b), (None, "x y"), (3, a + " tail"), (2, None), (1, "")] * 3
+    docs = cases.documents(spark, rows, extra=("number", "file", "place"))
+    docs.write.parquet(f"{tmp_path}/some files.parquet")
+    read = spark.read.parquet(f"{tmp_path}/some files.parquet")
+    assert corpus_pipeline._reread(read) and not corpus_pipeline._reread(docs) and not corpus_pipeline._reread(read.filter("doc_id > 0"))
+    numbered, texts, number = corpus_pipeline._numbered(read)
+    assert numbered.select(number).distinct().count() == len(rows) == texts.count()
+    assert sorted(map(tuple, numbered.select("text", number).collect()), key=repr) == sorted(map(tuple, texts.select("text", "doc_id").collect()), key=repr)
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.decontamination_stage):
+        assert stage(spark, read, path).columns == docs.columns
+        assert cases.sorted_rows(stage(spark, read, path)) == cases.sorted_rows(stage(spark, docs, path))
+
+
 def test_every_operator_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
