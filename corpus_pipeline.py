@@ -6,8 +6,8 @@ columns of its input, but for the last, which returns the digests of the ids.
 
 Every row is judged by itself: rows are numbered, and the operators decide on the
 numbers, so different texts under one doc_id stay apart. Of equal or near texts the
-row with the smallest doc_id stays, or the first one if none has a doc_id. A stage stores its numbered rows and
-the numbers it keeps; what its operator stored on the way is deleted. Null texts are empty
+row with the smallest doc_id stays, or the first one if none has a doc_id. A stage stores
+the numbers it keeps, and its rows if they are not those of files; what its operator stored on the way is deleted. Null texts are empty
 ones; of all empty texts one passes exact dedup. Without labels of both kinds
 the quality stage keeps everything. Empty tables give no rows, columns beyond
 those of documents are carried along.
@@ -26,6 +26,8 @@ from plumbline.llm.queries import bpe_digests
 LEAST_QUALITY = 0.5
 #: Shingle sets with this percentage in common are near copies.
 NEAR_PERCENT = 80
+#: More rows than a file holds.
+ROWS = 1 << 40
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -43,10 +45,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_text(docs, model, name).filter(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
+def _reread(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of files just as it was read, so that a row is known by its file and place."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.nodeName() == "LogicalRelation" and bool(docs.inputFiles()) and "_metadata" not in docs.columns
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
-    """The stored rows with a number each, the same as the operators take them (doc_id: the number), and the number's column."""
+    """The rows with a number each, the same as the operators take them (doc_id: the number), and the number's column.
+
+    Rows of files are numbered by file and place, which every read finds again; others are stored first.
+    """
     number = _free(docs, "number")
-    rows = keep(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    if _reread(docs):
+        file, place = _free(docs, "file"), _free(docs, "place")
+        paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())  # one row a file
+        files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), f"{file} string, {number} long")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+        rows = placed.join(files, file).withColumn(number, F.col(number) * ROWS + F.col(place)).select(*docs.columns, number)
+    else:
+        rows = keep(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     return rows, rows.select(F.col(number).alias("doc_id"), "text"), number
 
 
