@@ -485,9 +485,8 @@ def cmp_cellwise(spark, d):
 @demo(
     "cmp_fingerprint",
     """
-    WITH h AS (SELECT sha256(concat_ws(chr(31), coalesce(o_custkey::VARCHAR, chr(0)), coalesce(o_orderkey::VARCHAR, chr(0)),
-                                       coalesce(trim(o_orderstatus), chr(0)))) AS h
-               FROM orders),
+    WITH c AS (SELECT o_custkey::VARCHAR AS a, o_orderkey::VARCHAR AS b, trim(o_orderstatus) AS s FROM orders),
+         h AS (SELECT sha256(coalesce(length(a) || ':' || a, '-') || coalesce(length(b) || ':' || b, '-') || coalesce(length(s) || ':' || s, '-')) AS h FROM c),
          w AS (SELECT count(*) AS rows, sum(('0x' || h[1:8])::BIGINT) AS w0, sum(('0x' || h[9:16])::BIGINT) AS w1,
                       sum(('0x' || h[17:24])::BIGINT) AS w2, sum(('0x' || h[25:32])::BIGINT) AS w3 FROM h)
     SELECT rows, sha256(concat_ws('|', rows::VARCHAR, w0::VARCHAR, w1::VARCHAR, w2::VARCHAR, w3::VARCHAR)) AS fingerprint

@@ -180,8 +180,10 @@ def fingerprint(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     the row count are hashed again.
     """
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    cells = [F.coalesce(_canonical(f, digits).cast("string"), F.lit("\u0000")) for f in fields]
-    hashed = df.select(F.sha2(F.concat_ws("\u001f", *cells), 256).alias("h"))
+    texts = [_canonical(f, digits).cast("string") for f in fields]
+    # each cell after its own length, so no text can pass for two cells or for NULL
+    cells = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in texts]
+    hashed = df.select(F.sha2(F.concat(*cells), 256).alias("h"))
     words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)]
     summed = hashed.agg(
         F.count(F.lit(1)).alias("rows"),

@@ -349,3 +349,11 @@ def test_percentiles_of_null_groups_and_columns_without_values(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     assert {r["g"]: r["p"] for r in exact_percentiles(df, "v", {"p": 0.5}, ["g"]).collect()} == {None: 2.0, "a": 2.0}
     assert exact_percentiles(df.where("g = 'b'"), "v", {"p": 0.5}).count() == 0
+
+
+def test_fingerprints_tell_separators_and_nulls_apart(spark):
+    rows = [[("a\x1fb", "c")], [("a", "b\x1fc")], [(None, "c")], [("\x00", "c")], [("-", "c")], [("1:a", "c")], [("a", None)], [("a", "")], [("", "a")]]
+    prints = [first(compare.fingerprint(spark.createDataFrame(r, "x string, y string")))["fingerprint"] for r in rows]
+    assert len(set(prints)) == len(rows)
+    both = spark.createDataFrame(rows[0] + rows[2], "x string, y string")
+    assert first(compare.fingerprint(both)) == first(compare.fingerprint(both.repartition(3).select("y", "x")))
