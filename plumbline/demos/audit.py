@@ -244,6 +244,19 @@ def rp_sample(spark, d):
     return sampled.select("trace_id", "agent_id", "metric_id")
 
 
+@demo(
+    "rp_sample_exact",
+    f"""
+    WITH {TRACES},
+    ranked AS (SELECT trace_id, agent_id, metric_id, row_number() OVER (PARTITION BY agent_id, metric_id ORDER BY ('0x' || md5(trace_id)[1:15])::BIGINT, trace_id) AS n FROM traces)
+    SELECT trace_id, agent_id, metric_id FROM ranked WHERE n <= CASE WHEN agent_id = 'agent_1' AND metric_id = 'purchase' THEN 40 ELSE 15 END
+    """,
+)
+def rp_sample_exact(spark, d):
+    sampled = RP.sample_exact(traces(spark, d), 15, {("agent_1", "purchase"): 40})
+    return sampled.select("trace_id", "agent_id", "metric_id")
+
+
 @demo(
     "rp_suite",
     """

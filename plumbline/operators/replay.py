@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators.assertions import MetricValue, Population
@@ -53,6 +54,27 @@ def sample_traces(
     return traces.where(_place(F.col("trace_id").cast("string")) < share * float(2**HASH_BITS))
 
 
+def sample_exact(traces: DataFrame, size: int, per_stratum: Mapping[tuple, int] | None = None, strata: Sequence[str] = ("agent_id", "metric_id")) -> DataFrame:
+    """Exactly ``size`` traces of each stratum, all of a smaller one: those whose ids have the least hashes.
+
+    The same traces on every run and partitioning; of traces with one id the one whose other values hash
+    lowest comes first.  Each task keeps its own least rows of a stratum, so a hot stratum
+    moves ``size`` rows from each task.  ``per_stratum`` gives strata sizes of their own; a NULL stratum is one.
+    """
+    wanted = F.lit(size)
+    for values, other in (per_stratum or {}).items():
+        match = F.lit(True)
+        for column, value in zip(strata, values, strict=True):
+            match = match & F.col(column).eqNullSafe(F.lit(value))
+        wanted = F.when(match, F.lit(other)).otherwise(wanted)
+    identity = F.coalesce(F.col("trace_id").cast("string"), F.lit(""))
+    order = [_place(identity), identity, F.xxhash64(*[F.col(f"`{c}`") for c in traces.columns])]
+    most = max([size, *(per_stratum or {}).values()])
+    # the constant bound lets Spark cut each task's rows before they are shuffled
+    ranked = traces.withColumn("__n", F.row_number().over(W.partitionBy(*strata).orderBy(*order))).where(F.col("__n") <= most)
+    return ranked.where(F.col("__n") <= wanted).drop("__n")
+
+
 def suite_specs(contracts: DataFrame) -> DataFrame:
     """Assertions implied by each contract, one row each.
 

@@ -205,3 +205,20 @@ def test_replay_without_replayable_traces(spark, registry):
     results, evaluations = RP.replay(traces(spark, TRACES[:1]), registry, METRICS)
     assert evaluations is None and results.first()["status"] == "no_snapshot"
     assert RP.replay(traces(spark).limit(0), registry, METRICS)[0].count() == 0
+
+
+def test_an_exact_sample_has_its_size_whatever_the_partitioning(spark):
+    rows = [(f"t{i}", "hot", "m", i % 3) for i in range(200)] + [(f"u{i}", "a", None, i) for i in range(9)] + [("same", "b", "m", i) for i in range(6)] + [(None, "c", "m", 1), (None, "c", "m", 2)]
+    df = spark.createDataFrame(rows, "trace_id string, agent_id string, metric_id string, k int")
+    taken = [sorted(map(tuple, RP.sample_exact(df.repartition(n), 4, {("hot", "m"): 50, ("a", None): 7}).collect()), key=repr) for n in (1, 5, 13)]
+    assert taken[0] == taken[1] == taken[2] and set(taken[0]) <= set(rows)
+    sizes = {}
+    for r in taken[0]:
+        sizes[r[1]] = sizes.get(r[1], 0) + 1
+    assert sizes == {"hot": 50, "a": 7, "b": 4, "c": 2}
+    smaller = set(map(tuple, RP.sample_exact(df, 4, {("hot", "m"): 20}).collect()))
+    assert {r for r in smaller if r[1] == "hot"} < set(taken[0])
+    plan = RP.sample_exact(df, 4)._jdf.queryExecution().executedPlan().toString()
+    before_shuffle = plan.split("Exchange hashpartitioning", 1)[1]
+    assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle
+    assert RP.sample_exact(df.limit(0), 4).count() == 0
