@@ -358,8 +358,9 @@ def verify_checkpoints(log: DataFrame, checkpoints: DataFrame, key: str | None =
     totals = parts.groupBy("checkpoint_id").agg(
         F.sum("events").alias("__events"), F.max("held").alias("__held"), F.coalesce(F.max("held_rows"), F.lit(0)).alias("__rows")
     )
-    bad = verify_chain(log, segment_size).select("tenant_id", "sequence_num")
-    broken = bad.join(places, "tenant_id").where("sequence_num <= sequence_end").groupBy("checkpoint_id").agg(F.count(F.lit(1)).alias("__broken"))
+    # a tenant's first broken position decides for all of its checkpoints
+    first = verify_chain(log, segment_size).groupBy("tenant_id").agg(F.min("sequence_num").alias("__first"))
+    broken = places.join(first, "tenant_id").where("__first <= sequence_end").select("checkpoint_id", F.lit(True).alias("__broken"))
     roots = roots.select("checkpoint_id", F.col("root_hash").alias("__root"))
     rows = checkpoints.join(totals, "checkpoint_id", "left").join(roots, "checkpoint_id", "left").join(broken, "checkpoint_id", "left")
     signature_ok = F.lit(None).cast("boolean")
