@@ -14,8 +14,10 @@ lists, each moved by its term's offset, from rare to frequent (``phrase_hits``).
 
 Words are runs of letters and digits of lower-cased text (A-Z only; anything
 beyond ASCII counts as a letter). Null and empty texts have no words. Items
-without words or id are left out; items with one id count once. Repeated rows
-are judged one by one, other columns are ignored, an empty table gives no rows.
+without words are left out; items with one id count once. Items without id are
+searched like any other: a document that holds one has a single null in its
+list of items, after the ids. Repeated rows are judged one by one, other columns
+are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -140,12 +142,12 @@ class Shard:
         return at
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """(id as text, words) of the items, in lists of about ``block_words`` words."""
+def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """(id as text or None, words) of the items, in lists of about ``block_words`` words."""
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         own = words((row["text"] or "").encode())
-        if row["item_id"] is None or not own:
+        if not own:
             continue
         block.append((row["item_id"], own))
         size += len(own)
@@ -156,7 +158,7 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[li
         yield block
 
 
-def windows_of(block: list[tuple[str, list[bytes]]], window: int) -> tuple[list[str], list[bytes], dict[int, np.ndarray]]:
+def windows_of(block: list[tuple[str | None, list[bytes]]], window: int) -> tuple[list[str | None], list[bytes], dict[int, np.ndarray]]:
     """Item ids, distinct terms, and for each window length an array of rows (item, term, term, ...)."""
     ids, known, rows = [], {}, {}
     for place, (item, own) in enumerate(block):
@@ -192,7 +194,7 @@ def _search(shared):
                         at = shard.document(lo)
                         for d in np.unique(doc).tolist():
                             spans = [{"lo": x, "hi": y} for x, y in zip((lo[at == d] - shard.starts[d]).tolist(), (hi[at == d] - shard.starts[d]).tolist(), strict=True)]
-                            out.append({"shard": row["shard"], "place": d, "items": sorted(set(names[pairs[1][pairs[0] == d]])), "spans": spans})
+                            out.append({"shard": row["shard"], "place": d, "items": list(set(names[pairs[1][pairs[0] == d]])), "spans": spans})
                 yield pa.RecordBatch.from_pylist(out, schema=_HITS)
 
     return run
@@ -248,7 +250,7 @@ def near_hits(spark: SparkSession, index: DataFrame, items: DataFrame, distance:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, items (sorted ids), spans of hit words for every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_words, items (sorted ids, then null for items without id), spans of hit words for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     index = build_index(docs)
     hits = phrase_hits(spark, index, items, window, block_words)

@@ -148,17 +148,17 @@ def plain_contamination(rows, items, size=10):
         for item, text in items:
             w = words_of(text)
             n = min(size, len(w))
-            windows = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w and item is not None else set()
+            windows = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
             for k in range(len(own) - n + 1):
                 if tuple(own[k : k + n]) in windows:
                     hit |= set(range(k, k + n))
-                    names.add(str(item))
-        out.append((i, len(own), len(hit), sorted(names)))
+                    names.add(item)
+        out.append((i, len(own), len(hit), sorted(str(n) for n in names if n is not None) + [n for n in names if n is None]))
     return sorted(out, key=repr)
 
 
 def test_contamination_is_a_plain_scan(spark, docs, none):
-    items = [(1, cases.prose(1, 40)), (2, "Two words"), (10, cases.prose(1, 40)), (3, None), (4, ""), (None, "word"), (5, cases.prose(5, 30)), (5, "absent phrase"), (6, "aba aba aba")]
+    items = [(1, cases.prose(1, 40)), (2, "Two words"), (10, cases.prose(1, 40)), (3, None), (4, ""), (None, "word"), (None, "Two words"), (5, cases.prose(5, 30)), (5, "absent phrase"), (6, "aba aba aba")]
     table = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS spans")
     want = plain_contamination(cases.awkward(), items)
     for block in (5, 10_000):
@@ -169,6 +169,22 @@ def test_contamination_is_a_plain_scan(spark, docs, none):
     assert decontaminate.contamination(docs, table.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+def test_contamination_query_is_its_sql_with_items_without_id(spark, tmp_path):
+    import duckdb
+
+    docs = [(1, "a word here"), (2, "nothing"), (3, "two words and a word"), (4, None), (5, "only two words"), (6, "other things")]
+    items = [(None, "word"), (None, "nothing"), (3, "two words"), (3, "word and"), (None, None), (4, "..."), (None, "word")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.op3_decontaminate(spark, str(tmp_path))
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = db.execute(decontaminate.SQL).fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in found.collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 2), 4: (0, 0), 5: (2, 1), 6: (0, 0)}
+
+
 def test_near_hits_find_all_terms_within_a_distance(spark):
     rows = [(1, "alpha x beta y y gamma"), (2, "alpha x x x x x x beta gamma"), (3, "gamma beta"), (4, "beta gamma alpha"), (5, None)]
     index = decontaminate.build_index(cases.documents(spark, rows).coalesce(1))
