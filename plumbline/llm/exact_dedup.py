@@ -5,8 +5,8 @@ where a rolling hash of its last bytes says so, so a chunk is found again
 wherever it stands. Chunks travel once: their bytes are grouped under a 64-bit
 key, which verifies that a key stands for one byte string. Documents are then
 compared by their ordered lists of chunk keys alone; no text is moved for that.
-Keys that stand for several byte strings are told apart by an exact second
-pass (``_told_apart``).
+Where a key stands for several byte strings, the texts whose recipes hold it,
+and no others, go through an exact second pass (``_told_apart``).
 
 Null and empty texts are equal to each other. Of repeated rows with one doc_id
 exactly one stays. A null doc_id comes after all others when the row that stays
@@ -91,10 +91,16 @@ def _pieces(key: Callable[[bytes], int]):
     return run
 
 
-def _told_apart(recipes: DataFrame, texts: DataFrame, clashes: DataFrame, key) -> DataFrame:
-    """Recipes in which each clashing key is followed by the number of its byte string."""
+def _holding(recipes: DataFrame, clashes: DataFrame) -> DataFrame:
+    """text_sha256 of the texts whose recipes hold a clashing key."""
+    held = recipes.select("text_sha256", F.explode("keys").alias("key")).join(clashes, "key", "left_semi")
+    return held.select("text_sha256").distinct()
+
+
+def _told_apart(moved: DataFrame, clashes: DataFrame, key: Callable[[bytes], int]) -> DataFrame:
+    """Recipes of ``moved`` (row, doc_id, text, text_sha256) in which each key is followed by the number of its byte string."""
     forms = (
-        texts.mapInArrow(_pieces(key), "key long, piece binary")
+        moved.mapInArrow(_pieces(key), "key long, piece binary")
         .join(clashes, "key", "left_semi")
         .distinct()
         .groupBy("key")
@@ -111,14 +117,14 @@ def _told_apart(recipes: DataFrame, texts: DataFrame, clashes: DataFrame, key) -
             )
 
     named = (
-        texts.mapInArrow(own, "row long, place long, key long, piece binary")
+        moved.mapInArrow(own, "row long, place long, key long, piece binary")
         .join(forms, "key", "left")
         .select("row", "place", "key", F.coalesce(F.array_position("forms", F.col("piece")), F.lit(0)).alias("form"))
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("place", "key", "form"))).alias("named"))
         .select("row", F.flatten(F.transform("named", lambda x: F.array(x["key"], x["form"]))).alias("keys"))
     )
-    return recipes.drop("keys").join(named, "row")
+    return moved.drop("text").join(named, "row")
 
 
 def exact_dedup(docs: DataFrame, key: Callable[[bytes], int] = chunk_key) -> DataFrame:
@@ -128,15 +134,14 @@ def exact_dedup(docs: DataFrame, key: Callable[[bytes], int] = chunk_key) -> Dat
         texts.mapInArrow(_pieces(key), "key long, piece binary").distinct().groupBy("key").count().filter("count > 1").select("key")
     )
     clashes = keep(clashes, "clashes")
-    if clashes.isEmpty():
-        recipes = keep(with_row(texts.mapInArrow(_recipes(key), "doc_id long, text_sha256 string, keys array<long>")), "recipes")
-    else:
-        rows = keep(with_row(texts), "rows")
-        plain = keep(
-            rows.select("row", "doc_id", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256).alias("text_sha256"), F.lit(None).alias("keys")),
-            "plain",
-        )
-        recipes = keep(_told_apart(plain, rows, clashes, key), "recipes")
+    recipes = keep(with_row(texts.mapInArrow(_recipes(key), "doc_id long, text_sha256 string, keys array<long>")), "recipes")
+    if not clashes.isEmpty():
+        holding = keep(_holding(recipes, clashes), "holding")
+        sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+        moved = keep(with_row(texts.withColumn("text_sha256", sha).join(holding, "text_sha256", "left_semi")), "moved")
+        apart = _told_apart(moved, clashes, key)
+        # the lists of both parts differ: a clashing key stands first in a pair of the one, and nowhere in the other
+        recipes = keep(recipes.join(holding, "text_sha256", "left_anti").unionByName(apart), "apart")
     groups = recipes.groupBy("keys").agg(
         F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row")).alias("first"), F.count("*").alias("group_size")
     )

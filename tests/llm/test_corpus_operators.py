@@ -28,6 +28,23 @@ def test_exact_dedup_tells_clashing_keys_apart(spark):
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in weak), key=repr) == plain.exact_groups(utf8(cases.awkward()))
 
 
+def test_exact_dedup_moves_only_texts_with_a_clashing_key(spark, monkeypatch):
+    """Two of three hundred texts share a key: they and their copies are moved, nothing else."""
+    rows = [(i, f"text number {i % 300}") for i in range(600)] + [(1000, None), (1001, "  text  number 7")]
+    twin = {b"text number 7": 5, b"text number 8": 5}
+    counts = []
+    told_apart = exact_dedup._told_apart
+
+    def counted(moved, clashes, key):
+        counts.append((moved.count(), clashes.count()))
+        return told_apart(moved, clashes, key)
+
+    monkeypatch.setattr(exact_dedup, "_told_apart", counted)
+    got = exact_dedup.exact_dedup(cases.documents(spark, rows), key=lambda chunk: twin.get(chunk, exact_dedup.chunk_key(chunk))).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got), key=repr) == plain.exact_groups(utf8(rows))
+    assert counts == [(4, 1)]  # doc_id 7, 307, 8 and 308; 1001 begins with a blank and is another text
+
+
 def test_chunks_are_found_again_after_an_insertion():
     text = cases.prose(9, 20_000).encode()
     assert b"".join(exact_dedup.chunks(text)) == text
