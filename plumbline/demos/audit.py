@@ -161,6 +161,50 @@ def au_checkpoint_signed(spark, d):
     return checked[0].unionByName(checked[1]).select("checkpoint_id", "root_hash", "signature_ok", "root_ok", "valid")
 
 
+# A checkpoint after every fiftieth event of a tenant.
+EVERY = 50
+MANY = f"""
+    ends AS (SELECT tn, seq AS e FROM chain WHERE seq % {EVERY} = 0),
+    cps AS (SELECT c.tn, e, arg_max(hash, seq) AS h, count(*) AS n FROM ends JOIN chain c ON c.tn = ends.tn AND c.seq <= e GROUP BY c.tn, e)"""
+
+
+def _many(chain):
+    places = chain.where(F.col("sequence_num") % EVERY == 0).select("tenant_id", F.col("sequence_num").alias("sequence_end"))
+    return AU.checkpoints_at(chain, places, 1767225600.0, "key-1", SEGMENT)
+
+
+@demo(
+    "au_checkpoints_at",
+    f"""
+    WITH RECURSIVE {CHAIN}, {MANY}, {_roots_ctes("SELECT c.tn * 1000000000 + e AS tn, seg AS place, arg_max(hash, seq) AS h FROM cps c JOIN chain USING (tn) WHERE seq <= e GROUP BY 1, 2", "tn", "'tenant_' || (tn // 1000000000)")}
+    SELECT 'cp-tenant_' || c.tn || '-' || e AS checkpoint_id, c.h AS last_event_hash, n AS total_events, l.h AS root_hash
+    FROM cps c JOIN l3 l ON l.tn = c.tn * 1000000000 + e
+    """,
+)
+def au_checkpoints_at(spark, d):
+    """Roots of many prefixes of one log, from one tree."""
+    return _many(stored(_chain(spark, d), "audit-chain")).select("checkpoint_id", "last_event_hash", "total_events", "root_hash")
+
+
+@demo(
+    "au_checkpoint_many",
+    f"""
+    WITH RECURSIVE {TAMPER}, {MANY},
+    held AS (SELECT c.tn, e, sum(CASE WHEN k.seq % 109 = 0 THEN 2 ELSE 1 END) AS rows,
+                    count(*) FILTER (k.seq = e AND k.seq % 109 <> 0 AND k.seq % 103 <> 0) AS there
+             FROM cps c JOIN kept k ON k.tn = c.tn AND k.seq <= e GROUP BY c.tn, e),
+    bad AS (SELECT c.tn, e, count(*) AS b FROM cps c JOIN problems p ON p.tn = c.tn AND seq <= e WHERE problem IS NOT NULL GROUP BY c.tn, e)
+    SELECT 'cp-tenant_' || c.tn || '-' || e AS checkpoint_id, there = 1 AS anchored, rows = n AS complete, b IS NULL AS chain_ok,
+           there = 1 AND rows = n AND b IS NULL AS valid
+    FROM cps c LEFT JOIN bad USING (tn, e) LEFT JOIN held USING (tn, e)
+    """,
+)
+def au_checkpoint_many(spark, d):
+    taken = AU.sign_checkpoints(_many(stored(_chain(spark, d), "audit-chain")), "demo key")
+    checked = AU.verify_checkpoints(_tampered(spark, d), taken, "demo key", SEGMENT)
+    return checked.select("checkpoint_id", "anchored", "complete", "chain_ok", "valid")
+
+
 @demo(
     "au_truncated",
     f"""

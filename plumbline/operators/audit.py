@@ -183,6 +183,77 @@ def _levels(tails: DataFrame, segment_size: int) -> int:
     return levels
 
 
+def _level_start(level: int, place: Column) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit("level"), F.lit(str(level)), "tenant_id", place.cast("string")), 256)
+
+
+def _folded(start: Column, hashes: Column) -> Column:
+    return F.aggregate(hashes, start, lambda acc, h: F.sha2(F.concat(acc, h), 256))
+
+
+def state_at(log: DataFrame, places: DataFrame, segment_size: int = SEGMENT) -> DataFrame:
+    """What ``log`` holds up to each distinct place (tenant_id, sequence_end) of ``places``.
+
+    Columns: tenant_id, sequence_end, events (rows up to it), held and held_rows (hash and
+    number of the events at it), root_hash (that of ``link_segments`` over the log up to it; NULL if nothing is there).
+
+    The tails of the segments are the leaves of an append-only tree whose nodes fold up to
+    ``segment_size`` hashes of the level below; each level is built once and stored.  A node that ends
+    before a place is the same for every later place, so a place takes from each level one row, the
+    list that it stands in, and folds the part before it together with its own unfinished node.
+    Only events of the segment a place stands in are read again.  For S segments and C places
+    that is S + C * (segment_size + levels) rows, with levels the logarithm of S.
+    """
+    places = stored(places.select("tenant_id", "sequence_end").distinct().withColumn("place", _at(segment_size)), "places")
+    tails = stored(segment_tails(log, segment_size), "tails")
+    at_place = F.col("sequence_num") == F.col("sequence_end")
+    own = (
+        log.withColumn("place", _segment(segment_size))
+        .join(places, ["tenant_id", "place"])
+        .where("sequence_num <= sequence_end")
+        .groupBy("tenant_id", "sequence_end")
+        .agg(
+            F.max_by("event_hash", "sequence_num").alias("hash"),
+            F.count(F.lit(1)).alias("events"),
+            F.min(F.when(at_place, F.col("event_hash"))).alias("held"),
+            F.count_if(at_place).alias("held_rows"),
+        )
+    )
+    zero = F.lit(0).cast("bigint")
+    current = places.join(own, ["tenant_id", "sequence_end"], "left").withColumns(
+        {c: F.coalesce(c, zero) for c in ("events", "held_rows")}
+    )
+    nodes = tails.select("tenant_id", F.col("segment").alias("place"), F.col("tail_hash").alias("hash"), "events")
+    reached = tails.select("segment").unionByName(places.select(F.col("place").alias("segment")))
+    for level in range(_levels(reached, segment_size)):
+        up = F.expr(f"place div {segment_size}")
+        lists = nodes.groupBy("tenant_id", up.alias("up")).agg(
+            F.array_sort(F.collect_list(F.struct("place", "hash", "events"))).alias("items")
+        )
+        lists = stored(lists, f"level-{level}")
+        before = F.filter("items", lambda x: x["place"] < F.col("place"))
+        current = (
+            current.withColumn("up", up)
+            .join(lists, ["tenant_id", "up"], "left")
+            .withColumn("before", F.coalesce(before, F.expr("CAST(array() AS array<struct<place: bigint, hash: string, events: bigint>>)")))
+        )
+        hashes = F.array_compact(F.concat(F.transform("before", lambda x: x["hash"]), F.array("hash")))
+        chained = F.when(F.size(hashes) > 0, _folded(_level_start(level, F.col("up")), hashes))
+        if level:  # a tenant that is down to its one hash keeps it
+            chained = F.when(F.col("place") > 0, chained).otherwise(F.col("hash"))
+        earlier = F.aggregate("before", zero, lambda n, x: n + x["events"])
+        current = current.select(
+            "tenant_id", "sequence_end", F.col("up").alias("place"), chained.alias("hash"), (F.col("events") + earlier).alias("events"), "held", "held_rows"
+        )
+        nodes = lists.select(
+            "tenant_id",
+            F.col("up").alias("place"),
+            _folded(_level_start(level, F.col("up")), F.transform("items", lambda x: x["hash"])).alias("hash"),
+            F.aggregate("items", zero, lambda n, x: n + x["events"]).alias("events"),
+        )
+    return current.select("tenant_id", "sequence_end", "events", "held", "held_rows", F.col("hash").alias("root_hash"))
+
+
 def link_segments(tails: DataFrame, segment_size: int = SEGMENT, by: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
     """Root hash per tenant (or per ``by``, of which tenant_id is one) over all its segments.
 
@@ -196,8 +267,7 @@ def link_segments(tails: DataFrame, segment_size: int = SEGMENT, by: tuple[str,
         grouped = current.groupBy(*by, "last", F.expr(f"place div {segment_size}").alias("up")).agg(
             F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("items")
         )
-        start = F.sha2(F.concat_ws(":", F.lit("level"), F.lit(str(level)), "tenant_id", F.col("up").cast("string")), 256)
-        chained = F.aggregate("items", start, lambda acc, item: F.sha2(F.concat(acc, item["hash"]), 256))
+        chained = _folded(_level_start(level, F.col("up")), F.transform("items", lambda item: item["hash"]))
         if level:
             chained = F.when(F.col("last") > 0, chained).otherwise(F.get("items", F.lit(0))["hash"])
         current = grouped.select(*by, F.expr(f"last div {segment_size}").alias("last"), F.col("up").alias("place"), chained.alias("hash"))
@@ -302,6 +372,20 @@ def checkpoint(log: DataFrame, timestamp: float, key_id: str, segment_size: int
     )
 
 
+def checkpoints_at(log: DataFrame, places: DataFrame, timestamp: float, key_id: str, segment_size: int = SEGMENT) -> DataFrame:
+    """Checkpoints for many places (tenant_id, sequence_end) of one log at once; a place whose event is not there exactly once gets none."""
+    return state_at(log, places, segment_size).where("held_rows = 1").select(
+        F.concat_ws("-", F.lit("cp"), "tenant_id", "sequence_end").alias("checkpoint_id"),
+        "tenant_id",
+        "sequence_end",
+        F.col("held").alias("last_event_hash"),
+        F.col("events").alias("total_events"),
+        "root_hash",
+        F.lit(float(timestamp)).alias("checkpoint_timestamp"),
+        F.lit(key_id).alias("key_id"),
+    )
+
+
 def _payload() -> Column:
     return F.concat_ws(
         ":",
@@ -334,35 +418,21 @@ def verify_checkpoints(log: DataFrame, checkpoints: DataFrame, key: str | None =
 
     All is judged up to the checkpoint's place: its event is there once with its hash
     (anchored), the log holds as many events as it signs (complete), the segments
-    give its root (root_ok), and no position is broken (chain_ok).  The log is
-    grouped into segments once; only segments that a checkpoint ends in are read again.
+    give its root (root_ok), and no position is broken (chain_ok).  The work grows with
+    the log and the checkpoints, not with their product (``state_at``).
     """
     checkpoints = stored(checkpoints, "checkpoints")
-    places = checkpoints.select("checkpoint_id", "tenant_id", "sequence_end", _at(segment_size).alias("segment"))
-    tails = stored(segment_tails(log, segment_size), "tails")
-    whole = tails.select("tenant_id", F.col("segment").alias("s"), "tail_hash", "events").join(places, "tenant_id").where("s < segment")
-    last = (
-        log.withColumn("segment", _segment(segment_size))
-        .join(places, ["tenant_id", "segment"])
-        .where("sequence_num <= sequence_end")
-        .groupBy("tenant_id", "checkpoint_id", F.col("segment").alias("s"))
-        .agg(
-            F.max_by("event_hash", "sequence_num").alias("tail_hash"),
-            F.count(F.lit(1)).alias("events"),
-            F.min(F.when(F.col("sequence_num") == F.col("sequence_end"), F.col("event_hash"))).alias("held"),
-            F.count_if(F.col("sequence_num") == F.col("sequence_end")).alias("held_rows"),
-        )
-    )
-    parts = stored(whole.select("tenant_id", "checkpoint_id", "s", "tail_hash", "events").unionByName(last, allowMissingColumns=True), "parts")
-    roots = link_segments(parts.withColumnRenamed("s", "segment"), segment_size, ("tenant_id", "checkpoint_id"))
-    totals = parts.groupBy("checkpoint_id").agg(
-        F.sum("events").alias("__events"), F.max("held").alias("__held"), F.coalesce(F.max("held_rows"), F.lit(0)).alias("__rows")
+    state = state_at(log, checkpoints, segment_size).select(
+        "tenant_id",
+        "sequence_end",
+        F.col("events").alias("__events"),
+        F.col("held").alias("__held"),
+        F.col("held_rows").alias("__rows"),
+        F.col("root_hash").alias("__root"),
     )
     # a tenant's first broken position decides for all of its checkpoints
     first = verify_chain(log, segment_size).groupBy("tenant_id").agg(F.min("sequence_num").alias("__first"))
-    broken = places.join(first, "tenant_id").where("__first <= sequence_end").select("checkpoint_id", F.lit(True).alias("__broken"))
-    roots = roots.select("checkpoint_id", F.col("root_hash").alias("__root"))
-    rows = checkpoints.join(totals, "checkpoint_id", "left").join(roots, "checkpoint_id", "left").join(broken, "checkpoint_id", "left")
+    rows = checkpoints.join(state, ["tenant_id", "sequence_end"], "left").join(first, "tenant_id", "left")
     signature_ok = F.lit(None).cast("boolean")
     if key is not None:
         signature_ok = F.col("signature") == _hmac_udf(key)(_payload())
@@ -373,11 +443,9 @@ def verify_checkpoints(log: DataFrame, checkpoints: DataFrame, key: str | None =
     }
     rows = rows.withColumn("signature_ok", signature_ok).withColumns({c: F.coalesce(v, F.lit(False)) for c, v in checks.items()})
     valid = F.coalesce("signature_ok", F.lit(True)) & F.col("anchored") & F.col("complete") & F.col("root_ok") & F.col("chain_ok")
-    return (
-        rows.withColumn("chain_ok", F.col("__broken").isNull())
-        .withColumn("valid", valid)
-        .drop("__held", "__rows", "__broken", "__events", "__root")
-    )
+    intact = F.coalesce(F.col("__first") > F.col("sequence_end"), F.lit(True))
+    added = ["signature_ok", *checks, "chain_ok", "valid"]
+    return rows.withColumn("chain_ok", intact).withColumn("valid", valid).select(*checkpoints.columns, *added)
 
 
 def _at(size: int) -> Column:

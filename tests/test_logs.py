@@ -409,6 +409,66 @@ def test_segment_roots_match_python(spark):
     assert first(AU.link_segments(tails, 4)) == {"tenant_id": "a", "root_hash": hashes[0], "roots": 1}
 
 
+def plain_root(hashes, size, tenant):
+    level = 0
+    while level == 0 or len(hashes) > 1:
+        folded = []
+        for up in range(0, len(hashes), size):
+            last = hashlib.sha256(f"level:{level}:{tenant}:{up // size}".encode()).hexdigest()
+            for h in hashes[up : up + size]:
+                last = hashlib.sha256((last + h).encode()).hexdigest()
+            folded.append(last)
+        hashes, level = folded, level + 1
+    return hashes[0]
+
+
+def test_state_at_every_place_is_that_of_the_log_cut_there(spark):
+    chain = AU.build_chain(audit_log(spark, 37, ("a", "b")), 3)
+    places = chain.selectExpr("tenant_id", "sequence_num AS sequence_end")
+    missing = spark.createDataFrame([("a", 40), ("c", 1), ("a", None), (None, 4)], "tenant_id string, sequence_end long")
+    got = {(r["tenant_id"], r["sequence_end"]): r for r in AU.state_at(chain, places.union(places).union(missing), 3).collect()}
+    assert len(got) == 2 * 37 + 4
+    for tenant in ("a", "b"):
+        hashes = [r["event_hash"] for r in chain.where(F.col("tenant_id") == tenant).orderBy("sequence_num").collect()]
+        for end in range(1, 38):
+            tails = [hashes[min(i + 3, end) - 1] for i in range(0, end, 3)]
+            r = got[tenant, end]
+            assert (r["events"], r["held"], r["held_rows"], r["root_hash"]) == (end, hashes[end - 1], 1, plain_root(tails, 3, tenant))
+    assert (got["a", 40]["events"], got["a", 40]["held"], got["a", 40]["held_rows"]) == (37, None, 0)
+    assert got["c", 1]["root_hash"] is None and got["c", 1]["events"] == 0
+    one = AU.checkpoint(chain.where("sequence_num <= 20"), 1.0, "k", 3)
+    assert sorted(AU.checkpoints_at(chain, places.where("sequence_end = 20"), 1.0, "k", 3).collect()) == sorted(one.collect())
+    assert AU.checkpoints_at(chain, missing, 1.0, "k", 3).count() == 0
+    assert AU.state_at(chain.limit(0), places.limit(0), 3).count() == 0
+
+
+def joined_rows(df):
+    """Rows that the joins of a query gave, from its metrics."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+        children = node.children()
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_checkpoints_cost_the_same_each_however_many_and_however_long_the_log(spark, tmp_path):
+    AU.build_chain(audit_log(spark, 2000, ("a",)), 4).write.parquet(f"{tmp_path}/log")
+    chain = spark.read.parquet(f"{tmp_path}/log")
+    for count in (1, 10, 100):
+        places = chain.where(F.col("sequence_num") % (2000 // count) == 0).selectExpr("tenant_id", "sequence_num AS sequence_end")
+        rows = joined_rows(AU.state_at(chain, places, 4))
+        # own events, the place itself, and a row for each of the five levels of 500 segments; not count * 500
+        assert count <= rows <= count * (4 + 1 + 5)
+
+
 def test_lost_and_rewritten_segments_are_found(spark, tmp_path):
     AU.build_chain(audit_log(spark, 40, ("a",)), 8).write.parquet(f"{tmp_path}/log")
     chain = spark.read.parquet(f"{tmp_path}/log")
