@@ -10,6 +10,7 @@ from plumbline.operators import audit as AU
 from plumbline.operators import provenance as PV
 from plumbline.operators import replay as RP
 from plumbline.operators import scoring
+from plumbline.operators.containment import occurrences
 from plumbline.operators.governance import check_compliance, decide
 from plumbline.operators.snapshots import SnapshotRegistry
 from plumbline.session import scratch_path, stored
@@ -447,6 +448,26 @@ def pv_verify(spark, d):
     )
 
 
+@demo(
+    "pv_symbol_corpus",
+    """
+    WITH symbols AS (SELECT DISTINCT substr(text, 1 + 24 * i::INTEGER, (12 + (doc_id + i) % 4)::INTEGER) AS symbol
+                     FROM (SELECT doc_id, text, unnest(range(0, length(text) // 24)) AS i FROM documents)),
+         places AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents),
+         windows AS (SELECT doc_id, substr(text, i::INTEGER, n::INTEGER) AS symbol FROM places CROSS JOIN range(12, 16) AS r(n) WHERE i + n <= length(text) + 1)
+    SELECT symbol, count(DISTINCT doc_id) AS documents FROM windows SEMI JOIN symbols USING (symbol) GROUP BY 1
+    """,
+)
+def pv_symbol_corpus(spark, d):
+    """Every 24th place of each text gives a symbol; in how many documents does each occur?"""
+    documents = t(spark, d, "documents")
+    step = F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.length("text") / 24) - 1, F.lit(0)))).alias("i")
+    places = documents.where(F.length("text") >= 24).select("doc_id", "text", step)
+    symbols = places.select(F.substr("text", F.col("i").cast("int") * 24 + 1, (12 + (F.col("doc_id") + F.col("i")) % 4).cast("int")).alias("symbol"))
+    met = occurrences(symbols, documents, keep=["doc_id"])
+    return met.groupBy("symbol").agg(F.count_distinct("doc_id").alias("documents"))
+
+
 @demo(
     "jn_symbol",
     """

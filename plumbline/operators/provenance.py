@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.containment import occurrences
+from plumbline.session import stored
+
 PARSED = "n string, block struct<repository:string,organization:string,reference_path:string,commit_sha:string>, symbols array<string>, reject string"
-#: Symbols of a claim that are looked for together, and parts that a repository's files are dealt into.
-SYMBOLS_TOGETHER = 64
-FILE_PARTS = 32
 
 
 def extract_claims(documents: DataFrame, name: str = "source_file", text: str = "text") -> DataFrame:
@@ -126,17 +126,33 @@ def _entries(node, name: str) -> list[dict]:
     return held
 
 
+def _among(symbols: Column, found: Column) -> Column:
+    """The symbols of a list that were found, in its order and with its repeats."""
+    return F.when(F.size(F.array_distinct(symbols)) == F.size(symbols), F.array_intersect(symbols, found)).otherwise(
+        F.filter(symbols, lambda s: F.array_contains(found, s))
+    )
+
+
+def _beyond(symbols: Column, found: Column) -> Column:
+    """The symbols of a list that were not found; nulls are no symbols."""
+    return F.when(F.size(F.array_distinct(symbols)) == F.size(symbols), F.array_compact(F.array_except(symbols, found))).otherwise(
+        F.filter(symbols, lambda s: ~F.array_contains(found, s))
+    )
+
+
 def find_symbols(claims: DataFrame, files: DataFrame, on: str = "file_id", symbols: str = "symbols", text: str = "text") -> DataFrame:
     """Containment join: which claimed symbols occur in the text of the cited file.
 
-    The claim's symbol list meets its file once; the text is not carried on.
+    One row per claim.  Each file is read once, however many claims and symbols cite it;
+    several files under one key count as one.
     """
-    texts = files.select(on, F.col(text).alias("__text"))
-    joined = claims.join(texts, on, "left")
-    held = F.filter(symbols, lambda s: F.contains(F.col("__text"), s))
-    return joined.withColumns(
-        {"file_exists": F.col("__text").isNotNull(), "found": F.coalesce(held, F.array().cast("array<string>"))}
-    ).drop("__text")
+    wanted = claims.select(on, F.explode(symbols).alias("symbol"))
+    met = occurrences(wanted, files, scope=[on], text=text).groupBy(on).agg(F.collect_set("symbol").alias("__met"))
+    known = files.where(F.col(text).isNotNull()).select(on).distinct().withColumn("__known", F.lit(True))
+    joined = claims.join(known, on, "left").join(met, on, "left")
+    none = F.array().cast("array<string>")
+    held = _among(F.coalesce(F.col(symbols), none), F.coalesce("__met", none))
+    return joined.withColumns({"file_exists": F.col("__known").isNotNull(), "found": held}).drop("__met", "__known")
 
 
 def verify_claims(claims: DataFrame, files: DataFrame) -> DataFrame:
@@ -144,65 +160,36 @@ def verify_claims(claims: DataFrame, files: DataFrame) -> DataFrame:
 
     ``files`` is a table (repository, path, content).  A claim may cite several
     paths, separated by commas; without a path all files of the repository are
-    searched.
+    searched.  Each file is read once for the symbols claimed of its repository.
     """
-    cited = claims.where(F.col("reference_path").isNotNull())
-    paths = cited.select(
-        "source_file",
-        "repository",
-        "claimed_symbols",
-        F.explode(F.array_distinct(F.transform(F.split("reference_path", ","), lambda p: F.trim(p)))).alias("path"),
-    )
-    texts = files.select("repository", "path", F.col("content").alias("__text"))
-    hits = F.filter("claimed_symbols", lambda s: F.contains(F.col("__text"), s))
-    by_path = (
-        paths.join(texts, ["repository", "path"])
-        .select("source_file", "repository", hits.alias("found"))
-        .groupBy("source_file", "repository")
-        # at most one list per cited path
-        .agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    )
-    cited_result = cited.join(by_path, ["source_file", "repository"], "left").withColumn(
-        "file_exists", F.col("found").isNotNull()
+    claimed = claims.select("source_file", "repository", "reference_path", F.explode("claimed_symbols").alias("symbol"))
+    # (repository, path, symbol): small next to the files, and read by both kinds of claims
+    met = stored(
+        occurrences(claimed, files, scope=["repository"], keep=["path"], text="content").distinct(), "occurrences"
     )
-
-    # claims on a whole repository: its distinct symbols, in lists of about SYMBOLS_TOGETHER, meet each file once;
-    # the files are dealt into parts and the lists repeated for each, so one large repository is no single key
-    open_claims = claims.where(F.col("reference_path").isNull())
-    names = open_claims.select("repository", F.explode("claimed_symbols").alias("symbol")).distinct()
-    lists = names.groupBy("repository").agg(F.ceil(F.count(F.lit(1)) / SYMBOLS_TOGETHER).alias("lists"))
-    wanted = (
-        names.join(lists, "repository")
-        .groupBy("repository", F.pmod(F.xxhash64("symbol"), F.col("lists")).alias("list"))
-        .agg(F.collect_list("symbol").alias("symbols"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FILE_PARTS - 1))))
-    )
-    present = (
-        texts.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(FILE_PARTS)).cast("int"))
-        .join(wanted, ["repository", "part"])
-        .select("repository", F.explode(F.filter("symbols", lambda s: F.contains(F.col("__text"), s))).alias("symbol"))
-        .distinct()
-    )
-    open_found = (
-        open_claims.select("source_file", "repository", F.explode("claimed_symbols").alias("symbol"))
-        .join(present, ["repository", "symbol"])
+    paths = F.explode(F.array_distinct(F.transform(F.split("reference_path", ","), lambda p: F.trim(p)))).alias("path")
+    at_path = claimed.where("reference_path IS NOT NULL").select("source_file", "repository", "symbol", paths)
+    anywhere = claimed.where("reference_path IS NULL").drop("reference_path")
+    found = (
+        at_path.join(met, ["repository", "path", "symbol"])
+        .select("source_file", "repository", "symbol")
+        .unionByName(anywhere.join(met.select("repository", "symbol").distinct(), ["repository", "symbol"]).select("source_file", "repository", "symbol"))
+        # one list per claim, of its own symbols
         .groupBy("source_file", "repository")
         .agg(F.collect_set("symbol").alias("found"))
     )
-    known = files.select("repository").distinct().withColumn("file_exists", F.lit(True))
-    open_result = (
-        open_claims.join(open_found, ["source_file", "repository"], "left")
-        .join(known, "repository", "left")
-        .withColumn("file_exists", F.coalesce("file_exists", F.lit(False)))
-    )
-    both = cited_result.unionByName(open_result)
-    found = F.coalesce("found", F.array().cast("array<string>"))
-    symbols = F.coalesce("claimed_symbols", F.array().cast("array<string>"))
+    places = files.select("repository", "path").distinct()
+    cited = claims.where("reference_path IS NOT NULL").select("source_file", "repository", paths).join(places, ["repository", "path"], "left_semi")
+    uncited = claims.where("reference_path IS NULL").select("source_file", "repository").join(places, "repository", "left_semi")
+    exists = cited.drop("path").unionByName(uncited.select("source_file", "repository")).distinct().withColumn("known", F.lit(True))
+    both = claims.join(found, ["source_file", "repository"], "left").join(exists, ["source_file", "repository"], "left")
+    none = F.array().cast("array<string>")
+    symbols, met_symbols = F.coalesce("claimed_symbols", none), F.coalesce("found", none)
     return both.select(
         "source_file",
         "repository",
         "reference_path",
-        "file_exists",
-        F.filter(symbols, lambda s: F.array_contains(found, s)).alias("verified_symbols"),
-        F.filter(symbols, lambda s: ~F.array_contains(found, s)).alias("missing_symbols"),
+        F.col("known").isNotNull().alias("file_exists"),
+        _among(symbols, met_symbols).alias("verified_symbols"),
+        _beyond(symbols, met_symbols).alias("missing_symbols"),
     ).withColumn("passed", F.col("file_exists") & (F.size("missing_symbols") == 0))
