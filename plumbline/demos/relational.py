@@ -482,6 +482,49 @@ def cmp_cellwise(spark, d):
     return compare.cellwise(base, other.unionByName(other.where("l_suppkey % 5 = 0")), ["l_suppkey", "f"], ["q"])
 
 
+CORRECTED = """
+    SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity + CASE WHEN l_orderkey % 977 = 5 AND l_linenumber = 2 THEN 1 ELSE 0 END AS l_quantity,
+           nullif(l_returnflag, 'A') AS f FROM lineitem WHERE NOT (l_orderkey % 1499 = 7 AND l_linenumber = 1)
+"""
+
+
+def _corrected(spark, d):
+    """Lineitem, and a copy in which few lines have another quantity and few are gone."""
+    lines = t(spark, d, "lineitem").withColumn("f", F.expr("nullif(l_returnflag, 'A')"))
+    names = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "f"]
+    more = F.when((F.col("l_orderkey") % 977 == 5) & (F.col("l_linenumber") == 2), 1).otherwise(0)
+    other = lines.where("NOT (l_orderkey % 1499 = 7 AND l_linenumber = 1)").withColumn("l_quantity", F.col("l_quantity") + more)
+    return lines.select(*names), other.select(*names)
+
+
+@demo(
+    "cmp_tree",
+    f"""
+    WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, nullif(l_returnflag, 'A') AS f FROM lineitem), b AS ({CORRECTED}),
+         l AS (SELECT count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)),
+         r AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+    SELECT l.n AS only_base, r.n AS only_other, l.n = 0 AND r.n = 0 AS equal FROM l, r
+    """,
+)
+def cmp_tree(spark, d):
+    return compare.tree_difference(*_corrected(spark, d))
+
+
+@demo(
+    "cmp_tree_cells",
+    f"""
+    WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem), b AS (SELECT * EXCLUDE (f) FROM ({CORRECTED})),
+         x AS (SELECT l_orderkey, l_linenumber, l_suppkey, count(*) AS n, max(l_quantity) AS q, list_sort(list(l_quantity)) AS all_q FROM a GROUP BY ALL),
+         y AS (SELECT l_orderkey, l_linenumber, l_suppkey, count(*) AS n, max(l_quantity) AS q, list_sort(list(l_quantity)) AS all_q FROM b GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber, l_suppkey, x.q AS l_quantity_base, y.q AS l_quantity_other, coalesce(x.n, 0) AS rows_base, coalesce(y.n, 0) AS rows_other,
+           CASE WHEN greatest(x.n, y.n) > 1 THEN 'repeated' WHEN x.n IS NULL THEN 'added' WHEN y.n IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM x FULL JOIN y USING (l_orderkey, l_linenumber, l_suppkey) WHERE x.all_q IS DISTINCT FROM y.all_q
+    """,
+)
+def cmp_tree_cells(spark, d):
+    return compare.tree_cellwise(*_corrected(spark, d), ["l_orderkey", "l_linenumber", "l_suppkey"], ["l_quantity"])
+
+
 @demo(
     "cmp_fingerprint",
     """

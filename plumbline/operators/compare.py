@@ -172,6 +172,90 @@ def cellwise(base: DataFrame, other: DataFrame, keys: Sequence[str], values: Seq
     return merged.withColumn("change", change)
 
 
+#: Bits of a bucket number on the two levels of the tree, and of one word of a row's hashes.
+COARSE_BITS, FINE_BITS = 12, 20
+WORD_BITS = 24
+
+
+def _bucketed(df: DataFrame, placing: Sequence[Column], cells: Sequence[Column]) -> DataFrame:
+    """The rows with a hash of the placing cells and the words of two hashes of all cells."""
+
+    def hashed(columns, seed):
+        # a hash passes over NULL, so every cell comes with its own null mark
+        return F.xxhash64(F.lit(seed), *[part for c in columns for part in (c, c.isNull())])
+
+    words = {
+        f"__w{i}{j}": F.shiftright(hashed(cells, i), WORD_BITS * j).bitwiseAND(F.lit((1 << WORD_BITS) - 1)) for i in range(2) for j in range(2)
+    }
+    return df.withColumns({"__key": hashed(placing, 2), **words})
+
+
+def _bucket(bits: int) -> Column:
+    return F.shiftrightunsigned("__key", 64 - bits)
+
+
+def _unequal(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
+    """Numbers of the buckets (leading bits of the key hash) whose rows differ.
+
+    Word sums and counts cancel where both sides hold the same rows.  A task sends one row per
+    bucket, whatever it has read.  The sums hold 2^39 rows of a bucket; different rows pass
+    for equal with a chance of 2^-96.
+    """
+    words = [c for c in left.columns if c.startswith("__w")]
+    one = left.select(_bucket(bits).alias("bucket"), *words, F.lit(1).cast("bigint").alias("__one"))
+    other = right.select(_bucket(bits).alias("bucket"), *[(-F.col(w)).alias(w) for w in words], F.lit(-1).cast("bigint").alias("__one"))
+    sums = one.unionByName(other).groupBy("bucket").agg(*[F.sum(w).alias(w) for w in [*words, "__one"]])
+    return sums.where(" OR ".join(f"{w} <> 0" for w in [*words, "__one"])).select("bucket")
+
+
+def _unequal_part(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of both bucketed sides in fine buckets that differ; only bucket sums are shuffled.
+
+    Broadcast are at most 2^COARSE_BITS and 2^FINE_BITS bucket numbers.
+    """
+    sides = (left, right)
+    for bits in (COARSE_BITS, FINE_BITS):
+        differing = F.broadcast(_unequal(*sides, bits))
+        # each level filters the tables as they are, a fine bucket implies its coarse one
+        sides = tuple(df.join(differing, _bucket(bits) == F.col("bucket"), "left_semi") for df in (left, right))
+    return sides
+
+
+def tree_difference(base: DataFrame, other: DataFrame, digits: int | None = DIGITS) -> DataFrame:
+    """``multiset_difference`` for two large tables that should be equal or nearly so.
+
+    Bucket fingerprints are compared first, and only rows of buckets that differ are
+    shuffled; equal tables shuffle fingerprints alone.  Each side is read up to three times.
+    """
+    aligned = _aligned(base, other, digits)
+    if aligned is None:
+        return multiset_difference(base, other, digits)
+    left, right = (_bucketed(df, [F.col(c) for c in df.columns], [F.col(c) for c in df.columns]) for df in aligned)
+    # the cells are canonical already
+    return multiset_difference(*[df.select(*aligned[0].columns) for df in _unequal_part(left, right)], digits=None)
+
+
+def tree_cellwise(base: DataFrame, other: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The rows of ``cellwise`` whose change is not ``same``, from buckets of keys that differ.
+
+    A key that both sides hold more than once, with the same rows, is no difference here.
+    """
+    sides = [df.select(*keys, *values) for df in (base, other)]
+    wide = {c: _common_type(sides[0].schema[c].dataType, sides[1].schema[c].dataType) for c in (*keys, *values)}
+
+    def cell(name):
+        value = F.col(f"`{name}`").cast(wide[name])
+        if isinstance(wide[name], T.DoubleType):
+            return (F.round(value, DIGITS) if name in values else value) + F.lit(0.0)
+        return value + F.lit(0.0).cast("float") if isinstance(wide[name], T.FloatType) else value
+
+    parts = _unequal_part(*[_bucketed(df, [cell(k) for k in keys], [cell(c) for c in (*keys, *values)]) for df in sides])
+    # what is left is small: keys that differ are told from their neighbours in the bucket
+    differing = _unequal(*parts, 64)
+    rows = [df.join(differing, F.col("__key") == F.col("bucket"), "left_semi").select(*keys, *values) for df in parts]
+    return cellwise(*rows, keys, values).where("change <> 'same'")
+
+
 def fingerprint(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """One row: content hash that depends neither on row order nor on partitioning.
 

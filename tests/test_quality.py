@@ -292,6 +292,59 @@ def test_fingerprint_ignores_order_but_not_multiplicity(spark):
     assert prints[0] == prints[1] != prints[2]
 
 
+def shuffled_rows(frame):
+    """Rows written by the exchanges left in a finished plan; what an empty set of buckets makes needless is gone from it."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    todo, rows = [plan], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if name == "Exchange":
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows
+
+
+def test_tree_comparison_shuffles_fingerprints_of_equal_tables(spark):
+    a = spark.range(0, 60000, 1, 2).selectExpr("id", "cast(id % 7 as string) s", "if(id % 5 = 0, null, id / 3) v")
+    tree, flat = compare.tree_difference(a, a.orderBy("v")), compare.multiset_difference(a, a)
+    assert first(tree) == {"only_base": 0, "only_other": 0, "equal": True}
+    assert shuffled_rows(tree) <= 4 * 4096 and shuffled_rows(compare.tree_cellwise(a, a, ["id"], ["v"])) <= 4 * 4096
+    assert shuffled_rows(flat) >= 120000
+    changed = a.withColumn("v", F.expr("if(id = 11, 0.5D, v)"))
+    assert first(compare.tree_difference(a, changed)) == first(compare.multiset_difference(a, changed))
+    want = compare.cellwise(a, changed, ["id"], ["v"]).where("change <> 'same'").collect()
+    assert compare.tree_cellwise(a, changed, ["id"], ["v"]).collect() == want and len(want) == 1
+    bucketed = [compare._bucketed(df, [F.col("id")], [F.col(c) for c in df.columns]) for df in (a, changed)]
+    assert sum(df.count() for df in compare._unequal_part(*bucketed)) < 20
+
+
+def test_tree_comparison_agrees_with_the_flat_one(spark):
+    schema = "id int, status string, val double"
+    rows = [(1, "x", 1.0), (None, None, 2.0), (1, "x", 1.0), (None, "x", None), (3, "a ", 0.0), (4, None, None)]
+    a = spark.createDataFrame(rows, schema)
+    others = [rows[:-1], rows + rows[:1], [(1, None, 1.0), *rows[1:]], [(1, "x", 1.00004), *rows[1:4], (3, "a", -0.0), rows[5]], []]
+    for other in others:
+        b = spark.createDataFrame(other, schema)
+        assert first(compare.tree_difference(a, b)) == first(compare.multiset_difference(a, b))
+        assert first(compare.tree_difference(a, b, None)) == first(compare.strict_difference(a, b))
+    assert not first(compare.tree_difference(a, a.drop("val")))["equal"]
+    # NULL and a value that changed places
+    left, right = spark.sql("SELECT 1 AS k, CAST(NULL AS STRING) AS p, 'v' AS q"), spark.sql("SELECT 1 AS k, 'v' AS p, CAST(NULL AS STRING) AS q")
+    assert first(compare.tree_cellwise(left, right, ["k"], ["p", "q"]))["change"] == "changed"
+    assert first(compare.tree_difference(left, right)) == {"only_base": 1, "only_other": 1, "equal": False}
+    twice = a.where("id = 1")
+    assert compare.tree_cellwise(twice, twice, ["id"], ["val"]).isEmpty()
+    assert first(compare.tree_cellwise(twice, twice.limit(1), ["id"], ["val"]))["change"] == "repeated"
+
+
 # --- percentiles ------------------------------------------------------------------------------
 
 
