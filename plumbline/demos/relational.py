@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.demos.registry import demo
 from plumbline.functions.stats import share_of
-from plumbline.operators import aggregates, compare, contrast, filters, joins
+from plumbline.operators import aggregates, compare, contrast, filters, joins, sketches
 from plumbline.operators.percentiles import exact_percentiles
 from plumbline.session import scratch_path
 from plumbline.sources import sinks
@@ -274,6 +274,47 @@ def agg_count_distinct_approx(spark, d):
     )
 
 
+def _event_days(spark, d):
+    """Daily sketches of the events, stored and read back."""
+    path = scratch_path(spark, "sketches")
+    events = t(spark, d, "events")
+    sketches.store_days(sketches.daily_sketches(events, F.col("ts"), ["event_type"], {"users": F.col("user_id")}, {"value": F.col("value")}), path)
+    return sketches.stored_days(spark, path)
+
+
+@demo(
+    "agg_sketch_distinct",
+    """
+    SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS rows, count(DISTINCT user_id) AS users, TRUE AS within_three_errors FROM events GROUP BY ALL
+    """,
+)
+def agg_sketch_distinct(spark, d):
+    """Monthly users merged from stored daily sketches, held against the exact count."""
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    estimate = sketches.merged(_event_days(spark, d), [month, "event_type"])
+    exact = t(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count_distinct("user_id").alias("users"))
+    error = F.greatest(3 * sketches.DISTINCT_ERROR * F.col("users"), F.lit(1))
+    return exact.join(estimate, ["month", "event_type"]).select(
+        "month", "event_type", "rows", "users", (F.abs(F.col("distinct_users") - F.col("users")) <= error).alias("within_three_errors")
+    )
+
+
+@demo(
+    "agg_sketch_percentile",
+    "SELECT event_type, count(*) AS rows, TRUE AS p50_within, TRUE AS p95_within FROM events GROUP BY 1",
+)
+def agg_sketch_percentile(spark, d):
+    """Percentiles merged from stored daily sketches: the true ranks of the estimates are within the stated error."""
+    ranks = {"p50": 0.5, "p95": 0.95}
+    estimate = sketches.merged(_event_days(spark, d), ["event_type"], ranks)
+    placed = t(spark, d, "events").join(estimate.drop("rows"), "event_type")
+    held = []
+    for name, rank in ranks.items():
+        below, upto = (F.avg(F.when(test, 1.0).otherwise(0.0)) for test in (F.col("value") < F.col(f"values_value_{name}"), F.col("value") <= F.col(f"values_value_{name}")))
+        held.append(((below <= rank + sketches.QUANTILE_ERROR) & (upto >= rank - sketches.QUANTILE_ERROR)).alias(f"{name}_within"))
+    return placed.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), *held)
+
+
 @demo("agg_avg", "SELECT o_custkey, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1")
 def agg_avg(spark, d):
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.avg("o_totalprice"), 6).alias("mean"))
