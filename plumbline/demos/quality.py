@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from plumbline.demos.metrics import NET_REVENUE, NET_REVENUE_SQL, NET_REVENUE_WHERE, order_lines
 from plumbline.demos.registry import demo
 from plumbline.operators import assertions as A
+from plumbline.operators import monitor as MN
 from plumbline.operators import probes as P
 from plumbline.operators.suites import Suite, classify_schema_tests, run_suite
+from plumbline.session import scratch_path
 from plumbline.sources.tables import read_table as t
 from plumbline.sources.tables import register
 
@@ -413,21 +415,36 @@ def pb_all(spark, d):
     return P.run_probes(_lines(spark, d), probes).select(*ALERT_SHOWN)
 
 
-@demo(
-    "pb_by_slice",
+BY_SLICE_SQL = (
     _probe_sql("events", "event_type_population_rate_shift", 0.2, "count(*) FILTER (WHERE event_type = 'error')", "count(*)", 0.02,
                "events", "two", by="strftime(ts, '%Y-%m-%d')")
     + " UNION ALL "
     + _probe_sql("events", "event_type_implies_value_decay", 0.9, "count(*) FILTER (WHERE event_type = 'purchase' AND value > 10)",
-                 "count(*) FILTER (WHERE event_type = 'purchase')", 0.05, "events", "drop", by="strftime(ts, '%Y-%m-%d')"),
+                 "count(*) FILTER (WHERE event_type = 'purchase')", 0.05, "events", "drop", by="strftime(ts, '%Y-%m-%d')")
 )
+SLICE_PROBES = [
+    P.PopulationProbe("events", "event_type", "error", 0.2, 0.02),
+    P.ImplicationProbe("events", "event_type", "purchase", "value", ">", 10, 0.9, 0.05),
+]
+
+
+@demo("pb_by_slice", BY_SLICE_SQL)
 def pb_by_slice(spark, d):
     events = t(spark, d, "events").withColumn("slice", F.date_format("ts", "yyyy-MM-dd"))
-    probes = [
-        P.PopulationProbe("events", "event_type", "error", 0.2, 0.02),
-        P.ImplicationProbe("events", "event_type", "purchase", "value", ">", 10, 0.9, 0.05),
-    ]
-    return P.run_probes(events, probes, by=["slice"]).select("slice", *ALERT_SHOWN)
+    return P.run_probes(events, SLICE_PROBES, by=["slice"]).select("slice", *ALERT_SHOWN)
+
+
+@demo("pb_incremental", BY_SLICE_SQL)
+def pb_incremental(spark, d):
+    """The same from counts kept per day: most days first, then one more day and one that was cut short."""
+    path, store = scratch_path(spark, "events"), scratch_path(spark, "monitor")
+    events = t(spark, d, "events").withColumn("slice", F.date_format("ts", "yyyy-MM-dd"))
+    late, cut = F.dayofmonth("ts") == 3, F.dayofmonth("ts") == 5
+    monitor = MN.ProbeMonitor(spark, store, SLICE_PROBES, "slice")
+    for rows in (events.where(~late & (~cut | (F.hour("ts") < 6))), events.where(late | cut)):
+        rows.write.partitionBy("slice").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        monitor.refresh(spark.read.schema(events.schema).parquet(path))
+    return monitor.results(["slice"]).select("slice", *ALERT_SHOWN)
 
 
 # --- absent columns and registered frames -----------------------------------------------------------
