@@ -79,10 +79,9 @@ def au_segment_roots(spark, d):
     return AU.link_segments(AU.segment_tails(_chain(spark, d), SEGMENT), SEGMENT)
 
 
-def _tampered(spark, d):
+def _tampered(chain):
     """Changed decisions, re-hashed events, lost events and a repeated number."""
     number = F.col("sequence_num")
-    chain = stored(_chain(spark, d), "audit-chain")
     edited = chain.withColumn("decision", F.when(number % 101 == 0, "ALLOWED").otherwise(F.col("decision")))
     rehashed = edited.withColumn("latency_ms", F.when(number % 103 == 0, F.lit(0.0)).otherwise(F.col("latency_ms"))).withColumn(
         "event_hash", F.when(number % 103 == 0, AU.event_hash()).otherwise(F.col("event_hash"))
@@ -109,7 +108,7 @@ TAMPER = f"""
     """,
 )
 def au_chain_verify(spark, d):
-    return AU.verify_chain(_tampered(spark, d), SEGMENT)
+    return AU.verify_chain(_tampered(stored(_chain(spark, d), "audit-chain")), SEGMENT)
 
 
 # Two checkpoints for each tenant: one early, one at the end of the log.
@@ -139,8 +138,8 @@ def _checkpoints(chain):
     """,
 )
 def au_checkpoint(spark, d):
-    taken = _checkpoints(stored(_chain(spark, d), "audit-chain"))
-    checked = AU.verify_checkpoints(_tampered(spark, d), taken, "demo key", SEGMENT)
+    chain = stored(_chain(spark, d), "audit-chain")
+    checked = AU.verify_checkpoints(_tampered(chain), _checkpoints(chain), "demo key", SEGMENT)
     return checked.select(
         "checkpoint_id", "sequence_end", "total_events", "last_event_hash", "anchored", "complete", "chain_ok", "valid"
     )
@@ -201,8 +200,9 @@ def au_checkpoints_at(spark, d):
     """,
 )
 def au_checkpoint_many(spark, d):
-    taken = AU.sign_checkpoints(_many(stored(_chain(spark, d), "audit-chain")), "demo key")
-    checked = AU.verify_checkpoints(_tampered(spark, d), taken, "demo key", SEGMENT)
+    chain = stored(_chain(spark, d), "audit-chain")
+    taken = AU.sign_checkpoints(_many(chain), "demo key")
+    checked = AU.verify_checkpoints(_tampered(chain), taken, "demo key", SEGMENT)
     return checked.select("checkpoint_id", "anchored", "complete", "chain_ok", "valid")
 
 

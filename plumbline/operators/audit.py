@@ -275,19 +275,19 @@ def link_segments(tails: DataFrame, segment_size: int = SEGMENT, by: tuple[str,
 
 
 HEX = r"^[0-9a-f]{64}$"
-WORDS = 8
+WORDS = 5
 
 
 def _words(digest: Column) -> list[Column]:
-    """A hex digest as numbers: fixed-width values keep the aggregate hash-based."""
-    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(WORDS)]
+    """A hex digest as numbers of 15 digits: fixed-width values keep the aggregate hash-based."""
+    return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(WORDS)]
 
 
 def check_chain(log: DataFrame, segment_size: int | None = None) -> DataFrame:
     """Every position of the log with its ``problem``, NULL where it is sound.
 
     Each event is reported once as itself and once as the predecessor of the next
-    position; one hash aggregate with map-side combine brings the two together.
+    position, by the task that reads it; one hash aggregate with map-side combine brings the two together.
     Only number 1 may stand without a predecessor; where a segment starts, the
     predecessor has to be there but the link is the anchor.
     ``segment_size=None`` verifies an unsegmented chain.
@@ -301,43 +301,39 @@ def check_chain(log: DataFrame, segment_size: int | None = None) -> DataFrame:
         start = start | opens
     zero = F.lit(0).cast("bigint")
     previous = F.coalesce("previous_event_hash", F.lit(""))
-    own = log.select(
-        "tenant_id",
+    own = F.struct(
         number.alias("sequence_num"),
         F.lit(1).alias("rows"),
         F.lit(0).alias("before"),
         start.alias("start"),
         (~event_hash().eqNullSafe(F.col("event_hash"))).alias("bad_hash"),
         (~previous.rlike(HEX) | (start & (previous != F.coalesce(expected, previous)))).alias("bad_link"),
-        *[F.coalesce(w, zero).alias(f"o{i}") for i, w in enumerate(_words(previous))],
-        *[zero.alias(f"p{i}") for i in range(WORDS)],
+        *[F.coalesce(w, zero).alias(f"w{i}") for i, w in enumerate(_words(previous))],
     )
-    ahead = log.select(
-        "tenant_id",
+    ahead = F.struct(
         (number + 1).alias("sequence_num"),
         F.lit(0).alias("rows"),
         F.lit(1).alias("before"),
         F.lit(False).alias("start"),
         F.lit(False).alias("bad_hash"),
         F.lit(False).alias("bad_link"),
-        *[zero.alias(f"o{i}") for i in range(WORDS)],
-        *[F.coalesce(w, zero).alias(f"p{i}") for i, w in enumerate(_words(F.col("event_hash")))],
+        *[F.coalesce(w, zero).alias(f"w{i}") for i, w in enumerate(_words(F.col("event_hash")))],
     )
     met = (
-        own.unionByName(ahead)
+        log.select("tenant_id", F.inline(F.array(own, ahead)))
         .groupBy("tenant_id", "sequence_num")
         .agg(
             F.sum("rows").alias("rows"),
             F.sum("before").alias("before"),
             *[F.bool_or(flag).alias(flag) for flag in ("start", "bad_hash", "bad_link")],
-            *[F.sum(f"{side}{i}").alias(f"{side}{i}") for side in "op" for i in range(WORDS)],
+            *[side(f"w{i}").alias(f"{name}{i}") for name, side in (("least", F.min), ("most", F.max)) for i in range(WORDS)],
         )
         .where(F.col("rows") > 0)
     )
-    # a repeated predecessor still has to carry one and the same hash
+    # the link and the hash of each row of the predecessor, which may be repeated, are all one
     linked = F.lit(True)
     for i in range(WORDS):
-        linked = linked & (F.col(f"o{i}") * F.col("before") == F.col(f"p{i}"))
+        linked = linked & (F.col(f"least{i}") == F.col(f"most{i}"))
     problem = (
         F.when(F.col("rows") > 1, "duplicate_sequence")
         .when(F.col("bad_hash"), "hash_mismatch")
