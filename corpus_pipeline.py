@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, exact_dedup, near_dedup, quality
-from plumbline.llm.common import keep, read, settled
+from plumbline.llm.common import keep, only, read, settled
 from plumbline.llm.queries import bpe_digests
 
 #: Texts below this probability of being good are rejected.
@@ -62,16 +62,13 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
         paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())  # one row a file
         files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), f"{file} string, {number} long")
         placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
-        rows = placed.join(files, file).withColumn(number, F.col(number) * ROWS + F.col(place)).select(*docs.columns, number)
+        # Spark takes a list from the driver for a table of unknown size: without the hint it would move the texts to meet the names.
+        rows = placed.join(F.broadcast(files), file).withColumn(number, F.col(number) * ROWS + F.col(place)).select(*docs.columns, number)
     else:
         rows = keep(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     return rows, rows.select(F.col(number).alias("doc_id"), "text"), number
 
 
-def _only(rows: DataFrame, numbers: DataFrame, number: str) -> DataFrame:
-    return rows.join(numbers.select(F.col("doc_id").alias(number)), number, "left_semi").drop(number)
-
-
 def _first_of_each(rows: DataFrame, groups: DataFrame, number: str) -> DataFrame:
     """doc_id (a number) of the row with the smallest doc_id of each group; groups: doc_id (a number), group."""
     named = rows.select(F.col(number).alias("own"), F.col("doc_id").alias("name"))
@@ -86,7 +83,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         groups = exact_dedup.exact_dedup(texts).select("doc_id", F.col("keep_id").alias("group"))
         return _first_of_each(rows, groups, number)
 
-    return _only(rows, settled(spark, decide, "exact-numbers"), number).select(docs.columns)
+    return only(rows, number, settled(spark, decide, "exact-numbers"), "exact-words").select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,7 +94,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         groups = near_dedup.near_dedup(texts, NEAR_PERCENT, numbered=True).select("doc_id", F.col("component_id").alias("group"))
         return _first_of_each(rows, groups, number)
 
-    return _only(rows, settled(spark, decide, "near-numbers"), number).select(docs.columns)
+    return only(rows, number, settled(spark, decide, "near-numbers"), "near-words").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -106,7 +103,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     def decide():
         return decontaminate.contamination(texts, read(spark, sf_dir, "benchmark")).filter(F.size("spans") == 0).select("doc_id")
 
-    return _only(rows, settled(spark, decide, "clean-numbers"), number).select(docs.columns)
+    return only(rows, number, settled(spark, decide, "clean-numbers"), "clean-words").select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ so far, and only components are linked there. When a round finds few links for w
 Pairs across the components that are left come from prefix filtering: with the
 shingles of every set in one order, rare ones first, two sets that are similar
 enough share a shingle among the first few of both, at places that leave room
-for the overlap they need. That filter is exact, so no link that a bucket holds
+for the overlap they need. A set brings a parity bitmap of its shingles along: two
+bitmaps differ in no more bits than the sets in shingles, so pairs that differ in too
+many are left out before they are made. Both filters are exact, so no link that a bucket holds
 is lost, and sets that differ in rare shingles never meet.
 
 Texts with fewer words than WORDS have their whole word sequence as one
@@ -31,6 +33,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keep, settled, slices, utf8, with_row
+from plumbline.llm.common import keep, only, settled, slices, utf8, with_row
 from plumbline.llm.components import components
 
 WORDS, HALF, MISS = 5, 2, 1e-5
 #: Cells of the counts by which shingles are ordered; only the order's quality depends on them.
 SKETCH = 1 << 17
+#: 64-bit words of a set's parity bitmap; more of them leave out more pairs, whatever their number no link is lost.
+PARITY = 8
 #: A round that finds one link for more tries than this is the last one.
 FEW = 8
 
@@ -226,20 +232,30 @@ def _rarity(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["cell", "n"])
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """The bitmap in which a bit is set if an odd number of the shingles falls on it."""
+    cells = (shingles.view(np.uint64) >> np.uint64(32)) % np.uint64(64 * PARITY)
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(shared, percent: int):
     def run(batches):
         counts = shared.value
         for batch in batches:
-            columns = [[] for _ in range(5)]
+            columns, parities = [[] for _ in range(5)], []
             for node, comp, shingles in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "shingles")), strict=True):
                 own = np.array(shingles, np.int64)
-                n = len(own)
+                n, parity = len(own), _parity(own)
                 order = np.lexsort((own, counts[own.view(np.uint64) % np.uint64(SKETCH)]))
                 # The larger set of a pair shares percent of its own size, the smaller one 2 p / (100 + p) of its own, at least.
                 own = own[order[: n + (-percent * n) // 100 + 1]]
                 for column, values in zip(columns, (own, [node] * len(own), [comp] * len(own), [n] * len(own), np.arange(len(own))), strict=True):
                     column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shingle", "node", "comp", "n", "place"])
+                parities.extend([parity] * len(own))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in columns), pa.array(parities, pa.list_(pa.int64()))], names=["shingle", "node", "comp", "n", "place", "parity"]
+            )
 
     return run
 
@@ -250,13 +266,16 @@ def prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
     counts = np.zeros(SKETCH, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     shared = rest.sparkSession.sparkContext.broadcast(counts)  # SKETCH numbers
-    heads = keep(rest.mapInArrow(_prefixes(shared, percent), "shingle long, node long, comp long, n long, place long"), "prefixes")
-    larger = heads.withColumnsRenamed({"node": "a", "comp": "ca", "n": "na", "place": "pa"})
-    smaller = heads.withColumnsRenamed({"node": "b", "comp": "cb", "n": "nb", "place": "pb"})
+    heads = keep(rest.mapInArrow(_prefixes(shared, percent), "shingle long, node long, comp long, n long, place long, parity array<long>"), "prefixes")
+    larger = heads.withColumnsRenamed({"node": "a", "comp": "ca", "n": "na", "place": "pa", "parity": "xa"})
+    smaller = heads.withColumnsRenamed({"node": "b", "comp": "cb", "n": "nb", "place": "pb", "parity": "xb"})
     smaller = smaller.filter((F.col("nb") - F.col("pb")) * (100 + percent) >= 2 * percent * F.col("nb"))
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     fits = (F.col("nb") <= F.col("na")) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return larger.join(smaller, "shingle").filter((F.col("ca") != F.col("cb")) & fits & room)
+    # Shingles that only one of the two has, at least.
+    apart = reduce(add, [F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(PARITY)])
+    alike = (F.col("na") + F.col("nb") - apart) * (100 + percent) >= 2 * percent * (F.col("na") + F.col("nb"))
+    return larger.join(smaller, "shingle").filter((F.col("ca") != F.col("cb")) & fits & room & alike)
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, size: int = WORDS, numbered: bool = False) -> DataFrame:
@@ -280,7 +299,7 @@ def _near_dedup(docs: DataFrame, percent: int, size: int, numbered: bool) -> Dat
     )
     members = settled(spark, lambda: bucket_members(classes, r), "members")
     wanted = members.select(F.col("node").alias("row")).distinct()
-    sets = keep(texts.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(_sets(size), "node long, shingles array<long>"), "sets")
+    sets = keep(only(texts.select("row", "text"), "row", wanted, "wanted").mapInArrow(_sets(size), "node long, shingles array<long>"), "sets")
     comp = settled(spark, lambda: linked_components(sets, members, percent), "comp")
     placed = classes.select("set_id", "node", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = placed.groupBy("comp").agg(F.min("least").alias("component_id"))

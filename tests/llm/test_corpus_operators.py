@@ -100,6 +100,23 @@ def test_near_dedup_links_classes_that_begin_with_a_null_id(spark):
     assert {i: c for i, _, c, _ in got if i} == {2: 2, 3: 2, 4: 4, 5: 4}
 
 
+def test_prefix_pairs_leaves_out_sets_of_one_family_that_are_not_alike(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(120)]
+    families = [[x if rng.random() < 0.85 else rng.getrandbits(63) for x in base] for _ in range(60)]
+    near = [[*families[i][5:], i + 1] for i in range(10)]
+    sets = dict(enumerate(families + near + [[1], [2, 3], base[:7]]))
+    rest = spark.createDataFrame([(i, i, s) for i, s in sets.items()], "node long, comp long, shingles array<long>")
+    for percent in (60, 80, 95):
+        found = {frozenset(p) for p in near_dedup.prefix_pairs(rest, percent).select("a", "b").collect()}
+        alike = {
+            frozenset((a, b)) for a in sets for b in range(a) if 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})
+        }
+        assert alike <= found
+        if percent == 80:
+            assert len(alike) >= 10 and len(found) <= 2 * len(alike)  # 60 sets of one family give 1770 pairs
+
+
 def test_half_bands_reach_the_wanted_recall():
     for similarity in (0.8, 0.85, 0.9):
         r = near_dedup.half_bands(similarity)

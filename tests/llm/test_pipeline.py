@@ -8,9 +8,11 @@ import cases
 import corpus_pipeline
 import plain
 import pytest
+from pyspark.sql import functions as F
 from test_text_operators import plain_contamination
 
 from plumbline.llm import quality
+from plumbline.llm.common import only
 from plumbline.llm.queries import ORACLES, QUERIES
 from plumbline.session import shared_dir
 
@@ -105,6 +107,34 @@ def test_rows_of_files_are_known_by_file_and_place(spark, folder, tmp_path):
         assert cases.sorted_rows(stage(spark, read, path)) == cases.sorted_rows(stage(spark, docs, path))
 
 
+def test_numbering_rows_of_files_moves_no_texts(spark, folder):
+    path, _ = folder
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # the table is larger than what Spark would send by itself
+    try:
+        rows, texts, _ = corpus_pipeline._numbered(spark.read.parquet(f"{path}/documents.parquet"))
+        for df in (rows, texts):
+            assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_picks_rows_by_number_without_moving_them(spark):
+    numbers = [0, 1, 63, 64, 65, 127, 5 << 40, (5 << 40) + 63, (1 << 62) + 7]
+    rows = spark.createDataFrame([(n + d, f"t{n}{d}") for n in numbers for d in (0, 0, 2)], "n long, text string")
+    wanted = spark.createDataFrame([(n,) for n in numbers * 2], "doc_id long")
+    got = only(rows, "n", wanted, "words")
+    assert got.columns == rows.columns
+    assert sorted(got.collect()) == sorted(r for r in rows.collect() if r["n"] in numbers)
+    assert only(rows, "n", wanted.limit(0), "words").count() == 0
+    many = spark.range(200_000).select(F.col("id").alias("n"), F.lit("text").alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100_000)  # numbers would not fit, their words do
+    try:
+        picked = only(many, "n", spark.range(0, 200_000, 3), "words")
+        assert picked.count() == 66_667 and "hashpartitioning" not in picked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_every_operator_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
