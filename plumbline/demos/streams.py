@@ -17,6 +17,8 @@ PROBES = [
     P.PopulationProbe("events", "event_type", "error", 0.2, 0.02),
     P.ImplicationProbe("events", "event_type", "purchase", "value", ">", 10, 0.9, 0.05),
 ]
+#: Bytes of files that a micro-batch takes together.
+BATCH = 256 << 20
 SHOWN = ("signal_type", "current", "alert", "matches", "total")
 
 
@@ -151,6 +153,6 @@ def st_suite_across(spark, d):
     for part, delivery in enumerate([events, events.where("event_id % 50 = 0"), events.where("event_id % 350 = 0")]):
         delivery.write.parquet(f"{folder}/events.parquet/part={part}")
         # a delay of forty days: every event may come that late
-        stream = jobs.file_stream(spark, folder, "events", per_trigger=1)
+        stream = jobs.file_stream(spark, folder, "events", bytes_per_trigger=BATCH)
         jobs.suite_across_batches(stream, suite, target, time="ts", within="1 day", delay="40 days")
     return jobs.suite_so_far(spark, suite, target).select("name", "passed", "violations", "observed")

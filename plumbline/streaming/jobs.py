@@ -23,15 +23,18 @@ from plumbline.session import is_folder, path_exists, scratch_path
 from plumbline.sources.documents import TRACE_SCHEMA
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, time_column: str = "ts", per_trigger: int | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, name: str, time_column: str = "ts", per_trigger: int | None = None, bytes_per_trigger: int | None = None) -> DataFrame:
     """The files of one table, a single file or a folder of part files, as a stream with a proper event time.
 
-    ``per_trigger`` bounds the files of a micro-batch; without it a backlog is one batch.
+    ``per_trigger`` bounds the files of a micro-batch, or ``bytes_per_trigger`` their bytes, which suits files of any
+    size and number; without them a backlog is one batch.
     """
     path = f"{folder}/{name}.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
+    if bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     # a stream reads folders, so a single file is picked out of its own
     stream = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return stream.withColumn(time_column, F.col(time_column).cast("timestamp"))
@@ -171,7 +174,8 @@ def suite_across_batches(
 ) -> None:
     """Run a suite over everything that has arrived: ``Unique`` and ``Grain`` on keyed state, the others on each micro-batch.
 
-    Runs to the end of what is there.  Called again with the same ``target``, also by a
+    Runs to the end of what is there.  Each micro-batch walks through the whole state and stores it, so its size should be
+    bounded by bytes, not by one file of many.  Called again with the same ``target``, also by a
     new driver, it goes on where it stopped: offsets, state and results are below it.  A retried batch overwrites its own folder.
     """
     keyed = [a for a in suite.assertions if isinstance(a, Unique)]

@@ -245,6 +245,18 @@ def test_state_of_passed_windows_is_dropped(spark, tmp_path):
     assert [(r["violations"], r["observed"]) for r in jobs.suite_so_far(spark, suite, target).collect()] == [(1, 1.0)]
 
 
+def test_micro_batches_are_bounded_by_bytes_whatever_the_number_of_files(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts")
+    rows.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    files = [os.path.getsize(f"{tmp_path}/events.parquet/{name}") for name in os.listdir(f"{tmp_path}/events.parquet") if name.endswith(".parquet")]
+    assert len(files) == 6
+    for limit, batches in ((sum(files), 1), (1, 6)):
+        target = f"{tmp_path}/target-{limit}"
+        stream = jobs.file_stream(spark, str(tmp_path), "events", bytes_per_trigger=limit)
+        jobs.suite_per_batch(stream, Suite("s", [A.Unique(columns=("event_id",))]), target).awaitTermination()
+        assert spark.read.parquet(f"{target}/data").select("batch_id").distinct().count() == batches
+
+
 def test_streams_read_a_file_and_a_folder_of_parts_alike(spark, sf, tmp_path):
     from plumbline.demos.streams import st_probe_window
 
