@@ -180,7 +180,7 @@ def covered(doc: np.ndarray, text_id: np.ndarray, start: np.ndarray, found: list
         sizes = np.array([len(x) + 1 for x in some])
         owners.append(lo + np.repeat(np.arange(len(some)), sizes))
         inner.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    merged = merge(parts, length)
+    merged = merge(parts, length, 2 if length % 4 else 4)
     base = np.concatenate([[0], np.cumsum([len(p.pairs) for p in parts])[:-1]])
     at = base[merged.shard] + merged.suffixes
     owner, offset = np.concatenate(owners)[at], np.concatenate(inner)[at]
