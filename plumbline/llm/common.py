@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import scratch_path
+from plumbline.session import scratch_path, small_batches
 from plumbline.sources.tables import read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,6 +33,21 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(lo, hi - lo)
+    # A worker lives on after its task: what Arrow holds for reuse goes back to the system.
+    pa.default_memory_pool().release_unused()
+
+
+#: The cache that this worker has filled last.
+_filled: dict = {}
+
+
+def own_cache(cache: dict) -> dict:
+    """``cache``, for this worker to fill; what another operator's tasks have left in theirs is let go."""
+    global _filled
+    if _filled is not cache:
+        _filled.clear()
+        _filled = cache
+    return cache
 
 
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -61,9 +76,10 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> D
     _scopes.append([])
     try:
         spark.conf.set(_CLEAN, "true")
-        df = make()
-        path = scratch_path(spark, f"llm-{label}")
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(spark):
+            df = make()
+            path = scratch_path(spark, f"llm-{label}")
+            df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
         for own in _scopes.pop():
@@ -83,7 +99,8 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"llm-{label}")
     if _scopes:
         _scopes[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -114,6 +114,26 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEAN, before)
 
 
+#: Spark's bound for the rows that a Python worker gets at a time, and the bytes that jobs which are stored set for it.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within it hand their Python workers about BATCH_BYTES of rows at a time, unless the session has a bound of its own.
+
+    Spark's default of 64 MB is held by the executor's JVM and by the worker, for each task that runs.
+    """
+    if _BATCH in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame written to the shared folder and read back.
 
@@ -121,5 +141,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     known to the planner, and a lost executor costs a re-read and no recompute.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
