@@ -10,6 +10,7 @@ numbers of tokens that overlap.
 
 Texts are cut into chunks that no token crosses, and a worker keeps the ids of
 chunks it has met, so the libraries encode a chunk once; a text with unusual blanks goes through A's library as a whole.
+Texts that both tokenizers cut at the same places are cut and looked up once for both. New words go through A's library in rows of ROW.
 
 An id pair's count, the number of rows that hold it linked, covers all rows. Each row
 stores its distinct pairs, Spark counts them, and the counts come back in two tiers:
@@ -39,16 +40,28 @@ from plumbline.llm import token_counts
 from plumbline.llm.common import keep, slices, with_row
 
 #: Broadcast pair counts; chunks and bytes of them a worker keeps; bytes of text aligned together; pairs a group may have before it is reduced.
-TABLE, CACHE, CACHE_BYTES, SLICE, REDUCE = 1_000_000, 300_000, 64 << 20, 1 << 20, 4096
+TABLE, CACHE, CACHE_BYTES, SLICE, REDUCE = 1_000_000, 450_000, 64 << 20, 1 << 20, 4096
 
 #: Blanks as A's pre-tokenizer cuts at them; only for texts without other characters that some library takes for blanks.
 _CHUNK = re.compile("[ ]?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+#: A blank and a word without characters that some library takes for blanks: A cuts a row of them as it cuts each.
+_WORD = re.compile("[ ][^\t-\r \x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]+")
 _BLANK = "▁".encode()
+#: Chunks of A that are chunks of B, whatever stands next to them, in texts that hold no others.
+_SHARED = re.compile("[ ]?[^\t-\r \x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff▁]+|[\n\t]")
+#: Words that A's library gets in a row.
+ROW = 100
 
 _tools: dict = {}
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids one list after the other, ids of each list)."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum()), sizes
+
+
 class ByteLevelTokenizer:
     """A: a byte-level tokenizer of the tokenizers library; encodes a blank and the text."""
 
@@ -65,12 +78,28 @@ class ByteLevelTokenizer:
         self.tokens = [b""] * self.tool.get_vocab_size()
         for token, i in self.tool.get_vocab().items():
             self.tokens[i] = bytes(own[c] for c in token)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
 
     def chunks(self, text: str) -> list[str]:
         return [" " + text] if _ODD.search(text) else _CHUNK.findall(" " + text)
 
-    def encode(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tool.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        is_word = np.array([_WORD.fullmatch(c) is not None for c in chunks], bool)
+        words = [chunks[i] for i in np.flatnonzero(is_word)]
+        ids, _ = self._ids(["".join(words[lo : lo + ROW]) for lo in range(0, len(words), ROW)])
+        stops, ends = np.cumsum([len(w.encode()) for w in words], dtype=np.int64), np.cumsum(self.lengths[ids])
+        last = np.searchsorted(ends, stops)
+        if len(ids) and (self.lengths[ids].min() < 1 or ends[-1] != stops[-1] or not np.array_equal(ends[last], stops)) or not len(ids) and words:
+            return self._ids(chunks)  # tokens of other bytes than the words': their ends say nothing
+        rest, n = self._ids([chunks[i] for i in np.flatnonzero(~is_word)])
+        sizes = np.empty(len(chunks), np.int64)
+        sizes[is_word], sizes[~is_word] = np.diff(last, prepend=-1), n
+        out, of_word = np.empty(len(ids) + len(rest), np.int32), np.repeat(is_word, sizes)
+        out[of_word], out[~of_word] = ids, rest
+        return out, sizes
 
 
 class PieceTokenizer:
@@ -84,50 +113,94 @@ class PieceTokenizer:
     def chunks(self, text: str) -> list[bytes]:
         return token_counts.pre_tokens(text.encode())
 
-    def encode(self, chunks: list[bytes]) -> list[list[int]]:
-        return self.tool.encode([c.decode() for c in chunks], num_threads=1)
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.tool.encode([c.decode() for c in chunks], num_threads=1))
 
 
-class Encoder:
-    """Ids of texts by chunks, which are kept within bounds."""
+class Ids:
+    """Ids of chunks, by the chunk's number, and whether the tokens' bytes are the chunk's."""
 
     def __init__(self, tokenizer):
         self.tokenizer, self.tokens = tokenizer, tokenizer.tokens
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self._clear()
+        self.clear()
 
-    def _clear(self):
-        self.known: dict = {}
-        self.bytes = 0
+    def clear(self):
         self.ids, self.starts, self.sizes, self.whole = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
+    def learn(self, chunks: list, raw: list[bytes], known: np.ndarray | None = None):
+        """Appends the chunks; those not in ``known`` have no ids and are not whole."""
+        if known is not None and not known.all():
+            at = np.flatnonzero(known).tolist()
+            ids, some, good = self._encoded([chunks[i] for i in at], [raw[i] for i in at])
+            sizes, whole = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), bool)
+            sizes[at], whole[at] = some, good
+        else:
+            ids, sizes, whole = self._encoded(chunks, raw)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.whole = np.concatenate([self.sizes, sizes]), np.concatenate([self.whole, whole])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _encoded(self, chunks: list, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, sizes = self.tokenizer.encode(chunks)
+        ends, n_bytes = np.cumsum(sizes), np.fromiter(map(len, raw), np.int64, len(raw))
+        upto = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        whole = upto[ends] - upto[ends - sizes] == n_bytes
+        tokens = [self.tokens[i] for i in ids.tolist()]
+        # All at once, and one by one only if some differ.
+        if not whole.all() or b"".join(tokens) != b"".join(raw):
+            whole = np.array([b"".join(tokens[e - n : e]) == c for c, e, n in zip(raw, ends.tolist(), sizes.tolist(), strict=True)], bool)
+        return ids, sizes, whole
+
+    def of(self, at: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids one text after the other, ids of each text, whether its chunks are whole); at: the texts' chunks, owner: the text of each."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.bincount(owner, sizes, texts).astype(np.int64), np.bincount(owner, ~self.whole[at], texts) == 0
+
+
+class Encoder(Ids):
+    """Ids of texts by chunks, which are kept within bounds; with ``other``, the ids of chunks that both tokenizers cut, by the same numbers."""
+
+    def __init__(self, tokenizer, other=None):
+        self.other = Ids(other) if other else None
+        super().__init__(tokenizer)
+
+    def clear(self):
+        super().clear()
+        self.known: dict = {}
+        self.bytes, self.shared = 0, np.zeros(0, bool)
+        if self.other:
+            self.other.clear()
+
     def _learn(self, chunks: list):
-        ids = self.tokenizer.encode(chunks)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        whole = [b"".join(map(self.tokens.__getitem__, i)) == (c.encode() if isinstance(c, str) else c) for c, i in zip(chunks, ids, strict=True)]
+        raw = [c.encode() if isinstance(c, str) else c for c in chunks]
+        self.learn(chunks, raw)
+        if self.other:
+            shared = np.array([_SHARED.fullmatch(c) is not None for c in chunks], bool)
+            self.other.learn(raw, raw, shared)
+            self.shared = np.concatenate([self.shared, shared])
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes, self.whole = np.concatenate([self.sizes, sizes]), np.concatenate([self.whole, np.array(whole, bool)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
         self.bytes += sum(map(len, chunks))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids one text after the other, ids of each text, whether its chunks' bytes are those of their tokens)."""
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the texts' chunks, one text after the other, the text of each)."""
         parts = [self.tokenizer.chunks(t) for t in texts]
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         if len(self.known) > CACHE or self.bytes > CACHE_BYTES:
-            self._clear()
+            self.clear()
         flat = list(chain.from_iterable(parts))
         at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         missed = np.flatnonzero(at < 0).tolist()
         if missed:
             self._learn(list({flat[i] for i in missed}))
             at[missed] = [self.known[flat[i]] for i in missed]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        owner = np.repeat(np.arange(len(parts)), n)
-        return ids, np.bincount(owner, sizes, len(parts)).astype(np.int64), np.bincount(owner, ~self.whole[at], len(parts)) == 0
+        return at, np.repeat(np.arange(len(parts)), n)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids one text after the other, ids of each text, whether its chunks' bytes are those of their tokens)."""
+        return self.of(*self.places(texts), len(texts))
 
 
 def gallop(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -200,7 +273,8 @@ def common_ends(ends_a: np.ndarray, n_a: np.ndarray, ends_b: np.ndarray, n_b: np
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
-        self.one, self.two = Encoder(ByteLevelTokenizer(path_a)), Encoder(PieceTokenizer(path_b))
+        pieces = PieceTokenizer(path_b)
+        self.one, self.two = Encoder(ByteLevelTokenizer(path_a), pieces), Encoder(pieces)
         digits = [[str(i).encode() for i in range(len(e.tokens))] for e in (self.one, self.two)]
         self.texts = [{sep: np.array([d + sep for d in own], object) for sep in seps} for own, seps in zip(digits, ((b",", b"|"), (b",", b";", b"")), strict=True)]
 
@@ -216,12 +290,26 @@ class Aligner:
         """Ids of B; a pair (a, b) is the number a * width + b."""
         return len(self.two.tokens)
 
+    def _encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What ``encode`` of A and of B gives; a text that both cut alike is cut and looked up once."""
+        at, owner = self.one.places(texts)
+        a = self.one.of(at, owner, len(texts))
+        alike = np.bincount(owner, ~self.one.shared[at], len(texts)) == 0
+        own = alike[owner]
+        ids, n, whole = self.one.other.of(at[own], owner[own], len(texts))
+        if not alike.all():
+            other = self.two.encode([texts[i] for i in np.flatnonzero(~alike)])
+            n[~alike], whole[~alike] = other[1:]
+            mixed, of_both = np.empty(n.sum(), np.int32), np.repeat(alike, n)
+            mixed[of_both], mixed[~of_both] = ids, other[0]
+            ids = mixed
+        return [a, (ids, n, whole)]
+
     def align(self, texts: list[str | None]) -> Alignment:
         texts = [t or "" for t in texts]
         encoded = []
         good = np.array([t != "" for t in texts], bool)
-        for e in (self.one, self.two):
-            ids, n, whole = e.encode(texts)
+        for e, (ids, n, whole) in zip((self.one, self.two), self._encode(texts), strict=True):
             first = _first(n)
             for i in np.flatnonzero(~whole | np.array([_BLANK in t.encode() for t in texts], bool) if e is self.two else ~whole):
                 whole[i] = b"".join(e.tokens[t] for t in ids[first[i] : first[i] + n[i]]) == b" " + texts[i].encode()
