@@ -23,9 +23,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import slices, strings
+from plumbline.llm.common import own_cache, slices, strings
 
 LONG, CELLS, CACHE = 1024, 1 << 20, 300_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 NONE = np.int32(np.iinfo(np.int32).max)
 
 _tools: dict = {}
@@ -200,7 +202,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = ByteBpe.read(path, pattern)
-        for batch in slices(batches):
+        own_cache(bpe.cache)
+        for batch in slices(batches, limit=SLICE):
             ids = bpe.encode_batch(strings(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())],

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keep, only, settled, slices, utf8, with_row
+from plumbline.llm.common import keep, only, own_cache, settled, slices, utf8, with_row
 from plumbline.llm.components import components
 
 WORDS, HALF, MISS = 5, 2, 1e-5
@@ -78,9 +78,9 @@ def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
     words = _WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > _CACHE:
-        _hashes.clear()
-    known = _hashes
+    known = own_cache(_hashes)
+    if len(known) > _CACHE:
+        known.clear()
     for w in words:
         if w not in known:
             known[w] = xxhash.xxh3_64_intdigest(w)
