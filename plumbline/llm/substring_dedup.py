@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bwt import merge, transform
-from plumbline.llm.common import keep, slices, utf8
+from plumbline.llm.common import keep, settled, slices, utf8
 
 LENGTH, GRAM = 100, 40
 #: Strings that one piece may start; longer runs are cut.
@@ -149,16 +149,18 @@ def _in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _of_keys(shared):
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_in_filter(batch.column("key").to_numpy().view(np.uint64), shared.value)))
+def _passes(shared):
+    """Whether a key's bit is set. Only the keys go to Python; what else a row holds stays with Spark."""
 
-    return run
+    @F.arrow_udf("boolean")
+    def passes(keys: pa.Array) -> pa.Array:
+        return pa.array(_in_filter(keys.to_numpy().view(np.uint64), shared.value))
+
+    return passes
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
-    """64-bit words of a filter with a bit for each key; at most MOST_BITS bits, whatever the number of keys."""
+    """64-bit words of a filter with a bit for each key in column ``key``; at most MOST_BITS bits, whatever the number of keys."""
     n = keys.count()
     bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
     at = F.col("key").bitwiseAND(F.lit(bits - 1))
@@ -229,7 +231,14 @@ def _repeats(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc, text_id, spans (bytes, end exclusive; may overlap) to be removed from ``docs`` (doc, text_id, text)."""
+    """doc, text_id, spans (bytes, end exclusive; may overlap) to be removed from ``docs`` (doc, text_id, text).
+
+    They are stored; the pieces, and the shuffle files of each step, are gone before the texts are cut.
+    """
+    return settled(docs.sparkSession, lambda: _repeated_spans(docs, length, gram, crowd), "spans")
+
+
+def _repeated_spans(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     counts = docs.select("text").mapInArrow(_counted(length, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     twice = keep(counts.filter("n > 1").select("key"), "keys")
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(twice))  # MOST_BITS at most
@@ -248,11 +257,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     mixed = first.groupBy("key").agg(F.count("*").alias("forms"), F.max("loops").alias("loops"))
     mixed = mixed.filter((F.col("forms") > 1) | F.col("loops")).select("key", (F.col("forms") > crowd).alias("crowded"))
     mixed = keep(mixed, "mixed")
-    chosen = first.join(mixed, "key").select("key", "form", "crowded", F.col("first.*"))
-    # Only pieces of these keys are moved.
     own = docs.sparkSession.sparkContext.broadcast(bit_filter(mixed))  # MOST_BITS at most
-    columns = marked.select("key", "form", "doc", "text_id", "start", "size", "piece")
-    held = columns.mapInArrow(_of_keys(own), columns.schema).join(chosen, ["key", "form", "doc", "text_id", "start"]).dropDuplicates(["key", "form"])
+    chosen = keep(first.filter(_passes(own)("key")).join(mixed, "key").select("key", "form", "crowded", F.col("first.*")), "chosen")
+    # Only the first pieces of these keys are moved, and each once: rows that repeat a document bring equal ones.
+    row = ["key", "form", "doc", "text_id", "start"]
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(chosen.select(F.xxhash64(*row).alias("key"))))  # MOST_BITS at most
+    held = marked.filter(_passes(wanted)(F.xxhash64(*row))).select(*row, "size", "piece").join(chosen, row).dropDuplicates(row)
     held = keep(held.select("key", "crowded", "doc", "text_id", "start", "piece", "size"), "held")
     whole = held.filter("NOT crowded").select("key", "doc", "text_id", "start", "piece")
     single = held.filter("crowded").select("doc", "text_id", "start", "piece", F.explode(F.sequence(F.lit(0), (F.col("size") - length).cast("int"))).alias("i"))

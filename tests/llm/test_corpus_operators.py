@@ -1,6 +1,8 @@
 """Operators that compare texts with one another, against plain versions."""
 
+import glob
 import hashlib
+import os
 import random
 
 import cases
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import bwt, components, exact_dedup, near_dedup, substring_dedup
+from plumbline.session import shared_dir
 
 
 def utf8(rows):
@@ -187,6 +190,39 @@ def test_substring_dedup_is_a_scan_over_all_strings(spark, length, gram, crowd):
     assert got.count() == len(rows)
 
 
+def test_substring_dedup_leaves_no_files_of_its_steps(spark, monkeypatch):
+    """Once the spans are known, only they are stored: no pieces, no shuffle files. Each piece that is compared moves once."""
+
+    def files():
+        folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+        return {path for d in folders for path in glob.glob(f"{d}/*/shuffle_*")}, set(os.listdir(f"{shared_dir(spark)}/plumbline"))
+
+    moved = {}
+    keep = substring_dedup.keep
+
+    def watched(df, label):
+        moved[label] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        return keep(df, label)
+
+    monkeypatch.setattr(substring_dedup, "keep", watched)
+    passage = cases.prose(900, 60)
+    rows = [(i, f"{cases.prose(i, 40)} {passage} {cases.prose(100 + i, 40)}") for i in range(12)] + [(12, passage), (13, None), (None, passage)]
+    docs = cases.documents(spark, rows + rows)
+    keep(docs, "any")  # the folder is there
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles, tables = files()
+        got = substring_dedup.substring_dedup(docs)
+        shuffled, stored = (after - before for after, before in zip(files(), (shuffles, tables), strict=True))
+        assert not shuffled and [name.rsplit("-", 1)[0] for name in stored] == ["llm-spans"]
+        assert moved["held"] == 2
+        kept = [(r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sorted(kept, key=repr) == sorted([(d, n, k) for d, n, _, _, k in substring_rows(rows, 100)] * 2, key=repr)
+
+
 def test_substring_dedup_of_empty_tables(spark, none):
     assert substring_dedup.substring_dedup(none).count() == 0
     assert substring_dedup.substring_dedup(cases.documents(spark, [(1, None)])).first()["n_bytes"] == 0
