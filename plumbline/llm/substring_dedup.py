@@ -39,6 +39,8 @@ LENGTH, GRAM = 100, 40
 RUN = 2048
 #: Symbols of a collection, shards it is split into, pieces of one key that may share a task.
 COLLECTION, SHARDS, CROWD = 1 << 17, 2, 20_000
+#: Bytes of text that are hashed and cut into pieces together; they need some thirty times as much memory.
+SLICE = 1 << 20
 #: Bits of the filter: sixteen for each key, and this many at most (32 MB).
 MOST_BITS = 1 << 28
 
@@ -111,7 +113,7 @@ def pieces(texts: list[bytes], length: int, gram: int):
 
 def _counted(length: int, gram: int):
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             keys, _, _, loops, *_ = pieces(utf8(batch), length, gram)
             keys, n = np.unique(np.concatenate([keys, keys[loops]]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
@@ -121,7 +123,7 @@ def _counted(length: int, gram: int):
 
 def _marked(shared, length: int, gram: int):
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             keys, starts, sizes, loops, owner, offsets, data = pieces(utf8(batch), length, gram)
             hit = np.flatnonzero(_in_filter(keys, shared.value))
             keys, starts, sizes, loops, owner = keys[hit], starts[hit], sizes[hit], loops[hit], owner[hit]
