@@ -4,8 +4,8 @@ The number of negative pivots of an LDLᵀ factorisation of A - s is the number
 eigenvalues below s. Such counts halve slices of the spectrum until each holds one
 eigenvalue; Rayleigh quotient iteration then converges to it, cubically, and has to
 end inside its slice, so the counts certify every number. Eigenvalues closer than
-TIE times the norm share a slice: one shift gives a basis of their common space, in
-which they are told apart.
+TIE times the norm share a slice: with all that no gap sets apart from them they have
+a common space, found by subspace iteration with a filter, in which they are told apart.
 """
 
 from __future__ import annotations
@@ -72,7 +72,9 @@ class _Slices:
 
     def halves(self, lo, hi, first, last):
         """The slice cut in two, larger values first; empty halves are left out."""
-        mid = (lo + hi) / 2
+        mid, near = (lo + hi) / 2, TIE * self.norm / 3
+        if mid == 0 and self.above(near) != self.above(-near):
+            mid = -near  # a matrix of low rank has eigenvalues where the cut would be
         cut = min(max(self.above(mid), first - 1), last)
         return [s for s in ((mid, hi, first, cut), (lo, mid, cut + 1, last)) if s[2] <= s[3]]
 
@@ -114,16 +116,36 @@ def _quotient_iteration(slices: _Slices, piece: tuple, x: np.ndarray) -> tuple[f
         lo, hi, _, _ = slices.halves(lo, hi, k, k)[0]
 
 
-def _cluster(slices: _Slices, piece: tuple, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Values (falling) and vectors of a slice that counts cannot cut further."""
+def _cluster(slices: _Slices, piece: tuple, rng) -> tuple[int, np.ndarray, np.ndarray]:
+    """First number, values (falling) and vectors of a slice that counts cut no further, and of all that no gap of its half width sets apart from it.
+
+    The filter r / ((A - m)² + r²) weighs what lies within r of the middle m at least 2.5 times as much as what lies beyond
+    2 r, and nothing lies between; it is the imaginary part of (A - m - ir)⁻¹, whose weights are alike all over the cluster.
+    """
+    a, n, norm = slices.a, slices.n, slices.norm
     lo, hi, first, last = piece
-    basis = rng.standard_normal((slices.n, last - first + 1))
-    for _ in range(4):
-        basis = np.linalg.qr(np.column_stack([_solve(slices.a, (lo + hi) / 2, b, slices.norm) for b in basis.T]))[0]
-    middle = (lo + hi) / 2
-    small = basis.T @ (slices.a @ basis - middle * basis)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    return values[::-1] + middle, basis @ turn[:, ::-1]
+    while True:
+        half = (hi - lo) / 2
+        wide = lo - half, hi + half, min(first, slices.above(hi + half) + 1), max(last, slices.above(lo - half))
+        if wide[2:] == (first, last):
+            break
+        lo, hi, first, last = wide
+    middle, tiny, best = (lo + hi) / 2, 8 * np.finfo(float).eps * norm, np.inf
+    centred = a - middle * np.eye(n)
+    filtered = centred - 1j * half * np.eye(n)
+    basis = np.linalg.qr(rng.standard_normal((n, last - first + 1)))[0]
+    for _ in range(2 * _STEPS):
+        basis = np.linalg.qr(np.linalg.solve(filtered, basis).imag)[0]
+        small = basis.T @ (centred @ basis)
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        basis = basis @ turn
+        off = float(np.linalg.norm(centred @ basis - basis * values, axis=0).max())
+        if off <= 64 * tiny and off >= best / 2:
+            break
+        best = min(best, off)
+    if off > 64 * tiny:
+        raise ArithmeticError(f"eigenvalues {first} to {last} do not converge")
+    return first, values[::-1] + middle, basis[:, ::-1]
 
 
 def leading(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +161,17 @@ def leading(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     slices, rng = _Slices(a), np.random.default_rng(5)
     values, vectors = [], []
     for piece in slices.isolated(min(k, len(a))) if len(a) and slices.norm else []:
+        if piece[3] <= len(values):
+            continue  # the cluster before holds it too
         if piece[2] == piece[3]:
             value, y = _quotient_iteration(slices, piece, rng.standard_normal(len(a)))
             values.append(value)
             vectors.append(y)
         else:
-            several, columns = _cluster(slices, piece, rng)
-            values.extend(several.tolist())
-            vectors.extend(columns.T)
+            first, several, columns = _cluster(slices, piece, rng)
+            new = len(values) + 1 - first
+            values.extend(several[new:].tolist())
+            vectors.extend(columns.T[new:])
     least = 16 * len(a) * np.finfo(float).eps * slices.norm if len(a) else 0.0
     count = sum(v > least for v in values[:k])
     q = np.zeros((len(a), count))

@@ -111,6 +111,12 @@ def test_slicing_finds_the_leading_pairs(d, seed, kind):
     assert np.abs(a @ vectors - vectors * values).max(initial=0) < 1e-12 and np.abs(vectors.T @ vectors - np.eye(len(values))).max(initial=0) < 1e-12
 
 
+@pytest.mark.parametrize(("d", "seed", "kind"), [(13, 0, "near ties"), (2, 0, "ties"), (7, 7, "ties"), (5, 0, "low rank"), (11, 7, "low rank")])
+def test_slicing_tells_neighbours_of_a_slice_and_zeros_apart(d, seed, kind):
+    """Eigenvalues next to a cluster are not taken for its own, and a cut at 0 does not meet those of a matrix of low rank."""
+    test_slicing_finds_the_leading_pairs.hypothesis.inner_test(d, seed, kind)
+
+
 def test_a_matrix_that_is_not_finite_is_refused():
     with pytest.raises(ValueError):
         spectrum.leading(np.array([[np.nan]]), 1)
