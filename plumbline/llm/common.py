@@ -94,13 +94,18 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Stored in the shared folder and read back: computed once, and safe from lost executors."""
+def keep(df: DataFrame, label: str, group_rows: int | None = None) -> DataFrame:
+    """Stored in the shared folder and read back: computed once, and safe from lost executors.
+
+    With ``group_rows``, for rows of megabytes, a row group has as many: else Parquet looks at its size after 100 rows first,
+    and a reader takes whole groups.
+    """
     path = scratch_path(df.sparkSession, f"llm-{label}")
     if _scopes:
         _scopes[-1].append(path)
+    options = {"compression": "zstd"} | ({"parquet.block.row.count.limit": group_rows} if group_rows else {})
     with small_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -6,7 +6,9 @@ one position apart from touching, so no phrase crosses documents. The index
 knows nothing of a benchmark and serves any number of searches.
 
 A search takes the test items in blocks of a bounded number of words, which are
-sent to every worker; each block is run against all shards. In a shard the
+sent to every worker; each block is run against all shards, and its hits are stored
+before the next. Shards are stored, read and handed to a worker a few at a time, whatever
+the size of the files. In a shard the
 terms of a window are ordered by the length of their lists. The list of the
 rarest gives the possible starts, and these are intersected with the other
 lists, each moved by its term's offset, from rare to frequent (``phrase_hits``).
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import keep, slices, utf8
 
 WINDOW = 10
-#: Words of test items that are searched together, and windows that a shard handles at a time.
-BLOCK_WORDS, STEP = 500_000, 4096
+#: Words of test items that are searched together, windows that a shard handles at a time, and the entries of their rarest terms' lists.
+BLOCK_WORDS, STEP, ENTRIES = 500_000, 4096, 1 << 18
+#: Shards, of a few megabytes each, that are stored as one row group, which is what a writer and a reader hold.
+GROUP_SHARDS = 2
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -74,7 +78,7 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of all words of ``docs`` (doc_id, text), a row for each shard."""
     rows = docs.select("doc_id", "text").mapInArrow(_index, INDEX_SCHEMA)
-    return keep(rows.withColumn("shard", F.monotonically_increasing_id()), "index")
+    return keep(rows.withColumn("shard", F.monotonically_increasing_id()), "index", GROUP_SHARDS)
 
 
 class Shard:
@@ -113,16 +117,16 @@ class Shard:
         found = []
         for lo in range(0, len(windows), STEP):
             some = lo + np.flatnonzero((self.df[windows[lo : lo + STEP]] > 0).all(axis=1))
-            if not len(some):
-                continue
-            order = np.argsort(self.df[windows[some]], axis=1, kind="stable")
-            owner, at = self.lists(windows[some, order[:, 0]])
-            start = at - order[owner, 0]
-            for k in range(1, windows.shape[1]):
-                offset = order[owner, k]
-                hit = self.holds(windows[some[owner], offset], start + offset)
-                owner, start = owner[hit], start[hit]
-            found.append((some[owner], start))
+            part = np.cumsum(self.df[windows[some]].min(axis=1)) // ENTRIES
+            for own in np.split(some, np.flatnonzero(np.diff(part)) + 1) if len(some) else ():
+                order = np.argsort(self.df[windows[own]], axis=1, kind="stable")
+                owner, at = self.lists(windows[own, order[:, 0]])
+                start = at - order[owner, 0]
+                for k in range(1, windows.shape[1]):
+                    offset = order[owner, k]
+                    hit = self.holds(windows[own[owner], offset], start + offset)
+                    owner, start = owner[hit], start[hit]
+                found.append((own[owner], start))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([w for w, _ in found]), np.concatenate([s for _, s in found])
@@ -205,17 +209,23 @@ _HITS = pa.schema(
 )
 
 
+def _found(spark: SparkSession, index: DataFrame, search, blocks, schema: str) -> DataFrame:
+    """What ``search`` of each block finds in the shards. A block's hits are stored, and what was sent for it is let go, before the next is sent."""
+    out = None
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)  # block_words words at most, beside one long item
+        own = keep(index.mapInArrow(search(shared), schema), "hits")
+        shared.destroy()
+        out = own if out is None else out.union(own)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
 def phrase_hits(spark: SparkSession, index: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """shard, place, items, spans (words, end exclusive) of the documents in which windows of ``items`` (item_id, text) occur.
 
     A window is ``window`` words in a row; an item of fewer is one window.
     """
-    out = None
-    for block in item_blocks(items, block_words):
-        shared = spark.sparkContext.broadcast(windows_of(block, window))  # block_words words at most, beside one long item
-        own = index.mapInArrow(_search(shared), HIT_SCHEMA)
-        out = own if out is None else out.union(own)
-    return out if out is not None else spark.createDataFrame([], HIT_SCHEMA)
+    return _found(spark, index, _search, (windows_of(block, window) for block in item_blocks(items, block_words)), HIT_SCHEMA)
 
 
 def near_hits(spark: SparkSession, index: DataFrame, items: DataFrame, distance: int, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -239,14 +249,12 @@ def near_hits(spark: SparkSession, index: DataFrame, items: DataFrame, distance:
 
         return run
 
-    schema, out = "shard long, place int, item_id string, word long", None
-    for block in item_blocks(items, block_words):
+    def terms_of(block):
         known: dict[bytes, int] = {}
         sets = [np.unique([known.setdefault(w, len(known)) for w in own]) for _, own in block]
-        shared = spark.sparkContext.broadcast(([i for i, _ in block], list(known), sets))
-        own = index.mapInArrow(search(shared), schema)
-        out = own if out is None else out.union(own)
-    return out if out is not None else spark.createDataFrame([], schema)
+        return [i for i, _ in block], list(known), sets
+
+    return _found(spark, index, search, map(terms_of, item_blocks(items, block_words)), "shard long, place int, item_id string, word long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
